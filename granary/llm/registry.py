@@ -1,9 +1,17 @@
 """The thin opN queries of this subpackage, and the SQL of those that SQL can express."""
 
-from granary.llm import mixing, url_filter
+from granary.llm import mixing, simhash, substring, url_filter, warc
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_substring": substring.op4_substring,
     "op7_mixing": mixing.op7_mixing,
+    "op10_warc": warc.op10_warc,
+}
+ORACLES = {
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op4_substring": substring.OP4_SQL,
+    "op7_mixing": mixing.OP7_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
-ORACLES = {"op3_url_filter": url_filter.OP3_SQL, "op7_mixing": mixing.OP7_SQL}
