@@ -1,12 +1,16 @@
 """The thin opN queries of this subpackage, and the SQL of those that SQL can express."""
 
-from granary.llm import mixing, simhash, substring, url_filter, warc
+from granary.llm import bpe, mixing, quality, simhash, substring, token_file, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_simhash": simhash.op2_simhash,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_substring": substring.op4_substring,
+    "op5_bpe": bpe.op5_bpe,
     "op7_mixing": mixing.op7_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_token_file": token_file.op9_token_file,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {
