@@ -132,6 +132,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, id_co
     return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it.
+
+    The copies are joined by id; rows that repeat an id are told apart by their source and size, and rows that
+    share those too get the copies of one of them."""
+    taken = mix(docs, weights, cap, id_col, text_col, source_col).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    taken = taken.filter("copies > 0").withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source", "size": "_mix_size", "copies": "_copies"}).hint("shuffle_hash")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    on = F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (size == F.col("_mix_size"))
+    rows = docs.join(taken, on)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_mix_id", "_mix_source", "_mix_size", "_copies", "_copy")
+
+
 def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

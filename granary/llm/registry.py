@@ -1,6 +1,6 @@
 """The thin opN queries of this subpackage, and the SQL of those that SQL can express."""
 
-from granary.llm import bpe, mixing, quality, simhash, substring, token_file, toxicity, url_filter, warc
+from granary.llm import bpe, embedding_dedup, mixing, quality, simhash, substring, token_file, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_substring": substring.op4_substring,
     "op5_bpe": bpe.op5_bpe,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_file": token_file.op9_token_file,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op4_substring": substring.OP4_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
 }
