@@ -170,7 +170,7 @@ class FingerprintIndex:
         self.tables[a, b] = name
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Appends a batch's run (key, n); returns its keys that repeat, in the batch or in the history."""
+        """Appends a batch's run (key, n); returns its keys that repeat, in the batch or in the history (once for each run that has them)."""
         at = max((b for _, b in self.tables), default=-1) + 1
         history = list(self.tables.values())
         self._write(keys.select("key", "n"), at, at)
@@ -300,7 +300,7 @@ class _Streamed:
             told = self.waiting & np.isin(self.x, value[again])
             if told.any():
                 was = self.where[told]
-                yield pd.DataFrame({"doc_id": was["doc_id"], "text_hash": was["text_hash"], "code": (was["start"] << 32) | 1})
+                yield pd.DataFrame({"doc_id": was["doc_id"], "text_hash": was["text_hash"], "code": (was["start"].to_numpy(np.int64) << 32) | 1})
                 self.waiting[told] = False
         mask = np.add.reduceat(np.where(again[at], np.int64(1) << place, 0), begin)
         out = np.flatnonzero((mask != 0) & ~merged)
