@@ -6,9 +6,10 @@ of all filters whose cap it lies in (dot product at least alpha): the codewords
 and pairs are tried in rank order only as long as they can reach alpha. Vectors that share a filter, a
 label and a dimension are compared exactly; links are the pairs with cosine >= MIN_COSINE.
 
-alpha and B follow the number of vectors of the largest label: a bucket is expected to hold BUCKET of
-them, and two vectors at MIN_COSINE to share SHARED filters (so about exp(-SHARED) of such pairs are
-missed, fewer above it). Buckets above TILE rows are cut into chunks, each pair of which is compared.
+B follows the number of vectors of the largest label, so that a bucket is expected to hold about BUCKET
+of them. alpha is calibrated for each dimension on random pairs at exactly MIN_COSINE: the height at which
+MISSED of them share no filter (fewer are missed above that cosine). Buckets above TILE rows are cut into
+chunks, each pair of which is compared.
 
 Exact copies are one class and are compared once. A pair is counted in the smallest filter that its
 vectors share; a bucket returns each vector's count and a spanning forest, never pairs.
@@ -34,9 +35,11 @@ from granary.operators.components import connected_components
 from granary.session import stored, table
 
 MIN_COSINE = 0.93
-SHARED = 9.0
+SHARED = 12.0
+#: Share of pairs at the threshold that may be missed, and the random pairs that settle it.
+MISSED, PAIRS = 0.01, 400
 BUCKET = 48
-CODE = (16, 2048)
+CODE = (24, 2048)
 SEED = 20
 SLICE = 1 << 14
 
@@ -45,33 +48,49 @@ def _tail(x):
     return 0.5 * math.erfc(x / math.sqrt(2))
 
 
-def plan(n: int, cosine: float = MIN_COSINE) -> tuple[float, int]:
-    """(alpha times the root of the dimension, B) for n vectors of one label."""
+def code_size(n: int, cosine: float = MIN_COSINE) -> int:
+    """B for n vectors of one label, as if dot products with a filter were normal."""
     p = min(0.05, BUCKET / max(n, 1))
     low, high = 0.0, 12.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if _tail(mid) > p else (low, mid)
-    a, s = low, math.sqrt(1 - cosine * cosine)
-    z = a + (np.arange(4000) + 0.5) * 0.0015
+    s = math.sqrt(1 - cosine * cosine)
+    z = low + (np.arange(4000) + 0.5) * 0.0015
     density = np.exp(-z * z / 2)
-    both = float((density * np.array([_tail((a - cosine * x) / s) for x in z])).sum() / density.sum())
-    return a, int(min(CODE[1], max(CODE[0], math.ceil(math.sqrt(SHARED / both / p)))))
+    both = float((density * np.array([_tail((low - cosine * x) / s) for x in z])).sum() / density.sum())
+    return int(min(CODE[1], max(CODE[0], math.ceil(math.sqrt(SHARED / both / p)))))
+
+
+def calibrated(dim: int, size: int, cosine: float = MIN_COSINE) -> float:
+    """alpha: a share MISSED of random pairs at this cosine has no filter that both exceed."""
+    code, rng, reach = ProductCode(dim, size, 0.0), np.random.default_rng(SEED + 1), []
+    for _ in range(PAIRS):
+        x, y = rng.standard_normal((2, dim))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        length = np.linalg.norm(y)
+        y = cosine * x + (math.sqrt(1 - cosine * cosine) / length * y if length > 1e-9 else (1 - cosine) * x)
+        (a, b), (c, d) = code.products(x), code.products(y)
+        reach.append(float(np.minimum(a[:, None] + b[None, :], c[:, None] + d[None, :]).max()))
+    return float(np.quantile(reach, MISSED)) - 1e-9
 
 
 class ProductCode:
-    def __init__(self, dim: int, height: float, size: int):
+    def __init__(self, dim: int, size: int, alpha: float):
         rng = np.random.default_rng(SEED)
-        self.dim, self.half = dim, (dim + 1) // 2
-        self.size, self.alpha = size, height / math.sqrt(dim) * math.sqrt(2)
+        self.dim, self.half, self.size, self.alpha = dim, (dim + 1) // 2, size, alpha
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         halves = self.half, dim - self.half
         self.codes = [c / np.linalg.norm(c, axis=1, keepdims=True) if c.shape[1] else c for c in (rng.standard_normal((size, h)) for h in halves)]
 
+    def products(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        turned = unit @ self.rotation
+        return turned[..., : self.half] @ self.codes[0].T, turned[..., self.half :] @ self.codes[1].T
+
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every filter that each row exceeds."""
-        turned = unit @ self.rotation
-        first, second = turned[:, : self.half] @ self.codes[0].T, turned[:, self.half :] @ self.codes[1].T
+        first, second = self.products(unit)
         order1, order2 = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
         first, second = np.take_along_axis(first, order1, 1), np.take_along_axis(second, order2, 1)
         rows, filters = [], []
@@ -116,10 +135,12 @@ def _shares_smaller(lists: np.ndarray, i: np.ndarray, j: np.ndarray, f: int) ->
     return out
 
 
-def links(classes: DataFrame, height: float, size: int, cosine: float = MIN_COSINE, tile: int = TILE) -> DataFrame:
+def links(classes: DataFrame, size: int, cosine: float = MIN_COSINE, tile: int = TILE) -> DataFrame:
     """node, links (rows that the class's bucket mates hold, each pair counted in one bucket), root.
 
     classes: node, n, label, vector."""
+    dims = [r[0] for r in classes.select(F.size("vector")).distinct().collect()]
+    alphas = {dim: calibrated(dim, size, cosine) for dim in dims}
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[int, ProductCode] = {}
@@ -130,7 +151,7 @@ def links(classes: DataFrame, height: float, size: int, cosine: float = MIN_COSI
                 raw = np.array(part["vector"].tolist(), np.float64)
                 unit = raw / np.abs(raw).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                code = codes.get(dim) or codes.setdefault(dim, ProductCode(dim, height, size))
+                code = codes.get(dim) or codes.setdefault(dim, ProductCode(dim, size, alphas[dim]))
                 row, which = code.decode(unit)
                 order = np.lexsort((which, row))
                 row, which = row[order], which[order]
@@ -202,8 +223,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = MIN_COSINE, id_col="vec_
     classes = rows.filter("fine").groupBy(*same).agg(node.alias("node"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = stored(classes, "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    height, size = plan(largest, cosine)
-    found = stored(links(classes, height, size, cosine, tile), "vector-links")
+    found = stored(links(classes, code_size(largest, cosine), cosine, tile), "vector-links")
     groups = connected_components(found.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = (

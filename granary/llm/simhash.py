@@ -192,19 +192,19 @@ def tiled(keyed: DataFrame, row: str, tile: int = TILE) -> DataFrame:
     """keyed (key, row column, more) with `chunk`; keys of over `tile` rows give way to a key for each pair of chunks.
 
     Every two rows of a key meet in at least one of the new keys; those of different chunks in exactly one."""
-    hot = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot-keys")
+    hot = stored(keyed.groupBy("key").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > tile), "hot-keys")
     n_hot = hot.count()
     plain = F.lit(0).alias("chunk"), F.lit(False).alias("cross")
     if not n_hot:
         return keyed.select("*", *plain)
     right = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
     rows = keyed.join(right, "key", "left")
-    chunks = F.ceil(F.col("n") / tile)
-    cold = rows.filter("n IS NULL").drop("n").select("*", *plain)
-    cut = rows.filter("n IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), row), chunks).cast("int"))
+    chunks = F.ceil(F.col("_rows") / tile)
+    cold = rows.filter("_rows IS NULL").drop("_rows").select("*", *plain)
+    cut = rows.filter("_rows IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), row), chunks).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
     key = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    cut = cut.withColumn("cross", F.col("chunk") != F.col("other")).withColumn("key", key).drop("n", "other")
+    cut = cut.withColumn("cross", F.col("chunk") != F.col("other")).withColumn("key", key).drop("_rows", "other")
     return cold.unionByName(cut)
 
 
