@@ -1,4 +1,4 @@
 """Every query by name, with its DuckDB oracle where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from granary.plans import curation_queries, relational_queries, text_queries  # noqa: F401
+from granary.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1 +1,64 @@
-"""Sources of granary."""
+"""JSON Lines, whole JSON documents, append-only caches and small model files, through Spark's readers and writers."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One object per line; unknown keys are dropped, blank lines skipped, missing keys null."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).na.drop("all")
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Writes one object per row (mode overwrite or append); returns the number of rows."""
+    n = df.count()
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    return n
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """A whole-file JSON array or object."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
+def to_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
+
+
+def latest(log: DataFrame, key: str, order: str) -> DataFrame:
+    """An append-only log as a table: the last row of each key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
+    return log.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def misses(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    return wanted.join(cache.select(key).distinct(), key, "left_anti")
+
+
+def without(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    return df.join(listed.select(key).distinct(), key, "left_anti")
+
+
+def save_model(spark: SparkSession, path: str, model: dict) -> None:
+    """A model of a few numbers as a one-row JSON file."""
+    spark.createDataFrame([(json.dumps(model),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def markdown_table(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3, most: int = 200) -> str:
+    """A small aggregate as a table; `most` bounds what reaches the driver."""
+    columns = list(columns or df.columns)
+    cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    lines += ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in df.select(*columns).limit(most).collect()]
+    return "\n".join(lines)

@@ -1 +1,32 @@
-"""Streaming of granary."""
+"""Incremental forms of the caches and work queues, on Structured Streaming."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def once_per_key(stream: DataFrame, key: str, time: str, delay: str = "10 minutes") -> DataFrame:
+    """The first row of each key; state is dropped `delay` after the key's time."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def windowed_counts(stream: DataFrame, time: str, keys: list[str], length: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Rows and value sums per window and keys; late rows count until the watermark passes."""
+    return stream.withWatermark(time, delay).groupBy(F.window(time, length), *keys).agg(F.count("*").alias("n"))
+
+
+def append_misses(stream: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """Each micro-batch computes only keys that the cache at path lacks, and appends them."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        wanted = batch.dropDuplicates([key])
+        held = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held):
+            wanted = wanted.join(spark.read.parquet(path).select(key), key, "left_anti")
+        compute(wanted).write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
