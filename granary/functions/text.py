@@ -43,11 +43,15 @@ def normalize_ascii(text: Column) -> Column:
     return _articles_out(F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, ""))
 
 
-@F.pandas_udf("string")
-def normalize_text(texts: pd.Series) -> pd.Series:
+def normalize_text(text: Column) -> Column:
     """As normalize_ascii with NFD first, for any text."""
-    gone, articles = str.maketrans("", "", PUNCTUATION), re.compile(r"\b(a|an|the)\b")
-    return texts.map(lambda s: " ".join(articles.sub(" ", unicodedata.normalize("NFD", s or "").lower().translate(gone)).split()))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        gone, articles = str.maketrans("", "", PUNCTUATION), re.compile(r"\b(a|an|the)\b")
+        return texts.map(lambda s: " ".join(articles.sub(" ", unicodedata.normalize("NFD", s or "").lower().translate(gone)).split()))
+
+    return run(text)
 
 
 def normalize_answer(raw: Column) -> Column:

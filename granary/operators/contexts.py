@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from granary.functions import values as V
 from granary.functions.hashing import order_key, stable_seed
 
-#: Foreign neutrals that a context may draw from: the next ones in hash order, n_docs of them at most.
-POOL_BUCKETS = 64
+#: Foreign neutrals come from two buckets of the pool, each of about so many times a context's documents.
+BUCKET_CONTEXTS = 8
 
 
 def recipes(spark: SparkSession, conditions: Sequence[tuple[str, int]]) -> DataFrame:
@@ -46,10 +46,11 @@ def build(docs: DataFrame, conditions: Sequence[tuple[str, int]], n_docs: int =
 
     neutral = docs.filter("cell = 'H_N'").select(F.col("pair_id").alias("owner"), "doc_id")
     own = fits.join(neutral, fits["pair_id"] == neutral["owner"]).withColumn("tier", F.lit(0)).drop("owner")
-    pool = neutral.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(POOL_BUCKETS)))
-    pool = pool.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(order_key(F.lit(seed), F.col("doc_id"))))).filter(F.col("place") <= 4 * n_docs).drop("place")
-    drawn = fits.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), *ctx) + F.col("bucket"), F.lit(POOL_BUCKETS)))
-    foreign = drawn.join(F.broadcast(pool), "bucket").filter("owner <> pair_id").drop("bucket", "owner").withColumn("tier", F.lit(1))
+    n_buckets = max(1, neutral.count() // (BUCKET_CONTEXTS * n_docs))
+    pool = neutral.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)))
+    drawn = fits.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(min(1, n_buckets - 1)))))
+    drawn = drawn.withColumn("bucket", F.pmod(F.pmod(F.xxhash64(F.lit(seed), *ctx), F.lit(n_buckets)) + F.col("bucket"), F.lit(n_buckets)))
+    foreign = drawn.join(pool, "bucket").filter("owner <> pair_id").drop("bucket", "owner").withColumn("tier", F.lit(1))
     spare = own.unionByName(foreign).join(chosen.select(*ctx, "doc_id"), [*ctx, "doc_id"], "left_anti")
     fill = Window.partitionBy(*ctx).orderBy("tier", order_key(F.lit(seed), *[F.col(c) for c in ctx], F.lit("fill"), F.col("doc_id")))
     spare = spare.withColumn("place", F.row_number().over(fill)).filter(F.col("place") <= n_docs - F.col("needed"))

@@ -16,8 +16,6 @@ from granary.functions.text import contains_normalized, normalize_answer
 from granary.operators.components import connected_components
 from granary.operators.stats import Calibrator, clipped, max_normalized
 
-CTX = Window.partitionBy("ctx")
-
 
 def none(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.lit(1.0))
@@ -37,7 +35,7 @@ def context_clusters(df: DataFrame, threshold: float = 0.35) -> DataFrame:
     found = connected_components(links)
     out = df.withColumn("node", node).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     out = out.withColumn("first", F.min("pos").over(Window.partitionBy("ctx", "component")))
-    return out.withColumn("label", F.dense_rank().over(CTX.orderBy("first")) - 1).drop("node", "component", "first")
+    return out.withColumn("label", F.dense_rank().over(Window.partitionBy("ctx").orderBy("first")) - 1).drop("node", "component", "first")
 
 
 def dependence(df: DataFrame, threshold: float = 0.35) -> DataFrame:
@@ -71,7 +69,7 @@ def voting(df: DataFrame, weight=None, answer: str = "answer") -> DataFrame:
     rows = merged_answers(df.withColumn(answer, normalize_answer(F.col(answer))), answer).withColumn("_w", F.lit(1.0) if weight is None else weight)
     votes = ~F.col("canon").isin(*V.NO_ANSWER)
     mine = F.sum("_w").over(Window.partitionBy("ctx", "canon"))
-    total = F.sum(F.when(votes, F.col("_w")).otherwise(0.0)).over(CTX)
+    total = F.sum(F.when(votes, F.col("_w")).otherwise(0.0)).over(Window.partitionBy("ctx"))
     return rows.withColumn("score", F.when(votes & (total > 0), mine / total).otherwise(1.0)).drop("_w")
 
 

@@ -1,0 +1,292 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from granary import sources
+from granary.operators import aliases, components, contexts, curation, models, signals, similarity, stats
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (7, None)]
+    root = {}
+
+    def up(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and a != b:
+            x, y = up(a), up(b)
+            root[max(x, y)] = min(x, y)
+    want = sorted((x, up(x)) for x in root)
+    got = components.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"))
+    assert sorted(map(tuple, got.collect())) == want
+    assert components.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_clusters_and_effective_size(spark):
+    texts = ["a b c d e f", "q r s t u v", "w x y z w x", "a b c d e f g", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(rows(similarity.clusters(docs), "id", "cluster"))
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 4}
+    seven = spark.createDataFrame([(1, c, 1.0) for c in [0, 0, 0, 0, 0, 1, 2]], "g int, cluster int, weight double")
+    assert similarity.effective_size(seven, ["g"]).first()["n_eff"] == pytest.approx(49 / 27)
+    light = similarity.discounts(seven.drop("weight"), ["g"])
+    assert similarity.effective_size(light, ["g"]).first()["n_eff"] == pytest.approx(3.0)
+
+
+def brute_pairs(docs, threshold):
+    import re
+
+    def grams(t):
+        k = re.findall("[a-z0-9]+", (t or "").lower())
+        return frozenset(" ".join(k[i : i + 3]) for i in range(len(k) - 2)) if len(k) >= 3 else frozenset([" ".join(k)] if k else [])
+
+    sets = {}
+    for k, t in docs:
+        sets.setdefault(grams(t), k)
+        sets[grams(t)] = min(sets[grams(t)], k)
+    named = [(k, s) for s, k in sets.items() if s]
+    return sorted((min(a, b), max(a, b)) for i, (a, x) in enumerate(named) for b, y in named[:i] if len(x & y) / len(x | y) >= threshold)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.35, 0.8, 1.0])
+def test_similar_pairs_lose_none(spark, threshold):
+    import random
+
+    rng, docs = random.Random(3), []
+    for k in range(80):
+        base = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(12))] if k % 4 == 0 or not docs else docs[rng.randrange(len(docs))][1].split()
+        docs.append((k, " ".join(base + [f"x{rng.randrange(9)}"] * rng.randrange(2))))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    _, classes = similarity.shingle_classes(df)
+    assert rows(similarity.similar_pairs(classes, threshold), "a", "b") == sorted(brute_pairs(docs, threshold), key=str)
+
+
+def test_minhash_bands_lose_none(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from granary.functions.arrays import shingles
+    from granary.functions.hashing import minhash, permutations
+
+    a, b = permutations(32)
+    sigs = {}
+    for r in docs.select("doc_id", minhash(shingles(F.col("text")), a, b).alias("s")).collect():
+        key = tuple(r["s"])
+        sigs[key] = min(sigs.get(key, r["doc_id"]), r["doc_id"])
+    named = [(k, s) for s, k in sigs.items()]
+    want = sorted((min(x, y), max(x, y)) for i, (x, s) in enumerate(named) for y, t in named[:i] if sum(p == q for p, q in zip(s, t, strict=True)) >= 16)
+    assert rows(similarity.minhash_pairs(docs, 0.5, 32), "a", "b") == sorted(want, key=str)
+
+
+def test_greedy_containment(spark):
+    from granary.functions.arrays import shingles_by_space
+
+    texts = ["a b c d e", "b c d e", "x y z", "a b c q r s t", "x y z w"]
+    df = spark.createDataFrame([("o", i, t) for i, t in enumerate(texts)], "owner string, pos bigint, text string").select("owner", "pos", shingles_by_space(F.col("text")).alias("grams"))
+    assert dict(rows(similarity.greedy_containment(df), "pos", "kept")) == {0: True, 1: False, 2: True, 3: True, 4: True}
+
+
+def test_alias_matches(spark):
+    texts = spark.createDataFrame([(1, "the big red dog runs"), (2, "red"), (3, ""), (4, "big red dogs")], "text_id bigint, norm string")
+    named = spark.createDataFrame([(1, "red"), (2, "big red dog"), (3, "big red dog runs away"), (4, ""), (5, "red dog")], "alias_id bigint, norm string")
+    assert rows(aliases.matches(texts, named), "text_id", "alias_id") == [(1, 1), (1, 2), (1, 5), (2, 1), (4, 1)]
+
+
+CELLS = [("H_T", 1, "H0"), ("H_F", 1, "H0"), ("H_N", 2, "H0"), ("A_T", 3, "D0"), ("A_F", 3, "D0"), ("G_F", 2, "D0"), ("C_F", 3, "D2"), ("C_F", 1, "D3"), ("C_F", 1, "D4")]
+
+
+def corpus(spark, pairs=3):
+    out = []
+    for p in range(pairs):
+        for cell, n, level in CELLS:
+            for i in range(n):
+                out.append((f"p{p}", f"{p}-{cell}-{level}-{i}", cell, level))
+    return spark.createDataFrame(out, "pair_id string, doc_id string, cell string, level string")
+
+
+def test_contexts(spark):
+    conditions = [("clean", 0), ("shortcut", 2), ("shortcut_cram", 2), ("ai_true_human_false", 0), ("all_ai_mixed", 0), ("all_human", 0), ("independent", 3), ("coordinated", 3), ("coordinated", 5), ("shortcut_contrast", 1)]
+    built, errors = contexts.build(corpus(spark), conditions)
+    got = {}
+    for r in built.collect():
+        got.setdefault((r["pair_id"], r["condition"], r["k"]), []).append((r["pos"], r["doc_id"], r["cell"]))
+    assert {(r["pair_id"], r["condition"]) for r in errors.collect()} == {(f"p{i}", "shortcut_contrast") for i in range(3)}
+    assert len(got) == 27
+    for (pair, condition, k), docs in got.items():
+        assert sorted(x[0] for x in docs) == list(range(7)) and len({x[1] for x in docs}) == 7
+        assert all(d.startswith(pair[1:]) or cell == "H_N" for _, d, cell in docs)
+        if condition == "coordinated":
+            levels = sorted(d.split("-")[2] for _, d, cell in docs if cell == "C_F")
+            assert levels == ["D2"] * 3 + (["D3", "D4"] if k == 5 else [])
+    again = contexts.build(corpus(spark).repartition(5), conditions)[0]
+    assert rows(again, "pair_id", "condition", "k", "pos", "doc_id") == rows(built, "pair_id", "condition", "k", "pos", "doc_id")
+    with pytest.raises(ValueError):
+        contexts.build(corpus(spark), [("nonsense", 0)])
+    assert contexts.manifest(built).count() == 27
+
+
+def test_generation_plan(spark):
+    plan = contexts.generation_plan(spark.createDataFrame([(f"p{i}",) for i in range(6)], "pair_id string")).collect()
+    assert len(plan) == 66 and len({r["doc_id"] for r in plan}) == 66
+    per = {}
+    for r in plan:
+        if r["cell"] == "C_F":
+            per.setdefault(r["cluster_id"], []).append(r)
+    first = {r["doc_id"]: r for r in plan}
+    assert len(per) == 6
+    for docs in per.values():
+        assert sorted(r["dependence_level"] for r in docs) == ["D2", "D2", "D2", "D3", "D4"]
+        assert all(first[r["parent_doc"]]["cluster_id"] == r["cluster_id"] for r in docs if r["parent_doc"])
+    makers = [{r["generator"] for r in d if r["dependence_level"] == "D2"} for d in per.values()]
+    assert sorted(x for m in makers for x in m) == [0, 0, 1, 1, 2, 2]
+
+
+def test_signals(spark):
+    t = "the tower was finished in {} by many people of the town"
+    data = [("c", i, t.format(1900), "false") for i in range(4)] + [("c", 4, "quite another passage that says 1800 plainly", "true"), ("c", 5, "yet a different one on 1800 and more", "true"), ("c", 6, "nothing to see", "neutral")]
+    df = spark.createDataFrame(data, "ctx string, pos bigint, text string, stance string").withColumn("question", F.lit("When?"))
+    score = lambda name: [x[1] for x in rows(signals.arm(name)(models.extracted(df)), "pos", "score")]
+    assert score("none") == [1.0] * 7
+    assert score("oracle") == [0.0] * 4 + [1.0] * 3
+    assert score("dependence") == [0.25] * 4 + [1.0] * 3
+    assert score("voting") == pytest.approx([4 / 6] * 4 + [2 / 6] * 2 + [1.0])
+    assert score("agreement") == pytest.approx([1 / 3] * 4 + [2 / 3] * 2 + [1.0])
+    assert score("oracle_x_dependence") == [0.0] * 4 + [1.0] * 3
+    swapped = df.withColumn("stance", F.lit("true"))
+    assert [x[1] for x in rows(signals.arm("dependence")(swapped), "pos", "score")] == score("dependence")
+    with pytest.raises(ValueError):
+        signals.arm("what")
+
+
+def test_merged_answers(spark):
+    said = ["nolan", "christopher nolan", "unknown", "spielberg", "steven spielberg"]
+    df = spark.createDataFrame([("c", a) for a in said], "ctx string, answer string")
+    assert dict(rows(signals.merged_answers(df), "answer", "canon")) == {"nolan": "christopher nolan", "christopher nolan": "christopher nolan", "unknown": "unknown", "spielberg": "steven spielberg", "steven spielberg": "steven spielberg"}
+
+
+def test_multipliers(spark):
+    of = lambda xs, how: [r[1] for r in rows(signals.multipliers(spark.createDataFrame([("c", i, float(x)) for i, x in enumerate(xs)], "ctx string, pos int, score double"), how), "pos", "multiplier")]
+    assert of([0, 0.5, 1, 2], "clip") == [0.1, 0.5, 1.0, 1.0]
+    assert of([0.3, 0.6, 0.6], "maxnorm") == [0.5, 1.0, 1.0]
+    assert of([0.02, 0.5], "maxnorm") == [0.1, 1.0]
+    assert of([0, 0], "maxnorm") == [1.0, 1.0]
+
+
+def test_auc_roc_calibration(spark):
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 400)
+    x = rng.integers(0, 12, 400) + 3 * y
+    df = spark.createDataFrame([(int(a), float(b), 5.0) for a, b in zip(y, x, strict=True)], "y int, x double, c double")
+    wins = np.mean([(1.0 if p > q else 0.5 if p == q else 0.0) for p in x[y == 1] for q in x[y == 0]])
+    assert stats.auc(df, "y", "x").first()["auc"] == pytest.approx(wins)
+    assert math.isnan(stats.auc(df.filter("y = 1"), "y", "x").first()["auc"])
+    points = rows(stats.roc(df, "y", "x"), "point", "fpr", "tpr")
+    assert points[0][1:] == (0.0, 0.0) and max(p[1:] for p in points) == (1.0, 1.0) and len(points) == len(set(x)) + 1
+    assert len(rows(stats.roc(df, "y", "x", 5), "point")) == 5
+    model = stats.fit_calibrator(df, "y", ["x", "c"])
+    z, theta = np.c_[(x - x.mean()) / x.std(), np.zeros(400), np.ones(400)], np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ theta))
+        reg = np.array([0.01, 0.01, 0])
+        theta -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(reg) + 1e-6 * np.eye(3), z.T @ (p - y) + reg * theta)
+    assert model.w == pytest.approx(theta[:2], abs=1e-6) and model.b == pytest.approx(theta[2], abs=1e-6)
+    again = stats.Calibrator.from_dict(model.to_dict())
+    assert df.select(again.probability().alias("p")).filter("p > 0 AND p < 1").count() == 400
+    slope = np.polyfit(x, y, 1)
+    r2 = 1 - ((y - np.polyval(slope, x)) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert stats.r_squared(df, "y", ["x"]) == pytest.approx(r2)
+
+
+def test_bootstrap(spark):
+    got = stats.paired_bootstrap([1.0] * 10 + [0.0] * 30, seed=1)
+    assert got["diff"] == 0.25 and got["lo"] > 0 and got["significant"]
+    assert not stats.paired_bootstrap([0.0] * 40)["significant"] and stats.paired_bootstrap([])["n"] == 0
+    parts = spark.createDataFrame([(i, float(i % 3), 2) for i in range(60)], "cluster int, s double, n int")
+    out = {r["alpha"]: r for r in stats.cluster_bootstrap(parts, "cluster", 300, alphas=(0.05, 0.01)).collect()}
+    assert out[0.05]["estimate"] == pytest.approx(0.5) and out[0.05]["n_clusters"] == 60
+    assert out[0.01]["lo"] <= out[0.05]["lo"] < 0.5 < out[0.05]["hi"] <= out[0.01]["hi"]
+    v = spark.createDataFrame([(1, 0.1, 0.2), (1, -0.2, -0.1), (-1, -0.2, -0.1), (1, -0.1, 0.1)], "d int, lo double, hi double")
+    assert [r[0] for r in v.select(stats.verdict(F.col("d"), F.col("lo"), F.col("hi"))).collect()] == ["supported", "refuted", "supported", "inconclusive"]
+
+
+def test_shares_and_pairs(spark):
+    df = spark.createDataFrame([("a", 1, "gold"), ("a", 2, "attack"), ("b", 1, "both"), ("a", 3, "gold")], "arm string, key int, outcome string")
+    assert rows(stats.outcome_shares(df, ["arm"]), "arm", "n", "accuracy") == [("a", 3, pytest.approx(2 / 3)), ("b", 1, 0.0)]
+    empty = stats.outcome_shares(df.limit(0), []).first()
+    assert empty["n"] == 0 and math.isnan(empty["accuracy"])
+    out = stats.paired(df, ["key"], "arm", "a", "b", (F.col("outcome") == "gold").cast("int"))
+    assert rows(out, "key", "diff") == [(1, 1)]
+
+
+def test_curation(spark):
+    rec = spark.createDataFrame([(" x ", "a; b|c"), ("y", None)], "q string, alias string")
+    assert rows(curation.normalized_record(rec, ["alias"]), "q", "alias") == [("x", ["a", "b", "c"]), ("y", [])]
+    new = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    old = spark.createDataFrame([(1, "z"), (3, "c")], "id int, v string")
+    assert rows(curation.union_latest(new, old, key="id"), "id", "v") == [(1, "z"), (2, "b"), (3, "c")]
+    assert rows(curation.carried_over(new, old, ["id"], ["v"]), "id", "v") == [(1, "z"), (2, "b")]
+    assert rows(curation.pending(new, old, ["id"]), "id") == [(2,)]
+    tree = spark.createDataFrame([("a", None, "g"), ("b", "a", "g"), ("c", "a", "h"), ("d", "x", "g")], "id string, parent string, grp string")
+    assert rows(curation.lineage(tree, "id", "parent", "grp"), "id", "problem") == [("c", "parent of another group"), ("d", "parent missing")]
+    ids = spark.createDataFrame([(i, "ab"[i % 2 if i < 8 else 0]) for i in range(12)], "id int, kind string")
+    out = rows(curation.split(ids, "id", "kind", 6, "s"), "kind", "split")
+    assert out.count(("a", "dev")) == 4 and out.count(("b", "dev")) == 2
+    tries = spark.createDataFrame([("e1", m) for m in ["x"] * 6 + ["y"] * 5] + [("e2", "x")] * 12 + [("e3", m) for m in ["x", "y"] * 9], "entity string, maker string")
+    entities = spark.createDataFrame([("e1", False), ("e2", False), ("e3", True)], "entity string, exempt boolean")
+    assert rows(curation.exclusions(entities, tries), "entity", "attempts", "makers") == [("e1", 11, 2)]
+
+
+def test_record_reasons(spark):
+    schema = "refs array<string>, wrong string, question string, pool array<string>"
+    pool = ["Paris is the capital.", "Other words."]
+    data = [
+        (["Paris"], "London", "What is the capital?", pool), ([], "London", "Q", pool), (["Paris"], "Paris disambiguation", "Q", pool), (["a b c d"], "London", "Q", pool), (["1889"], "London", "Q", pool),
+        (["Paris"], "Paris Texas", "Q", pool), (["Paris"], "london", "Q", pool), (["Paris"], "London", "Is it Paris?", pool), (["Paris"], "London", "Q", pool + ["London too"]), (["Rome"], "London", "Q", pool),
+    ]
+    got = [r[0] for r in spark.createDataFrame(data, schema).select(curation.record_reason()).collect()]
+    assert got == [None, "missing_fields", "wikipedia_artifact", "long_answer", "type_mismatch", "values_overlap", "descriptive_answer", "value_in_question", "wrong_answer_in_real_chunks", "no_answer_bearing_chunk"]
+
+
+def test_sources_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é", None), (2, "b", [1])], "id int, s string, xs array<int>")
+    path = f"file://{tmp_path}/x.jsonl"
+    assert sources.write_jsonl(df, path) == 2 and sources.write_jsonl(df, path, "append") == 2
+    assert rows(sources.read_jsonl(spark, path, "id int, s string"), "id", "s") == [(1, "é"), (1, "é"), (2, "b"), (2, "b")]
+    sources.save_model(spark, f"file://{tmp_path}/m", {"w": [1.5]})
+    assert sources.load_model(spark, f"file://{tmp_path}/m") == {"w": [1.5]}
+    log = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("j", 1, "x")], "key string, at int, v string")
+    assert rows(sources.latest(log, "key", "at"), "key", "v") == [("j", "x"), ("k", "new")]
+    assert rows(sources.misses(spark.createDataFrame([("k",), ("z",)], "key string"), log, "key"), "key") == [("z",)]
+    assert sources.markdown_table(df, ["id", "s"]).splitlines()[2:] == ["| 1 | é |", "| 2 | b |"]
+
+
+def test_answer_boundary(spark):
+    df = spark.createDataFrame([("c", "q", ["a", "b"], [0.1, 1.0])], "ctx string, question string, passages array<string>, weights array<double>")
+    out = models.answered(df, lambda q, p, w: p[w.index(max(w))])
+    assert rows(out, "ctx", "answer") == [("c", "b")]
+
+
+def test_streams(spark, tmp_path):
+    from granary import streaming
+
+    src = f"{tmp_path}/in"
+    spark.createDataFrame([("k1", 1), ("k1", 2), ("k2", 3)], "key string, v int").withColumn("ts", F.timestamp_seconds("v")).write.parquet(src)
+    stream = spark.readStream.schema("key string, v int, ts timestamp").parquet(src)
+    q = streaming.once_per_key(stream, "key", "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert rows(spark.table("once"), "key") == [("k1",), ("k2",)]
+    out = f"{tmp_path}/cache"
+    for i in range(2):
+        streaming.append_misses(stream, out, "key", lambda b: b.select("key", (F.col("v") * 10).alias("x")), f"{tmp_path}/cp{i}").awaitTermination(60)
+    assert rows(spark.read.parquet(out), "key") == [("k1",), ("k2",)]
+    q = streaming.windowed_counts(stream, "ts", ["key"], "1 minute").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert rows(spark.table("counts"), "key", "n") == [("k1", 2), ("k2", 1)]
