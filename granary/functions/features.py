@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import values as V
@@ -19,13 +19,25 @@ def _mean(x: Column) -> Column:
     return F.when(F.size(x) == 0, 0.0).otherwise(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x))
 
 
-def stylometric(text: Column) -> dict[str, Column]:
-    """Sentence lengths, vocabulary, punctuation and letters of a text; all rates are per word unless the name says otherwise."""
-    w, n = words(text), F.size(words(text))
-    lengths = F.transform(sentences(text), lambda s: F.size(words(s)).cast("double"))
+def staged(df: DataFrame, text: str) -> DataFrame:
+    """df with `_words`, `_low` and `_lengths` (words of each sentence), computed once for the features that use them."""
+    t = F.col(text)
+    df = df.withColumns({"_words": words(t), "_lengths": F.transform(sentences(t), lambda s: F.regexp_count(s, F.lit("[A-Za-z']+")).cast("double"))})
+    low = F.split(F.lower(F.array_join("_words", " ")), " ")
+    return df.withColumn("_low", F.when(F.size("_words") == 0, F.array().cast("array<string>")).otherwise(low))
+
+
+def stylometric(text: Column, parts: bool = False) -> dict[str, Column]:
+    """Sentence lengths, vocabulary, punctuation and letters of a text; all rates are per word unless the name says otherwise.
+
+    parts: the row went through staged()."""
+    w = F.col("_words") if parts else words(text)
+    n = F.size(w)
+    lengths = F.col("_lengths") if parts else F.transform(sentences(text), lambda s: F.size(words(s)).cast("double"))
     lengths = F.when(F.size(lengths) == 0, F.array(n.cast("double"))).otherwise(lengths)
-    spread = bound(lengths, lambda x: F.sqrt(_mean(F.transform(x, lambda v: (v - _mean(x)) * (v - _mean(x))))))
-    low = F.transform(w, lambda x: F.lower(x))
+    square = lambda x: _mean(F.transform(x, lambda v: v * v))
+    spread = bound(lengths, lambda x: F.sqrt(F.greatest(F.lit(0.0), square(x) - _mean(x) * _mean(x))))
+    low = F.col("_low") if parts else F.transform(w, lambda x: F.lower(x))
     once = bound(F.array_sort(low), lambda k: F.size(F.filter(k, lambda x, i: ((i == 0) | (F.get(k, i - 1) != x)) & ((i == F.size(k) - 1) | (F.get(k, i + 1) != x)))))
     rate = lambda pattern: _share(F.regexp_count(text, F.lit(pattern)), n)
     return {
@@ -67,23 +79,34 @@ def lexicon(text: Column) -> dict[str, Column]:
     return rates | {"total": total}
 
 
-def shape(text: Column, question: Column) -> dict[str, Column]:
-    """How much a text looks like an answer to the question."""
-    content = F.array_distinct(F.filter(question_tokens(question), lambda w: ~w.isin(*V.STOP_WORDS)))
-    own = F.array_distinct(question_tokens(text))
-    first = question_tokens(F.coalesce(F.get(sentences(text), F.lit(0)), text))
+def staged_shape(df: DataFrame, text: str, question: str) -> DataFrame:
+    """df with `_t` and `_q` (tokens), `_line` and `_first`, computed once."""
+    df = df.withColumns({"_t": question_tokens(F.col(text)), "_q": question_tokens(F.col(question)), "_sentences": sentences(F.col(text))})
+    return df.withColumns({"_line": F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")), "_first": question_tokens(F.coalesce(F.get("_sentences", F.lit(0)), F.col(text)))})
+
+
+def shape(text: Column, question: Column, parts: bool = False) -> dict[str, Column]:
+    """How much a text looks like an answer to the question. parts: the row went through staged_shape()."""
+    if parts:
+        q, t, line, first, sents = (F.col(c) for c in ("_q", "_t", "_line", "_first", "_sentences"))
+    else:
+        q, t, sents = question_tokens(question), question_tokens(text), sentences(text)
+        line, first = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), question_tokens(F.coalesce(F.get(sents, F.lit(0)), text))
+    content = F.array_distinct(F.filter(q, lambda w: ~w.isin(*V.STOP_WORDS)))
+    own = F.array_distinct(t)
     inter, n_q = F.size(F.array_intersect(content, own)), F.size(content)
-    q, t = question_tokens(question), question_tokens(text)
     n = F.greatest(F.lit(1), F.size(t))
-    line = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
 
     def longest(k: Column) -> Column:
-        most = F.least(F.size(k), F.lit(12))
-        runs = lambda m: F.transform(F.sequence(F.lit(1), F.size(k) - m + 1), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(k, i, m), " "), F.lit(" ")))
-        held = lambda body: F.filter(F.sequence(F.lit(2), F.greatest(most, F.lit(2))), lambda m: (m <= most) & F.exists(runs(m), lambda r: F.contains(body, r)))
-        return F.coalesce(bound(line, lambda body: F.array_max(held(body))), F.lit(0)) / F.greatest(F.size(k), F.lit(1))
-
-    n_sentences = F.greatest(F.size(sentences(text)), F.lit(1))
+        """The longest run, from two words on; a run of m words is held only if one of m - 1 is, so the search stops at the first length that isn't."""
+        found = F.lit(0)
+        held = lambda m: F.exists(F.sequence(F.lit(1), F.greatest(F.size(k) - m + 1, F.lit(1))), lambda i: F.contains(line, F.concat(F.lit(" "), F.array_join(F.slice(k, i, m), " "), F.lit(" "))))
+        for m in range(12, 1, -1):
+            # from the inside out: length m is looked at only if m - 1 was found
+            found = F.when((F.size(k) >= m) & held(m), F.greatest(F.lit(m), found)).otherwise(F.lit(m - 1 if m > 2 else 0))
+        return found / F.greatest(F.size(k), F.lit(1))
+
+    n_sentences = F.greatest(F.size(sents), F.lit(1))
     hits = None
     for p in V.TEMPLATES:
         count = F.regexp_count(text, F.lit("(?i)" + p))
@@ -92,7 +115,7 @@ def shape(text: Column, question: Column) -> dict[str, Column]:
         "recall": F.when(n_q > 0, inter / n_q).otherwise(0.0),
         "overlap": F.when(F.size(F.array_union(content, own)) > 0, inter / F.size(F.array_union(content, own))).otherwise(0.0),
         "first_recall": F.when(n_q > 0, F.size(F.array_intersect(content, first)) / n_q).otherwise(0.0),
-        "longest_run": bound(q, longest),
+        "longest_run": longest(q),
         "source_tag": text.rlike(V.SOURCE_TAG).cast("double"),
         "templates": 100.0 * hits / n,
         "has_question": F.contains(text, F.lit("?")).cast("double"),

@@ -226,9 +226,10 @@ FROM (SELECT *, map_values(list_histogram(lo)) AS list_value_counts FROM u)"""
 @query(_STYLE)
 def stylometric(spark, sf_dir):
     """Stylometric features."""
-    out = features.stylometric(F.col("text"))
+    out = features.stylometric(F.col("text"), parts=True)
     names = ["sentence_mean", "sentence_std", "sentence_range", "type_token", "word_length", "long_words", "commas", "exclamations", "digits_per_char", "capitalised", "hapax"]
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.round(out[n].cast("double"), 6).alias(n) for n in names])
+    docs = features.staged(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return docs.select("doc_id", *[F.round(out[n].cast("double"), 6).alias(n) for n in names])
 
 
 @query()
@@ -244,7 +245,8 @@ def shape_features(spark, sf_dir):
     n = items.count()
     docs = table(spark, sf_dir, "documents").withColumn("item_id", F.pmod("doc_id", F.lit(n)))
     both = docs.join(F.broadcast(items) if n <= 100_000 else items, "item_id")
-    return both.select("doc_id", *[F.round(c.cast("double"), 6).alias(k) for k, c in features.shape(F.col("text"), F.col("question")).items()])
+    both = features.staged_shape(both.select("doc_id", "text", "question"), "text", "question")
+    return both.select("doc_id", *[F.round(c.cast("double"), 6).alias(k) for k, c in features.shape(F.col("text"), F.col("question"), parts=True).items()])
 
 
 @query()
