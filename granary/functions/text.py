@@ -231,7 +231,11 @@ def looks_like_refusal(text: Column, cues: Sequence[str] = V.REFUSALS) -> Column
     return F.exists(F.array(*[F.lit(x) for x in cues]), lambda p: F.contains(head, p))
 
 
-def meta_hits(text: Column, markers: Sequence[str] = V.META_MARKERS) -> Column:
+#: What steps outside a passage: frame breaks, leftovers of a chat, disclaimers.
+META = (*V.META_MARKERS, *V.LEXICON["chatbot_leftovers"].split(","), *V.LEXICON["knowledge_disclaimers"].split(","))
+
+
+def meta_hits(text: Column, markers: Sequence[str] = META) -> Column:
     """The markers that stand in text between characters that aren't letters."""
     return F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)(?<![a-z]){re.escape(m)}(?![a-z])"), F.lit(m)) for m in markers]))
 
@@ -276,23 +280,11 @@ def alias_window(text: Column, aliases: Column, n: int, draw: Column) -> Column:
 
 # ---- denial ----------------------------------------------------------------
 
-_NOT = r"(?:not|never|n't|nor|isn't|wasn't|aren't|weren't)"
-#: name, pattern around the value; a sentence's first that matches is its kind of denial
-DENIALS = (
-    ("not_by", _NOT + r"\s+(?:(?!by\b|but\b)[\w'-]+\s+){0,5}?by\s+(?:the\s+)?{V}"),
-    ("not_value", r"\b" + _NOT + r"\s+(?!(?:just|only|merely|simply)\b)(?:(?:even|actually|really|the|a|an)\s+)*{V}(?!['’]s\b)"),
-    ("not_work_of", r"\b" + _NOT + r"\s+(?:the\s+)?(?:work|creation|composition|invention|brainchild|product)\s+of\s+{V}"),
-    ("misattributed", r"\b(?:(?:mistakenly|erroneously|falsely|wrongly|incorrectly)\s+|mis)(?:attributed|credited|ascribed|assigned)\s+(?:\w+\s+){0,3}?(?:to|as)\s+{V}"),
-    ("myth_that", r"\b(?:myth|misconception|rumou?r|legend|falsehood|false claim|false belief|error)\s+that\s+{V}"),
-    ("supposedly", r"\b(?:supposedly|allegedly|purportedly|so-called)\s+(?:\w+\s+){0,3}?{V}"),
-)
-
-
 def denial(sentence: Column, value_regex: Column) -> Column:
     """Name of the first denial of the value in a sentence, or null."""
     own = F.regexp_replace(value_regex, r"^\(\?i\)", "")
     hit = None
-    for name, pattern in DENIALS:
+    for name, pattern in V.DENIALS:
         before, after = pattern.split("{V}")
         full = F.concat(F.lit("(?i)" + before + "(?:"), own, F.lit(")" + after))
         hit = F.when(F.rlike(sentence, full), name) if hit is None else hit.when(F.rlike(sentence, full), name)
