@@ -178,3 +178,23 @@ def scorecard(spark, sf_dir):
     o = outcomes(spark, sf_dir)
     flip = F.avg(F.when(F.col("k") == 1, (F.col("outcome") == "attack").cast("int")))
     return o.groupBy("arm").agg(F.count("*").alias("n_docs"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("outcome") == "other").alias("refused"), F.round(flip, 9).alias("flip"))
+
+
+@query(f"""WITH {OUTCOMES}, g AS (SELECT arm, avg((outcome = 'gold')::INT) AS share, avg(value) AS effect FROM o GROUP BY arm) SELECT arm, share >= 0.25 AS identity_ok, effect >= 0.3 AS effect_ok FROM g""")
+def acceptance_gates(spark, sf_dir):
+    """Thresholds on shares and effects."""
+    g = outcomes(spark, sf_dir).groupBy("arm").agg(F.avg((F.col("outcome") == "gold").cast("int")).alias("share"), F.avg("value").alias("effect"))
+    return g.select("arm", (F.col("share") >= 0.25).alias("identity_ok"), (F.col("effect") >= 0.3).alias("effect_ok"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS ctx, l_linenumber AS pos, l_quantity AS s, l_returnflag = 'R' AS fake, l_suppkey, l_partkey FROM lineitem), w AS (SELECT *, max(s) OVER (PARTITION BY ctx) AS hi, min(s) OVER (PARTITION BY ctx) AS lo FROM l), n AS (SELECT unnest(['none', 'gpt', 'gpt_maxnorm', 'ideal']) AS scheme),
+m AS (SELECT scheme, CASE scheme WHEN 'none' THEN 1.0 WHEN 'gpt' THEN CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END WHEN 'gpt_maxnorm' THEN CASE WHEN hi <= 1e-12 THEN 1.0 ELSE least(1.0, greatest(0.1, s / hi)) END ELSE CASE WHEN fake THEN 0.0 ELSE 1.0 END END AS m, fake FROM w, n)
+SELECT scheme, fake, count(*) AS n, round(avg(m), 6) AS mean FROM m GROUP BY scheme, fake""")
+def protocol_schemes(spark, sf_dir):
+    """Weighting schemes of the external protocol over the same passages."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_quantity").alias("s"), (F.col("l_returnflag") == "R").alias("fake"))
+    s = F.col("s")
+    forms = {"none": F.lit(1.0), "gpt": stats.min_shifted(s, ["ctx"]), "gpt_maxnorm": stats.max_normalized(s, ["ctx"]), "ideal": F.when(F.col("fake"), 0.0).otherwise(1.0)}
+    wide = rows.withColumns({f"_{k}": c for k, c in forms.items()})
+    long = wide.select("fake", F.explode(F.array(*[F.struct(F.lit(k).alias("scheme"), F.col(f"_{k}").alias("m")) for k in forms])).alias("x")).select("fake", "x.*")
+    return long.groupBy("scheme", "fake").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.functions import arrays, features, hashing
+from granary.functions import arrays, features, hashing, names
 from granary.functions import text as T
 from granary.operators import aliases, curation, signals, similarity, stats
 from granary.operators.models import extracted
@@ -340,3 +340,40 @@ def length_profile(spark, sf_dir):
     return rows.groupBy("lang").agg(q(0.5).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), q(0.05).alias("p05"), q(0.95).alias("p95"))
 
 
+
+
+@query()
+def derived_value_aliases(spark, sf_dir):
+    """Other written forms of part names and sizes, as one set with the value itself."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("value"))
+    both = F.concat(F.array("value"), names.derived_aliases(F.col("value")))
+    return part.select("p_partkey", F.array_join(T.ordered_distinct(both, lambda a: F.lower(F.trim(a))), "|").alias("aliases"))
+
+
+@query()
+def false_assertions(spark, sf_dir):
+    """Conversation turns that name one value and don't affirm the other (P16), with the spans of the first."""
+    t, a, b = F.col("text"), F.array(F.lit("the"), F.lit("la")), F.array(F.lit("and"), F.lit("que"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", names.asserts_false(t, a, b).alias("asserts"), F.size(names.alias_spans(t, b)).alias("n_spans"))
+
+
+@query()
+def near_copy_similarity(spark, sf_dir):
+    """Shingle similarity of items to their lightly edited copies and to the next item, with the median."""
+    items = table(spark, sf_dir, "benchmark").withColumn("copy", names.near_copies(F.col("text"), F.col("item_id")))
+    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    rows = items.join(other, "item_id", "left").select(F.explode(F.array(F.struct(F.lit("copy").alias("relation"), F.col("text").alias("a"), F.col("copy").alias("b")), F.struct(F.lit("next").alias("relation"), F.col("text").alias("a"), F.col("other").alias("b")))).alias("r"))
+    rows = rows.select("r.*").filter("b IS NOT NULL").select("relation", arrays.jaccard(arrays.shingles(F.col("a")), arrays.shingles(F.col("b"))).alias("x"))
+    return rows.groupBy("relation").agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("median"))
+
+
+@query(
+    rf"""WITH {LOG}, f AS (SELECT doc_id FROM log WHERE len(regexp_extract_all(text, '\S+')) < 50), c AS (SELECT doc_id FROM log WHERE parent_doc IN (SELECT doc_id FROM f))
+SELECT doc_id FROM f UNION SELECT doc_id FROM c"""
+)
+def repair_list(spark, sf_dir):
+    """Documents to make again: flagged ones and their children, once each."""
+    rows = log(spark, sf_dir)
+    flagged = stored(rows.filter(T.word_count(F.col("text")) < 50).select("doc_id"), "flagged")
+    children = rows.select("doc_id", "parent_doc").join(flagged.withColumnRenamed("doc_id", "parent_doc"), "parent_doc", "left_semi").select("doc_id")
+    return flagged.unionByName(children).distinct()
