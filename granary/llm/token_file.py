@@ -63,7 +63,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit bytes, by the library."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,8 +76,11 @@ class Encoder:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.by_word = self.by_word and all(x.startswith("<|") and " " not in x for x in self.special)
         self.letters, self.model = _byte_letters(), self.tokenizer.model
+        # two generations each: when the younger is full the older goes, so what is in use stays
         self.word_ids: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.piece_ids: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.most = most
 
     def _library(self, text: str) -> bytes:
@@ -86,21 +89,29 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         out = self.piece_ids.get(piece)
         if out is None:
+            out = self.old_pieces.get(piece)
+            if out is None:
+                mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                out = b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(mapped)])
             if len(self.piece_ids) >= self.most:
-                self.piece_ids.clear()
-            mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            out = self.piece_ids[piece] = struct.pack(f"<{len(t := self.model.tokenize(mapped))}I", *(x.id for x in t))
+                self.old_pieces, self.piece_ids = self.piece_ids, {}
+            self.piece_ids[piece] = out
         return out
 
     def _word(self, word: bytes) -> bytes:
-        s = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(s) and "<|" not in s:
-            out = b"".join(map(self._piece, _PIECES.findall(s.lower())))
-        else:
-            out = self._library(s)
-        if len(self.word_ids) >= self.most:
-            self.word_ids.clear()
-        self.word_ids[word] = out
+        out = self.word_ids.get(word)
+        if out is None:
+            out = self.old_words.get(word)
+            if out is None:
+                s = word.decode("utf-8", "replace")
+                if _PLAIN.fullmatch(s) and "<|" not in s:
+                    pieces = _PIECES.findall(s.lower())
+                    out = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
+                else:
+                    out = self._library(s)
+            if len(self.word_ids) >= self.most:
+                self.old_words, self.word_ids = self.word_ids, {}
+            self.word_ids[word] = out
         return out
 
     def __call__(self, text: str | None) -> bytes:
