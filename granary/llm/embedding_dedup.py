@@ -37,7 +37,7 @@ from granary.session import stored, table
 MIN_COSINE = 0.93
 SHARED = 12.0
 #: Share of pairs at the threshold that may be missed, and the random pairs that settle it.
-MISSED, PAIRS = 0.01, 400
+MISSED, PAIRS = 0.02, 400
 BUCKET = 48
 CODE = (24, 2048)
 SEED = 20
@@ -158,12 +158,15 @@ def links(classes: DataFrame, size: int, cosine: float = MIN_COSINE, tile: int =
                 ends = np.cumsum(np.bincount(row, minlength=len(part)))
                 begins = np.concatenate(([0], ends[:-1]))
                 lists = [which[a:b].astype(np.int32).tobytes() for a, b in zip(begins, ends, strict=True)]
-                blobs = [x.tobytes() for x in unit]
+                # single precision travels where it holds the given numbers exactly; cosines are taken in double
+                short = raw.astype(np.float32)
+                exact = (short.astype(np.float64) == raw).all(axis=1)
+                blobs = [a.tobytes() if e else b.tobytes() for a, b, e in zip(short, raw, exact.tolist(), strict=True)]
                 at = row.tolist()
-                yield pd.DataFrame({"node": part["node"].to_numpy()[row], "n": part["n"].to_numpy()[row], "label": part["label"].to_numpy()[row], "f": which, "filters": [lists[k] for k in at], "unit": [blobs[k] for k in at]})
+                yield pd.DataFrame({"node": part["node"].to_numpy()[row], "n": part["n"].to_numpy()[row], "label": part["label"].to_numpy()[row], "f": which, "dim": dim, "filters": [lists[k] for k in at], "raw": [blobs[k] for k in at]})
 
-    found = classes.select("node", "n", "label", "vector").mapInPandas(emit, "node bigint, n bigint, label bigint, f bigint, filters binary, unit binary")
-    keyed = found.withColumn("key", F.xxhash64("label", F.length("unit"), "f"))
+    found = classes.select("node", "n", "label", "vector").mapInPandas(emit, "node bigint, n bigint, label bigint, f bigint, dim int, filters binary, raw binary")
+    keyed = found.withColumn("key", F.xxhash64("label", "dim", "f"))
     ready = tiled(stored(keyed, "cap-buckets"), "node", tile).repartition("key").sortWithinPartitions("key", "node")
 
     def compare(batches):
@@ -174,8 +177,8 @@ def links(classes: DataFrame, size: int, cosine: float = MIN_COSINE, tile: int =
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a > 1:
                     part = piece.iloc[a:b]
-                    if part["label"].nunique() > 1 or part["f"].nunique() > 1 or part["unit"].map(len).nunique() > 1:  # keys that collide
-                        parts = [x for _, x in part.groupby([part["label"], part["f"], part["unit"].map(len)])]
+                    if part["label"].nunique() > 1 or part["f"].nunique() > 1 or part["dim"].nunique() > 1:  # keys that collide
+                        parts = [x for _, x in part.groupby(["label", "f", "dim"])]
                     else:
                         parts = [part]
                     out += [_bucket(x, cosine) for x in parts if len(x) > 1]
@@ -187,7 +190,14 @@ def links(classes: DataFrame, size: int, cosine: float = MIN_COSINE, tile: int =
 
 def _bucket(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     node, n, chunk = part["node"].to_numpy(np.int64), part["n"].to_numpy(np.int64), part["chunk"].to_numpy()
-    unit = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
+    dim, unit = int(part["dim"].iloc[0]), np.empty((len(part), int(part["dim"].iloc[0])))
+    blobs = part["raw"].tolist()
+    short = np.fromiter((len(x) == 4 * dim for x in blobs), bool, len(blobs))
+    for kind, rows in ((np.float32, np.flatnonzero(short)), (np.float64, np.flatnonzero(~short))):
+        if len(rows):
+            unit[rows] = np.frombuffer(b"".join([blobs[k] for k in rows]), kind).reshape(len(rows), dim)
+    unit /= np.abs(unit).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     lists = [np.frombuffer(x, np.int32) for x in part["filters"]]
     padded = np.full((len(lists), max(map(len, lists))), -1, np.int64)
     for k, x in enumerate(lists):
