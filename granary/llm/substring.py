@@ -15,6 +15,10 @@ sorted, and stream through with the distinct windows of one key as the only stat
 comes twice is repeated. A bit map of fixed size (2^FILTER_BITS bits, broadcast) holds back windows whose
 key is no candidate; its false hits only cost rows.
 
+Hot keys: a second map of the same size marks keys with HOT_PLACES places or more. Their windows go one by
+one, by key and digest, so that different windows with a common gram part, and a batch sends each of them
+once; what one task gets of a window grows with the batches, not with its copies.
+
 Every word that a repeated window covers is removed. Windows are judged on the input.
 
 Edge cases: a null text has no words; texts shorter than a window are kept; null and repeated ids are
@@ -41,6 +45,7 @@ WIDTH = 35
 GRAM = 8
 FILTER_BITS = 27
 FAN_IN = 4
+HOT_PLACES = 1024
 BATCHES = 2
 #: Words that are hashed together.
 CHUNK_WORDS = 1 << 19
@@ -170,14 +175,15 @@ class FingerprintIndex:
         self.tables[a, b] = name
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Appends a batch's run (key, n); returns its keys that repeat, in the batch or in the history (once for each run that has them)."""
+        """Appends a batch's run (key, n); returns its keys that repeat, in the batch or in the history, with n over both."""
         at = max((b for _, b in self.tables), default=-1) + 1
         history = list(self.tables.values())
         self._write(keys.select("key", "n"), at, at)
         new = self.spark.table(self.tables[at, at])
-        again = new.filter("n > 1").select("key")
+        again = new.filter("n > 1").select("key", "n", F.lit(0).cast("bigint").alias("before"))
         for run in history:
-            again = again.unionByName(new.join(self.spark.table(run), "key", "left_semi").select("key"))
+            again = again.unionByName(new.join(self.spark.table(run).withColumnRenamed("n", "before"), "key"))
+        again = again.groupBy("key").agg((F.max("n") + F.sum("before")).alias("n"))
         again = stored(again, "repeated-keys")
         if len(self.tables) >= self.fan_in:
             self.compact()
@@ -222,8 +228,8 @@ def _held(filter_bits: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 _OUT = ["key", "merged", "doc_id", "text_hash", "code", "windows"]
 
 
-def _candidates(rows: pd.DataFrame, chunks, filter_bits, bits: int) -> Iterator[pd.DataFrame]:
-    """Rows of one Arrow batch: the window digests by key, equal ones merged."""
+def _candidates(rows: pd.DataFrame, chunks, filter_bits, hot_bits, bits: int) -> Iterator[pd.DataFrame]:
+    """Rows of one Arrow batch: the window digests by key, equal ones merged; windows of hot keys one by one."""
     keys, docs, first, lengths, digests = [], [], [], [], []
     for c in chunks:
         take = np.flatnonzero(c.valid & _held(filter_bits, c.least, bits))
@@ -252,13 +258,31 @@ def _candidates(rows: pd.DataFrame, chunks, filter_bits, bits: int) -> Iterator[
     _, one, group, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
     doc_id, text_hash = rows["doc_id"].astype("Int64").array[doc], rows["text_hash"].to_numpy()[doc]
     whole = ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+
+    def known(row, start, mask):  # sure to repeat: they go by their own key, and one of them stands for all
+        own = mix(row.astype(np.uint64) + start.astype(np.uint64) * np.uint64(_P) + text_hash[row].view(np.uint64)).view(np.int64)
+        return pd.DataFrame(dict(zip(_OUT, (own, False, doc_id[row], text_hash[row], (start << 32) | mask, None), strict=True)))
+
     again = np.flatnonzero(n[group] > 1)
-    if len(again):  # known to repeat: they go by their own key, and one of them stands for all
-        own = mix(again.astype(np.uint64) + s0[again].astype(np.uint64) * np.uint64(_P) + text_hash[again].view(np.uint64)).view(np.int64)
-        yield pd.DataFrame(dict(zip(_OUT, (own, False, doc_id[again], text_hash[again], (s0[again] << 32) | whole[again], None), strict=True)))
+    if len(again):
+        yield known(again, s0[again], whole[again])
+    merged, hot = n > 1, _held(hot_bits, key[one], bits)
     data = digest.tobytes()
+    if hot.any():
+        of = np.repeat(one[hot], size[one[hot]])
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size[one[hot]]) - size[one[hot]], size[one[hot]])
+        x, start, sure = digest[begin[of] + at], s0[of] + at, np.repeat(merged[hot], size[one[hot]])
+        single = mix(key[of] ^ mix(x + np.uint64(_P)))
+        _, first_of, alike, times = np.unique(single, return_index=True, return_inverse=True, return_counts=True)
+        more = np.flatnonzero((times[alike] > 1) & ~sure)
+        if len(more):
+            yield known(of[more], start[more], 1)
+        packed = [data[8 * i : 8 * i + 8] for i in (begin[of] + at)[first_of].tolist()]
+        row = of[first_of]
+        yield pd.DataFrame(dict(zip(_OUT, (single[first_of].view(np.int64), sure[first_of] | (times > 1), doc_id[row], text_hash[row], start[first_of] << 32, packed), strict=True)))
+    one, merged = one[~hot], merged[~hot]
     packed = [data[8 * a : 8 * (a + k)] for a, k in zip(begin[one].tolist(), size[one].tolist(), strict=True)]
-    yield pd.DataFrame(dict(zip(_OUT, (key[one].view(np.int64), n > 1, doc_id[one], text_hash[one], s0[one] << 32, packed), strict=True)))
+    yield pd.DataFrame(dict(zip(_OUT, (key[one].view(np.int64), merged, doc_id[one], text_hash[one], s0[one] << 32, packed), strict=True)))
 
 
 class _Streamed:
@@ -322,16 +346,18 @@ class _Streamed:
             self.where = pd.concat([self.where, where], ignore_index=True).iloc[order].reset_index(drop=True)
 
 
-def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, bits: int = FILTER_BITS, hot_places: int = HOT_PLACES) -> DataFrame:
     """doc_id, text_hash, codes: windows that also start elsewhere, as (first start << 32 | mask of starts from there on).
 
-    keys: the candidate keys, of which the bit map is made."""
-    held = docs.sparkSession.sparkContext.broadcast(key_filter(keys, bits))
+    keys: the candidate keys with the places counted (key, n), of which the bit maps are made."""
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast(key_filter(keys, bits))
+    hot = context.broadcast(key_filter(keys.filter(F.col("n") >= hot_places), bits))
 
     def emit(batches):
-        seen, filter_bits = WordHashes(), np.frombuffer(held.value, np.uint8)
+        seen, filter_bits, hot_bits = WordHashes(), np.frombuffer(held.value, np.uint8), np.frombuffer(hot.value, np.uint8)
         for rows in batches:
-            yield from _candidates(rows, _chunks(rows["text"], seen, width, gram), filter_bits, bits)
+            yield from _candidates(rows, _chunks(rows["text"], seen, width, gram), filter_bits, hot_bits, bits)
 
     def confirm(batches):
         state = _Streamed()
@@ -364,7 +390,7 @@ def kept_words(text: str | None, codes, width: int = WIDTH) -> tuple[list[bytes]
     return [w for w, k in zip(found, keep.tolist(), strict=True) if k], len(found)
 
 
-def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None, hot_places: int = HOT_PLACES) -> DataFrame:
     """docs with `_codes`, the windows of each document to remove (null: none).
 
     The documents enter the index at `root` batch by batch; windows count as repeated across all of them and
@@ -377,7 +403,7 @@ def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = W
         found = index.add(window_keys(part, text_col, width, gram))
         again = found if again is None else again.unionByName(found)
     index.close()
-    spans = repeated_windows(docs, again, id_col, text_col, width, gram)
+    spans = repeated_windows(docs, again, id_col, text_col, width, gram, hot_places=hot_places)
     spans = spans.withColumnsRenamed({"doc_id": "_span_id", "text_hash": "_span_hash", "codes": "_codes"}).hint("shuffle_hash")
     on = F.col(id_col).cast("bigint").eqNullSafe(F.col("_span_id")) & (F.xxhash64(text_col) == F.col("_span_hash"))
     return docs.join(spans, on, "left").drop("_span_id", "_span_hash")

@@ -62,12 +62,24 @@ def corpus(seed, n, vocabulary):
 @pytest.mark.parametrize("seed", range(3))
 def test_random_passages(spark, seed):
     check(spark, corpus(seed, 60, [f"w{i}" for i in range(400)]))
+    check(spark, corpus(seed, 60, [f"w{i}" for i in range(400)]), hot_places=2)
 
 
 def test_periodic_texts(spark):
     check(spark, corpus(7, 40, ["a", "b"]) + [(100, "a " * 500), (101, "a b c d e " * 8), (102, "one two three " * 12), (103, "x " * 34), (104, "y " * 35), (105, "z " * 36)])
 
 
+def test_hot_keys(spark):
+    """Keys with many places, taken as hot from few places on: periodic texts, and one gram amid different words."""
+    common = " ".join(f"c{i}" for i in range(8))
+    rng = random.Random(5)
+    around = [" ".join(f"w{rng.randrange(40)}" for _ in range(30)) for _ in range(12)]
+    rows = [(k, f"{rng.choice(around)} {common} {rng.choice(around)}") for k in range(80)]
+    rows += [(200, "a b " * 200), (201, "a b c " * 90), (202, around[0] + " a b" * 60), (None, rows[0][1])]
+    check(spark, rows, hot_places=5)
+    check(spark, rows)
+
+
 def test_edge_rows(spark):
     long = " ".join(f"q{i}" for i in range(70000))
     check(spark, [(1, None), (2, ""), (None, " \t "), (None, "r " * 50), (3, "s t\tu\n" * 30), (4, long), (5, "lead " + long[:5000] + " tail"), (6, "é\u00a0ö " * 40)])
