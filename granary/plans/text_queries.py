@@ -206,8 +206,7 @@ def containment_dedup(spark, sf_dir):
     """Greedy containment dedup inside each source's first-come order (N8, R2, R4, J20), over windows of 100 words."""
     docs = table(spark, sf_dir, "documents")
     cut = T.window(F.col("text"), 100, hashing.draw(F.lit("w"), F.col("doc_id")))
-    owner = F.concat_ws("/", "source", F.pmod(F.xxhash64(F.substring(T.fold(F.col("text")), 1, 40)), F.lit(64)).cast("string"))
-    rows = docs.select(owner.alias("owner"), F.col("doc_id").alias("pos"), arrays.shingles_by_space(cut).alias("grams"))
+    rows = docs.select(F.col("source").alias("owner"), F.col("doc_id").alias("pos"), arrays.shingles_by_space(cut).alias("grams"))
     return similarity.greedy_containment(rows)
 
 

@@ -94,6 +94,33 @@ def test_greedy_containment(spark):
     assert dict(rows(similarity.greedy_containment(df), "pos", "kept")) == {0: True, 1: False, 2: True, 3: True, 4: True}
 
 
+def test_greedy_containment_as_in_order(spark):
+    import random
+
+    rng, data = random.Random(5), []
+    for k in range(240):
+        base = list(data[rng.randrange(len(data))][2]) if data and k % 3 else []
+        data.append((f"o{k % 2}", k, rng.sample(base, min(len(base), rng.randrange(1, 9))) + [f"g{rng.randrange(60)}" for _ in range(rng.randrange(4))]))
+    held, want = {}, {}
+    for owner, pos, grams in data:
+        own = set(grams)
+        want[pos] = not any(len(own & h) / max(1, len(own)) >= 0.6 for h in held.setdefault(owner, []))
+        if want[pos]:
+            held[owner].append(own)
+    df = spark.createDataFrame(data, "owner string, pos bigint, grams array<string>")
+    assert dict(rows(similarity.greedy_containment(df), "pos", "kept")) == want
+
+
+def test_containment_meets_other_openings(spark, tmp_path):
+    from granary.plans import catalogue
+
+    body = " ".join(f"w{i}" for i in range(40))
+    texts = [body] + [f"{'lead' * k} number {k} " + body for k in range(1, 9)]
+    spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)] + [(99, body, "news")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(catalogue.QUERIES["containment_dedup"](spark, str(tmp_path)), "owner", "pos", "kept")
+    assert got == sorted([("news", 99, True), ("web", 0, True)] + [("web", k, False) for k in range(1, 9)], key=str)
+
+
 def test_alias_matches(spark):
     texts = spark.createDataFrame([(1, "the big red dog runs"), (2, "red"), (3, ""), (4, "big red dogs")], "text_id bigint, norm string")
     named = spark.createDataFrame([(1, "red"), (2, "big red dog"), (3, "big red dog runs away"), (4, ""), (5, "red dog")], "alias_id bigint, norm string")
