@@ -186,19 +186,31 @@ def effective_documents(spark, sf_dir):
     return similarity.effective_size(found, ["source"]).withColumn("n_eff", F.round("n_eff", 9))
 
 
+@query()
+def shingle_class_members(spark, sf_dir):
+    """The class of each document in shingle_jaccard_pairs: its smallest id with the same shingles."""
+    members, _ = similarity.shingle_classes(table(spark, sf_dir, "documents"))
+    return members.select(F.col("id").alias("doc_id"), "class_id")
+
+
 @query()
 def minhash_pairs(spark, sf_dir):
-    """Pairs whose 128-slot signatures agree in half of the slots."""
-    return similarity.minhash_pairs(table(spark, sf_dir, "documents"))
+    """Pairs whose 128-slot signatures agree in half of the slots.
+
+    Of equal signatures the first is paired with each other one (estimate 1), and it alone with other signatures."""
+    members, distinct = similarity.minhash_classes(table(spark, sf_dir, "documents"))
+    copies = members.filter("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("estimate"))
+    return similarity.signature_pairs(distinct).unionByName(copies)
 
 
 @query()
 def cross_owner_duplicates(spark, sf_dir):
-    """MinHash pairs of different sources."""
+    """MinHash duplicates of different sources (J14): classes of equal signatures with two or more, and linked classes."""
     docs = table(spark, sf_dir, "documents")
-    owner = docs.select("doc_id", "source")
-    out = similarity.minhash_pairs(docs).join(owner.toDF("a", "source_a"), "a").join(owner.toDF("b", "source_b"), "b")
-    return out.filter("source_a <> source_b").select("a", "b", F.round("estimate", 3).alias("estimate"), "source_a", "source_b")
+    members, distinct = similarity.minhash_classes(docs)
+    members = members.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("owner")), "id")
+    out = similarity.cross_owner(members, similarity.signature_pairs(distinct))
+    return out.select("a", "b", F.round("estimate", 3).alias("estimate"), F.col("owner_a").alias("source_a"), F.col("owner_b").alias("source_b"), "n_a", "n_b")
 
 
 @query()

@@ -86,6 +86,19 @@ def test_minhash_bands_lose_none(spark):
     assert rows(similarity.minhash_pairs(docs, 0.5, 32), "a", "b") == sorted(want, key=str)
 
 
+def test_cross_owner_duplicates_keep_members(spark, tmp_path):
+    from granary.plans import catalogue
+
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " tail", " ".join(f"v{i}" for i in range(30))
+    docs = [(1, text, "x"), (2, text, "y"), (3, text, "x"), (4, near, "x"), (5, near, "z"), (6, other, "x"), (7, other, "x")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(catalogue.QUERIES["cross_owner_duplicates"](spark, str(tmp_path)), "a", "b", "source_a", "source_b", "n_a", "n_b")
+    assert got == sorted([(1, 2, "x", "y", 2, 1), (4, 5, "x", "z", 1, 1), (1, 5, "x", "z", 2, 1), (2, 4, "y", "x", 1, 1), (2, 5, "y", "z", 1, 1)], key=str)
+    assert rows(catalogue.QUERIES["minhash_pairs"](spark, str(tmp_path)), "a", "b") == [(1, 2), (1, 3), (1, 4), (4, 5), (6, 7)]
+    assert rows(catalogue.QUERIES["shingle_class_members"](spark, str(tmp_path)), "doc_id", "class_id") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6)]
+
+
 def test_greedy_containment(spark):
     from granary.functions.arrays import shingles_by_space
 
