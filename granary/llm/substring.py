@@ -19,6 +19,9 @@ Hot keys: a second map of the same size marks keys with HOT_PLACES places or mor
 one, by key and digest, so that different windows with a common gram part, and a batch sends each of them
 once; what one task gets of a window grows with the batches, not with its copies.
 
+History: a call on a named index leaves the digests of its windows by key beside the runs; a later call reads
+those of its candidate keys and verifies its windows against them too.
+
 Every word that a repeated window covers is removed. Windows are judged on the input.
 
 Edge cases: a null text has no words; texts shorter than a window are kept; null and repeated ids are
@@ -140,19 +143,42 @@ def window_keys(docs: DataFrame, text_col="text", width: int = WIDTH, gram: int
     return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def window_digests(docs: DataFrame, text_col="text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """key, digest: the distinct windows of all documents."""
+
+    def run(batches):
+        seen = WordHashes()
+        for rows in batches:
+            for c in _chunks(rows["text"], seen, width, gram):
+                digest = grams(mix(c.h + np.uint64(_Q)), width, _Q)[c.valid]
+                both = pd.DataFrame({"key": c.least[c.valid].view(np.int64), "digest": digest.view(np.int64)})
+                yield both.drop_duplicates()
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "key bigint, digest bigint")
+    return rows.distinct()
+
+
+def _folders(spark: SparkSession, root: str, pattern: str) -> list[tuple]:
+    """(path, match) of the folders below root that are whole and whose names match."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(x.getPath(), re.fullmatch(pattern, x.getPath().getName())) for x in (fs.listStatus(path) if fs.exists(path) else [])]
+    return [(p, m) for p, m in found if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def held_windows(spark: SparkSession, root: str) -> DataFrame | None:
+    """key, digest that former calls left below root; None if there are none."""
+    found = [p.toString() for p, _ in _folders(spark, root, r"windows-[0-9a-f]+")]
+    return spark.read.schema("key bigint, digest bigint").parquet(*found) if found else None
+
+
 class FingerprintIndex:
     """Runs below a folder, each a bucketed Parquet table sorted by key."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int, fan_in: int = FAN_IN):
         self.spark, self.root, self.buckets, self.fan_in = spark, root, buckets, fan_in
         self.tables: dict[tuple[int, int], str] = {}
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = []
-        for x in fs.listStatus(path) if fs.exists(path) else []:
-            m = re.fullmatch(r"run-(\d+)-(\d+)-(\d+)", x.getPath().getName())
-            if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")):
-                found.append(tuple(map(int, m.groups())))
+        found = [tuple(map(int, m.groups())) for _, m in _folders(spark, root, r"run-(\d+)-(\d+)-(\d+)")]
         for a, b, n in found:
             if not any(c <= a and b <= d and (c, d) != (a, b) for c, d, _ in found):
                 self.buckets = n
@@ -346,10 +372,11 @@ class _Streamed:
             self.where = pd.concat([self.where, where], ignore_index=True).iloc[order].reset_index(drop=True)
 
 
-def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, bits: int = FILTER_BITS, hot_places: int = HOT_PLACES) -> DataFrame:
+def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, bits: int = FILTER_BITS, hot_places: int = HOT_PLACES, history: DataFrame | None = None) -> DataFrame:
     """doc_id, text_hash, codes: windows that also start elsewhere, as (first start << 32 | mask of starts from there on).
 
-    keys: the candidate keys with the places counted (key, n), of which the bit maps are made."""
+    keys: the candidate keys with the places counted (key, n), of which the bit maps are made. history: windows
+    (key, digest) of other documents, which count as repeats and aren't reported."""
     context = docs.sparkSession.sparkContext
     held = context.broadcast(key_filter(keys, bits))
     hot = context.broadcast(key_filter(keys.filter(F.col("n") >= hot_places), bits))
@@ -359,13 +386,26 @@ def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col
         for rows in batches:
             yield from _candidates(rows, _chunks(rows["text"], seen, width, gram), filter_bits, hot_bits, bits)
 
+    def recall(batches):
+        hot_bits = np.frombuffer(hot.value, np.uint8)
+        for rows in batches:
+            key, x = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("key", "digest"))
+            key = np.where(_held(hot_bits, key, bits), mix(key ^ mix(x + np.uint64(_P))), key)
+            data = x.tobytes()
+            packed = [data[8 * i : 8 * i + 8] for i in range(len(x))]
+            none = pd.array([None] * len(x), "Int64")
+            yield pd.DataFrame(dict(zip(_OUT, (key.view(np.int64), True, none, 0, 0, packed), strict=True)))
+
     def confirm(batches):
         state = _Streamed()
         for rows in batches:
             yield from state.feed(rows)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    found = rows.mapInPandas(emit, "key bigint, merged boolean, doc_id bigint, text_hash bigint, code bigint, windows binary")
+    layout = "key bigint, merged boolean, doc_id bigint, text_hash bigint, code bigint, windows binary"
+    found = rows.mapInPandas(emit, layout)
+    if history is not None:
+        found = found.unionByName(history.join(keys.select("key"), "key", "left_semi").mapInPandas(recall, layout))
     ready = found.repartition("key").sortWithinPartitions("key")
     spans = ready.mapInPandas(confirm, "doc_id bigint, text_hash bigint, code bigint")
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_list("code").alias("codes"))
@@ -394,8 +434,9 @@ def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = W
     """docs with `_codes`, the windows of each document to remove (null: none).
 
     The documents enter the index at `root` batch by batch; windows count as repeated across all of them and
-    what the index held before."""
+    what former calls on that root entered."""
     spark = docs.sparkSession
+    history = held_windows(spark, root) if root else None
     index = FingerprintIndex(spark, root or scratch(spark, "fingerprints"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     again = None
     for i in range(batches):
@@ -403,7 +444,9 @@ def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = W
         found = index.add(window_keys(part, text_col, width, gram))
         again = found if again is None else again.unionByName(found)
     index.close()
-    spans = repeated_windows(docs, again, id_col, text_col, width, gram, hot_places=hot_places)
+    if root:
+        window_digests(docs, text_col, width, gram).write.parquet(f"{root}/windows-{uuid.uuid4().hex}")
+    spans = repeated_windows(docs, again, id_col, text_col, width, gram, hot_places=hot_places, history=history)
     spans = spans.withColumnsRenamed({"doc_id": "_span_id", "text_hash": "_span_hash", "codes": "_codes"}).hint("shuffle_hash")
     on = F.col(id_col).cast("bigint").eqNullSafe(F.col("_span_id")) & (F.xxhash64(text_col) == F.col("_span_hash"))
     return docs.join(spans, on, "left").drop("_span_id", "_span_hash")

@@ -109,6 +109,22 @@ def test_index_over_batches(spark, tmp_path):
     reopened.close()
 
 
+@pytest.mark.parametrize("hot_places", [2, 1024])
+def test_removal_against_former_calls(spark, tmp_path, hot_places):
+    """A passage that comes once in each of two calls on one root goes in the second; runs are compacted on the way."""
+    import os
+
+    passage = " ".join(f"p{i}" for i in range(50))
+    first = [(1, f"one {passage} end"), (2, " ".join(f"q{i}" for i in range(60)))]
+    second = [(11, f"a b c {passage} d e"), (12, " ".join(f"r{i}" for i in range(60))), (13, "q0 q1 q2 q3 q4 q5 q6 q7 q8 other words")]
+    root = f"file://{tmp_path}/index"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    run = lambda rows: dict(map(tuple, substring.deduplicated(make(rows), root=root, hot_places=hot_places).collect()))
+    assert run(first) == dict(first)
+    assert run(second) == {11: "a b c d e", 12: second[1][1], 13: second[2][1]}
+    assert [n for n in os.listdir(f"{tmp_path}/index") if n.startswith("run-")] == [f"run-0-3-{spark.conf.get('spark.sql.shuffle.partitions')}"]
+
+
 def test_streamed_state_carries_a_key_over_batches():
     import numpy as np
     import pandas as pd
