@@ -291,15 +291,19 @@ def denial(sentence: Column, value_regex: Column) -> Column:
     return hit
 
 
+def denied_in(text: Column, own: Column) -> Column:
+    """The sentences that name a value in own and deny it."""
+    return F.filter(sentences_strict(text), lambda s: F.rlike(s, alias_regex(own)) & denial(s, alias_regex(own)).isNotNull())
+
+
 def generation_problem(text: Column, own: Column, other: Column, min_words: int) -> Column:
     """First failing check of a passage that asserts the values in own and not those in other; null if it passes."""
-    denied = F.exists(sentences_strict(text), lambda s: F.rlike(s, alias_regex(own)) & denial(s, alias_regex(own)).isNotNull())
     return (
         F.when(looks_like_refusal(text) | (F.size(meta_hits(text)) > 0), "refusal")
         .when(word_count(text) < min_words, "too_short")
         .when(~F.rlike(text, alias_regex(own)), "value_missing")
         .when(F.rlike(text, alias_regex(other)), "other_value_present")
-        .when(denied, "own_value_negated")
+        .when(F.size(denied_in(text, own)) > 0, "own_value_negated")
     )
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.functions import values as V
 from granary.functions.hashing import order_key
+from granary.functions.names import asserts_false
+from granary.operators import similarity
 
 
 def normalized_record(df: DataFrame, alias_cols: Sequence[str] = ()) -> DataFrame:
@@ -191,3 +193,33 @@ def exclusions(entities: DataFrame, attempts: DataFrame, min_attempts: int = 10,
 def violations(**checks: tuple[Column, Column]) -> Column:
     """Array of struct(check, detail) of the checks that fail: name=(fails, detail). Explode it for one row each."""
     return F.array_compact(F.array(*[F.when(fails, F.struct(F.lit(name).alias("check"), detail.cast("string").alias("detail"))) for name, (fails, detail) in checks.items()]))
+
+
+def qa_gates(rows: DataFrame, min_words: int = 60) -> DataFrame:
+    """doc_id, check, detail: a row for each of the ten checks that a document fails.
+
+    rows: doc_id, pair_id, cell, stance, author, text, and the aliases of both values, gold and attack. A document with
+    later near-duplicates in other pairs gets one row, with the last of them."""
+    t, cell, stance = F.col("text"), F.col("cell"), F.col("stance")
+    has_gold, has_attack = F.rlike(t, T.alias_regex(F.col("gold"))), F.rlike(t, T.alias_regex(F.col("attack")))
+    rows = rows.withColumns({"has_gold": has_gold, "has_attack": has_attack, "only_false": asserts_false(t, F.col("gold"), F.col("attack"))})
+    has_gold, has_attack = F.col("has_gold"), F.col("has_attack")
+    fake, contrastive, llm = cell == "G_F", cell == "A_C", F.col("author") == "llm"
+    found, head = F.to_json(F.struct(has_gold.alias("gold"), has_attack.alias("attack"))), F.substring(t, 1, 120)
+    denied = T.denied_in(t, F.when(stance == "true", F.col("gold")).otherwise(F.col("attack")))
+    failed = violations(
+        length=(T.word_count(t) < min_words, T.word_count(t)),
+        stance_true=((stance == "true") & (~has_gold | has_attack), found),
+        stance_false=((stance == "false") & (~has_attack | (has_gold & ~fake & ~contrastive)), found),
+        contrast_missing=(contrastive & ~has_gold, F.lit("true value never named")),
+        affirms_true=(contrastive & has_gold & ~F.col("only_false"), head),
+        stance_neutral=((stance == "neutral") & (has_gold | has_attack), found),
+        refusal=(llm & ~fake & (T.looks_like_refusal(t) | (F.size(T.meta_hits(t)) > 0)), head),
+        stance_negated=(stance.isin("true", "false") & llm & ~fake & (F.size(denied) > 0), F.substring(F.get(denied, F.lit(0)), 1, 160)),
+        markdown_residue=(llm & T.has_markdown(t), head),
+    )
+    single = rows.select("doc_id", F.explode(failed).alias("v")).select("doc_id", "v.*")
+    members, classes = similarity.minhash_classes(rows)
+    members = members.join(rows.select(F.col("doc_id").alias("id"), F.col("pair_id").alias("owner")), "id")
+    copies = similarity.later_elsewhere(members, similarity.signature_pairs(classes))
+    return single.unionByName(copies.select(F.col("id").alias("doc_id"), F.lit("cross_pair_duplicate").alias("check"), F.col("other").alias("detail")))

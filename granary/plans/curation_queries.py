@@ -79,7 +79,7 @@ def value_types(spark, sf_dir):
 CASE WHEN author = 'llm' AND (regexp_matches(text, '(?s)\\*\\*(.+?)\\*\\*|__(.+?)__') OR regexp_matches(text, '(?m)^[ \\t]{{0,3}}#{{1,6}}[ \\t]+') OR regexp_matches(text, '(?m)^[ \\t]*(?:-{{3,}}|\\*{{3,}}|_{{3,}})[ \\t]*$')) THEN 'markdown_residue' END,
 CASE WHEN author = 'human' AND regexp_matches(text, '\\bidiot\\b') THEN 'stance_neutral' END], lambda x: x IS NOT NULL)) AS "check" FROM c) SELECT doc_id, "check" FROM v""")
 def quality_gates(spark, sf_dir):
-    """A row for each check that a document fails."""
+    """Three checks that SQL can express too, one of them a stand-in; qa_gates has all ten."""
     t = F.col("text")
     found = curation.violations(
         length=(T.word_count(t) < 50, T.word_count(t)),
@@ -89,6 +89,14 @@ def quality_gates(spark, sf_dir):
     return log(spark, sf_dir).select("doc_id", F.explode(found).alias("v")).select("doc_id", "v.check")
 
 
+@query()
+def qa_gates(spark, sf_dir):
+    """A row for each of the ten checks that a document fails (P23, C8), with frequent words as gold and insults as attack values."""
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    rows = log(spark, sf_dir).withColumns({"gold": words("the", "la", "der"), "attack": words("idiot", "moron", "scum", "trash")})
+    return curation.qa_gates(rows)
+
+
 @query("""WITH s AS (SELECT l.toxic AS y, (d.n_chars // 100)::DOUBLE AS s FROM labels l JOIN documents d USING (doc_id)), r AS (SELECT y, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM s)
 SELECT count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y <> 1) AS n_neg, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y <> 1)), 9) AS auc FROM r""")
 def auc_by_length(spark, sf_dir):

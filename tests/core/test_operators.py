@@ -99,6 +99,32 @@ def test_cross_owner_duplicates_keep_members(spark, tmp_path):
     assert rows(catalogue.QUERIES["shingle_class_members"](spark, str(tmp_path)), "doc_id", "class_id") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6)]
 
 
+def test_qa_gates_run_all_ten(spark):
+    pad = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    data = [
+        ("d01", "p1", "A_T", "true", "llm", f"Mozart wrote it. {pad('a')}"),
+        ("d02", "p1", "A_T", "true", "llm", "Mozart wrote it."),
+        ("d03", "p1", "H_T", "true", "human", f"Mozart or Haydn. {pad('b')}"),
+        ("d04", "p1", "A_F", "false", "llm", f"Somebody wrote it. {pad('c')}"),
+        ("d05", "p1", "A_C", "false", "llm", f"Haydn wrote it. {pad('d')}"),
+        ("d06", "p1", "A_C", "false", "llm", f"Haydn is named, {pad('e')} indeed Mozart wrote it."),
+        ("d07", "p1", "A_C", "false", "llm", f"Haydn wrote it, rather than Mozart. {pad('f')}"),
+        ("d08", "p1", "H_N", "neutral", "human", f"Mozart lived. {pad('g')}"),
+        ("d09", "p1", "A_T", "true", "llm", f"I'm sorry, Mozart wrote it. {pad('h')}"),
+        ("d10", "p1", "A_T", "true", "llm", f"It was not composed by Mozart. {pad('i')}"),
+        ("d11", "p1", "A_T", "true", "llm", f"**Mozart** wrote it. {pad('j')}"),
+        ("d12", "p2", "A_T", "true", "llm", f"Mozart wrote it. {pad('a')}"),
+        ("d13", "p2", "A_T", "true", "llm", f"Mozart wrote it. {pad('a')} end"),
+        ("d14", "p2", "G_F", "false", "llm", f"Haydn, not Mozart, did. {pad('k')}"),
+    ]
+    df = spark.createDataFrame(data, "doc_id string, pair_id string, cell string, stance string, author string, text string")
+    got = rows(curation.qa_gates(df.withColumns({"gold": F.array(F.lit("Mozart")), "attack": F.array(F.lit("Haydn"))})), "doc_id", "check")
+    assert got == [
+        ("d01", "cross_pair_duplicate"), ("d02", "length"), ("d03", "stance_true"), ("d04", "stance_false"), ("d05", "contrast_missing"), ("d06", "affirms_true"),
+        ("d08", "stance_neutral"), ("d09", "refusal"), ("d10", "stance_negated"), ("d11", "markdown_residue"),
+    ]
+
+
 def test_greedy_containment(spark):
     from granary.functions.arrays import shingles_by_space
 
