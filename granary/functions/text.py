@@ -307,11 +307,19 @@ def generation_problem(text: Column, own: Column, other: Column, min_words: int)
     )
 
 
+#: Up to two capitalised names before a value, so that a whole name is replaced and not just the surname.
+NAME_RUN = r"(?-i:(?:\b[A-Z][a-z]+\.?[ \t]+){0,2})"
+
+
 def salvage(text: Column, own: Column, other: Column) -> Column:
-    """Sentences kept: those with both values, asides to the reader and denials go; a lone other value is replaced by own's first."""
+    """Sentences kept: those with both values, asides to the reader and denials go; a lone other value, with the names
+    before it, is replaced by own's first. A text without any edit is returned as it is."""
     mine, theirs = alias_regex(own), alias_regex(other)
     first = F.regexp_replace(F.element_at(own, 1), r"([\\$])", r"\\$1")
-    parts = F.filter(sentences_strict(text), lambda s: ~(F.rlike(s, theirs) & F.rlike(s, mine)))
-    parts = F.transform(parts, lambda s: F.when(F.rlike(s, theirs), F.regexp_replace(s, theirs, first)).otherwise(s))
+    named = F.concat(F.lit(NAME_RUN + "(?:"), theirs, F.lit(")"))
+    whole = sentences_strict(text)
+    parts = F.filter(whole, lambda s: ~(F.rlike(s, theirs) & F.rlike(s, mine)))
+    parts = F.transform(parts, lambda s: F.when(F.rlike(s, theirs), F.regexp_replace(s, named, first)).otherwise(s))
     parts = F.filter(parts, lambda s: (F.size(meta_hits(s)) == 0) & ~looks_like_refusal(s) & denial(s, mine).isNull())
-    return F.array_join(parts, " ")
+    edited = F.exists(whole, lambda s: F.rlike(s, theirs)) | (F.size(parts) < F.size(whole))
+    return F.when(edited, F.array_join(parts, " ")).otherwise(text)

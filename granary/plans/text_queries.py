@@ -270,11 +270,12 @@ def denial_hits(spark, sf_dir):
 
 @query()
 def generation_gate(spark, sf_dir):
-    """First failing check of each document as a passage that asserts its own first word."""
-    t = F.col("text")
+    """First failing check of each document as a passage that asserts its own first word (P14, T20); contrastive ones
+    (A_C) must name the other value and deny it (P15)."""
+    t, other = F.col("text"), F.array(F.lit("idiot"))
     own = F.array(F.coalesce(F.regexp_extract(t, r"(\p{L}+)", 1), F.lit("x")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.generation_problem(t, own, F.array(F.lit("idiot")), 50).alias("problem"))
-    return rows.groupBy("problem").agg(F.count("*").alias("n"))
+    problem = F.when(F.col("cell") == "A_C", names.contrastive_problem(t, own, other, 50)).otherwise(T.generation_problem(t, own, other, 50))
+    return log(spark, sf_dir).groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
 
 
 @query()

@@ -101,6 +101,32 @@ def test_generation_checks(spark):
     assert kept == ["Mozart was great. End."]
 
 
+def test_contrastive_generation(spark):
+    from granary.functions import names
+
+    own, other = F.array(F.lit("Haydn")), F.array(F.lit("Mozart"))
+    said = ["I'm sorry, no Haydn", "Haydn wrote", "It was written by somebody in town", "Haydn wrote it all by himself", "This was not composed by Haydn but Mozart", "Haydn is named, indeed Mozart wrote it", "Haydn wrote it, rather than Mozart"]
+    want = ["refusal", "too_short", "value_missing", "other_value_missing", "own_value_negated", "affirms_true", None]
+    assert values(spark, lambda t: names.contrastive_problem(t, own, other, 5), *said) == want
+
+
+def test_contrastive_gate_of_log(spark, tmp_path):
+    from granary.plans import catalogue
+
+    text = "Haydn " + " ".join(f"w{i}" for i in range(60))
+    docs = [(5, text), (13, text + " idiot"), (4, text), (12, text + " idiot")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["problem"]: r["n"] for r in catalogue.QUERIES["generation_gate"](spark, str(tmp_path)).collect()}
+    assert got == {None: 2, "other_value_missing": 1, "other_value_present": 1}
+
+
+def test_salvage_names_and_untouched_texts(spark):
+    own, other = F.array(F.lit("Mozart")), F.array(F.lit("Haydn"))
+    said = ["In Wien lived Joseph Haydn. End.", "the old haydn and Sir Joseph Haydn", "Mozart wrote.\n\n  It is so.  ", "Mozart wrote.\n\nHaydn slept."]
+    want = ["In Wien lived Mozart. End.", "the old Mozart and Mozart", "Mozart wrote.\n\n  It is so.  ", "Mozart wrote. Mozart slept."]
+    assert values(spark, lambda t: T.salvage(t, own, other), *said) == want
+
+
 def test_shingles_and_similarity(spark):
     s = lambda a: arrays.shingles(a)
     assert values(spark, s, "A b, c d!", "x y", "", "a a a a") == [["a b c", "b c d"], ["x y"], [], ["a a a"]]
