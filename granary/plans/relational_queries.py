@@ -68,7 +68,7 @@ def arm_vs_base(spark, sf_dir):
 def cluster_bootstrap_ci(spark, sf_dir):
     """Percentile intervals of that estimate, clusters resampled, and its verdict."""
     parts = stats.cluster_components(_arms(spark, sf_dir), "pair_id", "diff")
-    out = stats.cluster_bootstrap(parts, "pair_id", 400, alphas=(0.05, 0.01))
+    out = stats.cluster_bootstrap(parts, "pair_id", 20_000, alphas=(0.05, 0.01))
     return out.withColumn("verdict", stats.verdict(F.lit(1), F.col("lo"), F.col("hi")))
 
 

@@ -356,3 +356,12 @@ def test_streams(spark, tmp_path):
     q = streaming.windowed_counts(stream, "ts", ["key"], "1 minute").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("counts"), "key", "n") == [("k1", 2), ("k2", 1)]
+
+
+def test_bootstrap_query_has_the_references_resamples(spark, monkeypatch):
+    from granary.plans import catalogue
+
+    asked, run = [], stats.cluster_bootstrap
+    monkeypatch.setattr(stats, "cluster_bootstrap", lambda parts, cluster, n, **more: asked.append(n) or run(parts, cluster, 10, **more))
+    assert catalogue.QUERIES["cluster_bootstrap_ci"](spark, "/root/testdata/sf0.001").count() == 2
+    assert asked == [20_000]
