@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by the tiktoken library, with a local rank file.
 
 Texts of over LONG characters are cut before encoding where no token can cross: between a character
-that isn't white space and the white space after it. No alternative of the pattern spans that place, and
-none looks back, so the pieces' ids are the text's ids; the library is handed pieces of bounded size.
+that isn't white space and a space, tab or line end after it. Both are what they are to Python's and to the
+library's regex engine alike (U+001C to U+001F aren't, so no cut goes before them); no alternative of the pattern
+spans that place, and none looks back, so the pieces' ids are the text's ids.
 Decoding joins the raw bytes of the ids, never strings, so ids that cut a character survive.
 
 Edge cases: a null text is empty and has no ids; strings that look like special tokens are ordinary
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.session import table
 
 LONG = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
 def rank_path() -> str:
