@@ -1,13 +1,17 @@
 """WARC: pages to archives, and the normaliser of monolithic gzip files.
 
-Three steps. `write_monolithic` writes a WARC record per page, each file one gzip stream from end to
-end, and lists the records' digests. `normalise` inflates each such file once, rewrites every record as
-a gzip member of its own and writes a sidecar index (JSON lines: offset, length, ordinal, type); on the
-way it turns the records whose payload another record already holds into revisits. `read_archives` reads
-the members back by the index's offsets.
+Three steps. `write_monolithic` writes a WARC record per page behind a warcinfo record, each file one gzip
+stream from end to end, and lists the records' digests. `normalise` inflates each such file once, rewrites
+every record as a gzip member of its own and writes a sidecar index (JSON lines: offset, length, ordinal,
+type); on the way it turns the records whose payload another record already holds into revisits.
+`read_archives` reads the members back by the index's offsets.
+
+The normaliser takes files of one gzip member or of many, in any division; a file that ends inside a member or
+a record is an error, never a shorter archive. Records that don't change keep their header as it is.
 
 Files are written beside their place and then moved there, under names that the partition alone
-determines, so a task that runs again overwrites its own work.
+determines, so a task that runs again overwrites its own work. A record's id names its page, file and place,
+so rows that repeat a page_id have ids of their own.
 
 Edge cases: null html is the empty payload; null and hostile urls are percent-encoded into one header
 line; null ids come back as null, after all others in the choice of the response; of rows that repeat,
@@ -73,18 +77,31 @@ def _line(value) -> str:
     return "".join(out)
 
 
-def _urn(page_id) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def _urn(page_id, file: str, seq: int) -> str:
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{file.partition('.')[0]}:{seq}>"
+
+
+def _page(urn: str):
+    """The page that a record's id names."""
+    inner = urn[1:-1].split(":")[2]
+    return None if inner == "null" else int(inner)
 
 
-def _head(kind: str, page_id, url: str, digest: str, length: int, refers=()) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+def _head(kind: str, urn: str, url: str, digest: str, length: int, refers: str | None = None) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn}", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers[0])}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}", "", ""]
     return "\r\n".join(lines).encode()
 
 
+def _info(file: str) -> bytes:
+    """The warcinfo record of a file."""
+    body = b"format: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:x-archive:{file.partition('.')[0]}>", f"WARC-Date: {DATE}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(lines).encode() + body + b"\r\n\r\n"
+
+
 def _http(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
@@ -103,12 +120,13 @@ def write_monolithic(pages: DataFrame, root: str, id_col="page_id", url_col="url
         for rows in batches:
             if out is None:
                 out, squeeze = _Placed(f"{root}/{name}"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                out.write(squeeze.compress(_info(name)))
             listed = []
             for page_id, url, html in zip(rows["id"], rows["url"], rows["html"], strict=True):
                 page_id = _whole(page_id)
                 payload = b"" if html is None else html.encode("utf-8", "surrogatepass")
                 digest, http = digest_of(payload), _http(len(payload))
-                for part in (_head("response", page_id, _line(url), digest, len(http) + len(payload)), http, payload, b"\r\n\r\n"):
+                for part in (_head("response", _urn(page_id, name, seq), _line(url), digest, len(http) + len(payload)), http, payload, b"\r\n\r\n"):
                     out.write(squeeze.compress(part))
                 listed.append((name, seq, page_id, len(payload), digest))
                 seq += 1
@@ -124,71 +142,91 @@ def write_monolithic(pages: DataFrame, root: str, id_col="page_id", url_col="url
 
 
 def revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """file, seq, refers_to of the records whose payload an earlier page holds. Only ids and digests move."""
+    """file, seq, refers_to (page, file, seq) of the records whose payload an earlier page holds. Only ids and digests move;
+    one payload that very many pages hold is one key of the join, whose large side AQE splits."""
     rank = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "file", "seq")
     first = (
         records.filter(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest")
         .agg(F.min(rank).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("payload_digest", F.col("first.page_id").alias("refers_to"), F.col("first.file").alias("f"), F.col("first.seq").alias("s"))
+        .select("payload_digest", F.struct("first.page_id", "first.file", "first.seq").alias("refers_to"))
     )
     return (
         records.filter(F.col("payload_bytes") >= min_bytes)
         .join(first, "payload_digest")
-        .filter("NOT (file = f AND seq = s)")
+        .filter("NOT (file = refers_to.file AND seq = refers_to.seq)")
         .select("file", "seq", "refers_to")
     )
 
 
-def _records(stream) -> Iterator[tuple[dict, bytes]]:
-    """Headers and block of each record of one gzip stream, inflated in pieces."""
-    inflate, held, at, ended = zlib.decompressobj(31), bytearray(), 0, False
+def _inflated(stream) -> Iterator[bytes]:
+    """The bytes of all gzip members of a stream, in blocks of at most CHUNK; zero bytes behind a member are padding."""
+    member, some, rest = None, False, b""
+    while rest := rest or stream.read(CHUNK):
+        if member is None:
+            if some and not rest.strip(b"\0"):
+                rest = b""
+                continue
+            member, some = zlib.decompressobj(31), True
+        block = member.decompress(rest, CHUNK)
+        rest = member.unused_data if member.eof else member.unconsumed_tail
+        if member.eof:
+            member = None
+        if block:
+            yield block
+    if member is not None or not some:
+        raise ValueError("a gzip file that ends inside a member")
+
+
+def _records(stream) -> Iterator[tuple[bytes, dict, bytes]]:
+    """Header, its fields, and block of each record of a gzip file."""
+    blocks, held, at = _inflated(stream), bytearray(), 0
 
     def need(n: int) -> bool:
-        nonlocal at, ended, held
-        while len(held) - at < n and not ended:
-            piece = stream.read(CHUNK)
-            if not piece:
-                held += inflate.flush()
-                ended = True
-                break
-            held += inflate.decompress(piece)
+        nonlocal at
+        while len(held) - at < n:
+            if (block := next(blocks, None)) is None:
+                return False
+            held.extend(block)
         if at > CHUNK:
             del held[:at]
             at = 0
-        return len(held) - at >= n
+        return True
 
     while need(1):
         size = CHUNK
         while (end := held.find(b"\r\n\r\n", at)) < 0:
-            if not need(size):
-                if held.find(b"\r\n\r\n", at) < 0:
-                    raise ValueError("a WARC record without the end of its header")
+            if not need(size) and held.find(b"\r\n\r\n", at) < 0:
+                raise ValueError("a WARC record without the end of its header")
             size += CHUNK
-        headers = dict(x.split(": ", 1) for x in held[at:end].decode().split("\r\n")[1:])
-        n, skip = int(headers["Content-Length"]), end + 4 - at
-        if not need(skip + n + 4):
+        head = bytes(held[at : end + 4])
+        fields = dict(x.split(": ", 1) for x in head[:-4].decode().split("\r\n")[1:])
+        n = int(fields["Content-Length"])
+        if not need(len(head) + n + 4):
             raise ValueError("a WARC record shorter than its Content-Length")
-        yield headers, bytes(held[at + skip : at + skip + n])
-        at += skip + n + 4
+        block = bytes(held[at + len(head) : at + len(head) + n])
+        at += len(head) + n + 4
+        yield head, fields, block
 
 
 def _normalised(source: str, target: str, changed: dict) -> tuple[int, int]:
-    """One file: changed maps a record's ordinal to the page that its revisit refers to."""
+    """One file: changed maps the ordinal of a response to the record (page, file, seq) that its revisit refers to."""
     fs, path = _fs(source)
     out, index = _Placed(target), _Placed(f"{target}.idx")
-    n = 0
+    n = seq = 0
     with fs.open_input_stream(path, compression=None) as stream:
-        for headers, block in _records(stream):
-            url, digest = headers["WARC-Target-URI"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
-            page = headers["WARC-Record-ID"][len("<urn:x-page:") : -1]
-            kind, body, refers = headers["WARC-Type"], block, ()
-            if n in changed:
-                kind, body, refers = "revisit", block[: block.index(b"\r\n\r\n") + 4], (changed[n],)
+        for head, fields, block in _records(stream):
+            kind, at = fields["WARC-Type"], None
+            if kind == "response":
+                at, seq = seq, seq + 1
+                if at in changed:
+                    kind, block = "revisit", block[: block.index(b"\r\n\r\n") + 4]
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    head = _head(kind, fields["WARC-Record-ID"], fields["WARC-Target-URI"], digest, len(block), _urn(*changed[at]))
             member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-            data = member.compress(_head(kind, page, url, digest, len(body), refers) + body + b"\r\n\r\n") + member.flush()
-            index.write(json.dumps({"offset": out.at, "length": len(data), "seq": n, "type": kind}).encode() + b"\n")
+            data = member.compress(head + block + b"\r\n\r\n") + member.flush()
+            index.write(json.dumps({"offset": out.at, "length": len(data), "seq": at, "type": kind}).encode() + b"\n")
             out.write(data)
             n += 1
     out.place()
@@ -207,7 +245,7 @@ def normalise(spark: SparkSession, files: DataFrame, changes: DataFrame, source:
         for rows in batches:
             done = []
             for name, changed in zip(rows["file"], rows["changed"], strict=True):
-                found = {int(x["seq"]): _whole(x["refers_to"]) for x in ([] if changed is None else changed)}
+                found = {int(x["seq"]): (_whole(x["refers_to"]["page_id"]), x["refers_to"]["file"], int(x["refers_to"]["seq"])) for x in ([] if changed is None else changed)}
                 done.append((name, *_normalised(f"{source}/{name}", f"{target}/{name}", found)))
             yield pd.DataFrame(done, columns=["file", "n_records", "n_bytes"])
 
@@ -220,10 +258,6 @@ def read_archives(files: DataFrame, root: str) -> DataFrame:
 
     The digest of a response is computed from the payload that the member holds."""
 
-    def page(urn: str):
-        inner = urn[len("<urn:x-page:") : -1]
-        return None if inner == "null" else int(inner)
-
     def read(batches):
         for rows in batches:
             for name in rows["file"]:
@@ -233,6 +267,8 @@ def read_archives(files: DataFrame, root: str) -> DataFrame:
                 found = []
                 with fs.open_input_file(path) as archive:
                     for entry in entries:
+                        if entry["type"] not in ("response", "revisit"):
+                            continue
                         archive.seek(entry["offset"])
                         data = zlib.decompress(archive.read(entry["length"]), 31)
                         head, _, block = data.partition(b"\r\n\r\n")
@@ -241,8 +277,8 @@ def read_archives(files: DataFrame, root: str) -> DataFrame:
                         length = int(http.split(b"Content-Length: ")[1].split(b"\r\n")[0])
                         kind = headers["WARC-Type"]
                         digest = digest_of(payload) if kind == "response" else headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        refers = page(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                        found.append((page(headers["WARC-Record-ID"]), length if kind == "revisit" else len(payload), digest, kind, refers))
+                        refers = _page(headers["WARC-Refers-To"]) if kind == "revisit" else None
+                        found.append((_page(headers["WARC-Record-ID"]), length if kind == "revisit" else len(payload), digest, kind, refers))
                         if len(found) >= 4096:
                             yield _frame(found)
                             found = []
