@@ -7,19 +7,22 @@ bit, so any token is read by one look-up a level, with no block decoded. The doc
 follow. Files end at MAX_IDS ids, or with the document that passes it.
 
 Files are written in ascending doc_id order (range partitions, sorted) and moved to names that the
-partition determines. Each text is encoded by the tokenizers library; where the file's normalizer and
-splitter look at words alone, each distinct word is encoded once and remembered.
-
-Edge cases: a null text is empty and has the end id alone; null ids come first, ties are ordered by
-text; very long texts are whole; an empty table writes no file. Other columns are not read.
+partition determines. All ids come from the tokenizers library, normalizer and splitter included. Where the file's
+steps look at words alone (NFC, lower case, a splitter that drops white space), it is handed the distinct words
+of a batch, without the full stops and commas at their ends, which are pieces of their own; what it says of a word is
+remembered in two generations. Other files are handed whole texts.
+
+Edge cases: a null text is empty and has the end id alone; null ids come first; ties are ordered by the hash of
+their text, so that many rows of one id are several ranges; very long texts are whole; an empty table writes no file.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,84 +46,86 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# The splitter of the file: fixed by the vocabulary's format.
+#: The steps of a file whose ids of a text are those of its words. The splitter is fixed by the vocabulary's format.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of printable ASCII and Latin-1 letters: their pieces are found without the library's normalizer.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, n = {}, 256
-    for b in range(256):
-        out[b] = chr(b) if b in printable else chr(n)
-        n += b not in printable
-    return out
+#: Marks at a word's end that, behind a letter or digit, are a piece of their own to that splitter.
+MARKS = b".,;:!?"
+#: Words of the texts that are looked up together.
+CHUNK_WORDS = 1 << 18
 
 
 class Encoder:
-    """ids of a text as little-endian unsigned 32-bit bytes, by the library."""
+    """ids of texts as little-endian unsigned 32-bit bytes, by the library."""
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path) as f:
             spec = json.load(f)
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        first = steps[0] if steps else {}
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"] == {"Regex": SPLITTER} and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and spec["post_processor"] is None
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        self.by_word = self.by_word and all(x.startswith("<|") and " " not in x for x in self.special)
-        self.letters, self.model = _byte_letters(), self.tokenizer.model
-        # two generations each: when the younger is full the older goes, so what is in use stays
-        self.word_ids: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-        self.piece_ids: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.most = most
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        out = self.piece_ids.get(piece)
-        if out is None:
-            out = self.old_pieces.get(piece)
-            if out is None:
-                mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-                out = b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(mapped)])
-            if len(self.piece_ids) >= self.most:
-                self.old_pieces, self.piece_ids = self.piece_ids, {}
-            self.piece_ids[piece] = out
-        return out
+        splits = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[0]["pattern"] == {"Regex": SPLITTER}
+        self.by_word = bool(kinds == NORMALIZERS and splits and not steps[1].get("add_prefix_space") and spec["post_processor"] is None and all(x["content"].startswith("<|") and " " not in x["content"] for x in spec["added_tokens"]))
+        # words and their parts, two generations each: when the younger is full the older goes, so what is in use stays
+        self.word_ids: tuple[dict, dict] = ({}, {})
+        self.part_ids: tuple[dict, dict] = ({}, {})
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """The word, lower case, and the marks at its end; what may hold a special token stays as it is."""
+        if b"<" in word:
+            return word, b""
+        word = word.lower()
+        bare = word.rstrip(MARKS)
+        return (bare, word[len(bare) :]) if bare != word and bare[-1:].isalnum() else (word, b"")
+
+    @staticmethod
+    def _unknown(wanted: set, held: tuple[dict, dict]) -> list:
+        """Those of wanted that neither generation has; the younger gets those that the older has."""
+        young, old = held
+        missing = wanted - young.keys()
+        known = missing & old.keys()
+        young.update((w, old[w]) for w in known)
+        return list(missing - known)
+
+    def _aged(self, held: tuple[dict, dict]) -> tuple[dict, dict]:
+        return ({}, held[0]) if len(held[0]) >= self.most else held
+
+    def _learn(self, wanted: set) -> None:
+        new = [(w, *self._parts(w)) for w in self._unknown(wanted, self.word_ids)]
+        parts = self._unknown({p for _, *both in new for p in both if p}, self.part_ids)
+        ids = self.part_ids[0]
+        ids.update(zip(parts, self._library([p.decode("utf-8", "replace") for p in parts]), strict=True))
+        self.word_ids[0].update((w, ids[bare] + ids[end] if end else ids[bare]) for w, bare, end in new)
+
+    def batch(self, texts) -> Iterator[bytes]:
+        """The ids of each text, in order; a null text has none."""
+        if not self.by_word:
+            yield from self._library([x or "" for x in texts])
+            return
+        lists, n = [], 0
+        for i, text in enumerate(texts):
+            lists.append(words(text))
+            n += len(lists[-1])
+            if n >= CHUNK_WORDS or i == len(texts) - 1:
+                self._learn({w for found in lists for w in found})
+                known = self.word_ids[0]
+                yield from [b"".join([known[w] for w in found]) for found in lists]
+                self.word_ids, self.part_ids = self._aged(self.word_ids), self._aged(self.part_ids)
+                lists, n = [], 0
 
-    def _word(self, word: bytes) -> bytes:
-        out = self.word_ids.get(word)
-        if out is None:
-            out = self.old_words.get(word)
-            if out is None:
-                s = word.decode("utf-8", "replace")
-                if _PLAIN.fullmatch(s) and "<|" not in s:
-                    pieces = _PIECES.findall(s.lower())
-                    out = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
-                else:
-                    out = self._library(s)
-            if len(self.word_ids) >= self.most:
-                self.old_words, self.word_ids = self.word_ids, {}
-            self.word_ids[word] = out
-        return out
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word:
-            return self._library(text)
-        known = self.word_ids.get
-        return b"".join([known(w) or self._word(w) for w in words(text)])
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each file and worker process, which keeps its words over tasks."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
 
 
 def _bitmap(bits: np.ndarray) -> tuple[bytes, bytes]:
@@ -204,7 +209,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str | None = None, end_i
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches):
-        encode, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         blobs, doc_ids, ends, n = [], [], [], 0
 
         def flush():
@@ -218,8 +223,8 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str | None = None, end_i
             return row
 
         for rows in batches:
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                blob = encode(text) + end
+            for doc_id, ids in zip(rows["doc_id"], encode.batch(rows["text"].tolist()), strict=True):
+                blob = ids + end
                 blobs.append(blob)
                 n += len(blob) // 4
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
@@ -229,9 +234,9 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str | None = None, end_i
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(n_parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     files = stored(ordered.mapInPandas(write, "file string, part int, seq int, n_docs bigint, n_ids bigint"), "token-files")
     # one row per partition, then the files of each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
