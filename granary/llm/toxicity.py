@@ -3,23 +3,30 @@
 Features: which word beginnings (of 3 to 6 letters, or the whole of a shorter word, lower case) a text
 has, hashed. A logistic model is fitted on the driver to a bounded sample of labelled documents
 (SAMPLE rows, the smallest hashes of their ids) with
-  mean log loss + L1 |w| + COUNTERFACTUAL * mean (score(x) - score(x'))^2 + RIDGE |w|^2,
-where x' is a labelled sentence x with its identity terms swapped for others of their group. Scores are
-linear, so a swap changes them by the weights of the beginnings that it takes and brings. The L1 term
-leaves weights on few beginnings, so the length of a text doesn't move its score.
+  mean log loss + L1 |w| + COUNTERFACTUAL * mean (z(x) - z(x'))^2 + RIDGE |w|^2,
+where x is a sentence of a sampled document, x' the same with a mention of a group swapped for another one, and z the
+score before the logistic curve. x' gets its features anew, so only what no other word of x has or brings counts. The
+L1 term leaves weights on few beginnings, so the length of a text doesn't move its score.
+
+Mentions are (a) the terms of `identities`, swapped for the others of their row; (b) words that the sample itself uses as
+names: capital, and not first in their sentence, in at least MENTION_DOCS documents that aren't toxic, and in no fewer of
+these than of toxic ones; the MENTIONS in most documents. Each of (b) is swapped for OTHERS more of (b) and as many terms
+of (a), so that a group that the corpus never names is compared too.
 
 Every document is scored, whole, by the executors; labels, lang, source and doc_id aren't inputs.
 
 Edge cases: null and empty texts get the model's base score; a null id counts as the empty string in
 the fold; labels that are null, or whose document is missing, are left out; of rows that repeat an id in
-the labels, toxic wins; without both classes in the sample every score is the share of toxic labels
-(0 without labels); an empty table gives an empty result. Other columns are not read.
+the labels, toxic wins, and in the documents one is fitted; without both classes in the sample every score is the share
+of toxic labels (0 without labels); a sample without mentions has no swaps; an empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.text import words
-from granary.session import table
+from granary.session import stored, table
 
 #: Labelled documents that are fitted at most.
 SAMPLE = 8000
@@ -39,6 +46,8 @@ ROUNDS = 150
 #: Beginnings that fewer sampled documents have are left out.
 MIN_DOCS = 4
 FOLDS = 5
+#: Documents that must use a word as a name, names taken at most, and swaps of each one.
+MENTION_DOCS, MENTIONS, OTHERS = 2, 64, 4
 
 #: Neutral mentions of groups, in the languages of the corpus; a term is swapped for the others of its row.
 IDENTITIES = (
@@ -82,40 +91,92 @@ class _Remembered(dict):
         return out
 
 
-_SWAPS = {term: [x for x in row if x != term] for row in IDENTITIES for term in row}
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def swaps(text: str | None) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """For each identity term of the text, the features it has and those of each term it is swapped for."""
-    out = []
-    for term in {w for w in _LETTERS.findall((text or "").lower()) if w in _SWAPS}:
-        out += [(beginnings(term.encode()), beginnings(x.encode())) for x in _SWAPS[term]]
+def sentences(text: str | None) -> list[list[str]]:
+    """The letter words of each sentence."""
+    return [found for x in _SENTENCE.split(text or "") if (found := _LETTERS.findall(x))]
+
+
+def names(text: str | None) -> set[str]:
+    """Words with a capital that aren't the first of their sentence."""
+    return {w for found in sentences(text) for w in found[1:] if w[:1].isupper() and not w.isupper()}
+
+
+def swap_table(mentions: Sequence[str], identities=IDENTITIES, others: int = OTHERS) -> dict[str, list[str]]:
+    """What each mention is swapped for. Terms of identities are in lower case and found in any; names are as they are."""
+    out = {term: [x for x in row if x != term] for row in identities for term in row}
+    listed, ring = sorted(out), list(mentions)
+    for i, name in enumerate(ring):
+        if name.lower() not in out:
+            near = [ring[(i + k) % len(ring)] for k in range(1, min(others, len(ring) - 1) + 1)]
+            far = sorted(listed, key=lambda t, name=name: xxhash.xxh64_intdigest(f"{name} {t}"))[:others]
+            out[name] = near + far
     return out
 
 
+def swaps(text: str | None, table_of_swaps: dict[str, list[str]]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """For each sentence of the text and each swap of a mention in it, the features that go and those that come."""
+    for found in sentences(text):
+        named = {w for i, w in enumerate(found) if (i and w in table_of_swaps) or w.lower() in table_of_swaps}
+        if not named:
+            continue
+        parts = {w: beginnings(w.encode()) for w in set(found)}
+        count = Counter(f for w in found for f in set(parts[w]))
+        for w in sorted(named):
+            times, mine = found.count(w), set(parts[w])
+            alone = {f for f in mine if count[f] == times}  # no other word of the sentence has them
+            for other in table_of_swaps.get(w) or table_of_swaps[w.lower()]:
+                new = set(beginnings(other.encode()))
+                gone, come = alone - new, {f for f in new if not count[f]}
+                if gone or come:
+                    yield tuple(sorted(gone)), tuple(sorted(come))
+
+
 def fold(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """toxic, features (distinct, sorted, packed int32), terms (identity terms) of at most `sample` labelled documents."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, toxic, text of at most `sample` labelled documents, stored."""
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold() != 0)
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+    return stored(rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-sample")
+
+
+def found_mentions(rows: DataFrame, least: int = MENTION_DOCS, most: int = MENTIONS) -> list[str]:
+    """The names that documents without a toxic label use; rows is a bounded sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [(w, int(toxic > 0)) for text, toxic in zip(part["text"], part["toxic"], strict=True) for w in sorted(names(text))]
+            yield pd.DataFrame(found, columns=["name", "toxic"]).astype({"toxic": "int64"})
+
+    per = rows.select("text", "toxic").mapInPandas(run, "name string, toxic bigint").groupBy("name").agg(F.count_if(F.col("toxic") == 0).alias("fine"), F.sum("toxic").alias("toxic"))
+    return [r["name"] for r in per.filter((F.col("fine") >= least) & (F.col("fine") >= F.col("toxic"))).orderBy(F.col("fine").desc(), "name").limit(most).collect()]
+
+
+def prepared(rows: DataFrame, identities=IDENTITIES) -> pd.DataFrame:
+    """toxic, features (distinct, sorted, packed int32) and swaps of each sampled document, in order of doc_id.
+
+    Each swap is packed int32: how many features go, these, and those that come."""
+    table_of_swaps = swap_table(found_mentions(rows), identities)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = _Remembered(beginnings)
         for part in batches:
-            packed, terms = [], []
+            packed, swapped = [], []
             for text in part["text"]:
                 found = set().union(*(seen[w] for w in set(words(text))))
                 packed.append(np.array(sorted(found), np.int32).tobytes())
-                terms.append(" ".join(sorted({w for w in _LETTERS.findall((text or "").lower()) if w in _SWAPS})))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "features": packed, "terms": terms})
+                swapped.append([np.array([len(a), *a, *b], np.int32).tobytes() for a, b in swaps(text, table_of_swaps)])
+            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "features": packed, "swaps": swapped})
 
-    out = rows.mapInPandas(features, "doc_id bigint, toxic int, features binary, terms string").toPandas()
-    return out.sort_values(["doc_id", "toxic", "features"], kind="stable").reset_index(drop=True)
+    out = rows.mapInPandas(features, "doc_id bigint, toxic int, features binary, swaps array<binary>").toPandas()
+    return out.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 class Model:
@@ -137,8 +198,8 @@ class Model:
         return score
 
 
-def fit(rows: pd.DataFrame) -> Model:
-    """Proximal gradient steps with momentum, from zero; the same rows give the same model."""
+def fit(rows: pd.DataFrame, strength: float = COUNTERFACTUAL, rounds: int = ROUNDS) -> Model:
+    """Proximal gradient steps with momentum, from zero; the same rows give the same model. strength weighs the swaps."""
     n, weights = len(rows), np.zeros(1 << BITS)
     share = float(rows["toxic"].gt(0).mean()) if n else 0.0
     if not n or share in (0.0, 1.0):
@@ -154,20 +215,17 @@ def fit(rows: pd.DataFrame) -> Model:
     keep = column[feature] >= 0
     col, doc = column[feature[keep]], doc[keep]
 
-    pairs: dict = {}
-    for terms in rows["terms"]:
-        for pair in swaps(terms):
-            pairs[pair] = pairs.get(pair, 0) + 1
+    times = Counter(bytes(x) for found in rows["swaps"] for x in found)
     gap_row, gap_col, gap_sign = [], [], []
-    for i, (a, b) in enumerate(pairs):
-        for sign, side, other in ((1.0, a, b), (-1.0, b, a)):
-            for f in set(side) - set(other):
-                if column[f] >= 0:
-                    gap_row.append(i)
-                    gap_col.append(column[f])
-                    gap_sign.append(sign)
+    for i, packed in enumerate(times):
+        both = np.frombuffer(packed, np.int32)
+        cols = column[both[1:]]
+        signs = np.where(np.arange(len(cols)) < both[0], 1.0, -1.0)[cols >= 0]
+        gap_row += [i] * len(signs)
+        gap_col += cols[cols >= 0].tolist()
+        gap_sign += signs.tolist()
     gap_row, gap_col, gap_sign = np.array(gap_row, int), np.array(gap_col, int), np.array(gap_sign)
-    gap_weight = np.array(list(pairs.values()), float) / max(1, sum(pairs.values()))
+    gap_weight = np.array(list(times.values()), float) / max(1, sum(times.values()))
     # both classes count alike
     case = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     d = len(used)
@@ -177,14 +235,14 @@ def fit(rows: pd.DataFrame) -> Model:
     def loss_of(w, b):
         z = np.bincount(doc, w[col], n) + b
         gap = np.bincount(gap_row, gap_sign * w[gap_col], len(gap_weight)) if len(gap_row) else np.zeros(len(gap_weight))
-        return (case * (np.logaddexp(0, z) - y * z)).sum() + COUNTERFACTUAL * (gap_weight * gap**2).sum() + RIDGE * (w**2).sum(), z, gap
+        return (case * (np.logaddexp(0, z) - y * z)).sum() + strength * (gap_weight * gap**2).sum() + RIDGE * (w**2).sum(), z, gap
 
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         value, z, gap = loss_of(at_w, at_b)
         r = case * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y)
         slope = np.bincount(col, r[doc], d) + 2 * RIDGE * at_w
         if len(gap_row):
-            slope += np.bincount(gap_col, 2 * COUNTERFACTUAL * (gap_weight * gap)[gap_row] * gap_sign, d)
+            slope += np.bincount(gap_col, 2 * strength * (gap_weight * gap)[gap_row] * gap_sign, d)
         slope_b = r.sum()
         while True:
             new = at_w - step * slope
@@ -219,8 +277,8 @@ def scored(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> D
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return fit(sampled(docs, labels, sample))
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=IDENTITIES) -> Model:
+    return fit(prepared(sampled(docs, labels, sample), identities))
 
 
 def accepted(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
