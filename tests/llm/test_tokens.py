@@ -23,7 +23,7 @@ def library():
 
 def test_bpe_matches_the_library_and_round_trips(spark, library):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(spark.createDataFrame(list(enumerate(TEXTS, 10**6)), "doc_id bigint, text string"))
+    docs = docs.unionByName(spark.createDataFrame(list(enumerate(TEXTS, 10**6)), "doc_id bigint, text string")).selectExpr("*", "1 AS n_tokens", "'x' AS d", "2 AS ids")
     want = {}
     for r in docs.collect():
         ids = library.encode_ordinary(r["text"] or "")
@@ -38,7 +38,7 @@ def test_bpe_matches_the_library_and_round_trips(spark, library):
 @pytest.mark.parametrize("most", [1, 3, 10, 100])
 def test_safe_boundaries(library, most):
     codec = bpe.Codec()
-    for text in [t for t in TEXTS if t and len(t) < 1000] + ["it's  a   'll b\n\n c 's", "  lead", "trail  ", "a\u00a0b \u2003c"]:
+    for text in [t for t in TEXTS if t and len(t) < 1000] + ["it's  a   'll b\n\n c 's", "  lead", "trail  ", "a\u00a0b \u2003c", "!\x1c?\x1f!! \x1d .\x85?\u00a0!\x0b,\x0c;"]:
         assert "".join(codec.pieces(text, most)) == text
         assert codec.encode(text, most) == library.encode_ordinary(text)
 
@@ -48,9 +48,16 @@ def test_encoder_matches_the_library(spark):
 
     whole, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_file.Encoder(P.path("word_bpe_49k.json"), most=5000)
     assert own.by_word
-    texts = TEXTS + [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-    for text in texts:
-        assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    rng = np.random.default_rng(5)
+    marks = list("aAzÉéßΣς09'.,;:!?#<|>-_\u0301\u00a0\x1c\u0130 ") + ["'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    odd = ["".join(rng.choice(marks, rng.integers(1, 12))) for _ in range(4000)]
+    texts = TEXTS + odd + [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for _ in range(2):
+        for text, ids in zip(texts, own.batch(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert list(own.batch([])) == []
+    own.by_word = False
+    assert [len(x) for x in own.batch([None, "ab"])] == [0, 4]
 
 
 def test_token_files_round_trip(spark):
@@ -58,13 +65,14 @@ def test_token_files_round_trip(spark):
 
     whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(spark.createDataFrame([(None, "no id"), (10**6, None), (10**6 + 1, ""), (5, "a second five")], "doc_id bigint, text string"))
+    docs = docs.unionByName(spark.createDataFrame([*[(None, f"no id {i}") for i in range(40)], (None, None), (10**6, None), (10**6 + 1, ""), (5, "a second five"), (5, "a second five")], "doc_id bigint, text string"))
+    docs = docs.selectExpr("*", "1 AS tie", "'x' AS ids", "2 AS start")
     root = scratch(spark, "test-tokens")
     files = token_file.write_tokens(docs, root, max_ids=5000)
     assert files.count() > 4
-    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = sorted(docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     want, start = [], 0
-    for k, text in rows:
+    for k, text, _ in rows:
         ids = [*whole.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

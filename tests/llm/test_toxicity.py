@@ -19,28 +19,112 @@ def test_held_out_accuracy_and_folds(spark):
     assert got["score"].between(0, 1).all()
 
 
-def test_swapped_terms_score_alike():
-    """Toxic texts that name one group more often don't make its name toxic."""
-    rng, rows = np.random.default_rng(0), []
-    for i in range(600):
+def test_swaps_of_the_tables_fire_and_bring_scores_together(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    sample = T.sampled(docs, labels)
+    rows = T.prepared(sample)
+    assert sum(map(len, rows["swaps"])) > 200 and (rows["swaps"].map(len) > 0).sum() > 50
+    table = T.swap_table(T.found_mentions(sample))
+    gap = {}
+    for strength in (0.0, T.COUNTERFACTUAL, 50.0):
+        model = T.fit(rows, strength)
+        gap[strength] = mean_gap(rows, model)
+        held = model.scorer()
+        hits = [(held(r["text"]) >= 0.5) == (r["toxic"] > 0) for r in sample.limit(400).collect()]
+        assert np.mean(hits) > 0.95
+    assert gap[50.0] < 0.2 * gap[0.0] and gap[T.COUNTERFACTUAL] < gap[0.0] and len(table) > 40
+
+
+def mean_gap(rows, model):
+    gaps = []
+    for found in rows["swaps"]:
+        for x in found:
+            both = np.frombuffer(bytes(x), np.int32)
+            gaps.append(model.weights[both[1 : 1 + both[0]]].sum() - model.weights[both[1 + both[0] :]].sum())
+    return float(np.mean(np.square(gaps)))
+
+
+def logit(model, sentence):
+    found = set().union(*(T.beginnings(w.encode()) for w in sentence.split()))
+    return model.bias + sum(model.weights[f] for f in found)
+
+
+def test_a_swap_is_the_change_of_score():
+    """Features that another word of the sentence holds neither go nor come."""
+    rng = np.random.default_rng(2)
+    model = T.Model(rng.standard_normal(1 << T.BITS), 0.3)
+    table = T.swap_table(["Anglian", "Saxon", "Angers"], (("muslims", "christians", "muslin"),), others=2)
+    texts = ["The Anglian Anglers met muslims and christian folk. Saxon first, then Saxon again", "Muslims walk\nhere with Christians, MUSLIMS and muslin", "nothing at all", "", None]
+    seen = 0
+    for text in texts:
+        want = []
+        for found in T.sentences(text):
+            for w in sorted({w for i, w in enumerate(found) if (i and w in table) or w.lower() in table}):
+                for other in table.get(w) or table[w.lower()]:
+                    after = [other if x == w else x for x in found]
+                    want.append(logit(model, " ".join(found)) - logit(model, " ".join(after)))
+        got = [sum(model.weights[f] for f in a) - sum(model.weights[f] for f in b) for a, b in T.swaps(text, table)]
+        seen += len(got)
+        assert np.allclose(sorted(got), sorted(x for x in want if x))
+    assert seen > 10
+
+
+def frame(texts, table):
+    rows = []
+    for toxic, text in texts:
+        found = sorted(set().union(*(T.beginnings(w.encode()) for w in text.split())))
+        swaps = [np.array([len(a), *a, *b], np.int32).tobytes() for a, b in T.swaps(text, table)]
+        rows.append((toxic, np.array(found, np.int32).tobytes(), swaps))
+    return pd.DataFrame(rows, columns=["toxic", "features", "swaps"])
+
+
+def skewed(n, seed=0):
+    """Toxic texts that name one group more often."""
+    rng = np.random.default_rng(seed)
+    for i in range(n):
         toxic = i % 2
         group = "muslims" if rng.random() < (0.8 if toxic else 0.2) else "christians"
-        text = f"{group} {'dreadful' if toxic and rng.random() < 0.7 else 'pleasant'} filler{i % 7} words"
-        found = sorted(set().union(*(T.beginnings(w.encode()) for w in text.split())))
-        rows.append((toxic, np.array(found, np.int32).tobytes(), group))
-    rows = pd.DataFrame(rows, columns=["toxic", "features", "terms"])
-    gap = {}
+        yield toxic, f"{group} {'dreadful' if toxic and rng.random() < 0.7 else 'pleasant'} filler{i % 7} words"
+
+
+def test_swapped_terms_score_alike():
+    rows, gap = frame(skewed(600), T.swap_table([])), {}
     for strength in (0.0, T.COUNTERFACTUAL):
-        before, T.COUNTERFACTUAL = T.COUNTERFACTUAL, strength
-        score = T.fit(rows).scorer()
-        T.COUNTERFACTUAL = before
+        score = T.fit(rows, strength).scorer()
         gap[strength] = abs(score("muslims walk") - score("christians walk"))
     assert gap[T.COUNTERFACTUAL] < 0.5 * gap[0.0] and gap[0.0] > 0.1
     assert score("a dreadful thing") > 0.5 > score("a pleasant thing")
 
 
+def test_fit_matches_a_dense_fit():
+    """The objective's minimum, by plain small steps over dense matrices."""
+    rows = frame(skewed(80, 3), T.swap_table([]))
+    lists = [np.frombuffer(x, np.int32) for x in rows["features"]]
+    swaps = [np.frombuffer(x, np.int32) for found in rows["swaps"] for x in found]
+    used = sorted(f for f in set(np.concatenate(lists)) if sum(f in set(x) for x in lists) >= T.MIN_DOCS)
+    x = np.array([[f in set(row) for f in used] for row in lists], float)
+    g = np.array([[float(f in s[1 : 1 + s[0]]) - float(f in s[1 + s[0] :]) for f in used] for s in swaps])
+    y = rows["toxic"].to_numpy(float)
+    case = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def value(w, b):
+        z = x @ w + b
+        return (case * (np.logaddexp(0, z) - y * z)).sum() + T.COUNTERFACTUAL * np.mean((g @ w) ** 2) + T.RIDGE * w @ w + T.L1 * np.abs(w).sum()
+
+    w, b, step = np.zeros(len(used)), 0.0, 0.02
+    for _ in range(60_000):
+        r = case * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        slope = x.T @ r + 2 * T.COUNTERFACTUAL * g.T @ (g @ w) / len(g) + 2 * T.RIDGE * w
+        w = w - step * slope
+        w, b = np.sign(w) * np.maximum(np.abs(w) - step * T.L1, 0), b - step * r.sum()
+    model = T.fit(rows, rounds=5000)
+    assert np.count_nonzero(np.delete(model.weights, used)) == 0
+    assert value(model.weights[used], model.bias) < value(w, b) + 1e-3 < value(np.zeros(len(used)), 0.0)
+    assert abs(value(model.weights[used], model.bias) - value(w, b)) < 2e-3
+
+
 def test_edge_rows(spark):
-    docs = spark.createDataFrame([(None, "a", 1), (1, None, 1), (1, None, 1), (2, "", 1), (3, "x " * 100_000, 1)], "doc_id bigint, text string, score int")
+    docs = spark.createDataFrame([(None, "a", 1), (1, None, 1), (1, "x A", 1), (2, "", 1), (3, "x " * 100_000, 1)], "doc_id bigint, text string, score int")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (99, 0)], "doc_id bigint, toxic int")
     model = T.trained(docs, labels)
     got = T.scored(docs, model).collect()

@@ -6,6 +6,7 @@ import re
 import urllib.parse
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import mixing, url_filter, warc
 from granary.session import scratch
@@ -69,12 +70,67 @@ def test_mix_meets_targets(spark):
         assert all(r["source_size"] == size[s] and abs(r["target"] - target[s]) < 1e-6 and 0 <= r["copies"] <= 3 for r in mine)
         assert abs(sum(r["taken"] for r in mine) - target[s]) <= max((r["size"] for r in mine), default=0) / 2 + 1e-6
     copies = {(r["doc_id"], r["copies"]) for r in got if r["size"]}
-    out = mixing.mixed(docs)
-    assert out.columns == docs.columns
-    n = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    want, _ = brute_mix([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], target)
+    assert {r["doc_id"]: r["copies"] for r in got} == want
+    # the callers' columns stay, whatever their names
+    more = docs.selectExpr("*", "1 AS u", "2 AS copies", "3 AS col", "4 AS row", "5 AS digits", "6 AS target", "7 AS _copies")
+    out = mixing.mixed(more)
+    assert out.columns == more.columns and out.agg({"col": "min", "copies": "max"}).first() == (3, 2)
+    n = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert {(d, n.get(d, 0)) for d, _ in copies} == copies
 
 
+def brute_mix(rows, target, seed="mix", cap=3):
+    """id -> copies and id -> expected copies, source by source: rates by bisection, the whole order sorted."""
+    out, hopes = {}, {}
+    for source in {s for _, _, s in rows}:
+        mine = [(k, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for k, t, s in rows if s == source]
+        low, high = 0.0, 10.0
+        hope = lambda n, rate: min(float(cap), rate * len(f"{n:b}"))
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * hope(n, mid) for _, n in mine) < target[source] else (low, mid)
+        expected = {k: hope(n, high) for k, n in mine}
+        certain = {k: int(e + 1e-9) for k, e in expected.items()}
+        left = target[source] - sum(certain[k] * n for k, n in mine)
+        ranked = []
+        for k, n in mine:
+            p = expected[k] - certain[k]
+            if p > 1e-9:
+                u = (int(hashlib.sha256(f"{seed}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                ranked.append((u / (1 - u) * (1 - p) / p, k, n))
+        ranked.sort()
+        while ranked and ranked[0][2] <= left + 1e-6:
+            _, k, n = ranked.pop(0)
+            certain[k] += 1
+            left -= n
+        if ranked:
+            _, _, k, n = min((abs(left - n), at, k, n) for at, k, n in ranked)
+            certain[k] += abs(left - n) < left
+        out |= certain
+        hopes |= expected
+    return out, hopes
+
+
+def test_mix_probabilities_differ_and_hold(spark):
+    """Longer documents are taken more often; over many seeds each as often as its expected copies say."""
+    rows = [(k, "w " * (1 + 7 * k % 400), "ab"[k % 3 == 0]) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    target = {r["source"]: r["target"] for r in got.values()}
+    total, times = dict.fromkeys(got, 0), 400
+    for seed in range(times):
+        copies, hopes = brute_mix(rows, target, f"s{seed}")
+        for k, n in copies.items():
+            total[k] += n
+    assert all(abs(got[k]["expected"] - hopes[k]) < 1e-9 for k in got)
+    assert len({round(hopes[k] % 1, 6) for k in got if rows[k][2] == "a"}) > 4
+    assert max(abs(total[k] / times - hopes[k]) for k in got) < 0.12
+    assert abs(sum(total[k] / times - hopes[k] for k in got)) < 0.02 * len(got)
+    again = mixing.mix(docs, seed="s7").collect()
+    assert {r["doc_id"]: r["copies"] for r in again} == brute_mix(rows, target, "s7")[0]
+
+
 def test_mix_edge_rows(spark):
     schema = "doc_id bigint, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
@@ -110,6 +166,35 @@ def test_archives_round_trip(spark):
         assert [e["offset"] for e in entries] == [0, *[e["offset"] + e["length"] for e in entries]][: len(entries)]
         assert b"".join(gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]) for e in entries) == gzip.decompress(data)
         assert r["n_records"] == len(entries) and r["n_bytes"] == len(data)
+        assert entries[0]["type"] == "warcinfo" and [e["seq"] for e in entries] == [None, *range(len(entries) - 1)]
+        ids = re.findall(rb"\r\nWARC-Record-ID: (\S+)", gzip.decompress(data))
+        assert len(ids) == len(set(ids)) == len(entries)
+
+
+def test_gzip_members_in_any_division(tmp_path):
+    """The normaliser reads files of one member or many, and says so when a file ends too early."""
+    record = lambda i: warc._head("response", warc._urn(i, "f.gz", i), "u", "X", len(body(i))) + body(i) + b"\r\n\r\n"
+    body = lambda i: b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * (i * 200_000)
+    given = [warc._info("f.gz"), *map(record, range(4))]
+    whole, n = b"".join(given), 0
+    cuts = {"one": [whole], "each": given, "odd": [whole[:10], whole[10:400_001], whole[400_001:]]}
+    for name, parts in cuts.items():
+        data = b"".join(map(gzip.compress, parts)) + b"\0" * 512
+        (tmp_path / name).write_bytes(data)
+        assert warc._normalised(f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}.out", {})[0] == 5
+        out = (tmp_path / f"{name}.out").read_bytes()
+        assert gzip.decompress(out) == whole
+        n += 1
+    squeeze = warc.zlib.compressobj(6, warc.zlib.DEFLATED, 31)
+    at_border = squeeze.compress(b"".join(given[:2])) + squeeze.flush(warc.zlib.Z_FULL_FLUSH)
+    for name, data in {"cut": gzip.compress(whole)[:-9], "border": at_border, "record": gzip.compress(whole[:-1000]), "head": gzip.compress(whole + b"WARC/1.1\r\n"), "none": b"", "later": gzip.compress(whole) + gzip.compress(record(1))[:30]}.items():
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(ValueError):
+            warc._normalised(f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}.out", {})
+        assert not (tmp_path / f"{name}.out").exists()
+    (tmp_path / "junk").write_bytes(gzip.compress(whole) + b"junk")
+    with pytest.raises(warc.zlib.error):
+        warc._normalised(f"file://{tmp_path}/junk", f"file://{tmp_path}/junk.out", {})
 
 
 @pytest.mark.parametrize("least", [0, 1, 10])
