@@ -7,26 +7,31 @@ GRAM-word grams (winnowing), so equal windows have equal fingerprints, and a tex
 Index: each batch of documents becomes one sorted, immutable, bucketed run (key, n: gram places of that
 key). A new batch's run is merge-joined with the historical runs bucket by bucket; the keys seen before,
 or twice in the batch, are the candidates. Runs are compacted when FAN_IN of them have gathered; a run's
-name states the batches it covers, so a compaction that is cut short is never counted twice.
+name states the batches it covers, so a compaction that is cut short is never counted twice. BATCHES are more than
+FAN_IN, so each call compacts.
 
-Verification: documents with candidate keys emit, per run of windows with one fingerprint, the digests
-of the whole windows. Equal rows of one Arrow batch are merged before the shuffle. The rows meet by key,
+Verification: documents with candidate keys emit, per run of windows with one fingerprint, the 128-bit XXH3 digest of the
+whole windows' bytes. Equal rows of one Arrow batch are merged before the shuffle. The rows meet by key,
 sorted, and stream through with the distinct windows of one key as the only state; a window whose digest
-comes twice is repeated. A bit map of fixed size (2^FILTER_BITS bits, broadcast) holds back windows whose
-key is no candidate; its false hits only cost rows.
+comes twice is repeated (within one key, a trillion different windows would make one mistake in 10^14 such corpora).
 
-Hot keys: a second map of the same size marks keys with HOT_PLACES places or more. Their windows go one by
-one, by key and digest, so that different windows with a common gram part, and a batch sends each of them
+Candidate keys reach the documents as a broadcast bit map of KEY_BITS bits a key and 2^MAP_BITS bits (32 MB) at most; its
+false hits only cost rows. Where the keys need a larger one, the documents' own keys are semi-joined with
+them instead, and each document gets those that are left.
+
+Hot keys: a second map, or mark, tells keys with HOT_PLACES places or more. Their windows go one
+by one, by key and digest, so that different windows with a common gram part, and a batch sends each of them
 once; what one task gets of a window grows with the batches, not with its copies.
 
 History: a call on a named index leaves the digests of its windows by key beside the runs; a later call reads
 those of its candidate keys and verifies its windows against them too.
 
-Every word that a repeated window covers is removed. Windows are judged on the input.
+Every word that a repeated window covers is removed. Windows are judged on the input. Only documents that may lose
+words meet their windows in a shuffle; a bit map of the others' kind, bounded alike, lets the rest stay where it is.
 
 Edge cases: a null text has no words; texts shorter than a window are kept; null and repeated ids are
 told apart by their texts (rows that repeat whole are copies of each other and lose their windows); an
-empty table gives an empty result. Other columns are left alone.
+empty table gives an empty result. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,28 +39,32 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.bitmaps import MAP_BITS, key_filter, map_bits, mapped, parted
 from granary.llm.text import WordHashes, words
 from granary.session import removed, scratch, stored, table
 
 WIDTH = 35
 GRAM = 8
-FILTER_BITS = 27
-FAN_IN = 4
+FAN_IN = 3
 HOT_PLACES = 1024
-BATCHES = 2
+BATCHES = 4
 #: Words that are hashed together.
 CHUNK_WORDS = 1 << 19
 #: Windows of one row; their places are bits of a mask.
 ROW_WINDOWS = 32
 
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: A window's digest as numpy holds it, compared byte by byte.
+DIGEST = np.dtype("V16")
+
+_P = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,8 +103,8 @@ def sliding(a: np.ndarray, w: int, op) -> np.ndarray:
 class _Chunk:
     """Word hashes of some documents end to end, and the windows that lie within one."""
 
-    def __init__(self, docs: list[int], counts: list[int], hashes: list, width: int, gram: int):
-        self.docs, self.width = np.array(docs), width
+    def __init__(self, docs: list[int], counts: list[int], found: list, hashes: list, width: int, gram: int):
+        self.docs, self.width, self.words = np.array(docs), width, found
         self.h = np.array(hashes, np.uint64)
         self.ends = np.cumsum(counts)
         self.starts = self.ends - np.array(counts)
@@ -113,20 +122,30 @@ class _Chunk:
         return self.gram_hash[self.gram_hash == most]
 
 
+    def digests(self, take: np.ndarray) -> np.ndarray:
+        """The 16-byte digests of the windows that begin at the places of take."""
+        line = b" ".join(self.words)
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
+        first = ends[take] - np.fromiter((len(self.words[i]) for i in take.tolist()), np.int64, len(take))
+        digest = xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([digest(line[x:y]) for x, y in zip(first.tolist(), ends[take + self.width - 1].tolist(), strict=True)]), DIGEST)
+
+
 def _chunks(texts, seen: WordHashes, width: int, gram: int) -> Iterator[_Chunk]:
-    docs, counts, hashes = [], [], []
+    docs, counts, lists, hashes = [], [], [], []
     for i, text in enumerate(texts):
         found = words(text)
         if len(found) < width:
             continue
         docs.append(i)
         counts.append(len(found))
+        lists += found
         hashes += [seen[w] for w in found]
         if len(hashes) >= CHUNK_WORDS:
-            yield _Chunk(docs, counts, hashes, width, gram)
-            docs, counts, hashes = [], [], []
+            yield _Chunk(docs, counts, lists, hashes, width, gram)
+            docs, counts, lists, hashes = [], [], [], []
     if docs:
-        yield _Chunk(docs, counts, hashes, width, gram)
+        yield _Chunk(docs, counts, lists, hashes, width, gram)
 
 
 def window_keys(docs: DataFrame, text_col="text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -150,11 +169,11 @@ def window_digests(docs: DataFrame, text_col="text", width: int = WIDTH, gram: i
         seen = WordHashes()
         for rows in batches:
             for c in _chunks(rows["text"], seen, width, gram):
-                digest = grams(mix(c.h + np.uint64(_Q)), width, _Q)[c.valid]
-                both = pd.DataFrame({"key": c.least[c.valid].view(np.int64), "digest": digest.view(np.int64)})
+                digest = c.digests(np.flatnonzero(c.valid)).tobytes()
+                both = pd.DataFrame({"key": c.least[c.valid].view(np.int64), "digest": [digest[16 * i : 16 * i + 16] for i in range(len(digest) // 16)]})
                 yield both.drop_duplicates()
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "key bigint, digest bigint")
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "key bigint, digest binary")
     return rows.distinct()
 
 
@@ -169,7 +188,7 @@ def _folders(spark: SparkSession, root: str, pattern: str) -> list[tuple]:
 def held_windows(spark: SparkSession, root: str) -> DataFrame | None:
     """key, digest that former calls left below root; None if there are none."""
     found = [p.toString() for p, _ in _folders(spark, root, r"windows-[0-9a-f]+")]
-    return spark.read.schema("key bigint, digest bigint").parquet(*found) if found else None
+    return spark.read.schema("key bigint, digest binary").parquet(*found) if found else None
 
 
 class FingerprintIndex:
@@ -235,33 +254,31 @@ class FingerprintIndex:
         self.tables = {}
 
 
-def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """Bit map of the keys' leading bits, built by the executors in blocks of 4 KB; 2^bits bits in all."""
-    at = F.shiftrightunsigned("key", 64 - bits) + 1
-    rows = keys.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
-    rows = rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in rows.toLocalIterator():
-        out[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(row["bits"], np.uint8)
-    return out.tobytes()
+def _listed(lists) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether any of the lists has each key."""
+    known = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in lists if x is not None]])).view(np.uint64)
+    known = np.sort(known)
 
+    def has(keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        return known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
-def _held(filter_bits: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    at = keys >> np.uint64(64 - bits)
-    return (filter_bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return has
 
 
 _OUT = ["key", "merged", "doc_id", "text_hash", "code", "windows"]
 
 
-def _candidates(rows: pd.DataFrame, chunks, filter_bits, hot_bits, bits: int) -> Iterator[pd.DataFrame]:
-    """Rows of one Arrow batch: the window digests by key, equal ones merged; windows of hot keys one by one."""
+def _candidates(rows: pd.DataFrame, chunks, held, hot) -> Iterator[pd.DataFrame]:
+    """Rows of one Arrow batch: the window digests by key, equal ones merged; windows of hot keys one by one.
+
+    held and hot tell which keys are candidates, and hot ones."""
     keys, docs, first, lengths, digests = [], [], [], [], []
     for c in chunks:
-        take = np.flatnonzero(c.valid & _held(filter_bits, c.least, bits))
+        take = np.flatnonzero(c.valid & held(c.least))
         if not len(take):
             continue
-        digest = grams(mix(c.h + np.uint64(_Q)), c.width, _Q)[take]
+        digest = c.digests(take)
         key, doc = c.least[take], c.doc[take]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (take[1:] != take[:-1] + 1)))
         begin = np.flatnonzero(new)
@@ -280,7 +297,9 @@ def _candidates(rows: pd.DataFrame, chunks, filter_bits, hot_bits, bits: int) ->
     key, doc, s0, size, digest = map(np.concatenate, (keys, docs, first, lengths, digests))
     begin = np.cumsum(size) - size
     place = (np.arange(len(digest)) - np.repeat(begin, size)).astype(np.uint64)
-    same = np.add.reduceat(mix(digest + place * np.uint64(_P)), begin) ^ mix(key + size.astype(np.uint64))
+    halves = digest.view(np.uint64).reshape(-1, 2)
+    sums = [np.add.reduceat(mix(halves[:, k] + place * np.uint64(_P)), begin) ^ mix(key + size.astype(np.uint64)) for k in (0, 1)]
+    same = np.ascontiguousarray(np.stack(sums, axis=1)).view(DIGEST).ravel()
     _, one, group, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
     doc_id, text_hash = rows["doc_id"].astype("Int64").array[doc], rows["text_hash"].to_numpy()[doc]
     whole = ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
@@ -292,25 +311,40 @@ def _candidates(rows: pd.DataFrame, chunks, filter_bits, hot_bits, bits: int) ->
     again = np.flatnonzero(n[group] > 1)
     if len(again):
         yield known(again, s0[again], whole[again])
-    merged, hot = n > 1, _held(hot_bits, key[one], bits)
+    merged, is_hot = n > 1, hot(key[one])
     data = digest.tobytes()
-    if hot.any():
-        of = np.repeat(one[hot], size[one[hot]])
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size[one[hot]]) - size[one[hot]], size[one[hot]])
-        x, start, sure = digest[begin[of] + at], s0[of] + at, np.repeat(merged[hot], size[one[hot]])
-        single = mix(key[of] ^ mix(x + np.uint64(_P)))
-        _, first_of, alike, times = np.unique(single, return_index=True, return_inverse=True, return_counts=True)
+    if is_hot.any():
+        of = np.repeat(one[is_hot], size[one[is_hot]])
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size[one[is_hot]]) - size[one[is_hot]], size[one[is_hot]])
+        x, start, sure = begin[of] + at, s0[of] + at, np.repeat(merged[is_hot], size[one[is_hot]])
+        _, first_of, alike, times = np.unique(digest[x], return_index=True, return_inverse=True, return_counts=True)
         more = np.flatnonzero((times[alike] > 1) & ~sure)
         if len(more):
             yield known(of[more], start[more], 1)
-        packed = [data[8 * i : 8 * i + 8] for i in (begin[of] + at)[first_of].tolist()]
+        packed = [data[16 * i : 16 * i + 16] for i in x[first_of].tolist()]
         row = of[first_of]
-        yield pd.DataFrame(dict(zip(_OUT, (single[first_of].view(np.int64), sure[first_of] | (times > 1), doc_id[row], text_hash[row], start[first_of] << 32, packed), strict=True)))
-    one, merged = one[~hot], merged[~hot]
-    packed = [data[8 * a : 8 * (a + k)] for a, k in zip(begin[one].tolist(), size[one].tolist(), strict=True)]
+        own = alone_key(key[row], halves[x[first_of], 0]).view(np.int64)
+        any_sure = np.zeros(len(first_of), bool)
+        np.logical_or.at(any_sure, alike, sure)
+        yield pd.DataFrame(dict(zip(_OUT, (own, any_sure | (times > 1), doc_id[row], text_hash[row], start[first_of] << 32, packed), strict=True)))
+    one, merged = one[~is_hot], merged[~is_hot]
+    packed = [data[16 * a : 16 * (a + k)] for a, k in zip(begin[one].tolist(), size[one].tolist(), strict=True)]
     yield pd.DataFrame(dict(zip(_OUT, (key[one].view(np.int64), merged, doc_id[one], text_hash[one], s0[one] << 32, packed), strict=True)))
 
 
+def alone_key(key: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """The key by which a window of a hot key goes, from half of its digest."""
+    return mix(key ^ mix(half + np.uint64(_P)))
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each digest of x is one of known."""
+    if not len(x) or not len(known):
+        return np.zeros(len(x), bool)
+    held = set(known.tolist())
+    return np.fromiter((v in held for v in x.tolist()), bool, len(x))
+
+
 class _Streamed:
     """Finds the windows that come twice among rows sorted by key; remembers the distinct windows of the last key alone."""
 
@@ -319,7 +353,7 @@ class _Streamed:
         self._forget()
 
     def _forget(self):
-        self.x = np.zeros(0, np.uint64)  # sorted
+        self.x = np.zeros(0, DIGEST)
         self.waiting = np.zeros(0, bool)  # came once, not reported
         self.where = pd.DataFrame({"doc_id": pd.array([], "Int64"), "text_hash": np.zeros(0, np.int64), "start": np.zeros(0, np.int64)})
 
@@ -335,19 +369,21 @@ class _Streamed:
         doc_id, text_hash = rows["doc_id"].astype("Int64").array, rows["text_hash"].to_numpy(np.int64)
         s0 = rows["code"].to_numpy(np.int64) >> 32
         blobs = rows["windows"].tolist()
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 16
         begin = np.cumsum(size) - size
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(row)) - begin[row]
-        x = np.frombuffer(b"".join(blobs), np.uint64) ^ mix(key.view(np.uint64))[row]
+        halves = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2).copy()
+        halves[:, 0] ^= mix(key.view(np.uint64))[row]  # only windows of one key are alike
+        x = halves.view(DIGEST).ravel()
         value, at, n = np.unique(x, return_inverse=True, return_counts=True)
         again = n > 1
         again[at[merged[row]]] = True
         if self.key != key[0]:
             self._forget()
         elif len(self.x):
-            again |= np.isin(value, self.x)
-            told = self.waiting & np.isin(self.x, value[again])
+            again |= _among(value, self.x)
+            told = self.waiting & _among(self.x, value[again])
             if told.any():
                 was = self.where[told]
                 yield pd.DataFrame({"doc_id": was["doc_id"], "text_hash": was["text_hash"], "code": (was["start"].to_numpy(np.int64) << 32) | 1})
@@ -360,55 +396,90 @@ class _Streamed:
         if last != self.key:
             self._forget()
             self.key = last
-        mine = np.flatnonzero((key[row] == last) & ~np.isin(x, self.x))
+        mine = np.flatnonzero(key[row] == last)
+        mine = mine[~_among(x[mine], self.x)]
         if len(mine):
             new, one = np.unique(x[mine], return_index=True)
             one = mine[one]
             where = pd.DataFrame({"doc_id": doc_id[row[one]], "text_hash": text_hash[row[one]], "start": s0[row[one]] + place[one]})
-            both = np.concatenate((self.x, new))
-            order = np.argsort(both, kind="stable")
-            self.x = both[order]
-            self.waiting = np.concatenate((self.waiting, ~again[at[one]]))[order]
-            self.where = pd.concat([self.where, where], ignore_index=True).iloc[order].reset_index(drop=True)
+            self.x = np.concatenate((self.x, new))
+            self.waiting = np.concatenate((self.waiting, ~again[at[one]]))
+            self.where = pd.concat([self.where, where], ignore_index=True)
+
+
+def _own_keys(rows: DataFrame, keys: DataFrame, hot_places: int, width: int, gram: int) -> DataFrame:
+    """rows (doc_id, text_hash, text) that have candidate keys, with these (keys, hot_keys), by a semi-join."""
+
+    def run(batches):
+        seen = WordHashes()
+        for part in batches:
+            ids, hashes = part["doc_id"].astype("Int64").array, part["text_hash"].to_numpy()
+            for c in _chunks(part["text"], seen, width, gram):
+                pairs = pd.DataFrame({"doc": c.docs[c.doc[c.valid]], "key": c.least[c.valid].view(np.int64)}).drop_duplicates()
+                doc = pairs["doc"].to_numpy()
+                yield pd.DataFrame({"own_id": ids[doc], "own_hash": hashes[doc], "key": pairs["key"]})
+
+    marked = keys.groupBy("key").agg((F.max("n") >= hot_places).alias("hot"))
+    found = rows.mapInPandas(run, "own_id bigint, own_hash bigint, key bigint").join(marked, "key").groupBy("own_id", "own_hash")
+    found = found.agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
+    on = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    return rows.join(found, on).select("doc_id", "text_hash", "text", "keys", "hot_keys")
 
 
-def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, bits: int = FILTER_BITS, hot_places: int = HOT_PLACES, history: DataFrame | None = None) -> DataFrame:
+def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, most_bits: int = MAP_BITS, hot_places: int = HOT_PLACES, history: DataFrame | None = None) -> DataFrame:
     """doc_id, text_hash, codes: windows that also start elsewhere, as (first start << 32 | mask of starts from there on).
 
-    keys: the candidate keys with the places counted (key, n), of which the bit maps are made. history: windows
-    (key, digest) of other documents, which count as repeats and aren't reported."""
+    keys: the candidate keys with the places counted (key, n). history: windows (key, digest) of other documents, which
+    count as repeats and aren't reported."""
     context = docs.sparkSession.sparkContext
-    held = context.broadcast(key_filter(keys, bits))
-    hot = context.broadcast(key_filter(keys.filter(F.col("n") >= hot_places), bits))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    bits = map_bits(keys.count(), most_bits)
+    if bits is None:
+        rows, maps = _own_keys(rows, keys, hot_places, width, gram), None
+    else:
+        hot_keys = keys.filter(F.col("n") >= hot_places)
+        maps = context.broadcast((key_filter(keys, bits), key_filter(hot_keys, map_bits(hot_keys.count(), most_bits))))
+
+    def testers(part: pd.DataFrame):
+        return [mapped(x) for x in maps.value] if maps is not None else [_listed(part[c]) for c in ("keys", "hot_keys")]
 
     def emit(batches):
-        seen, filter_bits, hot_bits = WordHashes(), np.frombuffer(held.value, np.uint8), np.frombuffer(hot.value, np.uint8)
-        for rows in batches:
-            yield from _candidates(rows, _chunks(rows["text"], seen, width, gram), filter_bits, hot_bits, bits)
+        seen = WordHashes()
+        for part in batches:
+            yield from _candidates(part, _chunks(part["text"], seen, width, gram), *testers(part))
 
     def recall(batches):
-        hot_bits = np.frombuffer(hot.value, np.uint8)
-        for rows in batches:
-            key, x = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("key", "digest"))
-            key = np.where(_held(hot_bits, key, bits), mix(key ^ mix(x + np.uint64(_P))), key)
-            data = x.tobytes()
-            packed = [data[8 * i : 8 * i + 8] for i in range(len(x))]
-            none = pd.array([None] * len(x), "Int64")
-            yield pd.DataFrame(dict(zip(_OUT, (key.view(np.int64), True, none, 0, 0, packed), strict=True)))
+        for part in batches:
+            key = part["key"].to_numpy(np.int64).view(np.uint64)
+            halves = np.frombuffer(b"".join(part["digest"]), np.uint64).reshape(-1, 2)
+            hot = part["hot"].to_numpy(bool)
+            key = np.where(hot, alone_key(key, halves[:, 0]), key)
+            none = pd.array([None] * len(key), "Int64")
+            yield pd.DataFrame(dict(zip(_OUT, (key.view(np.int64), True, none, 0, 0, part["digest"].tolist()), strict=True)))
 
     def confirm(batches):
         state = _Streamed()
-        for rows in batches:
-            yield from state.feed(rows)
+        for part in batches:
+            yield from state.feed(part)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     layout = "key bigint, merged boolean, doc_id bigint, text_hash bigint, code bigint, windows binary"
     found = rows.mapInPandas(emit, layout)
     if history is not None:
-        found = found.unionByName(history.join(keys.select("key"), "key", "left_semi").mapInPandas(recall, layout))
+        former = history.join(keys.groupBy("key").agg(F.max("n").alias("n")), "key")
+        if maps is None:
+            former = former.withColumn("hot", F.col("n") >= hot_places)
+        else:
+
+            @F.pandas_udf("boolean")
+            def is_hot(key: pd.Series) -> pd.Series:
+                return pd.Series(mapped(maps.value[1])(key.to_numpy(np.int64).view(np.uint64)))
+
+            former = former.withColumn("hot", is_hot("key"))
+        found = found.unionByName(former.select("key", "digest", "hot").mapInPandas(recall, layout))
     ready = found.repartition("key").sortWithinPartitions("key")
     spans = ready.mapInPandas(confirm, "doc_id bigint, text_hash bigint, code bigint")
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_list("code").alias("codes"))
+    # a set: copies of a row send the same codes, so a list is no longer than one text's windows
+    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set("code").alias("codes"))
 
 
 def keep_mask(n_words: int, codes, width: int = WIDTH) -> np.ndarray:
@@ -430,8 +501,12 @@ def kept_words(text: str | None, codes, width: int = WIDTH) -> tuple[list[bytes]
     return [w for w, k in zip(found, keep.tolist(), strict=True) if k], len(found)
 
 
-def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None, hot_places: int = HOT_PLACES) -> DataFrame:
-    """docs with `_codes`, the windows of each document to remove (null: none).
+def _place(doc_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(F.lit(3), doc_id, text_hash)
+
+
+def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None, hot_places: int = HOT_PLACES, most_bits: int = MAP_BITS) -> DataFrame:
+    """row (all columns of a document) and codes, the windows to remove from its text (null: none).
 
     The documents enter the index at `root` batch by batch; windows count as repeated across all of them and
     what former calls on that root entered."""
@@ -446,10 +521,16 @@ def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = W
     index.close()
     if root:
         window_digests(docs, text_col, width, gram).write.parquet(f"{root}/windows-{uuid.uuid4().hex}")
-    spans = repeated_windows(docs, again, id_col, text_col, width, gram, hot_places=hot_places, history=history)
-    spans = spans.withColumnsRenamed({"doc_id": "_span_id", "text_hash": "_span_hash", "codes": "_codes"}).hint("shuffle_hash")
-    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("_span_id")) & (F.xxhash64(text_col) == F.col("_span_hash"))
-    return docs.join(spans, on, "left").drop("_span_id", "_span_hash")
+    spans = repeated_windows(docs, again, id_col, text_col, width, gram, most_bits, hot_places, history)
+    spans = stored(spans, "repeated-windows").withColumnsRenamed({"doc_id": "span_id", "text_hash": "span_hash"})
+    held = F.col("row").getField
+    rows = docs.select(F.struct("*").alias("row")).select("row", held(id_col).cast("bigint").alias("own_id"), F.xxhash64(held(text_col)).alias("own_hash"))
+    on = F.col("own_id").eqNullSafe(F.col("span_id")) & (F.col("own_hash") == F.col("span_hash"))
+    joined = lambda part: part.join(spans.hint("shuffle_hash"), on, "left").select("row", "codes")
+    keys = spans.select(_place(F.col("span_id"), F.col("span_hash")).alias("key"))
+    some, rest = parted(rows, _place(F.col("own_id"), F.col("own_hash")), keys, most_bits)
+    out = joined(some)
+    return out if rest is None else out.unionByName(rest.select("row", F.lit(None).cast("array<bigint>").alias("codes")))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, **more) -> DataFrame:
@@ -459,7 +540,9 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", width: int =
     def cut(text: pd.Series, codes: pd.Series) -> pd.Series:
         return pd.Series([t if c is None else b" ".join(kept_words(t, c, width)[0]).decode("utf-8", "surrogatepass") for t, c in zip(text, codes, strict=True)], dtype=object)
 
-    return with_spans(docs, id_col, text_col, width, **more).withColumn(text_col, cut(text_col, "_codes")).drop("_codes")
+    out = with_spans(docs, id_col, text_col, width, **more)
+    new = cut(F.col("row").getField(text_col), F.col("codes"))
+    return out.withColumn("cut", new).select(*[F.col("cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_substring(spark, sf_dir):
@@ -473,7 +556,7 @@ def op4_substring(spark, sf_dir):
             out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return with_spans(docs).select("doc_id", digest("text", "_codes").alias("d")).select("doc_id", "d.*")
+    return with_spans(docs).select("row.doc_id", digest("row.text", "codes").alias("d")).select("doc_id", "d.*")
 
 
 OP4_SQL = r"""

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from granary.llm import substring
+from granary.llm import bitmaps, substring
 
 
 def brute(rows, width=35):
@@ -21,7 +21,7 @@ def brute(rows, width=35):
 
 
 def check(spark, rows, **more):
-    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id bigint, text string, key int, codes string")
+    docs = spark.createDataFrame([(k, t, 1, "x", 2, 3, 4, 5) for k, t in rows], "doc_id bigint, text string, key int, codes string, _codes int, _span_id int, row int, own_id int")
     got = substring.deduplicated(docs, **more)
     assert got.columns == docs.columns
     given = dict(zip(map(str, rows), rows, strict=True))
@@ -65,6 +65,13 @@ def test_random_passages(spark, seed):
     check(spark, corpus(seed, 60, [f"w{i}" for i in range(400)]), hot_places=2)
 
 
+@pytest.mark.parametrize("hot_places", [2, 1024])
+def test_keys_beyond_the_largest_map(spark, hot_places):
+    """The semi-join that takes the maps' place finds the same windows."""
+    rows = corpus(21, 60, [f"w{i}" for i in range(400)]) + [(None, "a b " * 60), (None, "a b " * 60), (None, None)]
+    check(spark, rows, most_bits=4, hot_places=hot_places)
+
+
 def test_periodic_texts(spark):
     check(spark, corpus(7, 40, ["a", "b"]) + [(100, "a " * 500), (101, "a b c d e " * 8), (102, "one two three " * 12), (103, "x " * 34), (104, "y " * 35), (105, "z " * 36)])
 
@@ -122,7 +129,22 @@ def test_removal_against_former_calls(spark, tmp_path, hot_places):
     run = lambda rows: dict(map(tuple, substring.deduplicated(make(rows), root=root, hot_places=hot_places).collect()))
     assert run(first) == dict(first)
     assert run(second) == {11: "a b c d e", 12: second[1][1], 13: second[2][1]}
-    assert [n for n in os.listdir(f"{tmp_path}/index") if n.startswith("run-")] == [f"run-0-3-{spark.conf.get('spark.sql.shuffle.partitions')}"]
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert sorted(x for x in os.listdir(f"{tmp_path}/index") if x.startswith("run-")) == [f"run-0-6-{n}", f"run-7-7-{n}"]
+
+
+@pytest.mark.parametrize("most_bits", [4, 28])
+def test_history_with_hot_keys(spark, tmp_path, most_bits):
+    common = " ".join(f"c{i}" for i in range(8))
+    around = [" ".join(f"{x}{i}" for i in range(30)) for x in "pqrs"]
+    first = [(k, f"{around[k % 4]} {common} {around[k // 4]}") for k in range(16)]
+    second = [(20, f"{around[1]} {common} {around[2]}"), (21, f"new start {common} new end {around[3]}")]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    more = dict(root=f"file://{tmp_path}/index", hot_places=3, most_bits=most_bits)
+    substring.deduplicated(make(first), **more).collect()
+    got = dict(map(tuple, substring.deduplicated(make(second), **more).collect()))
+    cut = {k: brute_one(first + second, (k, t))[1] for k, t in second}
+    assert got == {k: t if cut[k] is None else cut[k] for k, t in second} and got[20] == ""
 
 
 def test_streamed_state_carries_a_key_over_batches():
@@ -130,7 +152,7 @@ def test_streamed_state_carries_a_key_over_batches():
     import pandas as pd
 
     def row(key, doc, start, windows, merged=False):
-        return {"key": key, "merged": merged, "doc_id": doc, "text_hash": doc, "code": start << 32, "windows": np.array(windows, np.uint64).tobytes()}
+        return {"key": key, "merged": merged, "doc_id": doc, "text_hash": doc, "code": start << 32, "windows": np.array([(w, 7) for w in windows], np.uint64).tobytes()}
 
     batches = [[row(5, 1, 10, [7, 8])], [row(5, 2, 3, [8, 9])], [row(5, 3, 0, [9], True), row(6, 4, 0, [7])], [row(6, 5, 1, [7])]]
     state, got = substring._Streamed(), set()
@@ -145,7 +167,10 @@ def test_key_filter_has_every_key(spark):
     import numpy as np
 
     keys = spark.range(3000).selectExpr("xxhash64(id) AS key")
-    bits = np.frombuffer(substring.key_filter(keys, 20), np.uint8)
+    held = bitmaps.key_filter(keys, 20)
     own = np.array([r["key"] for r in keys.collect()], np.int64).view(np.uint64)
-    assert substring._held(bits, own, 20).all()
-    assert int(np.unpackbits(bits).sum()) == len(np.unique(own >> np.uint64(44)))
+    assert bitmaps.mapped(held)(own).all()
+    assert int(np.unpackbits(np.frombuffer(held, np.uint8)).sum()) == len(np.unique(own >> np.uint64(44)))
+    other = np.setdiff1d(own ^ np.uint64(1 << 40), own)
+    assert substring._listed([own[:5].view(np.int64), None, own[5:].view(np.int64)])(np.concatenate((own, other))).tolist() == [True] * len(own) + [False] * len(other)
+    assert [bitmaps.map_bits(n) for n in (0, 4096, 4097, 1 << 24, (1 << 24) + 1)] == [16, 16, 17, 28, None]
