@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.bitmaps import parted
 from granary.llm.text import words
 from granary.operators.components import connected_components
 from granary.session import stored, table
@@ -240,24 +241,32 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents, all columns, of which one of each group stays: that with the group's smallest id.
+    """The documents, all columns whatever their names, of which one of each group stays: that with the group's smallest id.
 
-    Documents without an id stay unless their group has one; of rows that repeat an id one stays."""
+    Documents without an id stay unless their group has one; of rows that repeat an id one stays. Only the documents
+    whose id is listed, as one that goes or that repeats, meet the list in a shuffle."""
     grouped = stored(near_duplicates(docs, id_col, text_col, shingle, radius), "simhash-groups")
-    gone = grouped.filter("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    out = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    repeats = grouped.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not repeats.isEmpty():
-        named = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        out = named.unionByName(out.filter(F.col(id_col).isNull()))
+    per = grouped.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    listed = stored(per.filter("goes OR n > 1").select(F.col("doc_id").alias("listed_id"), "goes"), "simhash-listed")
+    held = F.col("row").getField
+    rows = docs.select(F.struct("*").alias("row")).select("row", held(id_col).cast("bigint").alias("own_id"))
+    bare, named = rows.filter("own_id IS NULL"), rows.filter("own_id IS NOT NULL")
+    place = lambda c: F.xxhash64(F.lit(3), c)
+    some, rest = parted(named, place(F.col("own_id")), listed.select(place(F.col("listed_id")).alias("key")))
+    met = some.join(listed, F.col("own_id") == F.col("listed_id"), "left").filter("goes IS NULL OR NOT goes")
+    out = met.filter("listed_id IS NULL").select("row").unionByName(met.filter("listed_id IS NOT NULL").dropDuplicates(["own_id"]).select("row"))
+    if rest is not None:
+        out = out.unionByName(rest.select("row"))
     if not grouped.filter("doc_id IS NULL").isEmpty():
         # without an id: a copy of a named document goes; of the rest one of each fingerprint stays
-        bare = docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col])
-        fp = F.udf(lambda x: f"{fingerprint(x, shingle):016x}")(F.col(text_col))
-        named = grouped.filter("component_id IS NOT NULL").select(F.col("fingerprint").alias("named_fp")).distinct()
-        bare = bare.withColumn("bare_fp", fp).join(named, F.col("bare_fp") == F.col("named_fp"), "left_anti").dropDuplicates(["bare_fp"]).drop("bare_fp")
-        out = out.filter(F.col(id_col).isNotNull()).unionByName(bare)
-    return out
+        @F.pandas_udf("string")
+        def own_fingerprint(texts: pd.Series) -> pd.Series:
+            return pd.Series([f"{fingerprint(x, shingle):016x}" for x in texts], dtype=object)
+
+        taken = grouped.filter("component_id IS NOT NULL").select("fingerprint").distinct()
+        bare = bare.withColumn("fingerprint", own_fingerprint(held(text_col))).join(taken, "fingerprint", "left_anti").dropDuplicates(["fingerprint"])
+        out = out.unionByName(bare.select("row"))
+    return out.select("row.*")
 
 
 def op2_simhash(spark, sf_dir):

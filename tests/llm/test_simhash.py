@@ -59,6 +59,8 @@ def test_edge_rows(spark):
     assert found(docs) == as_brute(docs)
     kept = simhash.deduplicated(docs).collect()
     assert sorted((r["doc_id"] for r in kept), key=str) == [1, 4, 5, None]
+    more = docs.selectExpr("*", "9 AS gone_id", "8 AS row", "7 AS own_id", "6 AS bare_fp", "5 AS goes", "4 AS listed_id")
+    assert simhash.deduplicated(more).columns == more.columns and simhash.deduplicated(more).count() == 4
     assert found(docs.limit(0)) == []
     assert simhash.deduplicated(docs.limit(0)).count() == 0
 
