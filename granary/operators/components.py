@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 No step gathers a component: each one is a minimum per node, pre-aggregated, and a join on the node.
-Every half-round is written to the shared folder, so lineage stays short and a lost executor costs a read.
+Every round is written to the shared folder, so lineage stays short and a lost executor costs a read; the one before
+goes once the next is whole.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import stored
+from granary.session import placed, removed
 
 
 def _state(edges: DataFrame):
@@ -23,7 +24,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     links: two bigint columns, in either direction, repeats allowed; nulls and self-links are left out."""
     u, v = F.col(src), F.col(dst)
     edges = links.filter(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
-    edges = stored(edges, "links")
+    edges, path = placed(edges, "links")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,8 +32,10 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before = path
+        edges, path = placed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = _state(edges)
+        removed(edges.sparkSession, before)
         if now == state:
             break
         state = now

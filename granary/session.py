@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, as a URI with its scheme.
 
-    Where the cluster names none (local tests), a temporary folder is made and set.
+    Where a local session names none (tests), a temporary folder is made and set; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="granary-"))
             held = spark.sparkContext.getCheckpointDir()
         named = held
@@ -31,8 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/granary/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's part of the shared folder, which goes when the driver ends."""
+    own = f"{shared_dir(spark)}/granary/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def placed(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As stored, with the path, for callers that know when no later step reads it."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -40,9 +53,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
     It cuts the lineage: an executor that is lost later costs a read, not a recomputation.
     """
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return placed(df, label)[0]
 
 
 def removed(spark: SparkSession, uri: str) -> None:
