@@ -9,8 +9,8 @@ follow. Files end at MAX_IDS ids, or with the document that passes it.
 Files are written in ascending doc_id order (range partitions, sorted) and moved to names that the
 partition determines. All ids come from the tokenizers library, normalizer and splitter included. Where the file's
 steps look at words alone (NFC, lower case, a splitter that drops white space), it is handed the distinct words
-of a batch, without the full stops and commas at their ends, which are pieces of their own; what it says of a word is
-remembered in two generations. Other files are handed whole texts.
+of a batch, in lower case and cut before full stops and commas, which are pieces of their own; what it says of a word is
+remembered in two generations. Other files, and texts that may hold a special token, go to it whole.
 
 Edge cases: a null text is empty and has the end id alone; null ids come first; ties are ordered by the hash of
 their text, so that many rows of one id are several ranges; very long texts are whole; an empty table writes no file.
@@ -20,9 +20,12 @@ Other columns are not read.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.text import words
 from granary.llm.warc import _fs, _Placed
 from granary.session import scratch, stored, table
 
@@ -49,8 +51,8 @@ def word_bpe_path() -> str:
 #: The steps of a file whose ids of a text are those of its words. The splitter is fixed by the vocabulary's format.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Marks at a word's end that, behind a letter or digit, are a piece of their own to that splitter.
-MARKS = b".,;:!?"
+#: Marks behind a letter or digit are a piece of their own to that splitter: a place where words are cut.
+_CUT = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
 #: Words of the texts that are looked up together.
 CHUNK_WORDS = 1 << 18
 
@@ -59,6 +61,7 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, by the library."""
 
     def __init__(self, path: str, most: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's cores have tasks of their own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -68,56 +71,43 @@ class Encoder:
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         splits = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[0]["pattern"] == {"Regex": SPLITTER}
         self.by_word = bool(kinds == NORMALIZERS and splits and not steps[1].get("add_prefix_space") and spec["post_processor"] is None and all(x["content"].startswith("<|") and " " not in x["content"] for x in spec["added_tokens"]))
-        # words and their parts, two generations each: when the younger is full the older goes, so what is in use stays
-        self.word_ids: tuple[dict, dict] = ({}, {})
-        self.part_ids: tuple[dict, dict] = ({}, {})
+        # two generations: when the younger is full the older goes, so what is in use stays
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """The word, lower case, and the marks at its end; what may hold a special token stays as it is."""
-        if b"<" in word:
-            return word, b""
-        word = word.lower()
-        bare = word.rstrip(MARKS)
-        return (bare, word[len(bare) :]) if bare != word and bare[-1:].isalnum() else (word, b"")
-
-    @staticmethod
-    def _unknown(wanted: set, held: tuple[dict, dict]) -> list:
-        """Those of wanted that neither generation has; the younger gets those that the older has."""
-        young, old = held
-        missing = wanted - young.keys()
-        known = missing & old.keys()
-        young.update((w, old[w]) for w in known)
-        return list(missing - known)
-
-    def _aged(self, held: tuple[dict, dict]) -> tuple[dict, dict]:
-        return ({}, held[0]) if len(held[0]) >= self.most else held
-
-    def _learn(self, wanted: set) -> None:
-        new = [(w, *self._parts(w)) for w in self._unknown(wanted, self.word_ids)]
-        parts = self._unknown({p for _, *both in new for p in both if p}, self.part_ids)
-        ids = self.part_ids[0]
-        ids.update(zip(parts, self._library([p.decode("utf-8", "replace") for p in parts]), strict=True))
-        self.word_ids[0].update((w, ids[bare] + ids[end] if end else ids[bare]) for w, bare, end in new)
-
-    def batch(self, texts) -> Iterator[bytes]:
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = list(accumulate(map(len, lists)))
+        data = np.fromiter(chain.from_iterable(lists), "<u4", ends[-1] if ends else 0).tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, lists: list[list[bytes]]) -> None:
+        young, old = self.young, self.old
+        missing = set().union(*lists).difference(young)
+        young.update((w, old[w]) for w in missing if w in old)
+        new = [w for w in missing if w not in young]
+        young.update(zip(new, self._library([w.decode("utf-8", "replace") for w in new]), strict=True))
+
+    def _chunk(self, texts: list[str | None], lists: list[list[bytes] | None]) -> list[bytes]:
+        self._learn([x for x in lists if x is not None])
+        whole = iter(self._library([t for t, x in zip(texts, lists, strict=True) if x is None]))
+        known = self.young.__getitem__
+        out = [next(whole) if x is None else b"".join(map(known, x)) for x in lists]
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        return out
+
+    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; a null text has none."""
-        if not self.by_word:
-            yield from self._library([x or "" for x in texts])
-            return
-        lists, n = [], 0
+        first, lists, n = 0, [], 0
         for i, text in enumerate(texts):
-            lists.append(words(text))
-            n += len(lists[-1])
+            data = (text or "").encode("utf-8", "surrogatepass")
+            # what may hold a special token goes whole
+            lists.append(_CUT.sub(b" ", data.lower()).split() if self.by_word and b"<|" not in data else None)
+            n += len(lists[-1] or ())
             if n >= CHUNK_WORDS or i == len(texts) - 1:
-                self._learn({w for found in lists for w in found})
-                known = self.word_ids[0]
-                yield from [b"".join([known[w] for w in found]) for found in lists]
-                self.word_ids, self.part_ids = self._aged(self.word_ids), self._aged(self.part_ids)
-                lists, n = [], 0
+                yield from self._chunk([x or "" for x in texts[first : i + 1]], lists)
+                first, lists, n = i + 1, [], 0
 
 
 _ENCODERS: dict[str, Encoder] = {}
