@@ -11,7 +11,7 @@ name states the batches it covers, so a compaction that is cut short is never co
 FAN_IN, so each call compacts.
 
 Verification: documents with candidate keys emit, per run of windows with one fingerprint, the 128-bit XXH3 digest of the
-whole windows' bytes. Equal rows of one Arrow batch are merged before the shuffle. The rows meet by key,
+whole windows' bytes. Equal rows of one piece of a batch are merged before the shuffle. The rows meet by key,
 sorted, and stream through with the distinct windows of one key as the only state; a window whose digest
 comes twice is repeated (within one key, a trillion different windows would make one mistake in 10^14 such corpora).
 
@@ -56,8 +56,8 @@ GRAM = 8
 FAN_IN = 3
 HOT_PLACES = 1024
 BATCHES = 4
-#: Words that are hashed together.
-CHUNK_WORDS = 1 << 19
+#: Words that are hashed together, and characters of the texts whose windows are merged together: what bounds a task's memory.
+CHUNK_WORDS, PIECE_CHARS = 1 << 18, 8 << 20
 #: Windows of one row; their places are bits of a mask.
 ROW_WINDOWS = 32
 
@@ -269,8 +269,16 @@ def _listed(lists) -> Callable[[np.ndarray], np.ndarray]:
 _OUT = ["key", "merged", "doc_id", "text_hash", "code", "windows"]
 
 
+def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in order, in pieces of about PIECE_CHARS characters of text; a longer text is a piece of its own."""
+    ends = rows["text"].map(lambda t: len(t or "")).cumsum().to_numpy()
+    which = np.maximum(ends - 1, 0) // PIECE_CHARS
+    for k in np.unique(which).tolist():
+        yield rows[which == k].reset_index(drop=True)
+
+
 def _candidates(rows: pd.DataFrame, chunks, held, hot) -> Iterator[pd.DataFrame]:
-    """Rows of one Arrow batch: the window digests by key, equal ones merged; windows of hot keys one by one.
+    """Rows of one piece: the window digests by key, equal ones merged; windows of hot keys one by one.
 
     held and hot tell which keys are candidates, and hot ones."""
     keys, docs, first, lengths, digests = [], [], [], [], []
@@ -445,8 +453,9 @@ def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col
 
     def emit(batches):
         seen = WordHashes()
-        for part in batches:
-            yield from _candidates(part, _chunks(part["text"], seen, width, gram), *testers(part))
+        for batch in batches:
+            for part in _pieces(batch):
+                yield from _candidates(part, _chunks(part["text"], seen, width, gram), *testers(part))
 
     def recall(batches):
         for part in batches:
