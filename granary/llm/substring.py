@@ -10,10 +10,10 @@ or twice in the batch, are the candidates. Runs are compacted when FAN_IN of the
 name states the batches it covers, so a compaction that is cut short is never counted twice. BATCHES are more than
 FAN_IN, so each call compacts.
 
-Verification: documents with candidate keys emit, per run of windows with one fingerprint, the 128-bit XXH3 digest of the
-whole windows' bytes. Equal rows of one piece of a batch are merged before the shuffle. The rows meet by key,
+Verification: documents with candidate keys emit, per run of windows with one fingerprint, 128-bit digests of the whole
+windows, each two 64-bit polynomials over independent mixes of their words' hashes. Equal rows of one piece of a batch are merged before the shuffle. The rows meet by key,
 sorted, and stream through with the distinct windows of one key as the only state; a window whose digest
-comes twice is repeated (within one key, a trillion different windows would make one mistake in 10^14 such corpora).
+comes twice is repeated. Different windows meet only if they share a key, and would have to agree in 128 bits more.
 
 Candidate keys reach the documents as a broadcast bit map of KEY_BITS bits a key and 2^MAP_BITS bits (32 MB) at most; its
 false hits only cost rows. Where the keys need a larger one, the documents' own keys are semi-joined with
@@ -43,7 +43,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +56,7 @@ FAN_IN = 3
 HOT_PLACES = 1024
 BATCHES = 4
 #: Words that are hashed together, and characters of the texts whose windows are merged together: what bounds a task's memory.
-CHUNK_WORDS, PIECE_CHARS = 1 << 18, 8 << 20
+CHUNK_WORDS, PIECE_CHARS = 1 << 18, 16 << 20
 #: Windows of one row; their places are bits of a mask.
 ROW_WINDOWS = 32
 
@@ -65,6 +64,8 @@ ROW_WINDOWS = 32
 DIGEST = np.dtype("V16")
 
 _P = 0x9E3779B97F4A7C15
+#: What the words' hashes are combined with, and the base of the polynomial, for either half of a digest.
+_DIGESTS = ((np.uint64(0xC2B2AE3D27D4EB4F), 0xC2B2AE3D27D4EB4F), (np.uint64(0x165667B19E3779F9), 0x27D4EB2F165667C5))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,8 +104,8 @@ def sliding(a: np.ndarray, w: int, op) -> np.ndarray:
 class _Chunk:
     """Word hashes of some documents end to end, and the windows that lie within one."""
 
-    def __init__(self, docs: list[int], counts: list[int], found: list, hashes: list, width: int, gram: int):
-        self.docs, self.width, self.words = np.array(docs), width, found
+    def __init__(self, docs: list[int], counts: list[int], hashes: list, width: int, gram: int):
+        self.docs, self.width = np.array(docs), width
         self.h = np.array(hashes, np.uint64)
         self.ends = np.cumsum(counts)
         self.starts = self.ends - np.array(counts)
@@ -123,29 +124,25 @@ class _Chunk:
 
 
     def digests(self, take: np.ndarray) -> np.ndarray:
-        """The 16-byte digests of the windows that begin at the places of take."""
-        line = b" ".join(self.words)
-        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
-        first = ends[take] - np.fromiter((len(self.words[i]) for i in take.tolist()), np.int64, len(take))
-        digest = xxhash.xxh3_128_digest
-        return np.frombuffer(b"".join([digest(line[x:y]) for x, y in zip(first.tolist(), ends[take + self.width - 1].tolist(), strict=True)]), DIGEST)
+        """The 16-byte digests of the windows that begin at the places of take: two hashes of all their words."""
+        both = [grams(mix(self.h ^ salt), self.width, base)[take] for salt, base in _DIGESTS]
+        return np.ascontiguousarray(np.stack(both, axis=1)).view(DIGEST).ravel()
 
 
 def _chunks(texts, seen: WordHashes, width: int, gram: int) -> Iterator[_Chunk]:
-    docs, counts, lists, hashes = [], [], [], []
+    docs, counts, hashes = [], [], []
     for i, text in enumerate(texts):
         found = words(text)
         if len(found) < width:
             continue
         docs.append(i)
         counts.append(len(found))
-        lists += found
         hashes += [seen[w] for w in found]
         if len(hashes) >= CHUNK_WORDS:
-            yield _Chunk(docs, counts, lists, hashes, width, gram)
-            docs, counts, lists, hashes = [], [], [], []
+            yield _Chunk(docs, counts, hashes, width, gram)
+            docs, counts, hashes = [], [], []
     if docs:
-        yield _Chunk(docs, counts, lists, hashes, width, gram)
+        yield _Chunk(docs, counts, hashes, width, gram)
 
 
 def window_keys(docs: DataFrame, text_col="text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
