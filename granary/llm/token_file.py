@@ -9,7 +9,7 @@ follow. Files end at MAX_IDS ids, or with the document that passes it.
 Files are written in ascending doc_id order (range partitions, sorted) and moved to names that the
 partition determines. All ids come from the tokenizers library, normalizer and splitter included. Where the file's
 steps look at words alone (NFC, lower case, a splitter that drops white space), it is handed the distinct words
-of a batch, in lower case and cut before full stops and commas, which are pieces of their own; what it says of a word is
+of a batch, in lower case and cut before marks, which begin pieces of their own; what it says of a word is
 remembered in two generations. Other files, and texts that may hold a special token, go to it whole.
 
 Edge cases: a null text is empty and has the end id alone; null ids come first; ties are ordered by the hash of
@@ -51,8 +51,9 @@ def word_bpe_path() -> str:
 #: The steps of a file whose ids of a text are those of its words. The splitter is fixed by the vocabulary's format.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Marks behind a letter or digit are a piece of their own to that splitter: a place where words are cut.
-_CUT = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: ASCII marks behind a letter or digit (of ASCII, or a letter of U+00C0 to U+00FF) begin a piece to that splitter: a place
+#: where words are cut.
+_CUT = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[!-/:-@\[-`{-~])")
 #: Words of the texts that are looked up together.
 CHUNK_WORDS = 1 << 18
 

@@ -49,7 +49,7 @@ def test_encoder_matches_the_library(spark):
     whole, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_file.Encoder(P.path("word_bpe_49k.json"), most=5000)
     assert own.by_word
     rng = np.random.default_rng(5)
-    marks = list("aAzÉéßΣς09'.,;:!?#<|>-_\u0301\u00a0\x1c\u0130 ") + ["'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    marks = list("aAzÉéßΣς×÷…09'.,;:!?#<|>-_&(@\u0301\u00a0\x1c\u0130 ") + ["'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>"]
     odd = ["".join(rng.choice(marks, rng.integers(1, 12))) for _ in range(4000)]
     texts = TEXTS + odd + [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     for _ in range(2):
