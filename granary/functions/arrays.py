@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions.hashing import order_key
 from granary.functions.text import bound, tokens
 
 
@@ -41,3 +42,47 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
+
+
+# ---- arrays side by side, and maps -----------------------------------------
+
+
+def zipped(**arrays: Column) -> Column:
+    """Structs of the arrays' elements at one place, as many as the shortest has; null if one is null."""
+    shortest = F.least(*map(F.size, arrays.values())) if len(arrays) > 1 else F.size(next(iter(arrays.values())))
+    return F.slice(F.arrays_zip(*[c.alias(k) for k, c in arrays.items()]), F.lit(1), F.greatest(shortest, F.lit(0)))
+
+
+def dict_of(keys: Column, values: Column) -> Column:
+    """A map from two arrays, cut to the shorter; of a key that repeats the last value counts. Null keys are left out."""
+    pairs = F.filter(zipped(k=keys, v=values), lambda x: x["k"].isNotNull())
+    last = lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda y: y["k"] == x["k"])
+    return F.map_from_entries(F.filter(pairs, last))
+
+
+def summed_by(keys: Column, values: Column) -> Column:
+    """A map from each key to the sum of its values, the arrays cut to the shorter; null values count 0, null keys are left out."""
+    pairs = F.filter(zipped(k=keys, v=values), lambda x: x["k"].isNotNull())
+    total = lambda k: F.aggregate(F.filter(pairs, lambda x: x["k"] == k), F.lit(0.0), lambda s, x: s + F.coalesce(x["v"].cast("double"), F.lit(0.0)))
+    names = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+    return F.map_from_arrays(names, F.transform(names, total))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """A map with the entries of both; where both have a key, those of the second."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+
+
+def drawn_places(size: Column, n: Column, *seed: Column) -> Column:
+    """n of the places 0 to size - 1, without repeats, in the order of their hashes."""
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    ranked = F.array_sort(F.transform(places, lambda i: F.struct(order_key(*seed, i).alias("h"), i.alias("i"))))
+    return F.slice(F.transform(ranked, lambda x: x["i"]), F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def disjoint(a: Column, b: Column) -> Column:
+    return ~F.exists(a, lambda x: F.array_contains(b, x))
+
+
+def subset(a: Column, b: Column) -> Column:
+    return F.forall(a, lambda x: F.array_contains(b, x))

@@ -57,14 +57,14 @@ def stylometric(text: Column, parts: bool = False) -> dict[str, Column]:
         "quotes": rate('"'),
         "digits_per_char": _share(F.regexp_count(text, F.lit("[0-9]")), F.length(text)),
         "capitalised": _share(F.size(F.filter(F.slice(w, 2, F.greatest(n, F.lit(1))), lambda x: x.rlike("^[A-Z]"))), n),
-        "function_words": _share(F.size(F.filter(low, lambda x: x.isin(*V.STOP_WORDS))), n),
+        "function_words": _share(F.size(F.filter(low, lambda x: x.isin(*V.FUNCTION_WORDS))), n),
     }
 
 
 def lexicon_patterns() -> dict[str, str]:
     out = {}
     for group, phrases in V.LEXICON.items():
-        ranked = sorted(set(phrases.split(",")), key=lambda p: (-len(p), p))
+        ranked = sorted(set(phrases), key=lambda p: (-len(p), p))
         out[group] = "(?i)(?<![A-Za-z])(?:" + "|".join(map(re.escape, ranked)) + ")(?![A-Za-z])"
     return out | {k: "(?i)" + v for k, v in V.LEXICON_PATTERNS.items()}
 

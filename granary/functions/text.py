@@ -91,12 +91,12 @@ def word_count(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """After . ! or ? and white space."""
-    return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(F.trim(text), V.SENTENCE_END), lambda s: F.trim(s) != "")
 
 
 def sentences_strict(text: Column) -> Column:
     """As sentences, if a capital, quote or bracket follows; and at line breaks."""
-    parts = F.split(F.trim(text), r"(?<=[.!?])\s+(?=[A-Z\"'(\[])|\s*\n+\s*")
+    parts = F.split(F.trim(text), V.SENTENCE_END_STRICT)
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -173,7 +173,7 @@ def artifact(wrong: Column, refs: Column, strict: bool = True) -> Column:
         F.when(F.contains(low, F.lit("disambiguation")), "wikipedia_artifact")
         .when(~wrong.rlike("[A-Za-z0-9]"), "non_latin")
         .when(wrong.rlike(V.UNIT) | F.coalesce(first.rlike(V.UNIT), F.lit(False)), "unit_value")
-        .when(F.trim(wrong).rlike(r"^[A-Za-z]+ \d{4}$") & ~F.get(toks, F.lit(0)).isin(*V.MONTHS), "name_plus_year")
+        .when(F.trim(wrong).rlike(V.NAME_PLUS_YEAR) & ~F.get(toks, F.lit(0)).isin(*V.MONTHS), "name_plus_year")
     )
     if strict:
         many = F.size(toks) >= 2
@@ -185,21 +185,13 @@ def artifact(wrong: Column, refs: Column, strict: bool = True) -> Column:
 
 
 def has_markdown(text: Column) -> Column:
-    return text.rlike(r"(?s)\*\*(.+?)\*\*|__(.+?)__") | text.rlike(r"(?m)^[ \t]{0,3}#{1,6}[ \t]+") | text.rlike(r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$")
+    bold, heading, rule = V.MARKDOWN
+    return text.rlike(bold) | text.rlike(heading) | text.rlike(rule)
 
 
 def strip_markdown(text: Column) -> Column:
     """Links, bold, italics, headings, rules and bullets to their words; a second pass changes nothing."""
-    steps = (
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"(?s)\*\*(.+?)\*\*|__(.+?)__", "$1$2"),
-        (r"(?<![\w*])\*(?!\s)([^*\n]+?)(?<!\s)\*(?!\w)|(?<![\w_])_(?!\s)([^_\n]+?)(?<!\s)_(?!\w)", "$1$2"),
-        (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),
-        (r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", ""),
-        (r"(?m)^[ \t]*(?:[-*•]|\d+[.)])[ \t]+", ""),
-        (r"[ \t]+\n", "\n"),
-    )
-    for pattern, to in steps:
+    for pattern, to in V.MARKDOWN_STEPS:
         text = F.regexp_replace(text, pattern, to)
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -232,7 +224,7 @@ def looks_like_refusal(text: Column, cues: Sequence[str] = V.REFUSALS) -> Column
 
 
 #: What steps outside a passage: frame breaks, leftovers of a chat, disclaimers.
-META = (*V.META_MARKERS, *V.LEXICON["chatbot_leftovers"].split(","), *V.LEXICON["knowledge_disclaimers"].split(","))
+META = (*V.META_MARKERS, *V.LEXICON["chatbot_leftovers"], *V.LEXICON["knowledge_disclaimers"])
 
 
 def meta_hits(text: Column, markers: Sequence[str] = META) -> Column:
@@ -249,7 +241,7 @@ def strip_prefix(text: Column) -> Column:
 
 
 def drop_first_sentence(text: Column) -> Column:
-    parts = F.split(F.trim(text), r"(?<=[.!?])\s+", 2)
+    parts = F.split(F.trim(text), V.SENTENCE_END, 2)
     return F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(text)
 
 
@@ -278,6 +270,27 @@ def alias_window(text: Column, aliases: Column, n: int, draw: Column) -> Column:
     return bound(F.split(line, " "), cut)
 
 
+def rendered(template: str, **slots: Column) -> Column:
+    """A template whose {name} slots are filled; a value that itself holds braces stays as it is, null values are empty."""
+    parts = []
+    for before, name, _, _ in string.Formatter().parse(template):
+        if before:
+            parts.append(F.lit(before))
+        if name is not None:
+            parts.append(F.coalesce(slots[name].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def today() -> Column:
+    """The date in ISO form, from the session's clock and zone."""
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+def now() -> Column:
+    """The time to the second in ISO form."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 # ---- denial ----------------------------------------------------------------
 
 def denial(sentence: Column, value_regex: Column) -> Column:
@@ -307,16 +320,12 @@ def generation_problem(text: Column, own: Column, other: Column, min_words: int)
     )
 
 
-#: Up to two capitalised names before a value, so that a whole name is replaced and not just the surname.
-NAME_RUN = r"(?-i:(?:\b[A-Z][a-z]+\.?[ \t]+){0,2})"
-
-
 def salvage(text: Column, own: Column, other: Column) -> Column:
     """Sentences kept: those with both values, asides to the reader and denials go; a lone other value, with the names
     before it, is replaced by own's first. A text without any edit is returned as it is."""
     mine, theirs = alias_regex(own), alias_regex(other)
     first = F.regexp_replace(F.element_at(own, 1), r"([\\$])", r"\\$1")
-    named = F.concat(F.lit(NAME_RUN + "(?:"), theirs, F.lit(")"))
+    named = F.concat(F.lit(V.NAME_RUN + "(?:"), theirs, F.lit(")"))
     whole = sentences_strict(text)
     parts = F.filter(whole, lambda s: ~(F.rlike(s, theirs) & F.rlike(s, mine)))
     parts = F.transform(parts, lambda s: F.when(F.rlike(s, theirs), F.regexp_replace(s, named, first)).otherwise(s))

@@ -12,12 +12,35 @@ NO_ANSWER = ("", "unknown", "not stated", "no answer", "none", "n a", "not menti
 ANSWER_PREFIX = r"^(?:(?:the )?answer(?: is)?|it is|it was|is)\s+"
 YEAR = r"(1[0-9]{3}|20[0-2][0-9])"
 UNIT = r"\d\s*(ft|in|cm|mm|km|kg|lb|lbs|oz|m)\b"
+NAME_PLUS_YEAR = r"^[A-Za-z]+ \d{4}$"
+#: Where a text is cut into sentences: after a mark and white space; or with a capital, quote or bracket behind, and at line ends.
+SENTENCE_END = r"(?<=[.!?])\s+"
+SENTENCE_END_STRICT = r"(?<=[.!?])\s+(?=[A-Z\"'(\[])|\s*\n+\s*"
+#: Bold, headings and rules tell that a text has markdown.
+MARKDOWN = (r"(?s)\*\*(.+?)\*\*|__(.+?)__", r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$")
+#: Markup and what stays of it, in the order in which it goes.
+MARKDOWN_STEPS = (
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(?s)\*\*(.+?)\*\*|__(.+?)__", "$1$2"),
+    (r"(?<![\w*])\*(?!\s)([^*\n]+?)(?<!\s)\*(?!\w)|(?<![\w_])_(?!\s)([^_\n]+?)(?<!\s)_(?!\w)", "$1$2"),
+    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),
+    (r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", ""),
+    (r"(?m)^[ \t]*(?:[-*•]|\d+[.)])[ \t]+", ""),
+    (r"[ \t]+\n", "\n"),
+)
+#: Up to two capitalised names before a value, so that a whole name is replaced and not just the surname.
+NAME_RUN = r"(?-i:(?:\b[A-Z][a-z]+\.?[ \t]+){0,2})"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec")
 GENERIC_TOKENS = (
     "disambiguation", "state", "region", "city", "county", "country", "division", "innovation", "neighborhoods", "neighbourhoods", "greek", "latin", "maps", "conundrum", "islands",
     "games", "character", "origin", "topic", "category", "list", "overview", "history",
 )
 STOP_WORDS = ("the a an of in on at to for and or is was were are be by with from as that this which who whom whose what when where why how did does do has have had it its his her their he she they you we i").split()
+FUNCTION_WORDS = (
+    "the of and to in a is that for it as was with be by on not he i this are or his from at which but have an had they you were their one all we can her has there been if more when will "
+    "would who so no which what about out up its into than them then some could time these two may only other new do any very like should over such after most also made many before must "
+    "through back years where much your way well down"
+).split()
 MINHASH_PRIME = 4294967291
 SCORE = r"(?i)Credibility Score\**\s*[:=]?\s*\**\s*(\d+)(?:\s*/\s*10)?"
 SCORE_LOOSE = r"(?i)\bscore\b(?:(?!from|between|ranging)[^0-9\n]){0,25}?(\d{1,2})\b(?!\s*(?:to|-|–)\s*\d)(?:\s*/\s*10)?"
@@ -58,20 +81,55 @@ RECIPES = {
     "shortcut_contrast": (("H_T", 1), ("A_C", "k")),
 }
 LEXICON = {
-    "overused_words": "actually,additionally,align with,crucial,delve,delves,emphasizing,enduring,enhance,enhances,fostering,garner,highlight,highlights,interplay,intricate,intricacies,key role,landscape,pivotal,quietly,showcase,showcases,showcasing,tapestry,testament,underscore,underscores,valuable,vibrant",
-    "inflated_importance": "stands as,serves as,is a testament,is a reminder,vital role,significant role,crucial role,pivotal role,pivotal moment,key moment,underscores its,highlights its,reflects broader,symbolizing its,ongoing legacy,enduring legacy,lasting legacy,contributing to the,setting the stage,marking the,shaping the,represents a shift,marks a shift,turning point,evolving landscape,focal point,indelible mark,deeply rooted",
-    "shallow_ing": "highlighting,underscoring,emphasizing,ensuring,reflecting,symbolizing,contributing to,cultivating,fostering,encompassing,showcasing",
-    "sales": "boasts,boasts a,rich cultural,rich history,profound,enhancing its,exemplifies,commitment to,natural beauty,nestled,in the heart of,groundbreaking,renowned,breathtaking,must-visit,stunning",
-    "vague_sources": "industry reports,observers have,experts argue,experts believe,experts say,some critics argue,several sources,according to experts,historians agree,scholars agree",
-    "deeper_truth": "the real question is,at its core,in reality,what really matters,fundamentally,the deeper issue,the heart of the matter",
-    "announcing": "let's dive,let's explore,let's break this down,here's what you need to know,now let's look,without further ado",
-    "chatbot_leftovers": "i hope this helps,of course!,certainly!,you're absolutely right,would you like,want me to,let me know,here is a,here's a,in this article,in this passage,this passage",
-    "knowledge_disclaimers": "as of my last,up to my last training,based on available information,not publicly available,it is believed that,while specific details are limited,readily available sources,it is important to note,it's important to note,it is worth noting,worth noting that",
-    "filler": "in order to,due to the fact that,at this point in time,in the event that,has the ability to",
-    "qualifiers": "to be fair,it's also possible,could potentially,might arguably,in some cases it may",
-    "formulaic_endings": "the future looks bright,exciting times lie ahead,journey toward,step in the right direction,continues to thrive,continue to inspire,continues to captivate,continue to captivate",
-    "fake_candid": "honestly?,here's the thing,the thing is,let's be honest,real talk",
-}
+    "overused_words": (
+        "actually", "additionally", "align with", "crucial", "delve", "delves", "emphasizing", "enduring", "enhance", "enhances", "fostering", "garner", "highlight", "highlights",
+        "interplay", "intricate", "intricacies", "key role", "landscape", "pivotal", "quietly", "showcase", "showcases", "showcasing", "tapestry", "testament", "underscore", "underscores",
+        "valuable", "vibrant",
+    ),
+    "inflated_importance": (
+        "stands as", "serves as", "is a testament", "is a reminder", "vital role", "significant role", "crucial role", "pivotal role", "pivotal moment", "key moment", "underscores its",
+        "highlights its", "reflects broader", "symbolizing its", "ongoing legacy", "enduring legacy", "lasting legacy", "contributing to the", "setting the stage", "marking the",
+        "shaping the", "represents a shift", "marks a shift", "turning point", "evolving landscape", "focal point", "indelible mark", "deeply rooted",
+    ),
+    "shallow_ing": (
+        "highlighting", "underscoring", "emphasizing", "ensuring", "reflecting", "symbolizing", "contributing to", "cultivating", "fostering", "encompassing", "showcasing",
+    ),
+    "sales": (
+        "boasts", "boasts a", "rich cultural", "rich history", "profound", "enhancing its", "exemplifies", "commitment to", "natural beauty", "nestled", "in the heart of", "groundbreaking",
+        "renowned", "breathtaking", "must-visit", "stunning",
+    ),
+    "vague_sources": (
+        "industry reports", "observers have", "experts argue", "experts believe", "experts say", "some critics argue", "several sources", "according to experts", "historians agree",
+        "scholars agree",
+    ),
+    "deeper_truth": (
+        "the real question is", "at its core", "in reality", "what really matters", "fundamentally", "the deeper issue", "the heart of the matter",
+    ),
+    "announcing": (
+        "let's dive", "let's explore", "let's break this down", "here's what you need to know", "now let's look", "without further ado",
+    ),
+    "chatbot_leftovers": (
+        "i hope this helps", "of course!", "certainly!", "you're absolutely right", "would you like", "want me to", "let me know", "here is a", "here's a", "in this article",
+        "in this passage", "this passage",
+    ),
+    "knowledge_disclaimers": (
+        "as of my last", "up to my last training", "based on available information", "not publicly available", "it is believed that", "while specific details are limited",
+        "readily available sources", "it is important to note", "it's important to note", "it is worth noting", "worth noting that",
+    ),
+    "filler": (
+        "in order to", "due to the fact that", "at this point in time", "in the event that", "has the ability to",
+    ),
+    "qualifiers": (
+        "to be fair", "it's also possible", "could potentially", "might arguably", "in some cases it may",
+    ),
+    "formulaic_endings": (
+        "the future looks bright", "exciting times lie ahead", "journey toward", "step in the right direction", "continues to thrive", "continue to inspire", "continues to captivate",
+        "continue to captivate",
+    ),
+    "fake_candid": (
+        "honestly?", "here's the thing", "the thing is", "let's be honest", "real talk",
+    ),
+}
 LEXICON_PATTERNS = {
     "not_x_but_y": r"\bnot (?:only|just|merely|simply)\b.{3,80}?\bbut\b",
     "dashes": r"[—–]|\s--\s",

@@ -263,6 +263,8 @@ def _listed(lists) -> Callable[[np.ndarray], np.ndarray]:
     return has
 
 
+#: The code of rows whose windows are codes of spans that are sure to repeat.
+SURE = -1
 _OUT = ["key", "merged", "doc_id", "text_hash", "code", "windows"]
 
 
@@ -309,13 +311,8 @@ def _candidates(rows: pd.DataFrame, chunks, held, hot) -> Iterator[pd.DataFrame]
     doc_id, text_hash = rows["doc_id"].astype("Int64").array[doc], rows["text_hash"].to_numpy()[doc]
     whole = ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
 
-    def known(row, start, mask):  # sure to repeat: they go by their own key, and one of them stands for all
-        own = mix(row.astype(np.uint64) + start.astype(np.uint64) * np.uint64(_P) + text_hash[row].view(np.uint64)).view(np.int64)
-        return pd.DataFrame(dict(zip(_OUT, (own, False, doc_id[row], text_hash[row], (start << 32) | mask, None), strict=True)))
-
-    again = np.flatnonzero(n[group] > 1)
-    if len(again):
-        yield known(again, s0[again], whole[again])
+    again = np.flatnonzero(n[group] > 1)  # sure to repeat
+    sure_row, sure_code = [again], [(s0[again] << 32) | whole[again]]
     merged, is_hot = n > 1, hot(key[one])
     data = digest.tobytes()
     if is_hot.any():
@@ -324,8 +321,8 @@ def _candidates(rows: pd.DataFrame, chunks, held, hot) -> Iterator[pd.DataFrame]
         x, start, sure = begin[of] + at, s0[of] + at, np.repeat(merged[is_hot], size[one[is_hot]])
         _, first_of, alike, times = np.unique(digest[x], return_index=True, return_inverse=True, return_counts=True)
         more = np.flatnonzero((times[alike] > 1) & ~sure)
-        if len(more):
-            yield known(of[more], start[more], 1)
+        sure_row.append(of[more])
+        sure_code.append((start[more] << 32) | 1)
         packed = [data[16 * i : 16 * i + 16] for i in x[first_of].tolist()]
         row = of[first_of]
         own = alone_key(key[row], halves[x[first_of], 0]).view(np.int64)
@@ -335,6 +332,16 @@ def _candidates(rows: pd.DataFrame, chunks, held, hot) -> Iterator[pd.DataFrame]
     one, merged = one[~is_hot], merged[~is_hot]
     packed = [data[16 * a : 16 * (a + k)] for a, k in zip(begin[one].tolist(), size[one].tolist(), strict=True)]
     yield pd.DataFrame(dict(zip(_OUT, (key[one].view(np.int64), merged, doc_id[one], text_hash[one], s0[one] << 32, packed), strict=True)))
+    # what is sure goes as one row a document, under a key of its own
+    of_row, code = np.concatenate(sure_row), np.concatenate(sure_code)
+    if len(of_row):
+        order = np.argsort(doc[of_row], kind="stable")
+        of_row, data = of_row[order], code[order].astype(np.int64).tobytes()
+        cuts = np.flatnonzero(np.concatenate(([True], doc[of_row][1:] != doc[of_row][:-1], [True])))
+        row = of_row[cuts[:-1]]
+        packed = [data[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        own = mix(text_hash[row].view(np.uint64) + doc[row].astype(np.uint64) * np.uint64(_P)).view(np.int64)
+        yield pd.DataFrame(dict(zip(_OUT, (own, False, doc_id[row], text_hash[row], SURE, packed), strict=True)))
 
 
 def alone_key(key: np.ndarray, half: np.ndarray) -> np.ndarray:
@@ -363,10 +370,13 @@ class _Streamed:
         self.where = pd.DataFrame({"doc_id": pd.array([], "Int64"), "text_hash": np.zeros(0, np.int64), "start": np.zeros(0, np.int64)})
 
     def feed(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        direct = rows["windows"].isna().to_numpy()
-        if direct.any():
-            yield rows.loc[direct, ["doc_id", "text_hash", "code"]]
-            rows = rows[~direct]
+        sure = rows["code"].to_numpy(np.int64) == SURE
+        if sure.any():
+            own = rows[sure]
+            size = own["windows"].map(len).to_numpy() // 8
+            code = np.frombuffer(b"".join(own["windows"]), np.int64)
+            yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").array.repeat(size), "text_hash": np.repeat(own["text_hash"].to_numpy(np.int64), size), "code": code})
+            rows = rows[~sure]
         if not len(rows):
             return
         key = rows["key"].to_numpy(np.int64)

@@ -1,14 +1,24 @@
-"""Which texts hold which aliases, by an equi-join on word runs instead of a comparison of all with all."""
+"""Which texts hold which aliases.
+
+An alias table of a checked size goes to the texts as one automaton, so a text is read once and nothing is shuffled. A
+larger one meets them in an equi-join on word runs: only lengths that some alias needs are listed, and each alias waits
+under its run that the fewest texts hold."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import bound, contains_normalized
+from granary.session import stored
 
 #: Words of an alias that make its join key.
 KEY_WORDS = 3
+#: Aliases, and characters of all of them, up to which an automaton of them is broadcast.
+MOST_ALIASES, MOST_CHARS = 200_000, 16_000_000
 
 
 def _runs(text: Column, n: int) -> Column:
@@ -17,16 +27,51 @@ def _runs(text: Column, n: int) -> Column:
     return bound(F.filter(F.split(text, " "), lambda w: w != ""), cut)
 
 
-def matches(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """text_id, alias_id of each text (text_id, norm) that holds the words of an alias (alias_id, norm) in a row.
+def _by_automaton(texts: DataFrame, named: DataFrame) -> DataFrame:
+    spark = texts.sparkSession
+    listed = [r["norm"] for r in named.select("norm").distinct().collect()]
+    held = spark.sparkContext.broadcast(listed)
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, alias in enumerate(held.value):
+            automaton.add_word(f" {alias} ", i)
+        if held.value:
+            automaton.make_automaton()
+        for part in batches:
+            yield pd.Series([sorted({i for _, i in automaton.iter(f" {t} ")}) if t and held.value else [] for t in part], dtype=object)
+
+    numbered = spark.createDataFrame(list(enumerate(listed)), "number int, norm string")
+    ids = named.join(F.broadcast(numbered), "norm").select("number", "alias_id")
+    hits = texts.select("text_id", F.explode(found("norm")).alias("number"))
+    return hits.join(F.broadcast(ids), "number").select("text_id", "alias_id")
 
-    The key is the alias's first KEY_WORDS words (all, if fewer); empty aliases match nothing. Only ids and hashes are
-    joined first; texts follow for the candidates."""
-    named = aliases.filter("norm <> ''").withColumn("parts", F.split("norm", " ")).withColumn("n", F.least(F.size("parts"), F.lit(KEY_WORDS)))
-    named = named.select("alias_id", F.col("norm").alias("alias"), "n", F.xxhash64(F.array_join(F.slice("parts", 1, F.col("n")), " ")).alias("run"))
+
+def _by_runs(texts: DataFrame, named: DataFrame) -> DataFrame:
+    texts = stored(texts.select("text_id", "norm"), "alias-texts")
+    named = named.withColumn("parts", F.split("norm", " ")).withColumn("n", F.least(F.size("parts"), F.lit(KEY_WORDS)))
+    named = stored(named.withColumn("number", F.xxhash64("norm")), "aliases")
+    lengths = [r["n"] for r in named.select("n").distinct().collect()]
     tagged = lambda n: F.transform(_runs(F.col("norm"), n), lambda h: F.struct(F.lit(n).alias("n"), h.alias("run")))
-    runs = F.concat(*[tagged(n) for n in range(1, KEY_WORDS + 1)])
-    listed = texts.select("text_id", F.explode(runs).alias("r")).select("text_id", "r.n", "r.run")
-    met = listed.join(named, ["n", "run"]).select("text_id", "alias_id", "alias").distinct()
-    held = met.join(texts.select("text_id", "norm"), "text_id").filter(contains_normalized(F.col("norm"), F.col("alias")))
-    return held.select("text_id", "alias_id")
+    if not lengths:
+        return texts.join(named.select("alias_id").limit(0)).select("text_id", "alias_id")
+    cut = F.concat(*[F.when(F.col("n") == n, _runs(F.col("norm"), n)).otherwise(F.array().cast("array<bigint>")) for n in lengths])
+    own = named.select("norm", "n", F.explode(cut).alias("run")).distinct()
+    listed = texts.select("text_id", F.explode(F.concat(*[tagged(n) for n in lengths])).alias("r")).select("text_id", "r.n", "r.run")
+    met = stored(listed.join(own.select("n", "run").distinct(), ["n", "run"], "left_semi"), "alias-runs")
+    rare = own.join(met.groupBy("n", "run").agg(F.count("*").alias("df")), ["n", "run"]).groupBy("norm").agg(F.min(F.struct("df", "n", "run")).alias("key"))
+    waiting = named.select("alias_id", F.col("norm").alias("alias"), "norm").join(rare, "norm").select("alias_id", "alias", "key.n", "key.run")
+    near = met.join(waiting, ["n", "run"]).select("text_id", "alias_id", "alias")
+    return near.join(texts, "text_id").filter(contains_normalized(F.col("norm"), F.col("alias"))).select("text_id", "alias_id")
+
+
+def matches(texts: DataFrame, aliases: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
+    """text_id, alias_id of each text (text_id, norm) that holds the words of an alias (alias_id, norm) in a row.
+
+    Both are normalised: words joined by one space. Empty and null aliases match nothing, null texts hold nothing."""
+    named = aliases.select("alias_id", "norm").filter("norm <> ''")
+    n, chars = named.agg(F.count("*"), F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()
+    return _by_automaton(texts, named) if n <= most and chars <= MOST_CHARS else _by_runs(texts, named)

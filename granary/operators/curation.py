@@ -12,6 +12,7 @@ from granary.functions import values as V
 from granary.functions.hashing import order_key
 from granary.functions.names import asserts_false
 from granary.operators import similarity
+from granary.operators.ranges import running
 
 
 def normalized_record(df: DataFrame, alias_cols: Sequence[str] = ()) -> DataFrame:
@@ -75,29 +76,37 @@ def cascade(*rules: tuple[str, Column]) -> Column:
     return out
 
 
-def record_reason() -> Column:
-    """Why a record (question, refs, wrong, pool) is not taken, as far as the row itself tells."""
+def record_reason(gold: Column | None = None, attack: Column | None = None, top: Column | None = None) -> Column:
+    """Why a record (question, refs, wrong, pool) is not taken, as far as the row itself tells.
+
+    gold, attack: patterns of the two values' forms; top: the chunks of which one must bear the answer."""
     first = F.get("refs", F.lit(0))
     refs, wrong, question = F.col("refs"), F.col("wrong"), F.col("question")
-    gold, attack = T.alias_regex(refs), T.alias_regex(F.array("wrong"))
+    gold = T.alias_regex(refs) if gold is None else gold
+    attack = T.alias_regex(F.array("wrong")) if attack is None else attack
+    top = F.col("pool") if top is None else top
     cased = F.exists(refs, lambda r: r.rlike("[A-Z]"))
+    unfit = T.artifact(wrong, refs)
     return cascade(
         ("missing_fields", (F.size(refs) == 0) | (wrong == "") | (question == "")),
-        ("wikipedia_artifact", T.artifact(wrong, refs) == "wikipedia_artifact"),
-        ("non_latin", T.artifact(wrong, refs) == "non_latin"),
-        ("unit_value", T.artifact(wrong, refs) == "unit_value"),
-        ("name_plus_year", T.artifact(wrong, refs) == "name_plus_year"),
-        ("descriptor_suffix", T.artifact(wrong, refs) == "descriptor_suffix"),
+        *[(reason, unfit == reason) for reason in ("wikipedia_artifact", "non_latin", "unit_value", "name_plus_year", "descriptor_suffix")],
         ("long_answer", T.answer_type(first) == "entity_long"),
         ("type_mismatch", ~T.types_match(T.answer_type(first), T.answer_type(wrong))),
         ("values_overlap", F.exists(refs, lambda r: F.contains(F.lower(r), F.lower(wrong)) | F.contains(F.lower(wrong), F.lower(r)))),
         ("descriptive_answer", (cased & ~T.looks_like_value(wrong)) | T.is_phrase(wrong)),
         ("value_in_question", F.rlike(question, gold) | F.rlike(question, attack)),
         ("wrong_answer_in_real_chunks", F.exists("pool", lambda c: F.rlike(c, attack))),
-        ("no_answer_bearing_chunk", ~F.exists("pool", lambda c: F.rlike(c, gold) & ~F.rlike(c, attack))),
+        ("no_answer_bearing_chunk", ~F.exists(top, lambda c: F.rlike(c, gold) & ~F.rlike(c, attack))),
     )
 
 
+def selected(df: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns have the given values; a set, list or tuple of values means any of them."""
+    for c, v in wanted.items():
+        df = df.filter(F.col(c).isin(*v) if isinstance(v, (set, frozenset, list, tuple)) else F.col(c) == v)
+    return df
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the first by order."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_place = 1").drop("_place")
@@ -108,14 +117,16 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n
 
 
 def split(df: DataFrame, id_col: str, stratum: str, n_dev: int, seed: str) -> DataFrame:
-    """df with split dev or test: round(n_dev * stratum / total), half to even, of each stratum in hash order are dev."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_total"))
-    quota = F.bround(n_dev * F.col("_n") / F.col("_total")).cast("bigint")
-    sizes = sizes.join(F.broadcast(total)).select(stratum, quota.alias("_quota"))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(order_key(F.lit(seed), F.col(stratum), F.col(id_col)), id_col))
-    out = df.withColumn("_place", place).join(sizes, stratum)
-    return out.withColumn("split", F.when(F.col("_place") <= F.col("_quota"), "dev").otherwise("test")).drop("_place", "_quota")
+    """df with split dev or test: round(n_dev * stratum / total), half to even, of each stratum in hash order are dev.
+
+    All strata are ordered at once, in ranges; a stratum's places begin behind those before it."""
+    order = [F.col(stratum), order_key(F.lit(seed), F.col(stratum), F.col(id_col)), F.col(id_col)]
+    placed = running(df, order, {"_upto": F.lit(1).cast("bigint")}, "split-order")
+    total = placed.agg(F.count("*").alias("_total"))
+    first = placed.groupBy(F.col(stratum).alias("_stratum")).agg(F.min("_upto").alias("_first"), F.count("*").alias("_n")).join(F.broadcast(total))
+    first = first.select("_stratum", "_first", F.bround(n_dev * F.col("_n") / F.col("_total")).cast("bigint").alias("_quota"))
+    out = placed.join(first, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    return out.withColumn("split", F.when(F.col("_upto") - F.col("_first") < F.col("_quota"), "dev").otherwise("test")).drop("_upto", "_first", "_quota", "_stratum")
 
 
 def union_latest(*parts: DataFrame, key: str) -> DataFrame:

@@ -29,12 +29,25 @@ def extracted(df: DataFrame, extract: Callable[[str, str], str] = year_extractor
     return df.withColumn(out, run(question, text))
 
 
+def written(rows: DataFrame, write: Callable[[str, str, int], str]) -> DataFrame:
+    """rows (prompt, doc_id, attempt, more) with the text that write makes of these three: the generator's interface."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for prompts, ids, attempts in batches:
+            yield pd.Series([write(p, d, int(a)) for p, d, a in zip(prompts, ids, attempts, strict=True)], dtype=object)
+
+    return rows.withColumn("text", run("prompt", "doc_id", "attempt"))
+
+
 def answered(contexts: DataFrame, answer: Callable[[str, list[str], list[float]], str]) -> DataFrame:
     """ctx, answer for rows ctx, question, passages (array), weights (array): the reader's interface."""
+    from pyspark.sql import functions as F
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             said = [answer(q, list(p), list(map(float, w))) for q, p, w in zip(rows["question"], rows["passages"], rows["weights"], strict=True)]
-            yield pd.DataFrame({"ctx": rows["ctx"], "answer": said})
+            yield pd.DataFrame({"ctx": rows["ctx"], "answer": pd.Series(said, dtype=object)})
 
-    return contexts.select("ctx", "question", "passages", "weights").mapInPandas(run, "ctx string, answer string")
+    return contexts.select(F.col("ctx").cast("string").alias("ctx"), "question", "passages", "weights").mapInPandas(run, "ctx string, answer string")

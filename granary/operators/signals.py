@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import values as V
 from granary.functions.arrays import jaccard, shingles
 from granary.functions.text import contains_normalized, normalize_answer
 from granary.operators.components import connected_components
-from granary.operators.stats import Calibrator, clipped, max_normalized
+from granary.operators.stats import Calibrator, clipped, max_normalized, min_shifted
 
 
 def none(df: DataFrame) -> DataFrame:
@@ -106,3 +106,26 @@ def multipliers(df: DataFrame, transform: str = "maxnorm", floor: float = 0.1) -
     if transform not in ("clip", "maxnorm"):
         raise ValueError(f"unknown transform {transform}")
     return df.withColumn("multiplier", clipped(F.col("score"), floor) if transform == "clip" else max_normalized(F.col("score"), ["ctx"], floor))
+
+
+def extras(df: DataFrame) -> DataFrame:
+    """ctx, n_docs, n_clusters and the effective number of documents with unit weights and with the discounts, to three
+    places; df is what dependence() returns."""
+    per = df.groupBy("ctx", "label").agg(F.count("*").alias("n"), F.sum("score").alias("w"))
+    neff = lambda c: F.round(F.coalesce(F.try_divide(F.sum(c) * F.sum(c), F.sum(F.col(c) * F.col(c))), F.lit(0.0)), 3)
+    return per.groupBy("ctx").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_clusters"), neff("n").alias("neff_unweighted"), neff("w").alias("neff_discounted"))
+
+
+def schemes(df: DataFrame, score: Column, fake: Column, marked: Column, form: Column) -> DataFrame:
+    """df (ctx, pos, ...) once for each scheme, with scheme, m (the passage's weight) and place (from 1, in its context).
+
+    none and no_fake keep the given order; the others put passages in ascending order of weight, those alike as given.
+    sort_only orders by the judge's score and weighs nothing; no_fake is without the false passages."""
+    gpt = min_shifted(score, ["ctx"])
+    weights = {"none": F.lit(1.0), "gpt": gpt, "gpt_maxnorm": max_normalized(score, ["ctx"]), "sort_only": F.lit(1.0), "ideal": F.when(fake, 0.0).otherwise(1.0), "cnn": F.when(marked, 0.0).otherwise(1.0), "shape": form, "no_fake": F.lit(1.0)}
+    wide = df.withColumns({f"_m_{k}": c for k, c in weights.items()}).withColumns({"_by_sort_only": gpt, "_fake": fake})
+    by = lambda k: F.col("_by_sort_only") if k == "sort_only" else F.lit(0.0) if k in ("none", "no_fake") else F.col(f"_m_{k}")
+    listed = F.array(*[F.struct(F.lit(k).alias("scheme"), F.col(f"_m_{k}").cast("double").alias("m"), by(k).cast("double").alias("_by")) for k in weights])
+    long = wide.select(*df.columns, "_fake", F.explode(listed).alias("x")).select(*df.columns, "_fake", "x.*").filter("scheme <> 'no_fake' OR NOT _fake")
+    place = F.row_number().over(Window.partitionBy("scheme", "ctx").orderBy("_by", "pos"))
+    return long.withColumn("place", place).drop("_by", "_fake")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.ranges import running
 from granary.session import stored
 
 
@@ -25,33 +28,82 @@ def paired(df: DataFrame, keys: Sequence[str], arm: str, a: str, b: str, value:
     return out.filter("value_a IS NOT NULL AND value_b IS NOT NULL").withColumn("diff", F.col("value_a") - F.col("value_b"))
 
 
-def cluster_components(df: DataFrame, cluster: str, value: str) -> DataFrame:
-    """cluster, s, n: all that ratio-of-sums statistics and their bootstrap need."""
-    return df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+def cluster_components(df: DataFrame, cluster: str, values: dict[str, Column]) -> DataFrame:
+    """cluster, s_<name>, n_<name>: sums and numbers of each value where it isn't null, which is all that ratio-of-sums
+    statistics and their bootstrap need."""
+    wide = df.select(F.col(cluster), *[c.alias(f"v_{k}") for k, c in values.items()])
+    sums = [x for k in values for x in (F.coalesce(F.sum(f"v_{k}"), F.lit(0.0)).alias(f"s_{k}"), F.count(f"v_{k}").alias(f"n_{k}"))]
+    return wide.groupBy(cluster).agg(*sums)
 
 
-def cluster_bootstrap(components: DataFrame, cluster: str, resamples: int = 2000, seed: str = "boot", alphas: Sequence[float] = (0.05,)) -> DataFrame:
-    """alpha, estimate, n_clusters, lo, hi: percentile intervals of sum(s) / sum(n), clusters drawn with replacement.
+def shifts(df: DataFrame, unit: Sequence[str], arm: str, hit: Column, named: dict[str, tuple[Sequence[str], str, Column]]) -> DataFrame:
+    """unit columns and a column for each name: the hits of arms less those of the base, where both answered the unit.
 
-    A cluster's number of draws is Poisson(1), by inversion of a hash of (seed, replicate, cluster), so replicates need no
-    state and run anywhere; only (cluster, s, n) rows meet the replicates."""
-    drawn = components.select(cluster, "s", "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(cluster).cast("string")), 256), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
-    steps, p, total = [], np.exp(-1.0), 0.0
-    for k in range(12):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    times = sum((F.when(u >= x, 1).otherwise(0) for x in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    reps = drawn.withColumn("m", times).groupBy("rep").agg(F.sum(F.col("m") * F.col("s")).alias("s"), F.sum(F.col("m") * F.col("n")).alias("n")).filter("n > 0")
-    reps = reps.select((F.col("s") / F.col("n")).alias("x"))
-    whole = components.agg((F.sum("s") / F.sum("n")).alias("estimate"), F.count("*").alias("n_clusters"))
-    out = None
-    for a in alphas:
-        q = reps.agg(F.percentile("x", F.lit(a / 2)).alias("lo"), F.percentile("x", F.lit(1 - a / 2)).alias("hi"))
-        row = whole.join(F.broadcast(q)).select(F.lit(float(a)).alias("alpha"), "estimate", "n_clusters", "lo", "hi")
-        out = row if out is None else out.unionByName(row)
-    return out
+    named: name -> (arms, base, which units count). Pooled arms are averaged over those that answered, weighing one each,
+    so a unit that two arms answered is two differences: columns are <name>, their sum, and <name>_times, their number."""
+    held = {a for arms, base, _ in named.values() for a in (*arms, base)}
+    per = df.filter(F.col(arm).isin(*held)).groupBy(*unit).agg(*[F.max(F.when(F.col(arm) == a, hit.cast("double"))).alias(f"at_{i}") for i, a in enumerate(sorted(held))])
+    place = {a: F.col(f"at_{i}") for i, a in enumerate(sorted(held))}
+    out = []
+    for name, (arms, base, counts) in named.items():
+        diffs = F.filter(F.array(*[F.when(counts, place[a] - place[base]) for a in arms]), lambda d: d.isNotNull())
+        out += [F.aggregate(diffs, F.lit(0.0), lambda x, d: x + d).alias(name), F.size(diffs).cast("bigint").alias(f"{name}_times")]
+    return per.select(*unit, *out)
+
+
+def shift_components(units: DataFrame, cluster: str, names: Sequence[str]) -> DataFrame:
+    """cluster, s_<name>, n_<name> of the columns that shifts() makes."""
+    return units.groupBy(cluster).agg(*[x for k in names for x in (F.sum(k).alias(f"s_{k}"), F.sum(f"{k}_times").alias(f"n_{k}"))])
+
+
+def _names(components: DataFrame) -> list[str]:
+    return [c[2:] for c in components.columns if c.startswith("s_")]
+
+
+def estimates(components: DataFrame, statistics: dict[str, str]) -> DataFrame:
+    """statistic, estimate, n_clusters: SQL expressions over the components' ratios of sums, by their names."""
+    means = components.agg(*[F.try_divide(F.sum(f"s_{k}").cast("double"), F.sum(f"n_{k}").cast("double")).alias(k) for k in _names(components)], F.count("*").alias("n_clusters"))
+    rows = F.array(*[F.struct(F.lit(k).alias("statistic"), F.expr(e).cast("double").alias("estimate")) for k, e in statistics.items()])
+    return means.select(F.explode(rows).alias("x"), "n_clusters").select("x.statistic", "x.estimate", "n_clusters")
+
+
+def replicates(components: DataFrame, cluster: str, resamples: int, seed: str) -> DataFrame:
+    """rep and a mean for each component: clusters drawn with replacement, stored.
+
+    A cluster's numbers of draws are Poisson(1), from a generator that seed and cluster start; so a replicate needs no
+    state, each partition adds up its own clusters for all replicates, and only these sums meet."""
+    names = _names(components)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2 * len(names), resamples))
+        for part in batches:
+            parts = part[[f"{x}_{k}" for k in names for x in "sn"]].to_numpy(float)
+            for key, row in zip(part["key"], parts, strict=True):
+                start = int.from_bytes(hashlib.sha256(f"{seed}|{key}".encode()).digest()[:16], "big")
+                total += np.outer(row, np.random.Generator(np.random.PCG64(start)).poisson(1.0, resamples))
+        yield pd.DataFrame({"rep": np.arange(resamples), **{f"{x}_{k}": total[2 * i + j] for i, k in enumerate(names) for j, x in enumerate("sn")}})
+
+    columns = [f"{x}_{k}" for k in names for x in "sn"]
+    rows = components.select(F.col(cluster).cast("string").alias("key"), *[F.col(c).cast("double") for c in columns])
+    sums = rows.mapInPandas(run, "rep bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("rep").agg(*[F.sum(c).alias(c) for c in columns])
+    return stored(sums.select("rep", *[F.when(F.col(f"n_{k}") > 0, F.col(f"s_{k}") / F.col(f"n_{k}")).alias(k) for k in names]), "replicates")
+
+
+def cluster_bootstrap(components: DataFrame, cluster: str, statistics: dict[str, str], resamples: int = 2000, seed: str = "boot", alphas: Sequence[float] = (0.05,)) -> DataFrame:
+    """statistic, alpha, estimate, n_clusters, lo, hi: percentile intervals of statistics of several components, all from
+    the same replicates; replicates in which a component has no cluster don't count for statistics of it."""
+    reps = replicates(components, cluster, resamples, seed)
+    ends = [x for a in alphas for x in (a / 2, 1 - a / 2)]
+    wide = reps.agg(*[F.percentile(F.expr(e).cast("double"), F.array(*[F.lit(float(q)) for q in ends])).alias(f"q{i}") for i, e in enumerate(statistics.values())])
+    rows = F.array(*[F.struct(F.lit(k).alias("statistic"), F.lit(float(a)).alias("alpha"), F.get(f"q{i}", F.lit(2 * j)).alias("lo"), F.get(f"q{i}", F.lit(2 * j + 1)).alias("hi")) for i, k in enumerate(statistics) for j, a in enumerate(alphas)])
+    ci = wide.select(F.explode(rows).alias("x")).select("x.*")
+    return estimates(components, statistics).join(F.broadcast(ci), "statistic").select("statistic", "alpha", "estimate", "n_clusters", "lo", "hi")
+
+
+def samples_bootstrap(rows: DataFrame, row_id: str, samples: dict[str, Column], statistics: dict[str, str], **more) -> DataFrame:
+    """cluster_bootstrap of rows drawn one by one: a proportion is one sample, the difference of two independent ones two
+    samples whose columns are null in each other's rows."""
+    return cluster_bootstrap(cluster_components(rows, row_id, samples), row_id, statistics, **more)
 
 
 def paired_bootstrap(diffs: Sequence[float], resamples: int = 2000, seed: int = 0, alpha: float = 0.05) -> dict:
@@ -76,22 +128,20 @@ def by_score(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
 
 
 def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, n_pos, n_neg, auc with average ranks for ties; NaN if a class is missing."""
-    per = by_score(df, label, score, keys)
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    out = per.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (2 * F.col("under") + F.col("neg"))).alias("wins2"))
-    return out.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins2") / (2 * F.col("n_pos") * F.col("n_neg"))).otherwise(float("nan")).alias("auc"))
+    """keys, n_pos, n_neg, auc with average ranks for ties; NaN if a class is missing. Scores are ranked in ranges."""
+    per = running(by_score(df, label, score, keys), [*keys, "score"], {"upto": "neg"}, "auc-scores")
+    under = (F.col("upto") - F.col("neg")).cast("double")
+    out = per.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (2 * under + F.col("neg"))).alias("wins2"), F.min(under).alias("base"))
+    wins2 = F.col("wins2") - 2 * F.col("base") * F.col("n_pos")  # what stands before the group isn't of it
+    return out.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), wins2 / (2.0 * F.col("n_pos") * F.col("n_neg"))).otherwise(float("nan")).alias("auc"))
 
 
 def roc(df: DataFrame, label: str, score: str, max_points: int = 200) -> DataFrame:
     """point, fpr, tpr: a point per distinct score from the highest on, (0, 0) first, thinned evenly to max_points."""
-    per = by_score(df, label, score)
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    per = per.select(F.sum("pos").over(down).alias("p"), F.sum("neg").over(down).alias("q"), F.sum("pos").over(whole).alias("np"), F.sum("neg").over(whole).alias("nq"), F.row_number().over(Window.orderBy(F.col("score").desc())).alias("point"), F.count("*").over(whole).alias("m"))
-    rows = per.select("point", "m", (F.col("q") / F.col("nq")).alias("fpr"), (F.col("p") / F.col("np")).alias("tpr"))
-    zero = rows.filter("point = 1").select(F.lit(0).alias("point"), "m", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    per = running(by_score(df, label, score), [F.col("score").desc()], {"p": "pos", "q": "neg", "point": F.lit(1).cast("bigint")}, "roc-scores")
+    whole = per.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nq"), F.count("*").alias("m"))
+    rows = per.join(F.broadcast(whole)).select("point", "m", (F.col("q") / F.col("nq")).alias("fpr"), (F.col("p") / F.col("np")).alias("tpr"))
+    zero = whole.filter("m > 0").select(F.lit(0).cast("bigint").alias("point"), "m", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     rows = rows.unionByName(zero)
     k = F.least(F.lit(max_points), F.col("m") + 1)
     step = F.col("m") / (k - 1)

@@ -54,3 +54,13 @@ def norm(c: str) -> str:
 
 
 TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
+
+#: Clusters of the log's documents inside their pair, by 3-word shingle Jaccard of 0.35 or more: k(pair_id, doc_id, cluster)
+IN_PAIR = r"""g AS (SELECT pair_id, doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [''] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
+  FROM (SELECT pair_id, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM log)),
+c0 AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p0 AS (SELECT a.pair_id, a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.pair_id = b.pair_id AND a.g = b.g AND a.doc_id <> b.doc_id JOIN c0 x ON x.doc_id = a.doc_id JOIN c0 y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2, 3 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.35),
+p1 AS (SELECT pair_id, a, b FROM p0 UNION SELECT pair_id, doc_id, doc_id FROM log), p2 AS (SELECT x.pair_id, x.a, y.b FROM p1 x JOIN p1 y ON x.b = y.a GROUP BY 1, 2, 3), p3 AS (SELECT x.pair_id, x.a, y.b FROM p2 x JOIN p2 y ON x.b = y.a GROUP BY 1, 2, 3),
+p4 AS (SELECT x.pair_id, x.a, y.b FROM p3 x JOIN p3 y ON x.b = y.a GROUP BY 1, 2, 3), p5 AS (SELECT x.pair_id, x.a, y.b FROM p4 x JOIN p4 y ON x.b = y.a GROUP BY 1, 2, 3),
+k AS (SELECT pair_id, a AS doc_id, min(b) AS cluster FROM p5 GROUP BY 1, 2)"""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions import hashing
 from granary.functions import text as T
 from granary.operators import curation, signals, stats
 from granary.plans.bindings import LOG, OUTCOMES, log, outcomes
 from granary.plans.registry import query
-from granary.session import table
+from granary.session import stored, table
 
 
 @query(f"""WITH {LOG}, v AS (SELECT doc_id, list_filter([CASE WHEN dependence_level IN ('D3','D4') AND coalesce(parent_doc, '') = '' THEN 'requires parent_doc' END, CASE WHEN author = 'llm' AND coalesce(model, '') = '' THEN 'llm doc without model' END,
@@ -18,7 +19,8 @@ def document_errors(spark, sf_dir):
     return log(spark, sf_dir).select("doc_id", F.size(curation.document_errors()).alias("n_errors"))
 
 
-def _pairs(spark, sf_dir):
+def pairs_of_parts(spark, sf_dir):
+    """Parts as question/answer rows, some of which break rules."""
     part = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "date_shift").when(F.col("p_size") % 3 == 1, "entity_swap").otherwise("other")
     return part.select(
@@ -32,7 +34,7 @@ def _pairs(spark, sf_dir):
 SELECT pair_id, ((k = 2)::INT + (s = 1)::INT + contains(lower(q), lower(w[1] || ' ' || w[2]))::INT + contains(lower(q), lower(p_brand))::INT + contains(lower(q), lower(w[1]))::INT + contains(lower(q), lower(w[2]))::INT)::INT AS n_errors FROM p""")
 def validation_errors(spark, sf_dir):
     """Messages of question/answer rows: enum, leaks into the question, prefix."""
-    return _pairs(spark, sf_dir).select("pair_id", F.size(curation.pair_errors()).alias("n_errors"))
+    return pairs_of_parts(spark, sf_dir).select("pair_id", F.size(curation.pair_errors()).alias("n_errors"))
 
 
 _CASCADE = r"""WITH t AS (SELECT doc_id, source, list_filter(string_split_regex(trim(text, E' \n\t'), '[\s\x0b]+'), lambda w: w <> '') AS w FROM documents),
@@ -138,9 +140,12 @@ def ols_r2(spark, sf_dir):
     return spark.createDataFrame([(round(stats.r_squared(d, "n_chars", ["x"]), 9),)], "r2 double")
 
 
+def _counts(t):
+    return {"n_words": T.word_count(t).cast("double"), "insults": F.regexp_count(t, F.lit(r"(?i)\b(idiot|moron|scum|trash|stupid|loser)\b")).cast("double"), "shouts": F.regexp_count(t, F.lit("!")).cast("double")}
+
+
 def _features(spark, sf_dir):
-    t = F.col("text")
-    d = table(spark, sf_dir, "documents").select("doc_id", T.word_count(t).cast("double").alias("n_words"), F.regexp_count(t, F.lit(r"(?i)\b(idiot|moron|scum|trash|stupid|loser)\b")).cast("double").alias("insults"), F.regexp_count(t, F.lit("!")).cast("double").alias("shouts"))
+    d = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in _counts(F.col("text")).items()])
     return table(spark, sf_dir, "labels").select("doc_id", "toxic").join(d, "doc_id")
 
 
@@ -154,11 +159,19 @@ def logistic_fit(spark, sf_dir):
 
 @query()
 def ablation(spark, sf_dir):
-    """AUC with each feature alone and with each left out."""
-    rows, names, out = _features(spark, sf_dir), ["n_words", "insults", "shouts"], None
-    for kind, used in [("only " + n, [n]) for n in names] + [("without " + n, [x for x in names if x != n]) for n in names]:
-        model = stats.fit_calibrator(rows, "toxic", used, rounds=8)
-        row = stats.auc(rows.withColumn("p", F.round(model.probability(), 9)), "toxic", "p").select(F.lit(kind).alias("features"), F.round("auc", 6).alias("auc"))
+    """Held-out AUC of all features, of each alone, of all but each, and of all on perturbed texts (M14, T25): fitted on
+    one half of the documents in hash order, scored on the other."""
+    t, names = F.col("text"), ["n_words", "insults", "shouts"]
+    changed = {"whole": t, "prefix stripped": T.strip_prefix(t), "window of 100 words": T.window(t, 100, hashing.draw(F.lit("w"), F.col("doc_id"))), "first sentence dropped": T.drop_first_sentence(t)}
+    docs = table(spark, sf_dir, "labels").select("doc_id", "toxic").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    texts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in changed.items()]))
+    rows = docs.select("doc_id", "toxic", texts.alias("x")).select("doc_id", "toxic", "x.kind", *[c.alias(k) for k, c in _counts(F.col("x.text")).items()])
+    rows = stored(rows.withColumn("fits", hashing.draw(F.lit("half"), F.col("doc_id")) < 0.5), "ablation")
+    out, plain = None, rows.filter("kind = 'whole'")
+    cases = [("all", names)] + [("only " + n, [n]) for n in names] + [("without " + n, [x for x in names if x != n]) for n in names]
+    for kind, used, data in [(k, u, plain) for k, u in cases] + [(k, names, rows.filter(F.col("kind") == k)) for k in list(changed)[1:]]:
+        model = stats.fit_calibrator(data.filter("fits"), "toxic", used)
+        row = stats.auc(data.filter("NOT fits").withColumn("p", F.round(model.probability(), 9)), "toxic", "p").select(F.lit(kind).alias("features"), F.round("auc", 6).alias("auc"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -195,14 +208,18 @@ def acceptance_gates(spark, sf_dir):
     return g.select("arm", (F.col("share") >= 0.25).alias("identity_ok"), (F.col("effect") >= 0.3).alias("effect_ok"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS ctx, l_linenumber AS pos, l_quantity AS s, l_returnflag = 'R' AS fake, l_suppkey, l_partkey FROM lineitem), w AS (SELECT *, max(s) OVER (PARTITION BY ctx) AS hi, min(s) OVER (PARTITION BY ctx) AS lo FROM l), n AS (SELECT unnest(['none', 'gpt', 'gpt_maxnorm', 'ideal']) AS scheme),
-m AS (SELECT scheme, CASE scheme WHEN 'none' THEN 1.0 WHEN 'gpt' THEN CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END WHEN 'gpt_maxnorm' THEN CASE WHEN hi <= 1e-12 THEN 1.0 ELSE least(1.0, greatest(0.1, s / hi)) END ELSE CASE WHEN fake THEN 0.0 ELSE 1.0 END END AS m, fake FROM w, n)
-SELECT scheme, fake, count(*) AS n, round(avg(m), 6) AS mean FROM m GROUP BY scheme, fake""")
+_SCHEMES = """CASE scheme WHEN 'gpt' THEN CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END WHEN 'gpt_maxnorm' THEN CASE WHEN hi <= 1e-12 THEN 1.0 ELSE least(1.0, greatest(0.1, s / hi)) END
+WHEN 'ideal' THEN CASE WHEN fake THEN 0.0 ELSE 1.0 END WHEN 'cnn' THEN CASE WHEN marked THEN 0.0 ELSE 1.0 END WHEN 'shape' THEN 1 - s / 100 ELSE 1.0 END"""
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS ctx, l_linenumber AS pos, l_quantity AS s, l_returnflag = 'R' AS fake, l_shipmode = 'AIR' AS marked FROM lineitem), w AS (SELECT *, max(s) OVER (PARTITION BY ctx) AS hi, min(s) OVER (PARTITION BY ctx) AS lo FROM l),
+n AS (SELECT unnest(['none', 'gpt', 'gpt_maxnorm', 'sort_only', 'ideal', 'cnn', 'shape', 'no_fake']) AS scheme),
+m AS (SELECT scheme, ctx, pos, fake, {_SCHEMES} AS m, CASE WHEN scheme = 'sort_only' THEN CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END ELSE {_SCHEMES} END AS by FROM w, n WHERE scheme <> 'no_fake' OR NOT fake),
+r AS (SELECT *, row_number() OVER (PARTITION BY scheme, ctx ORDER BY CASE WHEN scheme IN ('none', 'no_fake') THEN 0 ELSE by END, pos) AS place FROM m)
+SELECT scheme, fake, count(*) AS n, round(avg(m), 6) AS mean, round(avg(place), 6) AS mean_place FROM r GROUP BY scheme, fake""")
 def protocol_schemes(spark, sf_dir):
-    """Weighting schemes of the external protocol over the same passages."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_quantity").alias("s"), (F.col("l_returnflag") == "R").alias("fake"))
-    s = F.col("s")
-    forms = {"none": F.lit(1.0), "gpt": stats.min_shifted(s, ["ctx"]), "gpt_maxnorm": stats.max_normalized(s, ["ctx"]), "ideal": F.when(F.col("fake"), 0.0).otherwise(1.0)}
-    wide = rows.withColumns({f"_{k}": c for k, c in forms.items()})
-    long = wide.select("fake", F.explode(F.array(*[F.struct(F.lit(k).alias("scheme"), F.col(f"_{k}").alias("m")) for k in forms])).alias("x")).select("fake", "x.*")
-    return long.groupBy("scheme", "fake").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"))
+    """The eight weighting schemes of the external protocol over the same passages, which all but two also sort by weight,
+    stable (C12, G10, A4, S7, W8, W9)."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("double").alias("s"), (F.col("l_returnflag") == "R").alias("fake"), (F.col("l_shipmode") == "AIR").alias("marked"))
+    held = signals.schemes(rows, F.col("s"), F.col("fake"), F.col("marked"), 1 - F.col("s") / 100)
+    return held.groupBy("scheme", "fake").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.avg("place"), 6).alias("mean_place"))

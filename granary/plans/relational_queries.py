@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.hashing import order_key
 from granary.operators import contexts, curation, stats
+from granary.operators.ranges import running
 from granary.plans.bindings import LOG, OUTCOMES, log, outcomes
 from granary.plans.registry import query
 from granary.session import table
@@ -24,8 +25,9 @@ def group_summary(spark, sf_dir):
 GROUP BY GROUPING SETS ((arm), (k), (outcome), (arm, outcome), (k, outcome))""")
 def outcome_distribution(spark, sf_dir):
     """Counts over several groupings in one pass."""
-    outcomes(spark, sf_dir).createOrReplaceTempView("granary_outcomes")
-    return spark.sql("SELECT arm, k, outcome, grouping_id(arm, k, outcome) AS level, count(*) AS n FROM granary_outcomes GROUP BY arm, k, outcome GROUPING SETS ((arm), (k), (outcome), (arm, outcome), (k, outcome))")
+    rows, sets = outcomes(spark, sf_dir), [["arm"], ["k"], ["outcome"], ["arm", "outcome"], ["k", "outcome"]]
+    held = rows.groupingSets([[F.col(c) for c in x] for x in sets], "arm", "k", "outcome")
+    return held.agg(F.grouping_id("arm", "k", "outcome").alias("level"), F.count("*").alias("n")).select("arm", "k", "outcome", "level", "n")
 
 
 @query(f"""WITH {OUTCOMES} SELECT arm, count(*) FILTER (outcome = 'gold') AS gold, count(*) FILTER (outcome = 'attack') AS attack, count(*) FILTER (outcome = 'both') AS both, count(*) FILTER (outcome = 'other') AS other FROM o GROUP BY arm""")
@@ -60,18 +62,84 @@ def paired_delta(spark, sf_dir):
 @query(_PAIRED + ", d AS (SELECT pair_id, sum(a.x - b.x) AS s, count(*) AS n FROM a JOIN b USING (pair_id, k) GROUP BY pair_id) SELECT count(*) AS n_clusters, round(sum(s) / sum(n), 9) AS estimate FROM d")
 def arm_vs_base(spark, sf_dir):
     """Ratio of sums of the paired differences over clusters."""
-    parts = stats.cluster_components(_arms(spark, sf_dir), "pair_id", "diff")
-    return parts.agg(F.count("*").alias("n_clusters"), F.round(F.sum("s") / F.sum("n"), 9).alias("estimate"))
+    parts = stats.cluster_components(_arms(spark, sf_dir), "pair_id", {"d": F.col("diff")})
+    return stats.estimates(parts, {"d": "d"}).select("n_clusters", F.round("estimate", 9).alias("estimate"))
 
 
 @query()
 def cluster_bootstrap_ci(spark, sf_dir):
-    """Percentile intervals of that estimate, clusters resampled, and its verdict."""
-    parts = stats.cluster_components(_arms(spark, sf_dir), "pair_id", "diff")
-    out = stats.cluster_bootstrap(parts, "pair_id", 20_000, alphas=(0.05, 0.01))
+    """Percentile intervals of that estimate from 20,000 resamples of the clusters, and its verdict."""
+    parts = stats.cluster_components(_arms(spark, sf_dir), "pair_id", {"d": F.col("diff")})
+    out = stats.cluster_bootstrap(parts, "pair_id", {"d": "d"}, 20_000, alphas=(0.05, 0.01))
+    return out.drop("statistic").withColumn("verdict", stats.verdict(F.lit(1), F.col("lo"), F.col("hi")))
+
+
+#: name -> arms, base, the k that count, outcome: the four claims' differences, over the events' arms.
+_CLAIMS = {
+    "one": (("purchase",), "click", (1, 2), "gold"),
+    "flips": (("click",), "view", (1,), "attack"),
+    "first_false": (("click",), "view", (1,), "gold"),
+    "first_true": (("click",), "view", (0,), "gold"),
+    "second_false": (("purchase",), "view", (1,), "gold"),
+    "second_true": (("purchase",), "view", (0,), "gold"),
+    "pooled": (("click", "purchase"), "view", (1, 2), "gold"),
+}
+#: claim -> statistic of those differences.
+_STATISTICS = {"scheme_gap": "one", "flip_gap": "flips", "form_bias": "((first_false - first_true) + (second_false - second_true)) / 2", "counting": "pooled", "form_bias_first": "first_false - first_true"}
+
+
+def _claim_components(spark, sf_dir):
+    o, unit = outcomes(spark, sf_dir).groupBy("pair_id", "k", "arm").agg(F.min_by("outcome", "event_id").alias("outcome")), ["pair_id", "k"]
+    units = None
+    for kind in ("gold", "attack"):
+        named = {n: (arms, base, F.col("k").isin(*ks)) for n, (arms, base, ks, hit) in _CLAIMS.items() if hit == kind}
+        found = stats.shifts(o, unit, "arm", F.col("outcome") == kind, named)
+        units = found if units is None else units.join(found, unit, "full")
+    return stats.shift_components(units, "pair_id", list(_CLAIMS))
+
+
+def _claims_sql():
+    parts = []
+    for name, (arms, base, ks, hit) in _CLAIMS.items():
+        listed = ", ".join(f"'{a}'" for a in arms)
+        parts.append(f"SELECT '{name}' AS name, sum((a.outcome = '{hit}')::INT - (b.outcome = '{hit}')::INT) / count(*) AS m FROM f a JOIN f b ON a.pair_id = b.pair_id AND a.k = b.k AND a.arm IN ({listed}) AND b.arm = '{base}' WHERE a.k IN ({', '.join(map(str, ks))})")
+    wide = ", ".join(f"max(m) FILTER (name = '{n}') AS {n}" for n in _CLAIMS)
+    rows = " UNION ALL ".join(f"SELECT '{claim}' AS statistic, round({e}, 9) AS estimate FROM w" for claim, e in _STATISTICS.items())
+    return f"WITH {OUTCOMES}, f AS (SELECT pair_id, k, arm, arg_min(outcome, event_id) AS outcome FROM o GROUP BY 1, 2, 3), c AS ({' UNION ALL '.join(parts)}), w AS (SELECT {wide} FROM c) {rows}"
+
+
+@query(_claims_sql())
+def claim_estimates(spark, sf_dir):
+    """Four claims as statistics of several differences of arms: one pair of arms, flips, a difference of differences
+    averaged over two arms, and two arms pooled (M6, V9)."""
+    return stats.estimates(_claim_components(spark, sf_dir), _STATISTICS).select("statistic", F.round("estimate", 9).alias("estimate"))
+
+
+@query()
+def claim_intervals(spark, sf_dir):
+    """Those claims with intervals at two levels and their verdicts, all from the same 20,000 resamples."""
+    out = stats.cluster_bootstrap(_claim_components(spark, sf_dir), "pair_id", _STATISTICS, 20_000, alphas=(0.05, 0.0125))
     return out.withColumn("verdict", stats.verdict(F.lit(1), F.col("lo"), F.col("hi")))
 
 
+@query()
+def shift_intervals(spark, sf_dir):
+    """Each arm's shift against the baseline by k, with intervals (M5, V8)."""
+    o = outcomes(spark, sf_dir).groupBy("pair_id", "k", "arm").agg(F.min_by("outcome", "event_id").alias("outcome"))
+    named = {f"{arm}_{k}": ((arm,), "view", F.col("k") == k) for arm in ("click", "purchase") for k in range(3)}
+    parts = stats.shift_components(stats.shifts(o, ["pair_id", "k"], "arm", F.col("outcome") == "gold", named), "pair_id", list(named))
+    return stats.cluster_bootstrap(parts, "pair_id", {n: n for n in named}, 20_000).drop("alpha")
+
+
+@query()
+def proportion_intervals(spark, sf_dir):
+    """A proportion, and the difference of two independent samples' proportions, with intervals (M4)."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    toxic, long = F.col("toxic").cast("double"), F.col("n_chars") > 2000
+    samples = {"whole": toxic, "long": F.when(long, toxic), "short": F.when(~long, toxic)}
+    return stats.samples_bootstrap(rows, "doc_id", samples, {"toxic": "whole", "long_less_short": "long - short"}, resamples=20_000).drop("alpha")
+
+
 @query(f"""WITH {OUTCOMES}, g AS (SELECT DISTINCT pair_id FROM o WHERE outcome = 'attack' AND arm = 'click'), h AS (SELECT DISTINCT pair_id FROM o WHERE outcome = 'attack' AND arm = 'view')
 SELECT (SELECT count(*) FROM (SELECT * FROM g INTERSECT SELECT * FROM h)) AS n_both, (SELECT min(pair_id) FROM (SELECT * FROM g INTERSECT SELECT * FROM h)) AS first_both, (SELECT count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM h)) AS n_only,
 (SELECT count(*) FROM (SELECT * FROM g UNION SELECT * FROM h)) AS n_any""")
@@ -85,16 +153,11 @@ def key_sets(spark, sf_dir):
 
 @query("""SELECT doc_id, printf('p%06d', row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 9 END, n_chars, doc_id)) AS pair_id FROM documents""")
 def sequential_ids(spark, sf_dir):
-    """Ids by a composite order (W3, S1, W12); ranges first, then places inside them, so no task sorts all rows."""
+    """Ids by a composite order (W3, W12); ranges first, then places inside them, so no task sorts all rows."""
     kind = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(9)
     rows = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), "n_chars")
-    step = F.when(F.col("n_chars") < 1, 0).otherwise(F.floor(F.log2(F.col("n_chars").cast("double")) * 8)).cast("int")
-    rows = rows.withColumn("step", step)
-    inside = F.row_number().over(Window.partitionBy("kind", "step").orderBy("n_chars", "doc_id"))
-    before = Window.orderBy("kind", "step").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("kind", "step").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    out = rows.withColumn("place", inside).join(F.broadcast(parts.select("kind", "step", "base")), ["kind", "step"])
-    return out.select("doc_id", F.format_string("p%06d", F.col("base") + F.col("place")).alias("pair_id"))
+    out = running(rows, ["kind", "n_chars", "doc_id"], {"place": F.lit(1).cast("bigint")}, "sequence")
+    return out.select("doc_id", F.format_string("p%06d", "place").alias("pair_id"))
 
 
 @query("""SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) WHERE place <= 3""")
@@ -109,9 +172,9 @@ SELECT lang, doc_id FROM r, n WHERE place <= greatest(1, 40 // g)""")
 def stratified_sample(spark, sf_dir):
     """max(1, 40 // groups) documents of each language in hash order."""
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    n = rows.agg(F.count_distinct("lang").alias("g"))
+    most = max(1, 40 // (rows.agg(F.count_distinct("lang")).first()[0] or 1))  # a literal, so each task keeps its first ones alone
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order_key(F.lit("audit"), F.col("lang"), F.col("doc_id")), "doc_id"))
-    return rows.withColumn("place", place).join(F.broadcast(n)).filter(F.col("place") <= F.greatest(F.lit(1), F.floor(40 / F.col("g")))).select("lang", "doc_id")
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("lang", "doc_id")
 
 
 @query("""WITH t AS (SELECT count(*) AS total FROM documents), s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -126,12 +189,10 @@ def stratified_split(spark, sf_dir):
 @query("""SELECT d.doc_id, ntile(2) OVER (ORDER BY sha256('half|' || doc_id), doc_id)::INT AS half FROM documents d""")
 def half_split(spark, sf_dir):
     """Two halves in hash order (S13), from ranks inside hash ranges."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", order_key(F.lit("half"), F.col("doc_id")).alias("h")).withColumn("part", F.substring("h", 1, 2))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("h", "doc_id"))
-    out = rows.withColumn("place", place).join(F.broadcast(parts), "part")
-    return out.select("doc_id", F.when(F.col("base") + F.col("place") <= F.ceil(F.col("total") / 2), 1).otherwise(2).alias("half"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", order_key(F.lit("half"), F.col("doc_id")).alias("h"))
+    out = running(rows, ["h", "doc_id"], {"place": F.lit(1).cast("bigint")}, "halves")
+    out = out.join(F.broadcast(out.agg(F.count("*").alias("total"))))
+    return out.select("doc_id", F.when(F.col("place") <= F.ceil(F.col("total") / 2), 1).otherwise(2).alias("half"))
 
 
 @query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -146,23 +207,24 @@ def flagged_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", "left_semi")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-SELECT a.conv_id, a.turn, CASE WHEN b.turn IS NULL THEN 'parent missing' WHEN b.role = a.role THEN 'parent of the same role' END AS problem
-FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.turn > 0 AND (b.turn IS NULL OR b.role = a.role)""")
+@query("""WITH c AS (SELECT conv_id, turn, role, turn - 1 - conv_id % 2 AS parent FROM conversations)
+SELECT a.conv_id, a.turn, CASE WHEN b.turn IS NULL THEN 'parent missing' ELSE 'parent of the same role' END AS problem
+FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.parent WHERE a.turn > 0 AND (b.turn IS NULL OR b.role = a.role)""")
 def conversation_lineage(spark, sf_dir):
-    """Turns whose predecessor is missing or of the same role."""
+    """Turns whose predecessor (in odd conversations the one before it) is missing or of the same role."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    parent = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"), F.lit(True).alias("held"))
-    out = c.filter("turn > 0").join(parent, ["conv_id", "turn"], "left")
+    parent = c.select("conv_id", F.col("turn").alias("parent"), F.col("role").alias("before"), F.lit(True).alias("held"))
+    out = c.filter("turn > 0").withColumn("parent", F.col("turn") - 1 - F.col("conv_id") % 2).join(parent, ["conv_id", "parent"], "left")
     problem = F.when(F.col("held").isNull(), "parent missing").when(F.col("before") == F.col("role"), "parent of the same role")
     return out.select("conv_id", "turn", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
-@query(f"""WITH {LOG} SELECT a.doc_id AS id, CASE WHEN b.doc_id IS NULL THEN 'parent missing' ELSE 'parent of another group' END AS problem
-FROM log a LEFT JOIN log b ON b.doc_id = a.parent_doc WHERE a.parent_doc IS NOT NULL AND (b.doc_id IS NULL OR b.cluster_id <> a.cluster_id)""")
+@query(f"""WITH {LOG}, k AS (SELECT * FROM log WHERE doc_id[2:]::BIGINT % 7 <> 0) SELECT a.doc_id AS id, CASE WHEN b.doc_id IS NULL THEN 'parent missing' ELSE 'parent of another group' END AS problem
+FROM k a LEFT JOIN k b ON b.doc_id = a.parent_doc WHERE a.parent_doc IS NOT NULL AND (b.doc_id IS NULL OR b.model <> a.model)""")
 def lineage_check(spark, sf_dir):
-    """Parents of the log that are missing or of another cluster."""
-    return curation.lineage(log(spark, sf_dir), "doc_id", "parent_doc", "cluster_id")
+    """Parents of the log, of which every seventh row is lost, that are missing or by another maker."""
+    rows = log(spark, sf_dir).filter(F.substring("doc_id", 2, 20).cast("bigint") % 7 != 0)
+    return curation.lineage(rows, "doc_id", "parent_doc", "model")
 
 
 @query("""WITH f AS (SELECT DISTINCT conv_id FROM conversations WHERE contains(text, '!')) SELECT conv_id, count(*) AS n_turns FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM f) GROUP BY conv_id""")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import arrays, features, hashing, names
 from granary.functions import text as T
+from granary.functions import values as V
 from granary.operators import aliases, curation, signals, similarity, stats
 from granary.operators.models import extracted
-from granary.plans.bindings import LOG, TOKENS, log, norm
+from granary.plans.bindings import IN_PAIR, LOG, TOKENS, log, norm
 from granary.plans.registry import query
 from granary.session import stored, table
 
@@ -17,7 +20,7 @@ from granary.session import stored, table
 def _normal(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), T.normalize_text(F.col("text")).alias("norm"), "lang", "source")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alias_id"), T.normalize_text(F.col("text")).alias("norm"))
-    return stored(docs, "normal-texts"), items
+    return docs, items
 
 
 _HELD = f"""d AS (SELECT doc_id, lang, source, ' ' || {norm("text")} || ' ' AS n FROM documents),
@@ -70,7 +73,16 @@ def markdown_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.has_markdown(F.col("text")).alias("has_markdown"))
 
 
-@query()
+def _markdown_sql():
+    out = "text"
+    for pattern, to in V.MARKDOWN_STEPS:
+        if "(?<" in pattern:  # single stars and underscores: DuckDB's engine has no look-around, and the tables have none
+            continue
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return rf"SELECT doc_id, sha256(regexp_replace({out}, '^\s+|\s+$', '', 'g')) AS plain_sha256, regexp_replace({out}, '^\s+|\s+$', '', 'g') <> text AS changed FROM documents"
+
+
+@query(_markdown_sql())
 def markdown_stripped(spark, sf_dir):
     """Texts without markup, and whether that changed them."""
     out = table(spark, sf_dir, "documents").select("doc_id", "text", T.strip_markdown(F.col("text")).alias("plain"))
@@ -103,7 +115,7 @@ def questions_restated(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", k.alias("k")).filter(F.size("k") >= 3).withColumn("need", need)
     runs = items.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("k") - F.col("need") + 1), lambda i: F.array_join(F.slice("k", i, F.col("need")), " "))).alias("at", "norm"))
     named = runs.select(F.struct("item_id", "at").alias("alias_id"), "norm")
-    return aliases.matches(stored(docs, "token-texts"), named).select(F.col("text_id").alias("doc_id"), F.col("alias_id.item_id").alias("item_id")).distinct()
+    return aliases.matches(docs, named).select(F.col("text_id").alias("doc_id"), F.col("alias_id.item_id").alias("item_id")).distinct()
 
 
 _FLAGS = r"""SELECT doc_id, regexp_matches(text, '(?i)^\s*CNN news:') AS news_prefix, regexp_matches(text, '(?i)\brather than\b|\bnot\b[^.]{0,60}\bbut\b|\binstead of\b|\bcontrary to\b') AS contrast,
@@ -230,7 +242,9 @@ round(len(list_distinct(lo)) / greatest(1, n), 6) AS type_token, round(coalesce(
 round(len(list_filter(w, lambda x: length(x) >= 9)) / greatest(1, n), 6) AS long_words, round(len(regexp_extract_all(text, ',')) / greatest(1, n), 6) AS commas,
 round(len(regexp_extract_all(text, '!')) / greatest(1, n), 6) AS exclamations, round(len(regexp_extract_all(text, '[0-9]')) / greatest(1, length(text)), 6) AS digits_per_char,
 round(len(list_filter(w[2:], lambda x: regexp_matches(x, '^[A-Z]'))) / greatest(1, n), 6) AS capitalised,
-round(len(list_filter(list_value_counts, lambda c: c = 1)) / greatest(1, n), 6) AS hapax
+round(len(list_filter(list_value_counts, lambda c: c = 1)) / greatest(1, n), 6) AS hapax, round(len(regexp_extract_all(text, ';')) / greatest(1, n), 6) AS semicolons,
+round(len(regexp_extract_all(text, ':')) / greatest(1, n), 6) AS colons, round(len(regexp_extract_all(text, '—| - |–')) / greatest(1, n), 6) AS dashes, round(len(regexp_extract_all(text, '[?]')) / greatest(1, n), 6) AS questions,
+round(len(regexp_extract_all(text, '"')) / greatest(1, n), 6) AS quotes, round(len(list_filter(lo, lambda x: list_contains([""" + ", ".join(f"'{w}'" for w in V.FUNCTION_WORDS) + r"""], x))) / greatest(1, n), 6) AS function_words
 FROM (SELECT *, map_values(list_histogram(lo)) AS list_value_counts FROM u)"""
 
 
@@ -238,18 +252,47 @@ FROM (SELECT *, map_values(list_histogram(lo)) AS list_value_counts FROM u)"""
 def stylometric(spark, sf_dir):
     """Stylometric features."""
     out = features.stylometric(F.col("text"), parts=True)
-    names = ["sentence_mean", "sentence_std", "sentence_range", "type_token", "word_length", "long_words", "commas", "exclamations", "digits_per_char", "capitalised", "hapax"]
     docs = features.staged(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return docs.select("doc_id", *[F.round(out[n].cast("double"), 6).alias(n) for n in names])
-
-
-@query()
+    return docs.select("doc_id", *[F.round(c.cast("double"), 6).alias(n) for n, c in out.items()])
+
+
+def _lexicon_sql():
+    """DuckDB's engine has no look-around: all that isn't a letter is doubled, so that each of two neighbouring phrases
+    has a character of its own on either side."""
+    twice = lambda p: "".join(re.escape(c) if c.isalpha() else re.escape(c).replace("\\ ", " ") * 2 for c in p).replace("'", "''")
+    counts = {}
+    for group, phrases in V.LEXICON.items():
+        ranked = sorted(set(phrases), key=lambda p: (-len(p), p))
+        counts[group] = f"len(regexp_extract_all(doubled, '(?i)[^A-Za-z](?:{'|'.join(map(twice, ranked))})[^A-Za-z]'))"
+    for group, pattern in V.LEXICON_PATTERNS.items():
+        counts[group] = f"len(regexp_extract_all(text, '(?i){pattern}'))"
+    cols = ", ".join(f"100 * {c} / n AS {k}" for k, c in counts.items())
+    whole = " + ".join(counts)
+    return rf"""WITH t AS (SELECT doc_id, text, regexp_replace('  ' || text || '  ', '([^A-Za-z])', '\1\1', 'g') AS doubled, greatest(1, len(regexp_extract_all(text, '[A-Za-z'']+'))) AS n FROM documents),
+c AS (SELECT doc_id, {cols} FROM t) SELECT doc_id, {", ".join(f"round({k}, 6) AS {k}" for k in counts)}, round({whole}, 6) AS total FROM c"""
+
+
+@query(_lexicon_sql())
 def lexicon_density(spark, sf_dir):
     """Marker phrases per 100 words, by group."""
     return table(spark, sf_dir, "documents").select("doc_id", *[F.round(c, 6).alias(k) for k, c in features.lexicon(F.col("text")).items()])
 
 
-@query()
+_STOPS = "[" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + "]"
+_HITS = " + ".join(f"len(regexp_extract_all(text, '(?i){p}'))" for p in V.TEMPLATES)
+
+
+@query(
+    rf"""WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT d.doc_id, d.text, b.text AS question, regexp_extract_all(lower(d.text), '[a-z0-9'']+') AS t, regexp_extract_all(lower(b.text), '[a-z0-9'']+') AS q,
+  list_filter(string_split_regex(regexp_replace(trim(d.text, E' 
+	'), '([.!?])\s+', '' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents d, n, benchmark b WHERE b.item_id = d.doc_id % n.n),
+k AS (SELECT *, list_distinct(list_filter(q, lambda w: NOT list_contains({_STOPS}, w))) AS content, list_distinct(t) AS own, ' ' || array_to_string(t, ' ') || ' ' AS line, regexp_extract_all(lower(coalesce(s[1], text)), '[a-z0-9'']+') AS first FROM d)
+SELECT doc_id, round(CASE WHEN len(content) > 0 THEN len(list_intersect(content, own)) / len(content) ELSE 0 END, 6) AS recall,
+round(CASE WHEN len(list_distinct(content || own)) > 0 THEN len(list_intersect(content, own)) / len(list_distinct(content || own)) ELSE 0 END, 6) AS overlap,
+round(CASE WHEN len(content) > 0 THEN len(list_intersect(content, first)) / len(content) ELSE 0 END, 6) AS first_recall,
+round(list_max(list_transform(range(2, 13), lambda m: CASE WHEN len(q) >= m AND len(list_filter(range(1, (len(q) - m + 2)::INT), lambda i: contains(line, ' ' || array_to_string(q[i:(i + m - 1)::INT], ' ') || ' '))) > 0 THEN m ELSE 0 END)) / greatest(len(q), 1), 6) AS longest_run,
+regexp_matches(text, '{V.SOURCE_TAG}')::INT::DOUBLE AS source_tag, round(100 * ({_HITS}) / greatest(1, len(t)), 6) AS templates, contains(text, '?')::INT::DOUBLE AS has_question, round(100 * greatest(len(s), 1) / greatest(1, len(t)), 6) AS sentence_rate FROM k"""
+)
 def shape_features(spark, sf_dir):
     """How much each document looks like an answer to the benchmark item of its number (F2)."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
@@ -308,14 +351,19 @@ def voting_share(spark, sf_dir):
     return signals.voting(rows).select(F.col("ctx").alias("pair_id"), "doc_id", F.col("canon").alias("answer"), F.round("score", 9).alias("score"))
 
 
-@query()
+@query(rf"""WITH {LOG}, {IN_PAIR}, f AS (SELECT *, min(doc_id) OVER (PARTITION BY pair_id, cluster) AS first, count(*) OVER (PARTITION BY pair_id, cluster) AS n FROM k),
+l AS (SELECT pair_id, doc_id, dense_rank() OVER (PARTITION BY pair_id ORDER BY first) - 1 AS label, 1 / n AS w FROM f),
+a AS (SELECT l.*, coalesce(nullif(regexp_extract(log.text, '\b(1[89]\d\d)\b', 1), ''), 'unknown') AS canon FROM l JOIN log USING (doc_id)),
+s AS (SELECT *, sum(w) OVER (PARTITION BY pair_id, canon) AS mine, sum(w) FILTER (canon <> 'unknown') OVER (PARTITION BY pair_id) AS whole FROM a)
+SELECT pair_id, doc_id, label::INT AS label, canon, round(CASE WHEN canon = 'unknown' THEN 1.0 ELSE mine / whole END, 9) AS score FROM s""")
 def discounted_voting(spark, sf_dir):
     """Votes weighed by cluster inside each pair, through the model boundary's stand-in (agreement arm, G3, E2)."""
     rows = log(spark, sf_dir).select(F.col("pair_id").alias("ctx"), F.col("doc_id").alias("pos"), "text", F.lit("In what year?").alias("question"))
     return signals.agreement(extracted(rows)).select(F.col("ctx").alias("pair_id"), F.col("pos").alias("doc_id"), "label", "canon", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"""WITH {LOG}, {IN_PAIR}, f AS (SELECT *, min(doc_id) OVER (PARTITION BY pair_id, cluster) AS first, count(*) OVER (PARTITION BY pair_id, cluster) AS n FROM k)
+SELECT pair_id, doc_id, dense_rank() OVER (PARTITION BY pair_id ORDER BY first) - 1 AS label, round(1 / n, 9) AS score FROM f""")
 def context_clusters(spark, sf_dir):
     """Cluster labels and discounts inside each pair."""
     rows = log(spark, sf_dir).select(F.col("pair_id").alias("ctx"), F.col("doc_id").alias("pos"), "text")

@@ -71,6 +71,59 @@ def test_similar_pairs_lose_none(spark, threshold):
     assert rows(similarity.similar_pairs(classes, threshold), "a", "b") == sorted(brute_pairs(docs, threshold), key=str)
 
 
+def test_clusters_lose_no_link(spark):
+    """Families of near copies, chains whose ends aren't alike, and sets that share a common passage but aren't similar."""
+    import random
+
+    rng, texts = random.Random(9), []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(30)]
+        texts += [" ".join(base[:k] + [f"e{family}x{k}"] + base[k + 1 :]) for k in range(0, 28, 2)]
+    chain = [f"c{i}" for i in range(60)]
+    texts += [" ".join(chain[i : i + 20]) for i in range(0, 40, 6)]
+    common = " ".join(f"m{i}" for i in range(10))
+    texts += [f"{common} " + " ".join(f"u{k}v{i}" for i in range(rng.choice([4, 8, 20]))) for k in range(30)]
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    parent = {k: k for k, _ in docs}
+
+    def up(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in brute_pairs(docs, 0.35):
+        parent[max(up(a), up(b))] = min(up(a), up(b))
+    got = dict(rows(similarity.clusters(spark.createDataFrame(docs, "doc_id bigint, text string")), "id", "cluster"))
+    assert got == {k: up(k) for k, _ in docs} and 4 < len(set(got.values())) < len(docs)
+
+
+def test_family_of_near_copies_needs_no_pair_for_each_link(spark):
+    base = [f"w{i}" for i in range(40)]
+    docs = [(k, " ".join(base + [f"e{k}", f"d{k}"])) for k in range(400)]
+    _, classes = similarity.shingle_classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    made, run = [], similarity._verified
+    similarity._verified = lambda met, *more: made.append(met.count()) or run(met, *more)
+    try:
+        found = similarity.linked_classes(classes, 0.35)
+        assert {r["component"] for r in found.collect()} == {0} and found.count() == 400
+    finally:
+        similarity._verified = run
+    assert sum(made) < 2 * 400
+
+
+def test_gram_hashes_and_slots(spark):
+    from granary.functions import arrays, grams, hashing
+
+    texts = [None, "", " .", "One", "one two", "one two three", "a b c a b c a b c", "É a1'b K x-y z " * 40, "w " * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    a, b = hashing.permutations(24)
+    for r in df.select(arrays.shingles(F.col("t")).alias("s"), grams.gram_hashes(F.col("t")).alias("g"), hashing.minhash(arrays.shingles(F.col("t")), a, b).alias("m"), grams.minhash_slots(F.col("t"), a, b).alias("n")).collect():
+        assert len(r["g"]) == len(r["s"]) == len(set(r["g"])) and r["g"] == sorted(r["g"]) and r["m"] == r["n"]
+    pair = spark.createDataFrame([("x y z q", "Q! x y z")], "a string, b string").select(grams.gram_hashes(F.col("a")).alias("a"), grams.gram_hashes(F.col("b")).alias("b")).first()
+    assert len(set(pair["a"]) & set(pair["b"])) == 1
+
+
 def test_minhash_bands_lose_none(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     from granary.functions.arrays import shingles
@@ -164,6 +217,23 @@ def test_alias_matches(spark):
     texts = spark.createDataFrame([(1, "the big red dog runs"), (2, "red"), (3, ""), (4, "big red dogs")], "text_id bigint, norm string")
     named = spark.createDataFrame([(1, "red"), (2, "big red dog"), (3, "big red dog runs away"), (4, ""), (5, "red dog")], "alias_id bigint, norm string")
     assert rows(aliases.matches(texts, named), "text_id", "alias_id") == [(1, 1), (1, 2), (1, 5), (2, 1), (4, 1)]
+    assert rows(aliases.matches(texts, named, most=0), "text_id", "alias_id") == [(1, 1), (1, 2), (1, 5), (2, 1), (4, 1)]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_alias_matches_at_random(spark, most):
+    """Either way finds the same: repeats of an alias, aliases of any length, null and empty rows."""
+    import random
+
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    texts = [(i, some(rng.randrange(30))) for i in range(60)] + [(99, None)]
+    named = [(i, some(rng.randrange(7))) for i in range(40)] + [(77, None), (78, "a b c"), (79, "a b c")]
+    want = sorted(((t, a) for t, x in texts for a, y in named if x and y and f" {y} " in f" {x} "), key=str)
+    got = rows(aliases.matches(spark.createDataFrame(texts, "text_id bigint, norm string"), spark.createDataFrame(named, "alias_id bigint, norm string"), most), "text_id", "alias_id")
+    assert got == want and want
+    nothing = aliases.matches(spark.createDataFrame(texts, "text_id bigint, norm string"), spark.createDataFrame([(1, "")], "alias_id bigint, norm string"), most)
+    assert nothing.count() == 0
 
 
 CELLS = [("H_T", 1, "H0"), ("H_F", 1, "H0"), ("H_N", 2, "H0"), ("A_T", 3, "D0"), ("A_F", 3, "D0"), ("G_F", 2, "D0"), ("C_F", 3, "D2"), ("C_F", 1, "D3"), ("C_F", 1, "D4")]
@@ -199,6 +269,23 @@ def test_contexts(spark):
     assert contexts.manifest(built).count() == 27
 
 
+def test_contexts_look_round_the_whole_ring(spark):
+    """A pool of which nearly all is an entity's own still fills each context; one neutral too few leaves a problem."""
+    neutral = [("p0", f"n{i:03d}") for i in range(60)] + [("p1", f"m{i}") for i in range(3)] + [("p2", f"k{i}") for i in range(4)]
+    docs = [(p, d, "H_N", "H0") for p, d in neutral] + [(f"p{p}", f"{p}-{c}", c, "H0") for p in range(4) for c in ("H_T", "H_F")]
+    df = spark.createDataFrame(docs, "pair_id string, doc_id string, cell string, level string")
+    for n_docs, fine in ((9, 4), (69, 4), (70, 0)):
+        built, errors = contexts.build(df, [("all_human", 0)], n_docs)
+        got = {}
+        for r in built.collect():
+            got.setdefault(r["pair_id"], []).append((r["doc_id"], r["cell"]))
+        assert len(got) == fine and errors.count() == 4 - fine
+        for p, found in got.items():
+            assert len({d for d, _ in found}) == n_docs
+            own = [d for q, d in neutral if q == p]
+            assert len(set(own) & {d for d, _ in found}) == min(len(own), n_docs - 2)
+
+
 def test_generation_plan(spark):
     plan = contexts.generation_plan(spark.createDataFrame([(f"p{i}",) for i in range(6)], "pair_id string")).collect()
     assert len(plan) == 66 and len({r["doc_id"] for r in plan}) == 66
@@ -275,14 +362,69 @@ def test_bootstrap(spark):
     got = stats.paired_bootstrap([1.0] * 10 + [0.0] * 30, seed=1)
     assert got["diff"] == 0.25 and got["lo"] > 0 and got["significant"]
     assert not stats.paired_bootstrap([0.0] * 40)["significant"] and stats.paired_bootstrap([])["n"] == 0
-    parts = spark.createDataFrame([(i, float(i % 3), 2) for i in range(60)], "cluster int, s double, n int")
-    out = {r["alpha"]: r for r in stats.cluster_bootstrap(parts, "cluster", 300, alphas=(0.05, 0.01)).collect()}
+    parts = spark.createDataFrame([(i, float(i % 3), 2) for i in range(60)], "cluster int, s_d double, n_d int")
+    out = {r["alpha"]: r for r in stats.cluster_bootstrap(parts, "cluster", {"d": "d"}, 300, alphas=(0.05, 0.01)).collect()}
     assert out[0.05]["estimate"] == pytest.approx(0.5) and out[0.05]["n_clusters"] == 60
     assert out[0.01]["lo"] <= out[0.05]["lo"] < 0.5 < out[0.05]["hi"] <= out[0.01]["hi"]
     v = spark.createDataFrame([(1, 0.1, 0.2), (1, -0.2, -0.1), (-1, -0.2, -0.1), (1, -0.1, 0.1)], "d int, lo double, hi double")
     assert [r[0] for r in v.select(stats.verdict(F.col("d"), F.col("lo"), F.col("hi"))).collect()] == ["supported", "refuted", "supported", "inconclusive"]
 
 
+def test_bootstrap_of_several_components(spark):
+    """Differences of pooled means, as a resampler that holds all replicates has them; the same whatever the partitions."""
+    rng = np.random.default_rng(4)
+    data = [(f"p{i}", float(rng.normal(0.4, 1)), int(rng.integers(1, 4)), float(rng.normal(-0.2, 1)), int(rng.integers(0, 3))) for i in range(80)]
+    parts = spark.createDataFrame(data, "pair string, s_a double, n_a int, s_b double, n_b int")
+    wanted = {"a": "a", "gap": "a - b", "half": "(a - b) / 2"}
+    got = {r["statistic"]: r for r in stats.cluster_bootstrap(parts, "pair", wanted, 4000).collect()}
+    again = {r["statistic"]: r for r in stats.cluster_bootstrap(parts.repartition(7), "pair", wanted, 4000).collect()}
+    s_a, n_a, s_b, n_b = (np.array([d[i] for d in data], float) for i in range(1, 5))
+    idx = rng.integers(0, 80, (4000, 80))
+    gap = s_a[idx].sum(1) / n_a[idx].sum(1) - s_b[idx].sum(1) / n_b[idx].sum(1)
+    assert got["gap"]["estimate"] == pytest.approx(s_a.sum() / n_a.sum() - s_b.sum() / n_b.sum())
+    assert (got["gap"]["lo"], got["gap"]["hi"]) == (pytest.approx(np.percentile(gap, 2.5), abs=0.06), pytest.approx(np.percentile(gap, 97.5), abs=0.06))
+    assert got["half"]["lo"] == pytest.approx(got["gap"]["lo"] / 2) and got["a"]["n_clusters"] == 80
+    assert all(again[k]["lo"] == pytest.approx(got[k]["lo"]) and again[k]["hi"] == pytest.approx(got[k]["hi"]) for k in wanted)
+    rows_ = spark.createDataFrame([(i, float(i < 30)) for i in range(100)], "id int, x double")
+    one = stats.samples_bootstrap(rows_, "id", {"p": F.col("x")}, {"p": "p"}, resamples=2000).first()
+    assert one["estimate"] == pytest.approx(0.3) and 0.17 < one["lo"] < 0.25 and 0.35 < one["hi"] < 0.43
+
+
+def test_shifts(spark):
+    data = [("p1", 1, "a", "gold"), ("p1", 1, "b", "x"), ("p1", 1, "none", "x"), ("p1", 2, "a", "gold"), ("p2", 1, "b", "gold"), ("p2", 1, "none", "gold"), ("p2", 3, "a", "x"), ("p2", 3, "none", "gold")]
+    df = spark.createDataFrame(data, "pair string, k int, arm string, outcome string")
+    named = {"pooled": (("a", "b"), "none", F.col("k") < 3), "alone": (("a",), "none", F.lit(True)), "never": (("a",), "none", F.col("k") > 9)}
+    units = stats.shifts(df, ["pair", "k"], "arm", F.col("outcome") == "gold", named)
+    parts = stats.shift_components(units, "pair", list(named))
+    assert rows(parts, "pair", "s_pooled", "n_pooled", "s_alone", "n_alone", "n_never") == [("p1", 1.0, 2, 1.0, 1, 0), ("p2", 0.0, 1, -1.0, 1, 0)]
+    assert rows(stats.estimates(parts, {"x": "pooled", "y": "alone", "z": "never"}), "statistic", "estimate") == [("x", pytest.approx(1 / 3)), ("y", 0.0), ("z", None)]
+
+
+def test_running_sums(spark):
+    from granary.operators.ranges import running
+
+    rng = np.random.default_rng(1)
+    data = [(int(i), int(x)) for i, x in enumerate(rng.integers(0, 20, 500))]
+    df = spark.createDataFrame(data, "id int, x int").repartition(5)
+    out = running(df, [F.col("x").desc(), "id"], {"place": F.lit(1).cast("bigint"), "total": "x"}).collect()
+    order = sorted(data, key=lambda r: (-r[1], r[0]))
+    want = {i: (n + 1, t) for n, ((i, _), t) in enumerate(zip(order, np.cumsum([x for _, x in order]), strict=True))}
+    assert {r["id"]: (r["place"], r["total"]) for r in out} == want
+    assert running(df.limit(0), ["x"], {"n": "x"}).count() == 0
+    same = running(df.withColumn("x", F.lit(None).cast("int")), ["x"], {"place": F.lit(1).cast("bigint")}).collect()
+    assert sorted(r["place"] for r in same) == list(range(1, 501))
+
+
+def test_auc_by_key(spark):
+    rng = np.random.default_rng(7)
+    data = [("ab"[int(k)], int(y), float(x)) for k, y, x in zip(rng.integers(0, 2, 300), rng.integers(0, 2, 300), rng.integers(0, 9, 300), strict=True)] + [("c", 1, 2.0)]
+    got = {r["key"]: r["auc"] for r in stats.auc(spark.createDataFrame(data, "key string, y int, x double"), "y", "x", ["key"]).collect()}
+    for k in "ab":
+        pos, neg = ([x for key, y, x in data if key == k and y == v] for v in (1, 0))
+        assert got[k] == pytest.approx(np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg]))
+    assert math.isnan(got["c"])
+
+
 def test_shares_and_pairs(spark):
     df = spark.createDataFrame([("a", 1, "gold"), ("a", 2, "attack"), ("b", 1, "both"), ("a", 3, "gold")], "arm string, key int, outcome string")
     assert rows(stats.outcome_shares(df, ["arm"]), "arm", "n", "accuracy") == [("a", 3, pytest.approx(2 / 3)), ("b", 1, 0.0)]
@@ -304,6 +446,7 @@ def test_curation(spark):
     assert rows(curation.lineage(tree, "id", "parent", "grp"), "id", "problem") == [("c", "parent of another group"), ("d", "parent missing")]
     ids = spark.createDataFrame([(i, "ab"[i % 2 if i < 8 else 0]) for i in range(12)], "id int, kind string")
     out = rows(curation.split(ids, "id", "kind", 6, "s"), "kind", "split")
+    assert rows(curation.selected(ids, kind="b", id={1, 3, 4}), "id") == [(1,), (3,)]
     assert out.count(("a", "dev")) == 4 and out.count(("b", "dev")) == 2
     tries = spark.createDataFrame([("e1", m) for m in ["x"] * 6 + ["y"] * 5] + [("e2", "x")] * 12 + [("e3", m) for m in ["x", "y"] * 9], "entity string, maker string")
     entities = spark.createDataFrame([("e1", False), ("e2", False), ("e3", True)], "entity string, exempt boolean")
@@ -332,6 +475,17 @@ def test_sources_round_trip(spark, tmp_path):
     assert rows(sources.latest(log, "key", "at"), "key", "v") == [("j", "x"), ("k", "new")]
     assert rows(sources.misses(spark.createDataFrame([("k",), ("z",)], "key string"), log, "key"), "key") == [("z",)]
     assert sources.markdown_table(df, ["id", "s"]).splitlines()[2:] == ["| 1 | é |", "| 2 | b |"]
+    with pytest.raises(ValueError):
+        sources.markdown_table(df, ["id"], most=1)
+    assert sources.write_jsonl(df.limit(0), f"file://{tmp_path}/none.jsonl") == 0
+    sources.append_row(spark, path, {"id": 9, "s": "z", "xs": None}, "id int, s string, xs array<int>")
+    assert sources.read_jsonl(spark, path, "id int, s string").count() == 5
+    sources.write_pretty_json(spark, f"file://{tmp_path}/pretty", df)
+    assert sources.read_json(spark, f"file://{tmp_path}/pretty", "id int, s string").count() == 2
+    (tmp_path / "c.yaml").write_text("project: {seed: 3}\npaths: {a: x/y, b: /abs}\n")
+    (tmp_path / "c.json").write_text('{"k": 1}')
+    assert sources.read_config(spark, f"file://{tmp_path}/c.yaml", "s3://r/") == {"project": {"seed": 3}, "root": "s3://r/", "paths": {"a": "s3://r/x/y", "b": "/abs"}}
+    assert sources.read_config(spark, f"file://{tmp_path}/c.json") == {"k": 1}
 
 
 def test_answer_boundary(spark):
@@ -362,6 +516,6 @@ def test_bootstrap_query_has_the_references_resamples(spark, monkeypatch):
     from granary.plans import catalogue
 
     asked, run = [], stats.cluster_bootstrap
-    monkeypatch.setattr(stats, "cluster_bootstrap", lambda parts, cluster, n, **more: asked.append(n) or run(parts, cluster, 10, **more))
+    monkeypatch.setattr(stats, "cluster_bootstrap", lambda parts, cluster, what, n, **more: asked.append(n) or run(parts, cluster, what, 10, **more))
     assert catalogue.QUERIES["cluster_bootstrap_ci"](spark, "/root/testdata/sf0.001").count() == 2
     assert asked == [20_000]
