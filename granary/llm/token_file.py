@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -51,13 +50,26 @@ def word_bpe_path() -> str:
 #: The steps of a file whose ids of a text are those of its words. The splitter is fixed by the vocabulary's format.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: ASCII marks behind a letter or digit (of ASCII, or a letter of U+00C0 to U+00FF) begin a piece to that splitter: a place
-#: where words are cut.
-_CUT = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[!-/:-@\[-`{-~])")
+#: Bytes that are an ASCII letter in lower case or a digit, bytes that end a letter of U+00C0 to U+00FF, and ASCII marks.
+_ALNUM = np.array([chr(b).isascii() and (chr(b).islower() or chr(b).isdigit()) for b in range(256)])
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
 #: Words of the texts that are looked up together.
 CHUNK_WORDS = 1 << 18
 
 
+def words_of(data: bytes) -> list[bytes]:
+    """The words, in lower case, and cut where an ASCII mark stands behind a letter or digit: there it begins a piece."""
+    data = data.lower()
+    if len(data) < 2:
+        return data.split()
+    a = np.frombuffer(data, np.uint8)
+    letter = _ALNUM[a[:-1]]
+    letter[1:] |= (a[:-2] == 0xC3) & _LATIN[a[1:-1]]
+    at = np.flatnonzero(letter & _MARK[a[1:]])
+    return np.insert(a, at + 1, 0x20).tobytes().split() if len(at) else data.split()
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, by the library."""
 
@@ -104,7 +116,7 @@ class Encoder:
         for i, text in enumerate(texts):
             data = (text or "").encode("utf-8", "surrogatepass")
             # what may hold a special token goes whole
-            lists.append(_CUT.sub(b" ", data.lower()).split() if self.by_word and b"<|" not in data else None)
+            lists.append(words_of(data) if self.by_word and b"<|" not in data else None)
             n += len(lists[-1] or ())
             if n >= CHUNK_WORDS or i == len(texts) - 1:
                 yield from self._chunk([x or "" for x in texts[first : i + 1]], lists)
