@@ -52,11 +52,13 @@ from granary.session import removed, scratch, stored, table
 
 WIDTH = 35
 GRAM = 8
+#: Words whose hashes a task remembers.
+SEEN_WORDS = 200_000
 FAN_IN = 3
 HOT_PLACES = 1024
 BATCHES = 4
 #: Words that are hashed together, and characters of the texts whose windows are merged together: what bounds a task's memory.
-CHUNK_WORDS, PIECE_CHARS = 1 << 18, 16 << 20
+CHUNK_WORDS, PIECE_CHARS = 1 << 18, 4 << 20
 #: Windows of one row; their places are bits of a mask.
 ROW_WINDOWS = 32
 
@@ -149,7 +151,7 @@ def window_keys(docs: DataFrame, text_col="text", width: int = WIDTH, gram: int
     """key, n: how many gram places have it, over all documents."""
 
     def run(batches):
-        seen = WordHashes()
+        seen = WordHashes(SEEN_WORDS)
         for rows in batches:
             for chunk in _chunks(rows["text"], seen, width, gram):
                 key, n = np.unique(chunk.keys(gram), return_counts=True)
@@ -163,7 +165,7 @@ def window_digests(docs: DataFrame, text_col="text", width: int = WIDTH, gram: i
     """key, digest: the distinct windows of all documents."""
 
     def run(batches):
-        seen = WordHashes()
+        seen = WordHashes(SEEN_WORDS)
         for rows in batches:
             for c in _chunks(rows["text"], seen, width, gram):
                 digest = c.digests(np.flatnonzero(c.valid)).tobytes()
@@ -426,7 +428,7 @@ def _own_keys(rows: DataFrame, keys: DataFrame, hot_places: int, width: int, gra
     """rows (doc_id, text_hash, text) that have candidate keys, with these (keys, hot_keys), by a semi-join."""
 
     def run(batches):
-        seen = WordHashes()
+        seen = WordHashes(SEEN_WORDS)
         for part in batches:
             ids, hashes = part["doc_id"].astype("Int64").array, part["text_hash"].to_numpy()
             for c in _chunks(part["text"], seen, width, gram):
@@ -459,7 +461,7 @@ def repeated_windows(docs: DataFrame, keys: DataFrame, id_col="doc_id", text_col
         return [mapped(x) for x in maps.value] if maps is not None else [_listed(part[c]) for c in ("keys", "hot_keys")]
 
     def emit(batches):
-        seen = WordHashes()
+        seen = WordHashes(SEEN_WORDS)
         for batch in batches:
             for part in _pieces(batch):
                 yield from _candidates(part, _chunks(part["text"], seen, width, gram), *testers(part))
