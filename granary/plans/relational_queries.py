@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from granary.functions import values as V
 from granary.functions.hashing import order_key
 from granary.operators import contexts, curation, stats
 from granary.operators.ranges import running
@@ -219,12 +220,13 @@ def conversation_lineage(spark, sf_dir):
     return out.select("conv_id", "turn", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
-@query(f"""WITH {LOG}, k AS (SELECT * FROM log WHERE doc_id[2:]::BIGINT % 7 <> 0) SELECT a.doc_id AS id, CASE WHEN b.doc_id IS NULL THEN 'parent missing' ELSE 'parent of another group' END AS problem
+@query(f"""WITH {LOG}, k AS (SELECT doc_id, model, CASE WHEN doc_id[2:]::BIGINT % 7 = 0 THEN parent_doc || 'x' ELSE parent_doc END AS parent_doc FROM log)
+SELECT a.doc_id AS id, CASE WHEN b.doc_id IS NULL THEN 'parent missing' ELSE 'parent of another group' END AS problem
 FROM k a LEFT JOIN k b ON b.doc_id = a.parent_doc WHERE a.parent_doc IS NOT NULL AND (b.doc_id IS NULL OR b.model <> a.model)""")
 def lineage_check(spark, sf_dir):
-    """Parents of the log, of which every seventh row is lost, that are missing or by another maker."""
-    rows = log(spark, sf_dir).filter(F.substring("doc_id", 2, 20).cast("bigint") % 7 != 0)
-    return curation.lineage(rows, "doc_id", "parent_doc", "model")
+    """Parents of the log, some of which are misspelt here, that are missing or by another maker."""
+    misspelt = F.when(F.substring("doc_id", 2, 20).cast("bigint") % 7 == 0, F.concat("parent_doc", F.lit("x"))).otherwise(F.col("parent_doc"))
+    return curation.lineage(log(spark, sf_dir).withColumn("parent_doc", misspelt), "doc_id", "parent_doc", "model")
 
 
 @query("""WITH f AS (SELECT DISTINCT conv_id FROM conversations WHERE contains(text, '!')) SELECT conv_id, count(*) AS n_turns FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM f) GROUP BY conv_id""")
@@ -334,19 +336,47 @@ def _log_for_contexts(spark, sf_dir):
     return log(spark, sf_dir).select("pair_id", "doc_id", "cell", F.col("dependence_level").alias("level"))
 
 
-@query()
+def _contexts_sql():
+    """The contexts step by step, each context meeting the whole ring where Spark's plan goes round it in pieces."""
+    recipe = [(c, k, cell, k if n == "k" else n) for c, k in CONDITIONS for cell, n in V.RECIPES[c]]
+    values = ", ".join(f"('{c}', {k}, '{cell}', {n})" for c, k, cell, n in recipe)
+    rank = " ".join(f"WHEN '{level}' THEN '{r}'" for level, r in V.LEVEL_RANK.items())
+    key = lambda *more: "sha256('1|' || pair_id || '|' || condition || '|' || k || '|' || " + " || '|' || ".join(more) + ")"
+    return f"""WITH {LOG}, d AS (SELECT pair_id, doc_id, cell, dependence_level AS level FROM log), r(condition, k, cell, need) AS (VALUES {values}), f AS (SELECT condition, k, sum(need)::BIGINT AS needed FROM r GROUP BY 1, 2),
+j AS (SELECT d.*, r.condition, r.k, r.need FROM d JOIN r ON r.cell = d.cell),
+m AS (SELECT *, row_number() OVER (PARTITION BY pair_id, condition, k, cell ORDER BY CASE WHEN cell = 'C_F' THEN (CASE level {rank} ELSE '9' END) || '|' || doc_id ELSE {key("cell", "doc_id")} END, doc_id) AS place FROM j),
+chosen AS (SELECT pair_id, condition, k, doc_id, cell FROM m WHERE place <= need), h AS (SELECT pair_id, condition, k, count(*) AS have FROM chosen GROUP BY 1, 2, 3),
+state AS (SELECT p.pair_id, f.*, coalesce(h.have, 0) AS have FROM (SELECT DISTINCT pair_id FROM d) p CROSS JOIN f LEFT JOIN h ON h.pair_id = p.pair_id AND h.condition = f.condition AND h.k = f.k),
+fits AS (SELECT * FROM state WHERE have = needed AND needed <= 7), neutral AS (SELECT pair_id AS owner, doc_id FROM d WHERE cell = 'H_N'),
+own AS (SELECT pair_id, condition, k, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, condition, k ORDER BY {key("'fill'", "doc_id")}, doc_id) AS place FROM fits JOIN neutral ON owner = pair_id) WHERE place <= 7 - needed),
+needing AS (SELECT *, floor(('0x' || substr({key("'pool'")}, 1, 13))::BIGINT / 4503599627370496.0 * (SELECT count(*) FROM neutral))::BIGINT AS start FROM (
+  SELECT pair_id, condition, k, 7 - needed - (SELECT count(*) FROM own o WHERE o.pair_id = x.pair_id AND o.condition = x.condition AND o.k = x.k) AS lack FROM fits x) WHERE lack > 0),
+ring AS (SELECT *, row_number() OVER (ORDER BY sha256('1|pool|' || doc_id), doc_id) - 1 AS spot, count(*) OVER () AS n FROM neutral),
+picks AS (SELECT *, row_number() OVER (PARTITION BY pair_id, condition, k ORDER BY (spot - start + n) % n) AS place FROM needing, ring WHERE owner <> pair_id),
+whole AS (SELECT c.* FROM chosen c SEMI JOIN fits USING (pair_id, condition, k) UNION ALL SELECT pair_id, condition, k, doc_id, 'H_N' FROM own UNION ALL SELECT pair_id, condition, k, doc_id, 'H_N' FROM picks WHERE place <= lack),
+sized AS (SELECT *, count(*) OVER (PARTITION BY pair_id, condition, k) AS n FROM whole),
+contexts AS (SELECT pair_id, condition, k, row_number() OVER (PARTITION BY pair_id, condition, k ORDER BY {key("'order'", "doc_id")}) - 1 AS pos, doc_id, cell FROM sized WHERE n = 7),
+errors AS (SELECT pair_id, condition, k, CASE WHEN have < needed THEN 'too few documents for the recipe' ELSE 'recipe larger than the context' END AS problem FROM state WHERE have < needed OR needed > 7
+  UNION ALL SELECT pair_id, condition, k, 'too few neutrals' FROM fits ANTI JOIN contexts USING (pair_id, condition, k))"""
+
+
+@query(_contexts_sql() + " SELECT * FROM contexts")
 def context_build(spark, sf_dir):
     """Contexts of seven documents by recipe, padded with neutrals, in order."""
     return contexts.build(_log_for_contexts(spark, sf_dir), CONDITIONS)[0]
 
 
-@query()
+@query(_contexts_sql() + " SELECT * FROM errors")
 def context_errors(spark, sf_dir):
     """Contexts that can't be built, and why."""
     return contexts.build(_log_for_contexts(spark, sf_dir), CONDITIONS)[1]
 
 
-@query()
+@query(
+    _contexts_sql()
+    + " SELECT pair_id, condition, k, string_agg(doc_id, ',' ORDER BY pos) AS doc_ids, ('0x' || substr(sha256('1|' || pair_id || '|' || condition || '|' || k || '|order'), 1, 16))::UBIGINT::VARCHAR AS order_seed FROM contexts GROUP BY ALL"
+)
 def context_manifest(spark, sf_dir):
     """Documents of each context in order, with the order's seed (TB12, H2)."""
-    return contexts.manifest(contexts.build(_log_for_contexts(spark, sf_dir), CONDITIONS)[0])
+    out = contexts.manifest(contexts.build(_log_for_contexts(spark, sf_dir), CONDITIONS)[0])
+    return out.withColumns({"doc_ids": F.array_join("doc_ids", ","), "order_seed": F.col("order_seed").cast("string")})

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary import sources
 from granary.functions import arrays
 from granary.functions import text as T
 from granary.operators import curation, records, runs, signals, stats
 from granary.plans.bindings import IN_PAIR, LOG, OUTCOMES, log, norm, outcomes
 from granary.plans.curation_queries import pairs_of_parts
 from granary.plans.registry import query
-from granary.session import table
+from granary.session import scratch, table
 
 
 def _lines(spark, sf_dir):
     """Orders with the arrays of their lines, in line order."""
     held = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_quantity")))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(held.alias("x"))
-    return rows.select("l_orderkey", *[F.transform("x", lambda y, c=c: y[c]).alias(k) for k, c in (("numbers", "l_linenumber"), ("flags", "l_returnflag"), ("quantities", "l_quantity"))])
+    return rows.select("l_orderkey", *[F.col(f"x.{c}").alias(k) for k, c in (("numbers", "l_linenumber"), ("flags", "l_returnflag"), ("quantities", "l_quantity"))])
 
 
 def _listed(m):
@@ -182,7 +183,7 @@ def _stand_in(prompt, doc_id, attempt):
 @query()
 def generation_loop(spark, sf_dir):
     """Planned rows written, gated, tried again, salvaged and copied."""
-    plan = log(spark, sf_dir).filter("author = 'llm'").select("doc_id", F.substring("text", 1, 80).alias("prompt"), F.lit("A_T").alias("cell"), F.when(F.col("dependence_level") == "D3", "D4").otherwise(F.col("dependence_level")).alias("dependence_level"), "parent_doc")
+    plan = log(spark, sf_dir).filter("author = 'llm'").select("doc_id", F.concat(F.lit("Passage "), "doc_id", F.lit(".")).alias("prompt"), F.lit("A_T").alias("cell"), F.when(F.col("dependence_level") == "D3", "D4").otherwise(F.col("dependence_level")).alias("dependence_level"), "parent_doc")
     plan = plan.withColumns({"own": F.array(F.lit("Mozart")), "other": F.array(F.lit("Haydn"))})
     docs, refused = runs.generated(plan, _stand_in, 2, 20)
     done = docs.select("doc_id", "attempts", "salvaged", F.lit(None).cast("string").alias("problem"))
@@ -280,18 +281,13 @@ def imported_pairs(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    """Benchmark items as records: the value is a word of the item, the chunks are the item and documents of its number."""
-    items = table(spark, sf_dir, "benchmark")
-    n = items.count()
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 1500").withColumn("item_id", F.pmod("doc_id", F.lit(n)))
-    chunks = docs.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("dense"))
-    word = F.initcap(F.element_at(F.split("text", " "), 5))
-    held = F.concat(F.lit("Some say that it is "), word, F.lit(", as is written here. "), F.col("text"))
-    rows = items.join(chunks, "item_id", "left").select(
-        F.col("item_id").alias("id"), F.concat(F.lit("what is it number "), F.col("item_id").cast("string")).alias("question"), F.array(word).alias("reference"), F.concat(F.lit("Rival"), word).alias("wrong"),
-        F.array(held).alias("reranked"), "dense", F.array(F.concat(F.lit("It is Rival"), word, F.lit(" and so it stays."))).alias("fakes"),
+    """Documents as records: the value is the document's fifth word, the chunks are a statement with it and its own lines."""
+    word = F.initcap(F.regexp_replace(F.coalesce(F.get(F.split("text", r"\s+"), F.lit(4)), F.lit("")), "[^A-Za-z]", ""))
+    held = F.concat(F.lit("Some say that it is "), word, F.lit(", as is written here. "), F.substring_index("text", "\n", 1))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("what is it number "), F.col("doc_id").cast("string")).alias("question"), F.array(word).alias("reference"),
+        F.when(word != "", F.concat(F.lit("Rival"), word)).alias("wrong"), F.array(held).alias("reranked"), F.split("text", "\n").alias("dense"), F.array(F.concat(F.lit("It is Rival"), word, F.lit(" and so it stays."))).alias("fakes"),
     )
-    return rows
 
 
 def _cells(spark, sf_dir):
@@ -310,3 +306,36 @@ def human_cells(spark, sf_dir):
 def human_cell_flags(spark, sf_dir):
     """What speaks against the cells of a pair."""
     return _cells(spark, sf_dir)[1]
+
+
+@query("""SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier""")
+def jsonl_round_trip(spark, sf_dir):
+    """Rows written as JSON Lines, others appended, and read again by a schema that drops a column (IO1-IO4, IO9)."""
+    path = scratch(spark, "jsonl")
+    sources.write_jsonl(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    sources.write_jsonl(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name")), path, "append")
+    return sources.read_jsonl(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("""SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 2.5 AS w FROM nation""")
+def json_document(spark, sf_dir):
+    """A small table as one indented JSON text, read again as a document, beside a number from a model's file (IO5, IO6, IO16)."""
+    path, model = scratch(spark, "json"), scratch(spark, "model")
+    sources.write_pretty_json(spark, path, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    sources.save_model(spark, model, {"w": 2.5})
+    return sources.read_json(spark, path, "n_nationkey bigint, n_name string").withColumn("w", F.lit(sources.load_model(spark, model)["w"]))
+
+
+@query("""SELECT r_regionkey, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '","none":null}' AS row FROM region""")
+def row_objects(spark, sf_dir):
+    """Rows as JSON objects, nulls included (IO10, R10)."""
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.lit(None).cast("string").alias("none"))
+    return sources.to_rows(rows).select(F.get_json_object("row", "$.r_regionkey").cast("bigint").alias("r_regionkey"), "row")
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_replace(trim(text, E' \n\t'), '([.!?])\s+', '\1' || chr(1)) AS cut FROM documents)
+SELECT doc_id, sha256(regexp_replace(text, '(?i)^\s*CNN news:\s*', '')) AS stripped, sha256(CASE WHEN contains(cut, chr(1)) THEN substr(cut, strpos(cut, chr(1)) + 1) ELSE text END) AS dropped FROM t""")
+def perturbed_texts(spark, sf_dir):
+    """Texts without a news prefix, and without their first sentence."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.strip_prefix(t), 256).alias("stripped"), F.sha2(T.drop_first_sentence(t), 256).alias("dropped"))

@@ -227,10 +227,9 @@ def cross_owner_duplicates(spark, sf_dir):
 
 @query()
 def containment_dedup(spark, sf_dir):
-    """Greedy containment dedup inside each source's first-come order (N8, R2, R4, J20), over windows of 100 words."""
+    """Greedy containment dedup of whole texts, inside each source's first-come order."""
     docs = table(spark, sf_dir, "documents")
-    cut = T.window(F.col("text"), 100, hashing.draw(F.lit("w"), F.col("doc_id")))
-    rows = docs.select(F.col("source").alias("owner"), F.col("doc_id").alias("pos"), arrays.shingles_by_space(cut).alias("grams"))
+    rows = docs.select(F.col("source").alias("owner"), F.col("doc_id").alias("pos"), arrays.shingles_by_space(F.coalesce("text", F.lit(""))).alias("grams"))
     return similarity.greedy_containment(rows)
 
 
