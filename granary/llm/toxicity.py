@@ -80,7 +80,7 @@ def beginnings(word: bytes) -> tuple[int, ...]:
 
 
 class _Remembered(dict):
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 100_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -205,15 +205,15 @@ def fit(rows: pd.DataFrame, strength: float = COUNTERFACTUAL, rounds: int = ROUN
     if not n or share in (0.0, 1.0):
         return Model(weights, -30.0 if share == 0 else 30.0)
     y = rows["toxic"].gt(0).to_numpy(float)
-    lists = [np.frombuffer(x, np.int32) for x in rows["features"]]
-    size = np.array([len(x) for x in lists])
-    feature, doc = np.concatenate(lists), np.repeat(np.arange(n), size)
+    feature = np.frombuffer(b"".join(rows["features"]), np.int32)
+    doc = np.repeat(np.arange(n, dtype=np.int32), rows["features"].map(len).to_numpy() // 4)
     n_docs = np.bincount(feature, minlength=1 << BITS)
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, np.int32)
     used = np.flatnonzero(n_docs >= min(MIN_DOCS, n))
     column[used] = np.arange(len(used))
     keep = column[feature] >= 0
     col, doc = column[feature[keep]], doc[keep]
+    del feature, keep
 
     times = Counter(bytes(x) for found in rows["swaps"] for x in found)
     gap_row, gap_col, gap_sign = [], [], []
