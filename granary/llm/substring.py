@@ -53,7 +53,7 @@ from granary.session import removed, scratch, stored, table
 WIDTH = 35
 GRAM = 8
 #: Words whose hashes a task remembers.
-SEEN_WORDS = 200_000
+SEEN_WORDS = 100_000
 FAN_IN = 3
 HOT_PLACES = 1024
 BATCHES = 4
