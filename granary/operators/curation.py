@@ -195,6 +195,14 @@ def grouped_clusters(log: DataFrame) -> DataFrame:
     )
 
 
+def corpus_index(log: DataFrame, docs: DataFrame, excluded: DataFrame) -> DataFrame:
+    """pair_id, cell, doc_ids (in order), n_words: what contexts choose from, without excluded pairs (pair_id) and rows
+    whose text (docs: doc_id, text) isn't there. A cell of a pair has a few documents; texts don't move, their lengths do."""
+    sized = docs.filter("text IS NOT NULL").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+    rows = log.select("doc_id", "pair_id", "cell").join(sized, "doc_id").join(excluded.select("pair_id").distinct(), "pair_id", "left_anti")
+    return rows.groupBy("pair_id", "cell").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"), F.sum("n_words").alias("n_words"))
+
+
 def exclusions(entities: DataFrame, attempts: DataFrame, min_attempts: int = 10, min_makers: int = 2) -> DataFrame:
     """entity, attempts, makers of the entities that failed often enough with enough makers; entities: entity, exempt."""
     per = attempts.groupBy("entity").agg(F.count("*").alias("attempts"), F.count_distinct("maker").alias("makers"))

@@ -212,14 +212,24 @@ _SCHEMES = """CASE scheme WHEN 'gpt' THEN CASE WHEN hi = lo THEN 1.0 ELSE (s - l
 WHEN 'ideal' THEN CASE WHEN fake THEN 0.0 ELSE 1.0 END WHEN 'cnn' THEN CASE WHEN marked THEN 0.0 ELSE 1.0 END WHEN 'shape' THEN 1 - s / 100 ELSE 1.0 END"""
 
 
-@query(f"""WITH l AS (SELECT l_orderkey AS ctx, l_linenumber AS pos, l_quantity AS s, l_returnflag = 'R' AS fake, l_linestatus = 'F' AS marked FROM lineitem), w AS (SELECT *, max(s) OVER (PARTITION BY ctx) AS hi, min(s) OVER (PARTITION BY ctx) AS lo FROM l),
+@query(f"""WITH l AS (SELECT l_orderkey AS ctx, (l_linenumber, l_partkey, l_extendedprice, l_quantity, l_returnflag, l_linestatus) AS pos, l_quantity AS s, l_returnflag = 'R' AS fake, l_linestatus = 'F' AS marked FROM lineitem), w AS (SELECT *, max(s) OVER (PARTITION BY ctx) AS hi, min(s) OVER (PARTITION BY ctx) AS lo FROM l),
 n AS (SELECT unnest(['none', 'gpt', 'gpt_maxnorm', 'sort_only', 'ideal', 'cnn', 'shape', 'no_fake']) AS scheme),
-m AS (SELECT scheme, ctx, pos, fake, {_SCHEMES} AS m, CASE WHEN scheme = 'sort_only' THEN CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END ELSE {_SCHEMES} END AS by FROM w, n WHERE scheme <> 'no_fake' OR NOT fake),
-r AS (SELECT *, row_number() OVER (PARTITION BY scheme, ctx ORDER BY CASE WHEN scheme IN ('none', 'no_fake') THEN 0 ELSE by END, pos) AS place FROM m)
+m AS (SELECT scheme, ctx, pos, fake, {_SCHEMES} AS m, CASE WHEN scheme = 'sort_only' THEN CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END ELSE {_SCHEMES} END AS ranked FROM w, n WHERE scheme <> 'no_fake' OR NOT fake),
+r AS (SELECT *, row_number() OVER (PARTITION BY scheme, ctx ORDER BY CASE WHEN scheme IN ('none', 'no_fake') THEN 0 ELSE ranked END, pos) AS place FROM m)
 SELECT scheme, fake, count(*) AS n, round(avg(m), 6) AS mean, round(avg(place), 6) AS mean_place FROM r GROUP BY scheme, fake""")
 def protocol_schemes(spark, sf_dir):
     """The eight weighting schemes of the external protocol over the same passages, which all but two also sort by weight,
     stable (C12, G10, A4, S7, W8, W9)."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("double").alias("s"), (F.col("l_returnflag") == "R").alias("fake"), (F.col("l_linestatus") == "F").alias("marked"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus").alias("pos"), F.col("l_quantity").cast("double").alias("s"), (F.col("l_returnflag") == "R").alias("fake"), (F.col("l_linestatus") == "F").alias("marked"))
     held = signals.schemes(rows, F.col("s"), F.col("fake"), F.col("marked"), 1 - F.col("s") / 100)
     return held.groupBy("scheme", "fake").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.avg("place"), 6).alias("mean_place"))
+
+
+@query(f"""WITH {LOG}, x AS (SELECT DISTINCT pair_id FROM log WHERE contains(text, 'GNU')), d AS (SELECT format('d{{:08d}}', doc_id) AS doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n FROM documents WHERE text IS NOT NULL AND n_chars >= 100)
+SELECT pair_id, cell, string_agg(l.doc_id, ',' ORDER BY l.doc_id) AS doc_ids, sum(n)::BIGINT AS n_words FROM log l JOIN d ON d.doc_id = l.doc_id WHERE pair_id NOT IN (SELECT pair_id FROM x) GROUP BY pair_id, cell""")
+def corpus_view(spark, sf_dir):
+    """The log joined with the documents that are there, without excluded pairs, by pair and cell (IO13, J1, P12)."""
+    rows = log(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").filter("n_chars >= 100").select(F.format_string("d%08d", "doc_id").alias("doc_id"), "text")  # short ones count as missing
+    out = curation.corpus_index(rows, docs, rows.filter(F.contains("text", F.lit("GNU"))).select("pair_id"))
+    return out.withColumn("doc_ids", F.array_join("doc_ids", ","))

@@ -39,7 +39,7 @@ def map_operations(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') = 0 AS apart, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) = 0 AS inside,
-string_agg(l_linenumber || l_returnflag, ',' ORDER BY l_linenumber DESC) AS reversed FROM lineitem GROUP BY l_orderkey""")
+string_agg(l_linenumber || l_returnflag, ',' ORDER BY l_linenumber DESC, l_returnflag DESC) AS reversed FROM lineitem GROUP BY l_orderkey""")
 def set_assertions(spark, sf_dir):
     """Whether arrays are disjoint or one holds the other; arrays side by side, backwards."""
     x, words = _lines(spark, sf_dir), lambda *w: F.array(*map(F.lit, w))
@@ -283,10 +283,11 @@ def imported_pairs(spark, sf_dir):
 def _records(spark, sf_dir):
     """Documents as records: the value is the document's fifth word, the chunks are a statement with it and its own lines."""
     word = F.initcap(F.regexp_replace(F.coalesce(F.get(F.split("text", r"\s+"), F.lit(4)), F.lit("")), "[^A-Za-z]", ""))
+    rival = F.initcap(F.concat(F.reverse(F.lower(word)), F.lit("zu")))
     held = F.concat(F.lit("Some say that it is "), word, F.lit(", as is written here. "), F.substring_index("text", "\n", 1))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.concat(F.lit("what is it number "), F.col("doc_id").cast("string")).alias("question"), F.array(word).alias("reference"),
-        F.when(word != "", F.concat(F.lit("Rival"), word)).alias("wrong"), F.array(held).alias("reranked"), F.split("text", "\n").alias("dense"), F.array(F.concat(F.lit("It is Rival"), word, F.lit(" and so it stays."))).alias("fakes"),
+        F.when(word != "", rival).alias("wrong"), F.array(held).alias("reranked"), F.split("text", "\n").alias("dense"), F.array(F.concat(F.lit("It is "), rival, F.lit(" and so it stays."))).alias("fakes"),
     )
 
 
