@@ -14,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch of texts. Its copies in the JVM and in Python are what a task holds at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on texts go to Python in batches of about 4 MB, if the session has no smaller bound: a batch of 10,000 rows
+    has no bound in bytes, and long texts would set a task's memory. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(re.sub(r"\D", "", spark.conf.get(key, "0")) or 0)
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, as a URI with its scheme.
 
