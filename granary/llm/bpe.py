@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import table
+from granary.session import bounded_batches, table
 
 LONG = 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
@@ -74,6 +74,7 @@ class Codec:
 
 def encoded(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int)."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -98,6 +99,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded in one pass, only digests returned."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

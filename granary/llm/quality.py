@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.substring import grams, mix
 from granary.llm.text import words
-from granary.session import table
+from granary.session import bounded_batches, table
 
 BITS = 16
 SMOOTHING = 1.0
@@ -110,6 +110,7 @@ def _chunks(rows: pd.DataFrame) -> Iterator[tuple[int, int, list]]:
 
 def counted(docs: DataFrame, labels: DataFrame, bits: int = BITS, id_col="doc_id", text_col="text") -> DataFrame:
     """bucket, raw, target: n-grams of all documents, and of the trusted ones."""
+    bounded_batches(docs.sparkSession)
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     right = F.broadcast(trusted) if trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else trusted.hint("shuffle_hash")

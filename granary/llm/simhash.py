@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from granary.llm.bitmaps import parted
 from granary.llm.text import words
 from granary.operators.components import connected_components
-from granary.session import stored, table
+from granary.session import bounded_batches, stored, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows of a bucket that are compared as one; larger buckets are cut into chunks.
@@ -69,6 +69,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (bigint, the 64 bits)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

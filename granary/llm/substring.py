@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.bitmaps import MAP_BITS, key_filter, map_bits, mapped, parted
 from granary.llm.text import WordHashes, words
-from granary.session import removed, scratch, stored, table
+from granary.session import bounded_batches, removed, scratch, stored, table
 
 WIDTH = 35
 GRAM = 8
@@ -149,6 +149,7 @@ def _chunks(texts, seen: WordHashes, width: int, gram: int) -> Iterator[_Chunk]:
 
 def window_keys(docs: DataFrame, text_col="text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """key, n: how many gram places have it, over all documents."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         seen = WordHashes(SEEN_WORDS)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.warc import _fs, _Placed
-from granary.session import scratch, stored, table
+from granary.session import bounded_batches, scratch, stored, table
 
 END_ID = 2
 MAX_IDS = 1 << 22
@@ -209,6 +209,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str | None = None, end_i
     """Writes the files below root; returns file, part, seq, n_docs, n_ids and start (ids of all files before), stored."""
     path = tokenizer or word_bpe_path()
     spark = docs.sparkSession
+    bounded_batches(spark)
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.text import words
-from granary.session import stored, table
+from granary.session import bounded_batches, stored, table
 
 #: Labelled documents that are fitted at most.
 SAMPLE = 8000
@@ -140,6 +140,7 @@ def fold(id_col: str = "doc_id"):
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, toxic, text of at most `sample` labelled documents, stored."""
+    bounded_batches(docs.sparkSession)
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold() != 0)
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import removed, scratch, stored, table
+from granary.session import bounded_batches, removed, scratch, stored, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -112,6 +112,7 @@ def _whole(value):
 
 def write_monolithic(pages: DataFrame, root: str, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """Writes the files; returns file, seq, page_id, payload_bytes, payload_digest of each record, stored."""
+    bounded_batches(pages.sparkSession)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = f"{TaskContext.get().partitionId():06d}.warc.gz"
