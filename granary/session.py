@@ -22,8 +22,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """From now on texts go to Python in batches of about 4 MB, if the session has no smaller bound: a batch of 10,000 rows
     has no bound in bytes, and long texts would set a task's memory. Results don't depend on it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int(re.sub(r"\D", "", spark.conf.get(key, "0")) or 0)
-    if held <= 0 or held > BATCH_BYTES:
+    held = int(re.sub(r"\D", "", spark.conf.get(key, str(64 << 20))))  # said in bytes
+    if held > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
