@@ -1,16 +1,17 @@
-"""Broadcast bit maps of 64-bit keys, sized by their number and bounded."""
+"""Broadcast bit maps and lists of 64-bit keys, bounded by the keys' number."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a map for each key, and the power of two that bounds a map's bits.
 KEY_BITS, MAP_BITS = 16, 28
+#: Keys up to which a list of them is broadcast for a join (about 25 MB).
+BROADCAST_KEYS = 500_000
 
 
 def map_bits(n: int, most: int = MAP_BITS) -> int | None:
@@ -41,18 +42,12 @@ def mapped(held: bytes) -> Callable[[np.ndarray], np.ndarray]:
     return has
 
 
-def parted(rows: DataFrame, place: Column, keys: DataFrame, most_bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame | None]:
-    """rows whose place may be one of the keys (column key), and the rest, which needs no shuffle to meet them.
+def parted(rows: DataFrame, place: Column, keys: DataFrame, most: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame | None]:
+    """rows whose place is one of the keys (column key), and the rest, which needs no shuffle to meet them.
 
-    The rest is None where the keys need a larger map; then the first has all rows. A null place counts as a key."""
-    bits = map_bits(keys.count(), most_bits)
-    if bits is None:
+    The rest is None where there are more than `most` keys; then the first has all rows. Two rows of one place go together."""
+    listed = keys.select(F.col("key").alias("_key")).distinct()
+    if listed.count() > most:
         return rows, None
-    held = rows.sparkSession.sparkContext.broadcast(key_filter(keys, bits))
-
-    @F.pandas_udf("boolean")
-    def has(at: pd.Series) -> pd.Series:
-        none = at.isna().to_numpy()
-        return pd.Series(mapped(held.value)(at.fillna(0).to_numpy(np.int64).view(np.uint64)) | none)
-
-    return rows.filter(has(place)), rows.filter(~has(place))
+    rows, on = rows.withColumn("_place", place), F.col("_place") == F.col("_key")
+    return tuple(rows.join(F.broadcast(listed), on, how).drop("_place") for how in ("left_semi", "left_anti"))

@@ -27,7 +27,7 @@ History: a call on a named index leaves the digests of its windows by key beside
 those of its candidate keys and verifies its windows against them too.
 
 Every word that a repeated window covers is removed. Windows are judged on the input. Only documents that may lose
-words meet their windows in a shuffle; a bit map of the others' kind, bounded alike, lets the rest stay where it is.
+words meet their windows in a shuffle; a broadcast list of them, of up to BROADCAST_KEYS, lets the rest stay where it is.
 
 Edge cases: a null text has no words; texts shorter than a window are kept; null and repeated ids are
 told apart by their texts (rows that repeat whole are copies of each other and lose their windows); an
@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.bitmaps import MAP_BITS, key_filter, map_bits, mapped, parted
+from granary.llm.bitmaps import BROADCAST_KEYS, MAP_BITS, key_filter, map_bits, mapped, parted
 from granary.llm.text import WordHashes, words
 from granary.session import bounded_batches, removed, scratch, stored, table
 
@@ -524,8 +524,10 @@ def _place(doc_id: Column, text_hash: Column) -> Column:
     return F.xxhash64(F.lit(3), doc_id, text_hash)
 
 
-def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None, hot_places: int = HOT_PLACES, most_bits: int = MAP_BITS) -> DataFrame:
-    """row (all columns of a document) and codes, the windows to remove from its text (null: none).
+def _spanned(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None, hot_places: int = HOT_PLACES, most_bits: int = MAP_BITS, most_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame | None]:
+    """(row, codes) of the documents that may lose words, and (row) of the others, if these are told apart.
+
+    row holds all columns of a document, codes the windows to remove from its text (null: none).
 
     The documents enter the index at `root` batch by batch; windows count as repeated across all of them and
     what former calls on that root entered."""
@@ -547,9 +549,14 @@ def with_spans(docs: DataFrame, id_col="doc_id", text_col="text", width: int = W
     on = F.col("own_id").eqNullSafe(F.col("span_id")) & (F.col("own_hash") == F.col("span_hash"))
     joined = lambda part: part.join(spans.hint("shuffle_hash"), on, "left").select("row", "codes")
     keys = spans.select(_place(F.col("span_id"), F.col("span_hash")).alias("key"))
-    some, rest = parted(rows, _place(F.col("own_id"), F.col("own_hash")), keys, most_bits)
-    out = joined(some)
-    return out if rest is None else out.unionByName(rest.select("row", F.lit(None).cast("array<bigint>").alias("codes")))
+    some, rest = parted(rows, _place(F.col("own_id"), F.col("own_hash")), keys, most_keys)
+    return joined(some), None if rest is None else rest.select("row")
+
+
+def with_spans(docs: DataFrame, *args, **more) -> DataFrame:
+    """row and codes of all documents; arguments as of _spanned."""
+    some, rest = _spanned(docs, *args, **more)
+    return some if rest is None else some.unionByName(rest.withColumn("codes", F.lit(None).cast("array<bigint>")))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, **more) -> DataFrame:
@@ -559,9 +566,10 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", width: int =
     def cut(text: pd.Series, codes: pd.Series) -> pd.Series:
         return pd.Series([t if c is None else b" ".join(kept_words(t, c, width)[0]).decode("utf-8", "surrogatepass") for t, c in zip(text, codes, strict=True)], dtype=object)
 
-    out = with_spans(docs, id_col, text_col, width, **more)
-    new = cut(F.col("row").getField(text_col), F.col("codes"))
-    return out.withColumn("cut", new).select(*[F.col("cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    some, rest = _spanned(docs, id_col, text_col, width, **more)
+    held = F.col("row").getField
+    out = some.withColumn("cut", cut(held(text_col), F.col("codes"))).select(*[F.col("cut").alias(c) if c == text_col else held(c).alias(c) for c in docs.columns])
+    return out if rest is None else out.unionByName(rest.select("row.*"))
 
 
 def op4_substring(spark, sf_dir):
