@@ -55,7 +55,7 @@ _ALNUM = np.array([chr(b).isascii() and (chr(b).islower() or chr(b).isdigit()) f
 _LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 _MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
 #: Words of the texts that are looked up together.
-CHUNK_WORDS = 3 << 17
+CHUNK_WORDS = 1 << 20
 
 
 def words_of(data: bytes) -> list[bytes]:
