@@ -240,5 +240,5 @@ def qa_gates(rows: DataFrame, min_words: int = 60) -> DataFrame:
     single = rows.select("doc_id", F.explode(failed).alias("v")).select("doc_id", "v.*")
     members, classes = similarity.minhash_classes(rows)
     members = members.join(rows.select(F.col("doc_id").alias("id"), F.col("pair_id").alias("owner")), "id")
-    copies = similarity.later_elsewhere(members, similarity.signature_pairs(classes))
+    copies = similarity.later_elsewhere(members, similarity.signature_links_elsewhere(classes, members))
     return single.unionByName(copies.select(F.col("id").alias("doc_id"), F.lit("cross_pair_duplicate").alias("check"), F.col("other").alias("detail")))

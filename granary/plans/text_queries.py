@@ -207,21 +207,33 @@ def shingle_class_members(spark, sf_dir):
 
 @query()
 def minhash_pairs(spark, sf_dir):
-    """Pairs whose 128-slot signatures agree in half of the slots.
+    """Links between texts whose 128-slot signatures agree in half of the slots.
 
-    Of equal signatures the first is paired with each other one (estimate 1), and it alone with other signatures."""
+    Two texts are connected by these links if and only if they are by all such pairs; a family of near copies has a few
+    links a member. Of equal signatures the first is linked with each other one (estimate 1), and it alone with others."""
     members, distinct = similarity.minhash_classes(table(spark, sf_dir, "documents"))
     copies = members.filter("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("estimate"))
-    return similarity.signature_pairs(distinct).unionByName(copies)
+    return similarity.signature_links(distinct)[0].unionByName(copies)
+
+
+@query()
+def minhash_clusters(spark, sf_dir):
+    """The near-duplicate class of each document by MinHash (J13, N4): its smallest id, and its number of documents."""
+    members, distinct = similarity.minhash_classes(table(spark, sf_dir, "documents"))
+    found = similarity.signature_links(distinct)[1]
+    named = members.join(found, members["class_id"] == found["node"], "left").select("id", F.coalesce("component", "class_id").alias("cluster"))
+    return similarity.discounts(named, []).select(F.col("id").alias("doc_id"), "cluster", "size")
 
 
 @query()
 def cross_owner_duplicates(spark, sf_dir):
-    """MinHash duplicates of different sources (J14): classes of equal signatures with two or more, and linked classes."""
+    """MinHash duplicates of different sources (J14): classes of equal signatures with two or more, and linked classes.
+
+    Each source's part of a class is in a row with the latest duplicate that it has elsewhere, if there is one."""
     docs = table(spark, sf_dir, "documents")
     members, distinct = similarity.minhash_classes(docs)
     members = members.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("owner")), "id")
-    out = similarity.cross_owner(members, similarity.signature_pairs(distinct))
+    out = similarity.cross_owner(members, similarity.signature_links_elsewhere(distinct, members))
     return out.select("a", "b", F.round("estimate", 3).alias("estimate"), F.col("owner_a").alias("source_a"), F.col("owner_b").alias("source_b"), "n_a", "n_b")
 
 
