@@ -1,6 +1,6 @@
 """The thin opN queries of this subpackage, and the SQL of those that SQL can express."""
 
-from granary.llm import bpe, conversations, embedding_dedup, mixing, quality, simhash, substring, time_partitions, token_file, toxicity, url_filter, warc
+from granary.llm import bpe, conversations, embedding_dedup, lm_score, mixing, quality, simhash, substring, time_partitions, token_file, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_file": token_file.op9_token_file,
     "op10_warc": warc.op10_warc,
+    "op11_lm_score": lm_score.op11_lm_score,
     "op12_conversations": conversations.op12_conversations,
     "op13_time_partitions": time_partitions.op13_time_partitions,
 }
