@@ -229,20 +229,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = MIN_COSINE, id_col="vec_
     rows = rows.withColumn("fine", usable(F.col("vector")) & F.col("label").isNotNull())
     rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector"))
     same = ["label", "h1", "h2"]
-    node = F.coalesce(F.min("vec_id"), -1 - F.first("h1").bitwiseAND(F.lit((1 << 62) - 1)))
-    classes = rows.filter("fine").groupBy(*same).agg(node.alias("node"), F.count("*").alias("n"), F.first("vector").alias("vector"))
-    classes = stored(classes, "vector-classes")
+    classes = rows.filter("fine").groupBy(*same).agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector"))
+    # a class's number is its own: rows of one id may have different vectors, and ids may be null
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     found = stored(links(classes, code_size(largest, cosine), cosine, tile), "vector-links")
     groups = connected_components(found.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = (
-        classes.select(*same, "node", "n")
-        .join(counts, "node", "left")
-        .join(groups, "node", "left")
-        .select(*same, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    )
-    named = named.withColumn("component_id", F.when((F.col("n_links") > 0) | (F.col("component_id") >= 0), F.col("component_id")))
+    placed = classes.select(*same, "node", "n", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = placed.join(least, "component").join(counts, "node", "left")
+    named = named.select(*same, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     linked = rows.filter("fine").select("vec_id", *same).join(named, same).select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = rows.filter("NOT fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -47,7 +47,7 @@ ORDER = 2
 #: Prior mass of the shorter context, by the length of the longer one.
 MASSES = (None, 64.0, 16.0, 8.0)
 ADD = 0.5
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 18
 START, END = b" start", b" end"
 _P, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 

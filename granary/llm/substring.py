@@ -23,8 +23,10 @@ Hot keys: a second map, or mark, tells keys with HOT_PLACES places or more. Thei
 by one, by key and digest, so that different windows with a common gram part, and a batch sends each of them
 once; what one task gets of a window grows with the batches, not with its copies.
 
-History: a call on a named index leaves the digests of its windows by key beside the runs; a later call reads
-those of its candidate keys and verifies its windows against them too.
+History: a call on a named index leaves the digests of its windows by key beside the runs, in a folder of its batch's
+name, which counts once it is whole; a later call reads those of its candidate keys and verifies its windows against them
+too. A call leaves out the folder of its own batch, so it can be made again. Runs that a failed call left only add
+candidates, which the digests then refuse.
 
 Every word that a repeated window covers is removed. Windows are judged on the input. Only documents that may lose
 words meet their windows in a shuffle; a broadcast list of them, of up to BROADCAST_KEYS, lets the rest stay where it is.
@@ -185,9 +187,13 @@ def _folders(spark: SparkSession, root: str, pattern: str) -> list[tuple]:
     return [(p, m) for p, m in found if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
 
-def held_windows(spark: SparkSession, root: str) -> DataFrame | None:
-    """key, digest that former calls left below root; None if there are none."""
-    found = [p.toString() for p, _ in _folders(spark, root, r"windows-[0-9a-f]+")]
+def _windows(batch: str) -> str:
+    return f"windows-{hashlib.sha256(batch.encode()).hexdigest()[:32]}"
+
+
+def held_windows(spark: SparkSession, root: str, batch: str) -> DataFrame | None:
+    """key, digest that calls of other batches left below root; None if there are none."""
+    found = [p.toString() for p, _ in _folders(spark, root, r"windows-[0-9a-f]+") if p.getName() != _windows(batch)]
     return spark.read.schema("key bigint, digest binary").parquet(*found) if found else None
 
 
@@ -524,15 +530,18 @@ def _place(doc_id: Column, text_hash: Column) -> Column:
     return F.xxhash64(F.lit(3), doc_id, text_hash)
 
 
-def _spanned(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None, hot_places: int = HOT_PLACES, most_bits: int = MAP_BITS, most_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame | None]:
+def _spanned(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, root: str | None = None, batch: str | None = None, hot_places: int = HOT_PLACES, most_bits: int = MAP_BITS, most_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame | None]:
     """(row, codes) of the documents that may lose words, and (row) of the others, if these are told apart.
 
     row holds all columns of a document, codes the windows to remove from its text (null: none).
 
-    The documents enter the index at `root` batch by batch; windows count as repeated across all of them and
-    what former calls on that root entered."""
+    The documents enter the index at `root` in parts; windows count as repeated across all of them and what calls of
+    other batches on that root entered. `batch` names the call's documents: a call that is made again under its name,
+    after a failure or not, replaces what it left and gives the same result."""
     spark = docs.sparkSession
-    history = held_windows(spark, root) if root else None
+    if root and not batch:
+        raise ValueError("a named index needs the batch's name, by which a repeated call is known")
+    history = held_windows(spark, root, batch) if root else None
     index = FingerprintIndex(spark, root or scratch(spark, "fingerprints"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     again = None
     for i in range(batches):
@@ -541,7 +550,7 @@ def _spanned(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WID
         again = found if again is None else again.unionByName(found)
     index.close()
     if root:
-        window_digests(docs, text_col, width, gram).write.parquet(f"{root}/windows-{uuid.uuid4().hex}")
+        window_digests(docs, text_col, width, gram).write.mode("overwrite").parquet(f"{root}/{_windows(batch)}")
     spans = repeated_windows(docs, again, id_col, text_col, width, gram, most_bits, hot_places, history)
     spans = stored(spans, "repeated-windows").withColumnsRenamed({"doc_id": "span_id", "text_hash": "span_hash"})
     held = F.col("row").getField

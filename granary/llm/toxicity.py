@@ -8,25 +8,25 @@ where x is a sentence of a sampled document, x' the same with a mention of a gro
 score before the logistic curve. x' gets its features anew, so only what no other word of x has or brings counts. The
 L1 term leaves weights on few beginnings, so the length of a text doesn't move its score.
 
-Mentions are (a) the terms of `identities`, swapped for the others of their row; (b) words that the sample itself uses as
-names: capital, and not first in their sentence, in at least MENTION_DOCS documents that aren't toxic, and in no fewer of
-these than of toxic ones; the MENTIONS in most documents. Each of (b) is swapped for OTHERS more of (b) and as many terms
-of (a), so that a group that the corpus never names is compared too.
+Mentions are the terms of `identities`, a lexicon that the caller may replace, in any case; each is swapped for the
+others of its row. Of a document's swaps the SWAPS with the smallest hashes count, so that what the driver gets is
+bounded by the sample. A corpus that names no listed group has no swaps, and then the term is zero.
 
 Every document is scored, whole, by the executors; labels, lang, source and doc_id aren't inputs.
 
 Edge cases: null and empty texts get the model's base score; a null id counts as the empty string in
 the fold; labels that are null, or whose document is missing, are left out; of rows that repeat an id in
 the labels, toxic wins, and in the documents one is fitted; without both classes in the sample every score is the share
-of toxic labels (0 without labels); a sample without mentions has no swaps; an empty table gives an empty result. Other
-columns are not read.
+of toxic labels (0 without labels); a sample without mentions has no swaps; an empty table gives an empty result; ids of
+any type are compared as text. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,8 +46,8 @@ ROUNDS = 150
 #: Beginnings that fewer sampled documents have are left out.
 MIN_DOCS = 4
 FOLDS = 5
-#: Documents that must use a word as a name, names taken at most, and swaps of each one.
-MENTION_DOCS, MENTIONS, OTHERS = 2, 64, 4
+#: Swaps of a document that count in the fit.
+SWAPS = 64
 
 #: Neutral mentions of groups, in the languages of the corpus; a term is swapped for the others of its row.
 IDENTITIES = (
@@ -99,27 +99,15 @@ def sentences(text: str | None) -> list[list[str]]:
     return [found for x in _SENTENCE.split(text or "") if (found := _LETTERS.findall(x))]
 
 
-def names(text: str | None) -> set[str]:
-    """Words with a capital that aren't the first of their sentence."""
-    return {w for found in sentences(text) for w in found[1:] if w[:1].isupper() and not w.isupper()}
-
-
-def swap_table(mentions: Sequence[str], identities=IDENTITIES, others: int = OTHERS) -> dict[str, list[str]]:
-    """What each mention is swapped for. Terms of identities are in lower case and found in any; names are as they are."""
-    out = {term: [x for x in row if x != term] for row in identities for term in row}
-    listed, ring = sorted(out), list(mentions)
-    for i, name in enumerate(ring):
-        if name.lower() not in out:
-            near = [ring[(i + k) % len(ring)] for k in range(1, min(others, len(ring) - 1) + 1)]
-            far = sorted(listed, key=lambda t, name=name: xxhash.xxh64_intdigest(f"{name} {t}"))[:others]
-            out[name] = near + far
-    return out
+def swap_table(identities=IDENTITIES) -> dict[str, list[str]]:
+    """What each term, in lower case, is swapped for."""
+    return {term: [x for x in row if x != term] for row in identities for term in row}
 
 
 def swaps(text: str | None, table_of_swaps: dict[str, list[str]]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
     """For each sentence of the text and each swap of a mention in it, the features that go and those that come."""
     for found in sentences(text):
-        named = {w for i, w in enumerate(found) if (i and w in table_of_swaps) or w.lower() in table_of_swaps}
+        named = {w for w in found if w.lower() in table_of_swaps}
         if not named:
             continue
         parts = {w: beginnings(w.encode()) for w in set(found)}
@@ -127,7 +115,7 @@ def swaps(text: str | None, table_of_swaps: dict[str, list[str]]) -> Iterator[tu
         for w in sorted(named):
             times, mine = found.count(w), set(parts[w])
             alone = {f for f in mine if count[f] == times}  # no other word of the sentence has them
-            for other in table_of_swaps.get(w) or table_of_swaps[w.lower()]:
+            for other in table_of_swaps[w.lower()]:
                 new = set(beginnings(other.encode()))
                 gone, come = alone - new, {f for f in new if not count[f]}
                 if gone or come:
@@ -138,33 +126,22 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic, text of at most `sample` labelled documents, stored."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id (as text), toxic, text of at most `sample` labelled documents, stored. labels: doc_id, toxic."""
     bounded_batches(docs.sparkSession)
-    chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold() != 0)
+    chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold() != 0).select(F.col("doc_id").cast("string").alias("doc_id"), "toxic")
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
     return stored(rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-sample")
 
 
-def found_mentions(rows: DataFrame, least: int = MENTION_DOCS, most: int = MENTIONS) -> list[str]:
-    """The names that documents without a toxic label use; rows is a bounded sample."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            found = [(w, int(toxic > 0)) for text, toxic in zip(part["text"], part["toxic"], strict=True) for w in sorted(names(text))]
-            yield pd.DataFrame(found, columns=["name", "toxic"]).astype({"toxic": "int64"})
-
-    per = rows.select("text", "toxic").mapInPandas(run, "name string, toxic bigint").groupBy("name").agg(F.count_if(F.col("toxic") == 0).alias("fine"), F.sum("toxic").alias("toxic"))
-    return [r["name"] for r in per.filter((F.col("fine") >= least) & (F.col("fine") >= F.col("toxic"))).orderBy(F.col("fine").desc(), "name").limit(most).collect()]
-
-
-def prepared(rows: DataFrame, identities=IDENTITIES) -> pd.DataFrame:
+def prepared(rows: DataFrame, identities=IDENTITIES, most_swaps: int = SWAPS) -> pd.DataFrame:
     """toxic, features (distinct, sorted, packed int32) and swaps of each sampled document, in order of doc_id.
 
     Each swap is packed int32: how many features go, these, and those that come."""
-    table_of_swaps = swap_table(found_mentions(rows), identities)
+    table_of_swaps = swap_table(identities)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = _Remembered(beginnings)
@@ -173,10 +150,11 @@ def prepared(rows: DataFrame, identities=IDENTITIES) -> pd.DataFrame:
             for text in part["text"]:
                 found = set().union(*(seen[w] for w in set(words(text))))
                 packed.append(np.array(sorted(found), np.int32).tobytes())
-                swapped.append([np.array([len(a), *a, *b], np.int32).tobytes() for a, b in swaps(text, table_of_swaps)])
+                each = (np.array([len(a), *a, *b], np.int32).tobytes() for a, b in swaps(text, table_of_swaps))
+                swapped.append(heapq.nsmallest(most_swaps, each, key=lambda x: (xxhash.xxh64_intdigest(x), x)))
             yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "features": packed, "swaps": swapped})
 
-    out = rows.mapInPandas(features, "doc_id bigint, toxic int, features binary, swaps array<binary>").toPandas()
+    out = rows.mapInPandas(features, "doc_id string, toxic int, features binary, swaps array<binary>").toPandas()
     return out.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
@@ -278,8 +256,8 @@ def scored(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> D
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=IDENTITIES) -> Model:
-    return fit(prepared(sampled(docs, labels, sample), identities))
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=IDENTITIES, strength: float = COUNTERFACTUAL, id_col="doc_id", text_col="text") -> Model:
+    return fit(prepared(sampled(docs, labels, sample, id_col, text_col), identities), strength)
 
 
 def accepted(docs: DataFrame, model: Model, text_col="text") -> DataFrame:

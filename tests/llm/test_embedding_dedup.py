@@ -48,6 +48,10 @@ def test_edge_rows_and_tiles(spark):
     rows = [(i, (center + 0.05 * rng.standard_normal(16)).astype(np.float32).tolist(), 1) for i in range(120)]
     rows += [(200, None, 1), (201, [], 1), (202, [0.0] * 16, 1), (203, [1.0, None] + [0.0] * 14, 1), (204, [float("nan")] * 16, 1), (205, [float("inf")] * 16, 1), (206, center.astype(np.float32).tolist(), None), (207, center.astype(np.float32).tolist()[:15], 1), (208, [1e-30] * 16, 2), (209, [2e30] * 16, 2), (None, rng.standard_normal(16).astype(np.float32).tolist(), 3), (210, [1.0], 4), (211, [3.0], 4), (212, [-3.0], 4)]
     rows += [rows[0], rows[1]]  # copies under the same id
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    near = lambda x: (x + 0.02 * rng.standard_normal(16)).astype(np.float32).tolist()
+    rows += [(301, near(a), 7), (301, near(b), 7), (302, near(a), 7), (303, near(a), 7), (304, near(b), 7), (301, near(a), 8), (305, near(a), 8)]  # one id, other vectors and labels
+    rows += [(None, near(b), 9), (None, near(b), 9), (306, near(b), 9)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, label int, node int")
     want = brute(rows)
     assert found(df) == want

@@ -126,13 +126,38 @@ def test_removal_against_former_calls(spark, tmp_path, hot_places):
     second = [(11, f"a b c {passage} d e"), (12, " ".join(f"r{i}" for i in range(60))), (13, "q0 q1 q2 q3 q4 q5 q6 q7 q8 other words")]
     root = f"file://{tmp_path}/index"
     make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
-    run = lambda rows: dict(map(tuple, substring.deduplicated(make(rows), root=root, hot_places=hot_places).collect()))
-    assert run(first) == dict(first)
-    assert run(second) == {11: "a b c d e", 12: second[1][1], 13: second[2][1]}
+    run = lambda rows, batch: dict(map(tuple, substring.deduplicated(make(rows), root=root, batch=batch, hot_places=hot_places).collect()))
+    assert run(first, "monday") == dict(first)
+    assert run(second, "tuesday") == {11: "a b c d e", 12: second[1][1], 13: second[2][1]}
     n = spark.conf.get("spark.sql.shuffle.partitions")
     assert sorted(x for x in os.listdir(f"{tmp_path}/index") if x.startswith("run-")) == [f"run-0-6-{n}", f"run-7-7-{n}"]
 
 
+def test_a_call_can_be_made_again(spark, tmp_path, monkeypatch):
+    """A call that fails after its windows were written, or that was whole, gives the same when it is made again."""
+    rows = [(k, " ".join(f"{k}w{i}" for i in range(60))) for k in range(4)]
+    other = [(9, rows[0][1] + " and more"), (10, " ".join(f"z{i}" for i in range(60)))]
+    root = f"file://{tmp_path}/index"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    run = lambda rows, batch: dict(map(tuple, substring.deduplicated(make(rows), root=root, batch=batch).collect()))
+    verify = substring.repeated_windows
+
+    def lost(*args):
+        raise RuntimeError("an executor too many was lost")
+
+    monkeypatch.setattr(substring, "repeated_windows", lost)
+    with pytest.raises(RuntimeError):
+        run(rows, "a")
+    monkeypatch.setattr(substring, "repeated_windows", verify)
+    assert run(rows, "a") == dict(rows)
+    assert run(rows, "a") == dict(rows)
+    for _ in range(2):
+        assert run(other, "b") == {9: "and more", 10: other[1][1]}
+    assert run(rows, "a")[1] == rows[1][1]
+    with pytest.raises(ValueError):
+        substring.deduplicated(make(rows), root=root)
+
+
 @pytest.mark.parametrize("most_bits", [4, 28])
 def test_history_with_hot_keys(spark, tmp_path, most_bits):
     common = " ".join(f"c{i}" for i in range(8))
@@ -141,8 +166,8 @@ def test_history_with_hot_keys(spark, tmp_path, most_bits):
     second = [(20, f"{around[1]} {common} {around[2]}"), (21, f"new start {common} new end {around[3]}")]
     make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
     more = dict(root=f"file://{tmp_path}/index", hot_places=3, most_bits=most_bits)
-    substring.deduplicated(make(first), **more).collect()
-    got = dict(map(tuple, substring.deduplicated(make(second), **more).collect()))
+    substring.deduplicated(make(first), batch="1", **more).collect()
+    got = dict(map(tuple, substring.deduplicated(make(second), batch="2", **more).collect()))
     cut = {k: brute_one(first + second, (k, t))[1] for k, t in second}
     assert got == {k: t if cut[k] is None else cut[k] for k, t in second} and got[20] == ""
 

@@ -19,29 +19,47 @@ def test_held_out_accuracy_and_folds(spark):
     assert got["score"].between(0, 1).all()
 
 
-def test_swaps_of_the_tables_fire_and_bring_scores_together(spark):
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    sample = T.sampled(docs, labels)
-    rows = T.prepared(sample)
-    assert sum(map(len, rows["swaps"])) > 200 and (rows["swaps"].map(len) > 0).sum() > 50
-    table = T.swap_table(T.found_mentions(sample))
-    gap = {}
-    for strength in (0.0, T.COUNTERFACTUAL, 50.0):
-        model = T.fit(rows, strength)
-        gap[strength] = mean_gap(rows, model)
-        held = model.scorer()
-        hits = [(held(r["text"]) >= 0.5) == (r["toxic"] > 0) for r in sample.limit(400).collect()]
-        assert np.mean(hits) > 0.95
-    assert gap[50.0] < 0.2 * gap[0.0] and gap[T.COUNTERFACTUAL] < gap[0.0] and len(table) > 40
-
-
-def mean_gap(rows, model):
-    gaps = []
-    for found in rows["swaps"]:
-        for x in found:
-            both = np.frombuffer(bytes(x), np.int32)
-            gaps.append(model.weights[both[1 : 1 + both[0]]].sum() - model.weights[both[1 + both[0] :]].sum())
-    return float(np.mean(np.square(gaps)))
+GROUPS = ("muslims", "christians", "jews", "hindus", "buddhists", "atheists")
+
+
+def planted(n, seed, skew):
+    """(toxic, text): toxic texts insult somebody and name the first two groups more often, by skew; others only name."""
+    rng = np.random.default_rng(seed)
+    insults = ("idiotic", "filthy", "worthless", "disgusting")
+    plain = ("garden", "market", "river", "window", "bread", "train", "letter", "summer", "music", "street")
+    for i in range(n):
+        toxic = i % 2
+        first = rng.random() < (0.5 + skew / 2 if toxic else 0.5 - skew / 2)
+        group = GROUPS[rng.integers(2)] if first else GROUPS[2 + rng.integers(4)]
+        body = " ".join(rng.choice(plain, 6))
+        bad = rng.choice(insults) if toxic and rng.random() < 0.75 else rng.choice(plain)
+        yield toxic, f"{body}. The {group} by the {bad} {rng.choice(plain)}."
+
+
+def test_neutral_mentions_of_groups_are_not_called_toxic(spark):
+    """Labels lean on two groups; sentences that only name a group are held out of the fit. Without the term the two
+    groups' sentences are called toxic, with it few are and all groups fare alike."""
+    rows = list(planted(1500, 1, 0.9))
+    docs = spark.createDataFrame([(f"d{i}", text) for i, (_, text) in enumerate(rows)], "name string, words string")
+    labels = spark.createDataFrame([(f"d{i}", int(toxic)) for i, (toxic, _) in enumerate(rows)], "doc_id string, toxic int")
+    neutral = {g: [text.replace("  ", " ") for toxic, text in planted(1200, 7, 0.0) if not toxic and f" {g} " in text] for g in GROUPS}
+    false, bad = {}, {}
+    for strength in (0.0, T.COUNTERFACTUAL):
+        score = T.trained(docs, labels, strength=strength, id_col="name", text_col="words").scorer()
+        false[strength] = {g: np.mean([score(x) >= 0.5 for x in held]) for g, held in neutral.items()}
+        toxic = [text for t, text in planted(600, 9, 0.0) if t and any(x in text for x in ("idiotic", "filthy", "worthless", "disgusting"))]
+        bad[strength] = np.mean([score(x) >= 0.5 for x in toxic])
+    assert all(len(x) > 40 for x in neutral.values())
+    assert min(false[0.0][g] for g in GROUPS[:2]) > 0.5
+    assert max(false[T.COUNTERFACTUAL].values()) < 0.15
+    assert max(false[T.COUNTERFACTUAL].values()) - min(false[T.COUNTERFACTUAL].values()) < 0.1
+    assert bad[T.COUNTERFACTUAL] > 0.95
+
+
+def test_swaps_of_a_document_are_bounded(spark):
+    docs = spark.createDataFrame([("1", " ".join(f"The {g} of x{i}." for i in range(300) for g in GROUPS)), ("2", "fine")], "doc_id string, text string")
+    rows = T.prepared(T.sampled(docs, spark.createDataFrame([("1", 1), ("2", 0)], "doc_id string, toxic int")))
+    assert sorted(rows["swaps"].map(len)) == [0, T.SWAPS] or sorted(rows["swaps"].map(len)) == [T.SWAPS]
 
 
 def logit(model, sentence):
@@ -53,14 +71,14 @@ def test_a_swap_is_the_change_of_score():
     """Features that another word of the sentence holds neither go nor come."""
     rng = np.random.default_rng(2)
     model = T.Model(rng.standard_normal(1 << T.BITS), 0.3)
-    table = T.swap_table(["Anglian", "Saxon", "Angers"], (("muslims", "christians", "muslin"),), others=2)
+    table = T.swap_table((("anglian", "saxon", "angers", "anglers"), ("muslims", "christians", "muslin")))
     texts = ["The Anglian Anglers met muslims and christian folk. Saxon first, then Saxon again", "Muslims walk\nhere with Christians, MUSLIMS and muslin", "nothing at all", "", None]
     seen = 0
     for text in texts:
         want = []
         for found in T.sentences(text):
-            for w in sorted({w for i, w in enumerate(found) if (i and w in table) or w.lower() in table}):
-                for other in table.get(w) or table[w.lower()]:
+            for w in sorted({w for w in found if w.lower() in table}):
+                for other in table[w.lower()]:
                     after = [other if x == w else x for x in found]
                     want.append(logit(model, " ".join(found)) - logit(model, " ".join(after)))
         got = [sum(model.weights[f] for f in a) - sum(model.weights[f] for f in b) for a, b in T.swaps(text, table)]
@@ -88,7 +106,7 @@ def skewed(n, seed=0):
 
 
 def test_swapped_terms_score_alike():
-    rows, gap = frame(skewed(600), T.swap_table([])), {}
+    rows, gap = frame(skewed(600), T.swap_table()), {}
     for strength in (0.0, T.COUNTERFACTUAL):
         score = T.fit(rows, strength).scorer()
         gap[strength] = abs(score("muslims walk") - score("christians walk"))
@@ -98,7 +116,7 @@ def test_swapped_terms_score_alike():
 
 def test_fit_matches_a_dense_fit():
     """The objective's minimum, by plain small steps over dense matrices."""
-    rows = frame(skewed(80, 3), T.swap_table([]))
+    rows = frame(skewed(80, 3), T.swap_table())
     lists = [np.frombuffer(x, np.int32) for x in rows["features"]]
     swaps = [np.frombuffer(x, np.int32) for found in rows["swaps"] for x in found]
     used = sorted(f for f in set(np.concatenate(lists)) if sum(f in set(x) for x in lists) >= T.MIN_DOCS)
