@@ -27,7 +27,7 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Tokens(dict):
+class Tokens(dict):
     """64-bit hash of each token; forgets all beyond `most`."""
 
     def __init__(self, most: int = 500_000):
@@ -55,7 +55,7 @@ def gram_hashes(text: Column, n: int = 3) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen = _Tokens()
+        seen = Tokens()
         for texts in batches:
             out = []
             for text in texts:
