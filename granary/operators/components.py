@@ -7,15 +7,17 @@ goes once the next is whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from granary.session import placed, removed
 
 
-def _state(edges: DataFrame):
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The links written and read again, their path, and how many they are with a sum of their hashes, taken on the way."""
+    seen = Observation()
+    edges, path = placed(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
+    return edges, path, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,8 +26,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     links: two bigint columns, in either direction, repeats allowed; nulls and self-links are left out."""
     u, v = F.col(src), F.col(dst)
     edges = links.filter(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
-    edges, path = placed(edges, "links")
-    state = _state(edges)
+    edges, path, state = _written(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -33,8 +34,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before = path
-        edges, path = placed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = _state(edges)
+        edges, path, now = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         removed(edges.sparkSession, before)
         if now == state:
             break

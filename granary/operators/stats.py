@@ -170,37 +170,70 @@ class Calibrator:
         return cls(d["features"], d["w"], d["b"], d["mean"], d["std"])
 
 
-def fit_calibrator(df: DataFrame, label: str, features: Sequence[str], l2: float = 1e-2, rounds: int = 50) -> Calibrator:
-    """Damped Newton steps, each one aggregate of gradient and Hessian sums over the rows; only d^2 numbers reach the driver.
-
-    Population deviations (1 for constant features), L2 on all weights but the bias, ridge 1e-6, steps cut to 5."""
-    d = len(features)
-    rows = stored(df.select(F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double") for c in features]), "calibration")
-    moments = rows.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
-    mean, std = np.array(moments[:d], float), np.array(moments[d:], float)
-    std = np.where(std < 1e-12, 1.0, std)
-    theta, reg = np.zeros(d + 1), np.array([l2] * d + [0.0])
-    z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(features, mean, std, strict=True)] + [F.lit(1.0)]
-    base = rows.select("_y", *[x.alias(f"_z{i}") for i, x in enumerate(z)])
+def fit_calibrators(df: DataFrame, label: str, models: dict[str, tuple[Sequence[str], str | None]], masks: dict[str, Column] | None = None, l2: float = 1e-2, rounds: int = 50) -> dict[str, Calibrator]:
+    """Many models in one scan a step: {name: (features, mask or None)}, fitted to the rows that the mask lets through.
+
+    Damped Newton steps: each one pass over the stored rows adds up gradient and Hessian of every model that hasn't settled;
+    only their d^2 numbers reach the driver. Population deviations (1 for constant features), L2 on all weights but the bias,
+    ridge 1e-6, steps cut to 5."""
+    masks = {k: F.coalesce(v, F.lit(False)) for k, v in (masks or {}).items()} | {"": F.lit(True)}
+    names, kinds = sorted({c for used, _ in models.values() for c in used}), sorted(masks)
+    rows = stored(df.select(F.col(label).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"), F.array(*[masks[k] for k in kinds]).alias("m")), "calibration")
+    held = lambda i, k: F.when(F.col("m")[k], F.col("x")[i])
+    wanted = sorted({(names.index(c), kinds.index(mask or "")) for used, mask in models.values() for c in used})
+    moments = rows.agg(*[f(held(*w)) for w in wanted for f in (F.avg, F.stddev_pop)]).first() if wanted else []
+    scale = {w: (float("nan") if moments[2 * i] is None else moments[2 * i], moments[2 * i + 1] or 0.0) for i, w in enumerate(wanted)}
+    plan = {}
+    for name, (used, mask) in models.items():
+        at, k = [names.index(c) for c in used], kinds.index(mask or "")
+        mean, std = (np.array([scale[i, k][j] for i in at], float) for j in (0, 1))
+        plan[name] = (at, k, mean, np.where(std < 1e-12, 1.0, std))
+    theta, open_ = {name: np.zeros(len(used) + 1) for name, (used, _) in models.items()}, list(models)
+
+    def sums(batches):
+        total = {}
+        for part in batches:
+            if not len(part):
+                continue
+            x, y, m = np.array(part["x"].tolist(), float).reshape(len(part), -1), part["y"].to_numpy(float), np.array(part["m"].tolist(), bool)
+            for name in now:
+                at, k, mean, std = plan[name]
+                mine = m[:, k]
+                z = np.column_stack(((x[mine][:, at] - mean) / std, np.ones(int(mine.sum()))))
+                p = 1.0 / (1.0 + np.exp(-np.clip(z @ now[name], -30, 30)))
+                both = np.concatenate((z.T @ (p - y[mine]), ((z * (p * (1 - p))[:, None]).T @ z).ravel()))
+                total[name] = total.get(name, 0.0) + both
+        for name, both in total.items():
+            yield pd.DataFrame({"model": name, "at": np.arange(len(both)), "value": both})
+
     for _ in range(rounds):
-        dot = sum((F.lit(float(t)) * F.col(f"_z{i}") for i, t in enumerate(theta)), F.lit(0.0))
-        now = base.withColumn("_p", 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), dot)))))
-        curve = F.col("_p") * (1 - F.col("_p"))
-        sums = [F.sum(F.col(f"_z{i}") * (F.col("_p") - F.col("_y"))) for i in range(d + 1)]
-        sums += [F.sum(F.col(f"_z{i}") * F.col(f"_z{j}") * curve) for i in range(d + 1) for j in range(i, d + 1)]
-        got = np.array(now.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first(), float)
-        hessian, k = np.zeros((d + 1, d + 1)), d + 1
-        for i in range(d + 1):
-            for j in range(i, d + 1):
-                hessian[i, j] = hessian[j, i] = got[k]
-                k += 1
-        step = np.clip(np.linalg.solve(hessian + np.diag(reg) + 1e-6 * np.eye(d + 1), got[: d + 1] + reg * theta), -5, 5)
-        theta = theta - step
-        if np.abs(step).max() < 1e-8:
+        now = {name: theta[name] for name in open_}
+        got = {name: np.zeros(len(t) * (len(t) + 1)) for name, t in now.items()}
+        for r in rows.mapInPandas(sums, "model string, at int, value double").groupBy("model", "at").agg(F.sum("value").alias("value")).collect():
+            got[r["model"]][r["at"]] = r["value"]
+        for name in list(open_):
+            d = len(theta[name])
+            reg = np.array([l2] * (d - 1) + [0.0])
+            step = np.clip(np.linalg.solve(got[name][d:].reshape(d, d) + np.diag(reg) + 1e-6 * np.eye(d), got[name][:d] + reg * theta[name]), -5, 5)
+            theta[name] = theta[name] - step
+            if np.abs(step).max() < 1e-8:
+                open_.remove(name)
+        if not open_:
             break
-    if not np.isfinite(theta).all():
+    if not all(np.isfinite(t).all() for t in theta.values()):
         raise FloatingPointError("the calibration diverged; raise l2")
-    return Calibrator(features, theta[:-1], theta[-1], mean, std)
+    return {name: Calibrator(used, theta[name][:-1], theta[name][-1], plan[name][2], plan[name][3]) for name, (used, _) in models.items()}
+
+
+def fit_calibrator(df: DataFrame, label: str, features: Sequence[str], l2: float = 1e-2, rounds: int = 50) -> Calibrator:
+    """One model of fit_calibrators, over all rows."""
+    return fit_calibrators(df, label, {"one": (features, None)}, None, l2, rounds)["one"]
+
+
+def auc_by_model(df: DataFrame, label: str, models: dict[str, tuple[Calibrator, Column]], digits: int = 9) -> DataFrame:
+    """model, n_pos, n_neg, auc of each calibrator over the rows that its column lets through, all in one pass."""
+    each = F.array_compact(F.array(*[F.when(rows, F.struct(F.lit(name).alias("model"), F.round(model.probability(), digits).alias("p"))) for name, (model, rows) in models.items()]))
+    return auc(df.select(F.col(label).alias("y"), F.explode(each).alias("x")).select("y", "x.model", "x.p"), "y", "p", ["model"])
 
 
 def r_squared(df: DataFrame, target: str, features: Sequence[str]) -> float:

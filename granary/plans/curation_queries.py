@@ -167,13 +167,11 @@ def ablation(spark, sf_dir):
     texts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in changed.items()]))
     rows = docs.select("doc_id", "toxic", texts.alias("x")).select("doc_id", "toxic", "x.kind", *[c.alias(k) for k, c in _counts(F.col("x.text")).items()])
     rows = stored(rows.withColumn("fits", hashing.draw(F.lit("half"), F.col("doc_id")) < 0.5), "ablation")
-    out, plain = None, rows.filter("kind = 'whole'")
-    cases = [("all", names)] + [("only " + n, [n]) for n in names] + [("without " + n, [x for x in names if x != n]) for n in names]
-    for kind, used, data in [(k, u, plain) for k, u in cases] + [(k, names, rows.filter(F.col("kind") == k)) for k in list(changed)[1:]]:
-        model = stats.fit_calibrator(data.filter("fits"), "toxic", used)
-        row = stats.auc(data.filter("NOT fits").withColumn("p", F.round(model.probability(), 9)), "toxic", "p").select(F.lit(kind).alias("features"), F.round("auc", 6).alias("auc"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    cases = {"all": (names, "whole")} | {"only " + n: ([n], "whole") for n in names} | {"without " + n: ([x for x in names if x != n], "whole") for n in names} | {k: (names, k) for k in list(changed)[1:]}
+    of = lambda kind: F.col("kind") == kind
+    models = stats.fit_calibrators(rows, "toxic", cases, {k: of(k) & F.col("fits") for k in changed})
+    out = stats.auc_by_model(rows, "toxic", {name: (m, of(cases[name][1]) & ~F.col("fits")) for name, m in models.items()})
+    return out.select(F.col("model").alias("features"), F.round("auc", 6).alias("auc"))
 
 
 @query(f"""WITH {OUTCOMES}, s AS (SELECT arm, avg((outcome = 'gold')::INT) AS effect FROM o GROUP BY arm) SELECT arm, round(effect, 9) AS effect FROM s ORDER BY effect DESC, arm LIMIT 3""")

@@ -547,10 +547,13 @@ def test_streams(spark, tmp_path):
     q = streaming.once_per_key(stream, "key", "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("once"), "key") == [("k1",), ("k2",)]
-    out = f"{tmp_path}/cache"
+    from granary.sources.logcache import LogCache
+
+    cache = LogCache(spark, f"file://{tmp_path}/cache", spark.createDataFrame([], "key string, x int").schema, ["key"])
+    asked = []
     for i in range(2):
-        streaming.append_misses(stream, out, "key", lambda b: b.select("key", (F.col("v") * 10).alias("x")), f"{tmp_path}/cp{i}").awaitTermination(60)
-    assert rows(spark.read.parquet(out), "key") == [("k1",), ("k2",)]
+        streaming.append_misses(stream, cache, lambda b: asked.append(b.count()) or b.select("key", (F.col("v") * 10).alias("x")), f"{tmp_path}/cp{i}").awaitTermination(60)
+    assert rows(cache.rows(), "key") == [("k1",), ("k2",)] and asked == [2]
     q = streaming.windowed_counts(stream, "ts", ["key"], "1 minute").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("counts"), "key", "n") == [("k1", 2), ("k2", 1)]
