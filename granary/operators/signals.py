@@ -14,6 +14,7 @@ from granary.functions import values as V
 from granary.functions.arrays import jaccard, shingles
 from granary.functions.text import contains_normalized, normalize_answer
 from granary.operators.components import connected_components
+from granary.operators.ranges import running
 from granary.operators.stats import Calibrator, clipped, max_normalized, min_shifted
 
 
@@ -108,6 +109,12 @@ def multipliers(df: DataFrame, transform: str = "maxnorm", floor: float = 0.1) -
     return df.withColumn("multiplier", clipped(F.col("score"), floor) if transform == "clip" else max_normalized(F.col("score"), ["ctx"], floor))
 
 
+def selected_heads(heads: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """keys, effect, place of the first k heads by mean effect, ties by keys; by default as many as have a positive one."""
+    placed = running(heads.select(*keys, "effect"), [F.col("effect").desc(), *keys], {"place": F.lit(1).cast("bigint")}, "heads")
+    return placed.filter(F.col("place") <= (k or heads.filter("effect > 0").count()))
+
+
 def extras(df: DataFrame) -> DataFrame:
     """ctx, n_docs, n_clusters and the effective number of documents with unit weights and with the discounts, to three
     places; df is what dependence() returns."""
