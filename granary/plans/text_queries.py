@@ -198,7 +198,11 @@ def effective_documents(spark, sf_dir):
     return similarity.effective_size(found, ["source"]).withColumn("n_eff", F.round("n_eff", 9))
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(k) < 3 THEN [array_to_string(k, ' ')] ELSE list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]) END)) AS g
+  FROM (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[a-z0-9]+'), []) AS k FROM documents)),
+c AS (SELECT doc_id, sha256(string_agg(g, chr(1) ORDER BY g)) AS key FROM s GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS class_id FROM c"""
+)
 def shingle_class_members(spark, sf_dir):
     """The class of each document in shingle_jaccard_pairs: its smallest id with the same shingles."""
     members, _ = similarity.shingle_classes(table(spark, sf_dir, "documents"))
