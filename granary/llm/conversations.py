@@ -302,3 +302,44 @@ def op12_conversations(spark, sf_dir):
     done = digested(repaired(damaged(rows)))
     out = ids.join(done, F.col("id").eqNullSafe(F.col("conv_id")), "left")
     return out.select(F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _step(key: str, cost: str, edit: str) -> str:
+    """SQL: a key (six digits of cost, then the audit) with one edit more."""
+    return f"CASE WHEN {key} IS NOT NULL THEN lpad((left({key}, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({key}, 7) || '{edit}' END"
+
+
+def _inserted(k: tuple[str, str, str, str]) -> str:
+    return f"{k[0]} AS k0, {k[1]} AS k1, least({k[2]}, {', '.join(_step(k[s], '5', 'I') for s in (0, 1, 3))}) AS k2, least({k[3]}, {_step(k[2], '5', 'I')}) AS k3"
+
+
+_OPEN, _GOOD = "(5 * (fault = 'truncated')::INT)", "fault NOT IN ('blank', 'duplicate')"
+_KEPT = {1: [(0, "s")], 2: [(0, "u"), (1, "u"), (3, "u")], 3: [(2, "a")]}
+_NEXT = [
+    f"least({', '.join([_step(f'k{s}', '2', 'D'), *[f'CASE WHEN {_GOOD} AND initial = {chr(39)}{x}{chr(39)} THEN ' + _step(f'k{a}', _OPEN, 'K') + ' END' for a, x in _KEPT.get(s, [])], *[f'CASE WHEN {_GOOD} THEN ' + _step(f'k{a}', f'1 + {_OPEN}', 'R') + ' END' for a in range(4) if WANTED[a][1] == s]])})"
+    for s in range(4)
+]
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+w AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 20 AS kind FROM w, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE kind <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS tail FROM d),
+f AS (SELECT conv_id, turn, role, text, i, CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS initial, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM r),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM f GROUP BY conv_id),
+l AS (SELECT conv_id, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f) WHERE before IS NOT NULL GROUP BY conv_id),
+p AS (SELECT conv_id, n, 0::BIGINT AS i, '000000' AS k0, NULL::VARCHAR AS k1, NULL::VARCHAR AS k2, NULL::VARCHAR AS k3 FROM g
+  UNION ALL SELECT conv_id, n, i, {', '.join(_NEXT)} FROM (SELECT q.conv_id, q.n, f.i, f.initial, f.fault, {_inserted(('q.k0', 'q.k1', 'q.k2', 'q.k3'))} FROM p q JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i + 1)),
+e AS (SELECT conv_id, least(k0, k3) AS key FROM (SELECT conv_id, {_inserted(('k0', 'k1', 'k2', 'k3'))} FROM p WHERE i = n)),
+a AS (SELECT conv_id, left(key, 6)::BIGINT AS cost, substr(key, 7) AS audit FROM e),
+t AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS place FROM a),
+u AS (SELECT conv_id, place, substr(audit, place, 1) AS edit, len(replace(left(audit, place), 'I', '')) AS i, len(replace(left(audit, place), 'D', '')) AS m FROM t),
+v AS (SELECT u.*, f.role, f.text, f.initial FROM u LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM u.conv_id AND f.i = u.i WHERE u.edit <> 'D'),
+s AS (SELECT conv_id, count(*) FILTER (m = 1 AND edit = 'K' AND initial = 's') AS shift FROM v GROUP BY conv_id),
+x AS (SELECT v.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (m - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS held
+  FROM v JOIN s ON s.conv_id IS NOT DISTINCT FROM v.conv_id GROUP BY v.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(held, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

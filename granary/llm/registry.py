@@ -23,4 +23,5 @@ ORACLES = {
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_conversations": conversations.OP12_SQL,
 }
