@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 
 from granary.session import stored
@@ -29,6 +30,15 @@ def entries(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    """The planes of small numbers, coded by how frequent their bytes are."""
+    return zstandard.ZstdCompressor(level=1).compress(planes(a))
+
+
+def loosened(data: bytes, kind) -> np.ndarray:
+    return entries(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def packed(sorted_keys: np.ndarray) -> bytes:
     return planes(np.diff(sorted_keys, prepend=np.zeros(1, np.uint64)))
 
@@ -51,14 +61,14 @@ def totals(chunks: DataFrame, of: Callable, n_entries: int, tally: Callable | No
                 keys, counts = of(row)
                 cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 both = enumerate(zip(np.split(keys, cuts), np.split(counts.astype(np.uint32), cuts), strict=True))
-                yield pd.DataFrame([(b, row["chunk"], packed(k), planes(n)) for b, (k, n) in both if len(k)], columns=["bucket", "chunk", "keys", "counts"])
+                yield pd.DataFrame([(b, row["chunk"], packed(k), squeezed(n)) for b, (k, n) in both if len(k)], columns=["bucket", "chunk", "keys", "counts"])
 
     def add(rows):
         keys = [unpacked(x) for x in rows["keys"]]
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(number, np.concatenate([entries(x, np.uint32) for x in rows["counts"]]), len(distinct)).astype(np.int64)
+        total = np.bincount(number, np.concatenate([loosened(x, np.uint32) for x in rows["counts"]]), len(distinct)).astype(np.int64)
         answers = np.split(total[number], np.cumsum([len(k) for k in keys])[:-1])
-        out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "totals": [planes(x) for x in answers], "tally": 0})
+        out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "totals": [squeezed(x) for x in answers], "tally": 0})
         out.loc[out.index[0], "tally"] = int(tally(distinct, total)) if tally else 0
         return out
 
@@ -69,4 +79,4 @@ def totals(chunks: DataFrame, of: Callable, n_entries: int, tally: Callable | No
 def answered(buckets: list[int], answers: list[bytes]) -> np.ndarray:
     """The totals of a chunk's sorted keys from what its buckets said."""
     said = dict(zip(buckets, answers, strict=True))
-    return np.concatenate([np.zeros(0, np.int64), *[entries(said[b], np.int64) for b in sorted(said)]])
+    return np.concatenate([np.zeros(0, np.int64), *[loosened(said[b], np.int64) for b in sorted(said)]])
