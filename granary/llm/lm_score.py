@@ -40,7 +40,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.llm.substring import mix
 from granary.operators import keycounts
-from granary.operators.keycounts import entries, planes
 from granary.session import bounded_batches, stored, table
 
 ORDER = 2
@@ -169,7 +168,7 @@ def chunked(docs: DataFrame, held_out: F.Column, id_col="doc_id", text_col="text
             names = list(number)
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)
             ids = np.concatenate(parts)
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((task * (1 << 32) + k, len(ids), sum(n for n, x in zip(lengths, out, strict=True) if not x), doc_ids, out, np.array(lengths, np.int64).tobytes(), planes(ids), hashes.tobytes()), schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((task * (1 << 32) + k, len(ids), sum(n for n, x in zip(lengths, out, strict=True) if not x), doc_ids, out, np.array(lengths, np.int64).tobytes(), keycounts.squeezed(ids), hashes.tobytes()), schema, strict=True)], schema=schema)
 
         k, held, n = 0, fresh(), 0
         for batch in batches:
@@ -194,7 +193,7 @@ def chunked(docs: DataFrame, held_out: F.Column, id_col="doc_id", text_col="text
 
 class _Chunk:
     def __init__(self, row, order: int):
-        ids, lengths = entries(row["ids"], np.int32), np.frombuffer(row["lengths"], np.int64)
+        ids, lengths = keycounts.loosened(row["ids"], np.int32), np.frombuffer(row["lengths"], np.int64)
         self.ids, self.begins = ids, np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
         self.ends = self.begins + lengths + 1
         self.hashes = np.frombuffer(row["hashes"], np.uint64)
