@@ -20,10 +20,11 @@ BATCH_BYTES = 4 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """From now on texts go to Python in batches of about 4 MB, if the session has no smaller bound: a batch of 10,000 rows
-    has no bound in bytes, and long texts would set a task's memory. Results don't depend on it."""
+    has no bound in bytes, and long texts would set a task's memory. Results don't depend on it. The bound stays, since
+    plans run after the call that made them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int(re.sub(r"\D", "", spark.conf.get(key, str(64 << 20))))  # said in bytes
-    if held > BATCH_BYTES:
+    said = spark.conf.get(key, "64m").strip()
+    if said.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -35,3 +35,17 @@ def test_a_cluster_must_name_its_folder():
 def test_every_oracle_has_its_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
     assert all(q.__doc__ for q in catalogue.QUERIES.values())
+
+
+def test_batches_are_bounded_whatever_the_unit(spark):
+    from granary import session
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for said, want in (("64m", 4 << 20), ("1m", None), ("3000k", None), (str(5 << 20), 4 << 20), ("1g", 4 << 20)):
+            spark.conf.set(key, said)
+            session.bounded_batches(spark)
+            assert spark.conf.get(key) in ((said,) if want is None else (str(want), f"{want}b"))
+    finally:
+        spark.conf.set(key, before)
