@@ -5,6 +5,7 @@ STANCES = ("true", "false", "neutral")
 AUTHORS = ("human", "llm")
 DEPENDENCE_LEVELS = ("H0", "D0", "D2", "D3", "D4")
 SHAPES = ("organic", "targeted")
+#: in the order in which the test log numbers them; elsewhere only membership counts
 CELLS = ("H_T", "H_F", "H_N", "A_T", "A_F", "A_C", "G_F", "C_F")
 EDIT_TYPES = ("date_shift", "number_perturb", "entity_swap")
 SOURCE_PREFIXES = ("nq:", "trivia:")

@@ -166,10 +166,13 @@ def factorial_run(spark, sf_dir):
     return runs.factorial(rows, _values(spark, sf_dir), ["none", "oracle"], _loudest).withColumnRenamed("ctx", "pair_id")
 
 
-@query(f"""WITH {LOG}, a AS (SELECT DISTINCT pair_id, 'in' AS answer FROM log WHERE cell = 'H_T' AND pair_id > 'p000003') SELECT pair_id, answer, 'gold' AS outcome FROM a""")
+@query(f"""WITH {LOG}, q AS (SELECT pair_id, string_split(arg_min(coalesce(text, ''), doc_id), ' ')[1] AS answer FROM log GROUP BY pair_id), a AS (SELECT pair_id, answer, {_SAID} FROM q WHERE pair_id > 'p000003')
+SELECT pair_id, answer, {_OUTCOME} AS outcome FROM a""")
 def closed_book(spark, sf_dir):
-    """Questions that aren't answered yet, asked without passages (C13, IO12)."""
-    values = _values(spark, sf_dir)
+    """Questions that aren't answered yet, asked without passages: a pair's first text, of which the stand-in says the
+    first word (C13, IO12)."""
+    first = log(spark, sf_dir).groupBy(F.col("pair_id").alias("ctx")).agg(F.min_by(F.coalesce("text", F.lit("")), "doc_id").alias("first"))
+    values = _values(spark, sf_dir).join(first, "ctx").withColumn("question", F.col("first")).drop("first")
     return runs.closed_book(values, _loudest, values.filter("ctx <= 'p000003'")).withColumnRenamed("ctx", "pair_id")
 
 
