@@ -17,8 +17,8 @@ through its texts.
 
 Edge cases: nulls in role or text are one space, so such roles are no part of the grammar and such texts blank; a null
 turn comes first; rows of one turn go by role and by the MD5 of their texts; a null id is a conversation of its own; an
-empty role has the initial space; rows that repeat are duplicates; an empty table gives an empty result. Other columns
-are not read.
+empty role has the initial space; rows that repeat are duplicates; an empty table gives an empty result. Ids of whole
+numbers come back as bigint, all others as text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 256) -> Itera
 
 
 def _arrow(kind: str) -> pa.DataType:
-    return pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    return pa.int64() if kind == "bigint" else pa.string()
 
 
 def _one_by_one(rows: DataFrame, id_type: str) -> DataFrame:
@@ -245,7 +245,7 @@ def repaired(rows: DataFrame, id_col="conv_id", turn_col="turn", role_col="role"
     spark = rows.sparkSession
     bounded_batches(spark)
     id_type = rows.select(id_col).schema[0].dataType.simpleString()
-    id_type = id_type if id_type in ("bigint", "int", "smallint", "tinyint") else "string"
+    id_type = "bigint" if id_type in ("bigint", "int", "smallint", "tinyint") else "string"
     text = F.coalesce(F.col(text_col), F.lit(" "))
     full = F.expr(f"rtrim('{SPACES}', text)")
     held = rows.select(F.col(id_col).cast(id_type).alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.coalesce(F.col(role_col), F.lit(" ")).alias("role"), text.alias("text"))

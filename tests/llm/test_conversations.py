@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import conversations as cv
 
@@ -163,3 +164,6 @@ def test_empty_tables_and_other_names(spark, tmp_path):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "who string, n int, says string, words string, piece int, md5 int")
     got = cv.repaired(df, "who", "n", "says", "words").collect()
     assert [(r["conv_id"], r["audit"], r["cost"], [tuple(m) for m in r["messages"]]) for r in got] == [("k", "DKK", 2, [("user", "Yes."), ("assistant", "No.")])]
+    for long_rows in (1000, 1):
+        got = cv.digested(cv.repaired(df.withColumn("who", F.lit(4)), "who", "n", "says", "words", long_rows=long_rows, piece_rows=2)).collect()
+        assert [(r["conv_id"], r["audit"]) for r in got] == [(4, "DKK")]
