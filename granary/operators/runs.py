@@ -56,10 +56,19 @@ def outcome(answer: Column, gold: Column, attack: Column) -> Column:
     return T.classify(holds(gold), holds(attack))
 
 
-def factorial(rows: DataFrame, values: DataFrame, arms: Sequence[str], answer: Callable[[str, list[str], list[float]], str], done: DataFrame | None = None, transform: str = "maxnorm") -> DataFrame:
+def whole_outcome(answer: Column, gold: Column, attack: Column) -> Column:
+    """As outcome, but an answer counts only if it is one of the aliases (normalised ones) as a whole; its words stand
+    between ASCII white space, and other spaces at its ends go."""
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(answer, F.lit(""))), T.PUNCTUATION, ""), r"^\p{Zs}+|\p{Zs}+$", "")
+    kept = F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("a", "an", "the", ""))
+    return T.bound(F.array_join(kept, " "), lambda said: T.classify(F.array_contains(gold, said), F.array_contains(attack, said)))
+
+
+def factorial(rows: DataFrame, values: DataFrame, arms: Sequence[str], answer: Callable[[str, list[str], list[float]], str], done: DataFrame | None = None, transform: str = "maxnorm", judge: Callable[[Column, Column, Column], Column] = outcome) -> DataFrame:
     """ctx, arm, answer, outcome: every context of rows (ctx, pos, text, stance) answered under each arm's weights.
 
-    values: ctx, question, gold, attack; done (ctx, arm) is left out. A context's few passages travel as one row."""
+    values: ctx, question, gold, attack; done (ctx, arm) is left out; judge(answer, gold, attack) is the outcome. A context's
+    few passages travel as one row."""
     out = []
     for name in arms:
         scored = signals.multipliers(signals.arm(name)(rows), transform)
@@ -69,14 +78,14 @@ def factorial(rows: DataFrame, values: DataFrame, arms: Sequence[str], answer: C
         per = scored.groupBy("ctx").agg(held.alias("x")).join(values, "ctx")
         per = stored(per.select("ctx", "question", "gold", "attack", F.transform("x", lambda p: p["text"]).alias("passages"), F.transform("x", lambda p: p["multiplier"]).alias("weights")), "weighted")
         said = models.answered(per, answer).join(per.select("ctx", "gold", "attack"), "ctx")
-        out.append(said.select("ctx", F.lit(name).alias("arm"), "answer", outcome(F.col("answer"), F.col("gold"), F.col("attack")).alias("outcome")))
+        out.append(said.select("ctx", F.lit(name).alias("arm"), "answer", judge(F.col("answer"), F.col("gold"), F.col("attack")).alias("outcome")))
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def closed_book(values: DataFrame, answer: Callable[[str, list[str], list[float]], str], done: DataFrame | None = None) -> DataFrame:
+def closed_book(values: DataFrame, answer: Callable[[str, list[str], list[float]], str], done: DataFrame | None = None, judge: Callable[[Column, Column, Column], Column] = outcome) -> DataFrame:
     """ctx, answer, outcome: the questions of values (ctx, question, gold, attack) that aren't done, without any passage."""
     if done is not None:
         values = values.join(done.select("ctx").distinct(), "ctx", "left_anti")
     none = values.select("ctx", "question", F.array().cast("array<string>").alias("passages"), F.array().cast("array<double>").alias("weights"))
     said = models.answered(none, answer).join(values.select("ctx", "gold", "attack"), "ctx")
-    return said.select("ctx", "answer", outcome(F.col("answer"), F.col("gold"), F.col("attack")).alias("outcome"))
+    return said.select("ctx", "answer", judge(F.col("answer"), F.col("gold"), F.col("attack")).alias("outcome"))
