@@ -61,12 +61,19 @@ def stylometric(text: Column, parts: bool = False) -> dict[str, Column]:
     }
 
 
+def _ascii(pattern: str) -> str:
+    r"""The pattern with word ends, white space and line ends as RE2 has them: Java's \b looks at all letters while its \w is
+    ASCII, its . stops at other line ends than \n, and its \s has \x0b."""
+    pattern = pattern.replace(r"[\w\s]", r"[\w \t\n\f\r]").replace(r"\s", r"[ \t\n\f\r]")
+    return "(?d)" + pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def lexicon_patterns() -> dict[str, str]:
     out = {}
     for group, phrases in V.LEXICON.items():
         ranked = sorted(set(phrases), key=lambda p: (-len(p), p))
         out[group] = "(?i)(?<![A-Za-z])(?:" + "|".join(map(re.escape, ranked)) + ")(?![A-Za-z])"
-    return out | {k: "(?i)" + v for k, v in V.LEXICON_PATTERNS.items()}
+    return out | {k: "(?i)" + _ascii(v) for k, v in V.LEXICON_PATTERNS.items()}
 
 
 def lexicon(text: Column) -> dict[str, Column]:
