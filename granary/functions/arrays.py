@@ -53,24 +53,27 @@ def zipped(**arrays: Column) -> Column:
     return F.slice(F.arrays_zip(*[c.alias(k) for k, c in arrays.items()]), F.lit(1), F.greatest(shortest, F.lit(0)))
 
 
+def _pairs(keys: Column, values: Column) -> Column:
+    return F.filter(zipped(k=keys, v=values), lambda x: x["k"].isNotNull())
+
+
 def dict_of(keys: Column, values: Column) -> Column:
     """A map from two arrays, cut to the shorter; of a key that repeats the last value counts. Null keys are left out."""
-    pairs = F.filter(zipped(k=keys, v=values), lambda x: x["k"].isNotNull())
-    last = lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda y: y["k"] == x["k"])
-    return F.map_from_entries(F.filter(pairs, last))
+    last = lambda pairs, k: F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"]
+    of = lambda pairs, names: F.map_from_arrays(names, F.transform(names, lambda k: last(pairs, k)))
+    return bound(_pairs(keys, values), lambda pairs: bound(F.array_distinct(pairs["k"]), lambda names: of(pairs, names)))
 
 
 def summed_by(keys: Column, values: Column) -> Column:
     """A map from each key to the sum of its values, the arrays cut to the shorter; null values count 0, null keys are left out."""
-    pairs = F.filter(zipped(k=keys, v=values), lambda x: x["k"].isNotNull())
-    total = lambda k: F.aggregate(F.filter(pairs, lambda x: x["k"] == k), F.lit(0.0), lambda s, x: s + F.coalesce(x["v"].cast("double"), F.lit(0.0)))
-    names = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
-    return F.map_from_arrays(names, F.transform(names, total))
+    total = lambda pairs, k: F.aggregate(pairs, F.lit(0.0), lambda s, x: F.when(x["k"] == k, s + F.coalesce(x["v"].cast("double"), F.lit(0.0))).otherwise(s))
+    of = lambda pairs, names: F.map_from_arrays(names, F.transform(names, lambda k: total(pairs, k)))
+    return bound(_pairs(keys, values), lambda pairs: bound(F.array_distinct(pairs["k"]), lambda names: of(pairs, names)))
 
 
 def merged(first: Column, second: Column) -> Column:
     """A map with the entries of both; where both have a key, those of the second."""
-    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+    return bound(second, lambda s: F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(s, k)), s))
 
 
 def drawn_places(size: Column, n: Column, *seed: Column) -> Column:

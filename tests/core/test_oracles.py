@@ -29,3 +29,11 @@ def test_word_and_line_ends_are_those_of_the_sql(spark, tmp_path):
     texts = ["Beer, tea and café came.", "naïve, tea and milk", "énot only this but that", "not only a\rb c d but so", "one\r## two", "one\n## two", "a\x0b--\x0bb", "x -- y", "from é 1 to 2, from a to b", "", None]
     spark_rows, sql_rows = _both(spark, tmp_path, "lexicon_density", documents=(list(enumerate(texts)), "doc_id bigint, text string"))
     assert spark_rows == sql_rows
+
+
+def test_maps_of_lines_are_made_once(spark, tmp_path):
+    lines = [(o, n, "ANRX"[(o * n) % 3], float(o + n)) for o in range(40) for n in range(1, 8)] + [(50, 1, None, 3.0), (50, 2, "A", None)]
+    spark_rows, sql_rows = _both(spark, tmp_path, "map_operations", lineitem=(lines[:280], "l_orderkey bigint, l_linenumber int, l_returnflag string, l_quantity double"))
+    assert spark_rows == sql_rows
+    plan = catalogue.QUERIES["map_operations"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("arrays_zip(") <= 3  # each evaluation of a map by key evaluated the map anew
