@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import values as V
-from granary.functions.arrays import jaccard, shingles
+from granary.functions.grams import gram_hashes
 from granary.functions.text import contains_normalized, normalize_answer
 from granary.operators.components import connected_components
 from granary.operators.ranges import running
 from granary.operators.stats import Calibrator, clipped, max_normalized, min_shifted
+from granary.session import stored
 
 
 def none(df: DataFrame) -> DataFrame:
@@ -27,11 +28,18 @@ def oracle(df: DataFrame) -> DataFrame:
 
 
 def context_clusters(df: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """df with label: clusters of similar texts inside a context, numbered by first appearance. Contexts hold a few documents."""
-    rows = df.withColumn("grams", shingles(F.col("text")))
+    """df with label: clusters of similar texts inside a context, numbered by first appearance. Contexts hold a few documents.
+
+    Shingles are compared as 64-bit hashes; a null text is like none, texts without words are like each other."""
     node = F.xxhash64("ctx", "pos")
-    a, b = rows.select("ctx", "pos", "grams").alias("a"), rows.select("ctx", "pos", "grams").alias("b")
-    near = a.join(b, (F.col("a.ctx") == F.col("b.ctx")) & (F.col("a.pos") < F.col("b.pos"))).filter(jaccard(F.col("a.grams"), F.col("b.grams")) >= threshold)
+    rows = stored(df.filter("text IS NOT NULL").select("ctx", "pos", gram_hashes(F.col("text")).alias("grams")).withColumn("n", F.size("grams")), "context-grams")
+    a, b = rows.alias("a"), rows.alias("b")
+    fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9  # else too unlike in size, nothing to look at
+    met = a.join(b, (F.col("a.ctx") == F.col("b.ctx")) & (F.col("a.pos") < F.col("b.pos")) & fits)
+    n = F.col("a.n") + F.col("b.n")
+    least = F.ceil(threshold / (1 + threshold) * n - 1e-9)  # of common shingles; at the very bound the quotient decides
+    least = F.when(n == 0, 0).otherwise(F.when(least / F.greatest(n - least, F.lit(1)) >= threshold, least).otherwise(least + 1))
+    near = met.filter(F.size(F.array_intersect("a.grams", "b.grams")) >= least)
     links = near.select(F.xxhash64("a.ctx", "a.pos").alias("src"), F.xxhash64("b.ctx", "b.pos").alias("dst"))
     found = connected_components(links)
     out = df.withColumn("node", node).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

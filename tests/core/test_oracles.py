@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from granary.operators import signals
 from granary.plans import catalogue
 
 
@@ -37,3 +38,14 @@ def test_maps_of_lines_are_made_once(spark, tmp_path):
     assert spark_rows == sql_rows
     plan = catalogue.QUERIES["map_operations"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("arrays_zip(") <= 3  # each evaluation of a map by key evaluated the map anew
+
+
+def test_texts_of_a_context_meet_as_hashes_once(spark, tmp_path, monkeypatch):
+    """The links are what SQL finds, at the very bound too (7 of 20 shingles), from one intersection of stored hashes."""
+    plans, whole = [], signals.connected_components
+    monkeypatch.setattr(signals, "connected_components", lambda links: plans.append(links._jdf.queryExecution().optimizedPlan().toString()) or whole(links))
+    w = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w[:15]), " ".join(w[6:15] + w[20:29]), " ".join(w[:15]), "", None, " ".join(w[:3]), "a b", "a b", *[" ".join(w[i : i + 14]) for i in range(8)]]
+    spark_rows, sql_rows = _both(spark, tmp_path, "context_clusters", documents=(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert spark_rows == sql_rows and len({r[2] for r in sql_rows}) > 3
+    assert plans[0].count("array_intersect(") == 1 and "regexp_extract_all" not in plans[0]
