@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from granary.operators import signals
+from granary.operators import signals, similarity
 from granary.plans import catalogue
+from granary.session import BATCH_BYTES
 
 
 def _both(spark, folder, name, **tables):
@@ -49,3 +50,11 @@ def test_texts_of_a_context_meet_as_hashes_once(spark, tmp_path, monkeypatch):
     spark_rows, sql_rows = _both(spark, tmp_path, "context_clusters", documents=(list(enumerate(texts)), "doc_id bigint, text string"))
     assert spark_rows == sql_rows and len({r[2] for r in sql_rows}) > 3
     assert plans[0].count("array_intersect(") == 1 and "regexp_extract_all" not in plans[0]
+
+
+@pytest.mark.parametrize("classes", [similarity.shingle_classes, similarity.minhash_classes])
+def test_texts_go_to_python_in_batches_bounded_in_bytes(spark, classes):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    classes(spark.createDataFrame([(1, "a b c d")], "doc_id bigint, text string"))
+    assert int(spark.conf.get(key)) == BATCH_BYTES
