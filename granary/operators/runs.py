@@ -58,8 +58,9 @@ def outcome(answer: Column, gold: Column, attack: Column) -> Column:
 
 def whole_outcome(answer: Column, gold: Column, attack: Column) -> Column:
     """As outcome, but an answer counts only if it is one of the aliases (normalised ones) as a whole; its words stand
-    between ASCII white space, and other spaces at its ends go."""
-    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(answer, F.lit(""))), T.PUNCTUATION, ""), r"^\p{Zs}+|\p{Zs}+$", "")
+    between ASCII white space, and other spaces at its ends go. A dotted I is an i, as in DuckDB's lower()."""
+    low = F.lower(F.translate(F.coalesce(answer, F.lit("")), "\u0130", "i"))
+    plain = F.regexp_replace(F.translate(low, T.PUNCTUATION, ""), r"^\p{Zs}+|\p{Zs}+$", "")
     kept = F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("a", "an", "the", ""))
     return T.bound(F.array_join(kept, " "), lambda said: T.classify(F.array_contains(gold, said), F.array_contains(attack, said)))
 

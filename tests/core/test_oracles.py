@@ -27,6 +27,13 @@ def test_an_answer_counts_as_a_whole(spark, tmp_path, name):
     assert spark_rows == sql_rows and {r[-1] for r in sql_rows} == {"gold", "attack", "other"}
 
 
+@pytest.mark.parametrize("name", ["closed_book", "factorial_run"])
+def test_a_dotted_capital_i_is_an_i(spark, tmp_path, name):
+    rows = [(16 * (i + 4), t) for i, t in enumerate(["\u0130n der", "D\u0130E Stadt", "\u0130 of", "in of"])]
+    spark_rows, sql_rows = _both(spark, tmp_path, name, documents=(rows, "doc_id bigint, text string"))
+    assert spark_rows == sql_rows and [r[-1] for r in sql_rows].count("gold") >= 2
+
+
 def test_word_and_line_ends_are_those_of_the_sql(spark, tmp_path):
     texts = ["Beer, tea and café came.", "naïve, tea and milk", "énot only this but that", "not only a\rb c d but so", "one\r## two", "one\n## two", "a\x0b--\x0bb", "x -- y", "from é 1 to 2, from a to b", "", None]
     spark_rows, sql_rows = _both(spark, tmp_path, "lexicon_density", documents=(list(enumerate(texts)), "doc_id bigint, text string"))
