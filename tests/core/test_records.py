@@ -172,3 +172,17 @@ def test_schemes_and_extras(spark):
     assert [got[("gpt", "d", i)] for i in (0, 1)] == [(1.0, 1), (1.0, 2)] and ("no_fake", "c", 0) not in got and got["no_fake", "c", 2] == (1.0, 2)
     held = spark.createDataFrame([("c", 0, 0.2)] * 5 + [("c", 1, 1.0), ("c", 2, 1.0)], "ctx string, label int, score double")
     assert tuple(signals.extras(held).first()) == ("c", 7, 3, round(49 / 27, 3), 3.0)
+
+
+def test_schemes_sort_rows_once_for_each_scheme_where_they_are(spark):
+    """One exchange by context, no sort behind the listing by scheme; ties and unknown marks as in the given order."""
+    data = [("c", i, float(i % 3), None if i == 4 else i % 2 == 0, i % 3 == 0) for i in range(9)]
+    df = spark.createDataFrame(data, "ctx string, pos int, s double, fake boolean, marked boolean")
+    out = signals.schemes(df, F.col("s"), F.col("fake"), F.col("marked"), 1 - F.col("s") / 10)
+    got = {(r["scheme"], r["pos"]): r["place"] for r in out.collect()}
+    by = {"none": lambda r: 0, "gpt": lambda r: r[2], "ideal": lambda r: not r[3], "cnn": lambda r: not r[4], "shape": lambda r: -r[2]}
+    for scheme, key in by.items():
+        assert [got[scheme, r[1]] for r in sorted(data, key=lambda r: (key(r), r[1]))] == list(range(1, 10))
+    assert [p for k, p in got if k == "no_fake"] and sorted(v for (k, _), v in got.items() if k == "no_fake") == [1, 2, 3, 4]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window")  # the windows are below the listing
