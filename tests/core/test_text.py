@@ -169,3 +169,14 @@ def test_features(spark):
     lex = spark.createDataFrame([("A crucial tapestry, in order to delve — and **b**",)], "t string")
     row = lex.select(*[c.alias(k) for k, c in features.lexicon(F.col("t")).items()]).first()
     assert row["overused_words"] > 0 and row["filler"] > 0 and row["dashes"] > 0 and row["total"] > row["filler"]
+
+
+def test_salvage_reads_a_text_once_for_all_markers(spark):
+    own, other = F.array(F.lit("Mozart")), F.array(F.lit("Haydn"))
+    rows = spark.createDataFrame([("Haydn was great. It is so, As Requested. Mozart didn't, they say.",), ("plain",), (None,)], "t string")
+    out = rows.select(T.salvage(F.col("t"), own, other).alias("kept"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<![a-z])") == 1 and plan.count("split(") == 1  # one pass for the markers, one cut into sentences
+    assert [r[0] for r in out.collect()] == ["Mozart was great. Mozart didn't, they say.", "plain", None]
+    hits = rows.select((F.size(T.meta_hits(F.col("t"))) > 0).alias("a"), T.has_meta(F.col("t")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in hits)
