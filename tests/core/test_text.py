@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import arrays, features, hashing
 from granary.functions import text as T
+from granary.functions import values as V
 
 
 def values(spark, f, *rows, names=("a",)):
@@ -180,3 +183,20 @@ def test_salvage_reads_a_text_once_for_all_markers(spark):
     assert [r[0] for r in out.collect()] == ["Mozart was great. Mozart didn't, they say.", "plain", None]
     hits = rows.select((F.size(T.meta_hits(F.col("t"))) > 0).alias("a"), T.has_meta(F.col("t")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in hits)
+
+
+def test_distinct_elements_are_keyed_once(spark):
+    seen = T.ordered_distinct(F.split("t", ","), T.fold)
+    rows = spark.createDataFrame([("b, A,a ,,B ,c,  c",), ("",), (None,), (",".join(f"x{i % 700}" for i in range(1400)),)], "t string").select(seen.alias("d"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1  # no key is made pair by pair
+    got = [r[0] for r in rows.collect()]
+    assert got == [["b", "A", "c"], [], None, [f"x{i}" for i in range(700)]]
+
+
+def test_phrases_letter_by_letter_find_what_each_alone_finds():
+    plain = lambda p: re.compile("(?:" + "|".join(map(re.escape, p)) + ")(?![a-z])")
+    for phrases in (T.META, V.REFUSALS, ("a", "ab", "b c", "ab")):
+        made = re.compile(T.any_of(phrases) + "(?![a-z])")
+        for x in phrases:
+            for y in (x, x + "s", x[:-1], x[1:], "q " + x + " q", x + "z " + x[:3]):
+                assert bool(plain(phrases).search(y)) == bool(made.search(y))
