@@ -244,6 +244,32 @@ def test_containment_meets_other_openings(spark, tmp_path):
     assert got == sorted([("news", 99, True), ("web", 0, True)] + [("web", k, False) for k in range(1, 9)], key=str)
 
 
+def test_containment_lists_no_row_for_each_window(spark):
+    """Windows are counted packed, in chunks; only those that two rows have are listed. Odd white space and case as in
+    shingles_by_space; rows that stay hold others, even where they are held themselves."""
+    import random
+
+    from granary.functions.arrays import shingles_by_space
+    from granary.functions.grams import with_space_grams
+    from granary.operators import setjoin
+
+    sets = spark.createDataFrame([(1, [5, 7, -3]), (2, [7, 9]), (3, [7, -3, 11]), (4, [8])], "id bigint, grams array<bigint>")
+    assert sorted(map(tuple, setjoin.bodies(sets).collect())) == [(1, 3, [-3, 7]), (2, 2, [7]), (3, 3, [-3, 7])]
+
+    rng = random.Random(5)
+    texts = [rng.choice(["", " ", "\t", "\u00a0"]) + rng.choice([" ", "\t", "\x0b", "\x1c"]).join(rng.choice(["\u0130a", "\u00c9", "c", "D\u00a0d", "e", "\x00"]) for _ in range(rng.randrange(14))) for _ in range(150)]
+    data = [(rng.choice("pq"), i, t) for i, t in enumerate([*texts, None, None])]
+    df = spark.createDataFrame(data, "owner string, pos bigint, text string")
+    strings = df.select("owner", "pos", shingles_by_space(F.coalesce("text", F.lit(""))).alias("grams"))
+    want = rows(similarity.greedy_containment(strings), "owner", "pos", "kept")
+    assert rows(similarity.greedy_containment(with_space_grams(df)), "owner", "pos", "kept") == want and {k for _, _, k in want} == {True, False}
+
+    wide, half, low = "a b c d e f g h", "a b c d e f x y", "c d e f x y z"  # half is held by wide, low by half alone
+    held = [("o", -2, wide, True), ("o", -1, half + " h", True), ("o", 1, low, False)]
+    df = spark.createDataFrame(held, "owner string, pos bigint, text string, stays boolean")
+    assert rows(similarity.greedy_containment(with_space_grams(df), 0.5), "pos", "kept") == [(-1, True), (-2, True), (1, False)]
+
+
 def test_alias_matches(spark):
     texts = spark.createDataFrame([(1, "the big red dog runs"), (2, "red"), (3, ""), (4, "big red dogs")], "text_id bigint, norm string")
     named = spark.createDataFrame([(1, "red"), (2, "big red dog"), (3, "big red dog runs away"), (4, ""), (5, "red dog")], "alias_id bigint, norm string")
