@@ -1,7 +1,9 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import arrays
+from granary.functions import arrays, grams
 from granary.functions import text as T
 from granary.operators import records, signals
 
@@ -186,3 +188,31 @@ def test_schemes_sort_rows_once_for_each_scheme_where_they_are(spark):
     assert [p for k, p in got if k == "no_fake"] and sorted(v for (k, _), v in got.items() if k == "no_fake") == [1, 2, 3, 4]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Window")  # the windows are below the listing
+
+
+def test_import_writes_no_expression_out_again(spark, monkeypatch):
+    plans = []
+    kept = records.stored
+    monkeypatch.setattr(records, "stored", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, label))[1])
+    records.imported(spark.createDataFrame([GOOD], RECORD), "nq")
+    assert plans[0].count("RLIKE") < 60
+
+
+def test_names_are_looked_for_before_their_pattern_is_tried(spark):
+    texts = ["a Nolan b", "a NOLAN.", "Nolans", "nol an", "", None, "ΟΔΟΣΑ", "ΟΔΟΣ", "İx", "i̇x", "C++ (now)", "c++", "King", "king"]
+    names = [["Nolan"], [" nolan ", ""], [], ["ΟΔΟΣ"], ["İx"], ["C++"], ["King"], ["x", "now"]]
+    df = spark.createDataFrame([(t, n) for t in texts for n in names], "t string, n array<string>")
+    pattern = T.alias_regex(F.col("n"))
+    rows = df.select(F.rlike("t", pattern).alias("want"), T.names_one(F.col("t"), pattern, T.lowered(F.col("n"))).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in rows) and sum(bool(r["want"]) for r in rows) > 8
+
+
+def test_windows_of_a_batch_are_those_of_each_row():
+    texts = [b"", b" a", b"b c", b"d e f g d e f", "é x\ty\n zé".encode(), b"  ", b"a b c", b"c"]
+    own = np.array([3, 3, 3, 4, 3, 4, 4, 3], np.uint64)
+    flat, ends = grams._space_grams(pa.array([b"cut off", *texts], pa.binary())[1:], own, 3)
+    for i, text in enumerate(texts):
+        h = grams.word_hashes(text)
+        assert len(h) == len(text.split())
+        runs = grams._runs(h, 3) if len(h) else np.zeros(1, np.uint64)
+        assert flat[ends[i] : ends[i + 1]].tolist() == np.unique(grams.mixed_bits(runs ^ own[i]).view(np.int64)).tolist()
