@@ -216,3 +216,27 @@ def test_windows_of_a_batch_are_those_of_each_row():
         assert len(h) == len(text.split())
         runs = grams._runs(h, 3) if len(h) else np.zeros(1, np.uint64)
         assert flat[ends[i] : ends[i + 1]].tolist() == np.unique(grams.mixed_bits(runs ^ own[i]).view(np.int64)).tolist()
+
+
+def test_rows_of_one_id_share_their_neutrals_and_held_chunks_are_left_out(spark):
+    first, second, third = "A program by Ada Lovelace, it is said, is the first.", "Another text is by Ada Lovelace in full.", "The proof was found by Emmy Noether in the end."
+    rows = [(1, "who wrote it", ["Ada Lovelace"], "Alan Turing", [first], ["One free line", "Two free lines"], None), (1, "who else wrote it", ["Ada Lovelace"], "Alan Turing", [second], ["Three free lines"], None)]
+    rows += [(2, "who found it", ["Emmy Noether"], "David Hilbert", [third], [first.upper(), "Four free lines"], None), (3, "who knows", ["x"], None, None, None, None)]
+    got = sorted((r["source"], r["neutrals"]) for r in records.imported(spark.createDataFrame(rows, RECORD), "nq").collect())
+    joint = ["One free line", "Three free lines", "Two free lines"]
+    assert got == [("nq:1", joint), ("nq:1", joint), ("nq:2", ["Four free lines"]), ("nq:3", [])]
+
+
+def test_windows_are_put_in_order_without_moving_their_texts(spark, monkeypatch):
+    moved, written, run, kept = {}, [], records.running, records.similarity.stored
+    monkeypatch.setattr(records, "running", lambda df, order, sums, label: (moved.setdefault(label, df.columns), run(df, order, sums, label))[1])
+    monkeypatch.setattr(records.similarity, "stored", lambda df, label: (written.append(df.columns), kept(df, label))[1])
+    lines = [f"Line {i} has {i} words of its own that no other line has, {i * 7}" for i in range(6)]
+    pairs = [("p1", "a", ["1932"], ["1945"], "It opened in 1932 at last.", [*lines[:3], lines[0]], []), ("p2", "b", ["1888"], ["1899"], lines[4] + " in 1888", [lines[2], lines[3], lines[4]], [])]
+    p = spark.createDataFrame(pairs, "pair_id string, source string, gold array<string>, attack array<string>, h_t string, neutrals array<string>, fakes array<string>")
+    docs, flags = records.human_cells(p, None)
+    held = [(r["pair_id"], r["text"]) for r in sorted(docs.collect(), key=lambda r: r["doc_id"]) if r["cell"] == "H_N"]
+    assert held == [("p1", lines[0]), ("p1", lines[1]), ("p1", lines[2]), ("p2", lines[3])]
+    assert [tuple(r)[::2] for r in flags.collect()] == [("p2", "few_neutrals")]
+    assert not any({"text", "window"} & set(columns) for label, columns in moved.items() if label != "cell-documents")
+    assert written and not any("grams" in columns for columns in written)
