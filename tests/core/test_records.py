@@ -240,3 +240,12 @@ def test_windows_are_put_in_order_without_moving_their_texts(spark, monkeypatch)
     assert [tuple(r)[::2] for r in flags.collect()] == [("p2", "few_neutrals")]
     assert not any({"text", "window"} & set(columns) for label, columns in moved.items() if label != "cell-documents")
     assert written and not any("grams" in columns for columns in written)
+
+
+def test_flags_are_had_without_ordering_the_documents(spark, monkeypatch):
+    labels, run = [], records.running
+    monkeypatch.setattr(records, "running", lambda df, order, sums, label: (labels.append(label), run(df, order, sums, label))[1])
+    rows = [("p1", "a", ["1932"], ["1945"], "It opened in 1932 at last.", ["Words of its own."], ["It is said that it closed."]), ("p2", "b", ["1888"], ["1899"], "", [], [])]
+    p = spark.createDataFrame(rows, "pair_id string, source string, gold array<string>, attack array<string>, h_t string, neutrals array<string>, fakes array<string>")
+    got = sorted((r["pair_id"], r["flag"]) for r in records.human_cell_flags(p, None).collect())
+    assert got == [("p1", "cram_fake_dropped"), ("p1", "few_neutrals"), ("p2", "no_H_T")] and labels == ["pair-order"]
